@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvia.llm import language, mixing, packing, secrets, simhash
+from corvia.llm import html, language, license, mixing, packing, quality, secrets, sharding, simhash, vafile
 from corvia.llm.common import read
 
 
+def op1_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.query(read(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(read(spark, sf_dir, "documents"))
 
 
+def op3_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.query(read(spark, sf_dir, "documents"))
+
+
 def op4_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_of(found["fp"]).alias("fingerprint"), "component_id")
@@ -21,6 +29,14 @@ def op5_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.query(read(spark, sf_dir, "documents"))
 
 
+def op6_va_file_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.query(read(spark, sf_dir, "embeddings"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.query(read(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.query(read(spark, sf_dir, "documents"))
 
@@ -29,6 +45,11 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), packing.tokenizer_file())
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op4_simhash_near_duplicates, op5_language_crf, op8_secret_scan, op9_best_fit_packing)}
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.query(read(spark, sf_dir, "pages"))
+
+
+_ALL = (op1_robust_outliers, op2_mix_sources, op3_minimax_shards, op4_simhash_near_duplicates, op5_language_crf, op6_va_file_top_k, op7_license_scan, op8_secret_scan, op9_best_fit_packing, op10_main_text)
+QUERIES = {f.__name__: f for f in _ALL}
 
-ORACLES = {"op2_mix_sources": mixing.ORACLE}
+ORACLES = {"op2_mix_sources": mixing.ORACLE, "op6_va_file_top_k": vafile.ORACLE, "op7_license_scan": license.oracle()}
