@@ -34,7 +34,7 @@ STEP = 64
 STEPS = 4
 LEAST = 100
 FLOOR = 0.08
-CUTOFF = 60.0
+CUTOFF = 100.0
 #: Median of chi-squared with as many degrees of freedom as the vector has entries.
 CHI_MEDIAN = 3.357
 FEW_GROUPS = 20_000
