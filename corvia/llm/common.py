@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,6 +34,14 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
 
+def in_process(kind: str, key: str, make):
+    """make(key), made once in a Python process: workers serve many tasks, and what they learn stays useful."""
+    held = sys.modules.setdefault("_corvia_in_process", types.ModuleType("_corvia_in_process")).__dict__
+    if (kind, key) not in held:
+        held[kind, key] = make(key)
+    return held[kind, key]
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with value computed once: a lambda variable, never inlined into an inner loop."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -14,6 +14,7 @@ along; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -25,22 +26,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvia.llm.common import durable, ranked, spread
+from corvia.llm.common import durable, in_process, ranked, spread
 
 SIZE = 4096
 END = 1
 #: Distinct words whose token ids a task keeps at once.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 1_000_000
+#: Marks that a word's stem may be followed by; a run of them is a token run of its own.
+MARKS = ".,;:!?"
+SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Characters tokenized at a time, and so the memory of a very long text.
 CHUNK = 1 << 20
 
 
+def is_latin(text: str) -> bool:
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
 class WordEncoder:
     """Token ids of texts by way of their distinct words.
 
     The vocabulary's pre-tokenizer never joins text across white space, and its normalizer works on characters (NFC,
-    lower case, white space to a space), so the ids of a text are those of its words. Words are factorised, only new
-    ones are encoded, and ids are gathered with numpy.
+    lower case, white space to a space), so the ids of a text are those of its words, and the ids of a word are those
+    of its stem and of the marks at its end. Only new stems are encoded; ids are gathered with numpy. Texts of Latin-1
+    characters are put in lower case first, which the normalizer would do alike. Texts with the separators 1C to 1F,
+    which are white space for Python alone, are encoded as they are.
     """
 
     def __init__(self, path: str):
@@ -52,33 +65,54 @@ class WordEncoder:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
+        self.marks: dict[str, list[int]] = {}
         self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.ids, self.n_ids = np.zeros(1 << 18, np.uint32), 0
 
+    def keep(self, word: str, own) -> None:
+        at = len(self.known)
+        while self.n_ids + len(own) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        if at >= len(self.starts):
+            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+        self.ids[self.n_ids : self.n_ids + len(own)] = own
+        self.starts[at], self.lengths[at] = self.n_ids, len(own)
+        self.n_ids += len(own)
+        self.known[word] = at
+
     def learn(self, words: list[str]) -> None:
-        for word, found in zip(words, self.encoder.encode_batch(words, add_special_tokens=False), strict=True):
-            own, at = found.ids, len(self.known)
-            while self.n_ids + len(own) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            if at >= len(self.starts):
-                self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-            self.ids[self.n_ids : self.n_ids + len(own)] = own
-            self.starts[at], self.lengths[at] = self.n_ids, len(own)
-            self.n_ids += len(own)
-            self.known[word] = at
+        known, marked, new = self.known, [], {}
+        for word in words:
+            stem = word.rstrip(MARKS)
+            if stem == word or not stem or stem[-1] >= "\u0100" or not stem[-1].isalnum():  # others may end in a mark once normalized
+                new[word] = None
+            else:
+                marked.append((word, stem))
+                if stem not in known:
+                    new[stem] = None
+        for word, found in zip(new, self.encoder.encode_batch(list(new), add_special_tokens=False), strict=True):
+            self.keep(word, found.ids)
+        for word, stem in marked:
+            end = word[len(stem) :]
+            if end not in self.marks:
+                self.marks[end] = self.encoder.encode(end, add_special_tokens=False).ids
+            start, n = self.starts[known[stem]], self.lengths[known[stem]]
+            self.keep(word, [*self.ids[start : start + n].tolist(), *self.marks[end]])
 
     def encode(self, text: str) -> np.ndarray:
         """Unsigned 32-bit ids of the whole text."""
-        words = text.split()
+        if SEPARATORS.search(text):
+            return np.array(self.encoder.encode(text, add_special_tokens=False).ids, np.uint32)
+        words = (text.lower() if "<|" not in text and is_latin(text) else text).split()
         if not words:
             return np.zeros(0, np.uint32)
         if len(self.known) > KEPT_WORDS:
             self.clear()
-        known = self.known
-        places = [known.get(w, -1) for w in words]
-        if -1 in places:
-            self.learn(list(dict.fromkeys(w for w, p in zip(words, places, strict=True) if p < 0)))
-            places = [known[w] for w in words]
+        try:
+            places = list(map(self.known.__getitem__, words))
+        except KeyError:
+            self.learn(list(dict.fromkeys(w for w in words if w not in self.known)))
+            places = list(map(self.known.__getitem__, words))
         places = np.array(places, np.int64)
         lengths = self.lengths[places]
         ends = np.cumsum(lengths)
@@ -100,7 +134,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, with_ids: boo
     """(id, piece, start, length, ids_crc32 [, ids]): every document's tokens and the end token, cut at ``size``."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = WordEncoder(tokenizer_path)
+        encoder = in_process("encoder", tokenizer_path, WordEncoder)
         for batch in batches:
             out = []
             for key, text in zip(batch[id_col], batch["_text"], strict=True):
