@@ -5,9 +5,13 @@ from __future__ import annotations
 import sys
 import tempfile
 import types
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 #: Words are runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -42,6 +46,31 @@ def in_process(kind: str, key: str, make):
     return held[kind, key]
 
 
+def per_text(df: DataFrame, keep: list[str], value: Column, fields: list[tuple[str, pa.DataType]], of) -> DataFrame:
+    """keep and further columns from one text column, a batch at a time.
+
+    of() is called in each task and gives a function from a list of texts to (places, columns): which text each row of
+    the result comes from (None: one row each, in order) and the columns in the order of fields (name, Arrow type).
+    Kept columns go through as they are, so keys with nulls stay exact.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = of()
+        for batch in batches:
+            places, columns = work(batch.column(len(keep)).to_pylist())
+            kept = [batch.column(i) for i in range(len(keep))]
+            if places is not None:
+                at = pa.array(places, pa.int64())
+                kept = [k.take(at) for k in kept]
+            made = [pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)]
+            yield pa.RecordBatch.from_arrays([*kept, *made], [*keep, *(n for n, _ in fields)])
+
+    schema = T.StructType([df.schema[c] for c in keep])
+    for name, kind in fields:
+        schema = schema.add(name, from_arrow_type(kind))
+    return df.select(*keep, value.alias("_value")).mapInArrow(run, schema)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with value computed once: a lambda variable, never inlined into an inner loop."""
     return F.element_at(F.transform(F.array(value), body), 1)

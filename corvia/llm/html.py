@@ -18,13 +18,14 @@ other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from html import unescape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvia.llm.common import per_text
+
 #: Lines in the sliding window.
 WINDOW = 3
 SHARE = 0.2
@@ -190,13 +191,10 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:
     """The kept columns and text, the page's main text."""
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[keep].assign(text=[main_text(x) for x in batch["_html"]])
+    def of():
+        return lambda texts: (None, [[main_text(t) for t in texts]])
 
-    kinds = dict(pages.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "text string"])
-    return pages.select(*keep, F.col(html_col).alias("_html")).mapInPandas(of, schema)
+    return per_text(pages, keep, F.col(html_col), [("text", pa.string())], of)
 
 
 def query(pages: DataFrame) -> DataFrame:

@@ -23,9 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvia.llm.common import per_text
+
 UNKNOWN = "und"
 SAMPLE = 120
 SAMPLE_CHARS = 8_000
@@ -267,16 +270,19 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
 
 def identify(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) for every row."""
-    model = docs.sparkSession.sparkContext.broadcast((crf.languages, crf.weights.astype(np.float32), crf.transitions))
+    model = docs.sparkSession.sparkContext.broadcast((crf.languages, crf.weights, crf.transitions))
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of():
         own = Crf([])
         own.languages, own.weights, own.transitions = model.value
-        for batch in batches:
-            found = own.predict(batch["_text"].tolist())
-            yield pd.DataFrame({id_col: batch[id_col].to_numpy(), "lang_pred": [x for x, _ in found], "score": [s for _, s in found]})
 
-    return docs.select(id_col, F.col(text_col).alias("_text")).mapInPandas(of, f"`{id_col}` {dict(docs.dtypes)[id_col]}, lang_pred string, score double")
+        def predict(texts: list[str | None]):
+            found = own.predict(texts)
+            return None, [[x for x, _ in found], [s for _, s in found]]
+
+        return predict
+
+    return per_text(docs, [id_col], F.col(text_col), [("lang_pred", pa.string()), ("score", pa.float64())], of)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -286,7 +292,7 @@ def held_out(doc_id: Column) -> Column:
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows whose language is known with at least ``least`` of the words' probability; the columns of docs."""
     crf = train(docs.where(~held_out(F.col("doc_id"))))
-    model = docs.sparkSession.sparkContext.broadcast((crf.languages, crf.weights.astype(np.float32), crf.transitions))
+    model = docs.sparkSession.sparkContext.broadcast((crf.languages, crf.weights, crf.transitions))
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:

@@ -21,12 +21,12 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvia.llm.common import durable, in_process, ranked, spread
+from corvia.llm.common import durable, in_process, per_text, ranked, spread
 
 SIZE = 4096
 END = 1
@@ -133,20 +133,24 @@ class WordEncoder:
 def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32 [, ids]): every document's tokens and the end token, cut at ``size``."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of():
         encoder = in_process("encoder", tokenizer_path, WordEncoder)
-        for batch in batches:
+
+        def cut(texts: list[str | None]):
             out = []
-            for key, text in zip(batch[id_col], batch["_text"], strict=True):
-                ids = np.append(encoder.encode_long(text), np.uint32(END)).astype("<u4")
+            for i, text in enumerate(texts):
+                ids = np.append(encoder.encode_long(text or ""), np.uint32(END)).astype("<u4")
                 for k, start in enumerate(range(0, len(ids), size)):
                     own = ids[start : start + size]
-                    out.append((key, k, start, len(own), zlib.crc32(own.tobytes()), *([own.astype(np.int64)] if with_ids else [])))
-            found = pd.DataFrame(out, columns=[id_col, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
-            yield found.astype({id_col: batch[id_col].dtype}) if len(found) else found
+                    out.append((i, k, start, len(own), zlib.crc32(own.tobytes()), own if with_ids else None))
+            columns = [list(c) for c in zip(*out, strict=True)] or [[] for _ in range(6)]
+            return columns[0], columns[1 : 5 + with_ids]
+
+        return cut
 
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(n, t) for n, t in (("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()))), *[T.StructField("ids", T.ArrayType(T.LongType()))] * with_ids])
-    return docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("_text")).mapInPandas(cut, schema)
+    fields = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
+    fields += [("ids", pa.list_(pa.int64()))] if with_ids else []
+    return per_text(docs, [id_col], F.col(text_col), fields, of)
 
 
 def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int, int, int, int]]:
@@ -202,19 +206,20 @@ def place(cut: DataFrame, size: int = SIZE, id_col: str = "doc_id") -> DataFrame
     table = np.array(moves, np.int64).reshape(-1, 6).T
     keys = table[0] << 40 | table[1]
 
-    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rank = batch["_rank"].to_numpy()
-            at = np.searchsorted(keys, batch["length"].to_numpy() << 40 | rank, side="right") - 1
+            rank, lengths = (batch.column(c).to_numpy() for c in ("_rank", "length"))
+            at = np.searchsorted(keys, lengths << 40 | rank, side="right") - 1
             length, first, _, sequence, fit, offset = table[:, at]
             turn = rank - first
-            yield batch.drop(columns=["_rank", "_salt"]).assign(sequence_id=sequence + turn // fit, offset=offset + turn % fit * length)
+            made = [pa.array(sequence + turn // fit), pa.array(offset + turn % fit * length)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *made], [*columns, "sequence_id", "offset"])
 
+    columns = cut.columns
     salted = cut.withColumn("_salt", spread(F.col(id_col), F.col("piece"), n=256))
     numbered = ranked(salted, ["length"], ["_salt"], [F.col(id_col), F.col("piece"), F.col("ids_crc32")], "_rank")
-    numbered = numbered.select(*cut.columns, "_rank", "_salt")
     schema = T.StructType([*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return numbered.mapInPandas(look_up, schema)
+    return numbered.select(*columns, "_rank").mapInArrow(look_up, schema)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE, with_ids: bool = False) -> DataFrame:

@@ -18,13 +18,15 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvia.llm.common import per_text
+
 # The kinds and patterns of the base.
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -132,19 +134,16 @@ def joined(spans: list[Span]) -> str:
 def scan(docs: DataFrame, pair: MarkovPair, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_assign, n_access, n_hex, n_markov, base, spans): the base's spans and all spans, as kind:start:end."""
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for text in batch["_text"]:
-                base, spans = all_spans(text, pair)
-                kinds = [s[0] for s in spans]
-                out.append((*(kinds.count(k) for k in KINDS), joined(base), joined(spans)))
-            found = pd.DataFrame(out, columns=["n_assign", "n_access", "n_hex", "n_markov", "base", "spans"])
-            found.insert(0, id_col, batch[id_col].to_numpy())
-            yield found
-
-    schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_assign long, n_access long, n_hex long, n_markov long, base string, spans string"
-    return docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("_text")).mapInPandas(of, schema)
+    def of():
+        def scanned(texts: list[str | None]):
+            found = [all_spans(t or "", pair) for t in texts]
+            counts = [[sum(s[0] == k for s in spans) for _, spans in found] for k in KINDS]
+            return None, [*counts, [joined(base) for base, _ in found], [joined(spans) for _, spans in found]]
+
+        return scanned
+
+    fields = [(f"n_{k}", pa.int64()) for k in KINDS] + [("base", pa.string()), ("spans", pa.string())]
+    return per_text(docs, [id_col], F.col(text_col), fields, of)
 
 
 def redacted(text: str, spans: list[Span], mark: str = "[SECRET]") -> str:

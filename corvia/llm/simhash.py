@@ -25,10 +25,11 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvia.llm.common import durable
+from corvia.llm.common import durable, per_text
 
 RADIUS = 4
 SHINGLE = 4
@@ -65,14 +66,10 @@ def simhash(text: bytes, size: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """(id, fp): the fingerprint of every row as a signed 64-bit integer."""
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fps = np.array([simhash(t, size) if t else 0 for t in batch["text"]], dtype=np.uint64)
-            yield pd.DataFrame({id_col: batch[id_col], "fp": fps.view(np.int64)})
+    def of():
+        return lambda texts: (None, [np.array([simhash(t, size) if t else 0 for t in texts], dtype=np.uint64).view(np.int64)])
 
-    kind = dict(docs.dtypes)[id_col]
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")
-    return docs.select(F.col(id_col), text).mapInPandas(of, f"`{id_col}` {kind}, fp long")
+    return per_text(docs, [id_col], F.col(text_col).cast("binary"), [("fp", pa.int64())], of)
 
 
 def blocks_for(n: int, radius: int = RADIUS, shard: int = SHARD) -> int:

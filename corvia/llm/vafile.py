@@ -9,9 +9,10 @@ Queries are a stated set, against all rows: candidates are dealt into blocks of
 into blocks of ``QUERIES``, and each task holds one block of each. A block returns the k best of each query, and the
 blocks' results are merged by rank. No task grows with the input.
 
-Defined results: vectors that are null or hold null or non-finite components take no part; vectors are compared with
-those of their own length only (empty ones score 0 with each other); equal scores go by vec_id; of repeated rows each
-is a candidate and each query row misses only itself; an empty table gives no rows; other columns are ignored.
+Defined results: vectors without an id, that are null or that hold null or non-finite components take no part; vectors
+are compared with those of their own length only (empty ones score 0 with each other); equal scores go by vec_id; of
+repeated rows each is a candidate and each query row misses only itself; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -76,13 +77,13 @@ def integers(vectors: pd.Series) -> np.ndarray:
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, copy, rank, id, score) over vectors (id, array of numbers); copy tells repeated query rows apart."""
-    ok = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    ok = F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(ok).withColumn("dim", F.size("v"))
     n = rows.count()
     n_blocks, salted = max(1, -(-n // BLOCK)), F.xxhash64("id")
     queries = rows.where(is_query.cast("boolean"))
     n_sets = max(1, -(-queries.count() // QUERIES))
-    copies = Window.partitionBy("id").orderBy("v")
+    copies = Window.partitionBy("id", "dim").orderBy("v")
     queries = queries.withColumn("copy", F.row_number().over(copies)).withColumn("qb", F.pmod(salted, F.lit(n_sets)).cast("int"))
     queries = queries.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     held = rows.withColumn("cb", F.pmod(salted, F.lit(n_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_sets - 1))))
