@@ -10,6 +10,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What marks pages that are no unit of their own, and sections of an API's description.
 JUNK_DIRECTORIES = [".git", ".venv", "venv", "env", "node_modules", "__pycache__", ".idea", ".ruff_cache", ".pytest_cache", ".mypy_cache", "dist", "build", ".next", ".cache"]
@@ -140,8 +141,8 @@ def masked(text: str) -> str:
 
 
 RESOURCES = (
-    ("image", re.compile(r"!\[(?P<label>[^\]]*)\]\(\s*<?(?P<uri>[^)\s>]+)>?[^)]*\)")),
-    ("link", re.compile(r"(?<!!)\[(?P<label>[^\]]+)\]\(\s*<?(?P<uri>[^)\s>]+)>?[^)]*\)")),
+    ("image", re.compile(r"!\[(?P<label>[^\]\n]*)\]\(\s*<?(?P<uri>[^)\s>]+)>?[^)]*\)")),
+    ("link", re.compile(r"(?<!!)\[(?P<label>[^\]\n]+)\]\(\s*<?(?P<uri>[^)\s>]+)>?[^)]*\)")),
     ("image", re.compile(r"""(?i)<img\b[^>]*?\bsrc\s*=\s*["']?(?P<uri>[^"'\s>]+)""")),
     ("video", re.compile(r"""(?i)<(?:video|source)\b[^>]*?\bsrc\s*=\s*["']?(?P<uri>[^"'\s>]+)""")),
     ("link", re.compile(r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']?(?P<uri>[^"'\s>]+)""")),
@@ -247,7 +248,7 @@ def preprocess(text: str, drop_code: bool = False, drop_tables: bool = False) ->
     return re.sub(r"\x00(\d+)\x00", lambda m: code[int(m[1])], text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def preprocessed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else preprocess(t))
 

@@ -9,6 +9,7 @@ from urllib.parse import quote, unquote, urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNIT = "\x1f"
 # Word and ideograph classes of the tokenizer.
@@ -189,7 +190,7 @@ def canonical_uri(url: Column) -> Column:
     return F.when(head != "", F.concat(F.lower(head), F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)(.*)$", 2))).otherwise(bare)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_uri_requoted(urls: pd.Series) -> pd.Series:
     """As canonical_uri, with percent escapes written in one way."""
 
@@ -203,7 +204,7 @@ def canonical_uri_requoted(urls: pd.Series) -> pd.Series:
     return urls.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def resolve_uri(base: pd.Series, reference: pd.Series) -> pd.Series:
     """Absolute and data references as they are, others against the base."""
     return pd.Series([None if r is None else r if re.match(r"(?i)(https?:|data:)", r) else urljoin(b or "", r) for b, r in zip(base, reference, strict=True)])
@@ -228,12 +229,12 @@ def labelled_source_url(markdown: Column) -> Column:
 # What needs Unicode tables
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def casefold(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else t.casefold())
 
