@@ -15,7 +15,8 @@ rows per (language, source, vector) is added up first. Estimates have one row pe
 
 A group of under ``LEAST`` documents that pass the limits is judged by its language's estimate, or else by that of all
 documents; under as many in all, whatever passes the limits is kept. A
-statistic that hardly varies in a group counts as if it had the standard deviation ``FLOOR``.
+statistic that hardly varies in a group (copies may be most of it) counts as if it had the standard deviation in
+``FLOORS``, and distances are never scaled up.
 
 Defined results: null texts have no words and fail the limits; null languages and sources are values of their own;
 repeated rows are judged alike; ties at the limit of the half are all taken; columns of other names are carried along.
@@ -33,8 +34,8 @@ VECTOR = ["x0", "x1", "x2", "x3"]
 STEP = 64
 STEPS = 4
 LEAST = 100
-FLOOR = 0.08
-CUTOFF = 100.0
+FLOORS = (0.30, 0.12, 0.08, 0.10)
+CUTOFF = 60.0
 #: Median of chi-squared with as many degrees of freedom as the vector has entries.
 CHI_MEDIAN = 3.357
 FEW_GROUPS = 20_000
@@ -103,17 +104,17 @@ def moment_names() -> list[str]:
 
 
 def estimate(sums: DataFrame, keep: list[str]) -> DataFrame:
-    """Mean m_*, and the Cholesky factor l_* of the covariance (with FLOOR squared added to variances), from moments."""
+    """Mean m_*, and the Cholesky factor l_* of the covariance (with the floors squared added to variances), from moments."""
     n = F.col("n").cast("double")
     found = sums.select(*keep, "n", *[(F.col(f"s_{x}").cast("double") / n).alias(f"m_{x}") for x in VECTOR], *[F.col(f"p_{x}_{y}") for i, x in enumerate(VECTOR) for y in VECTOR[: i + 1]])
-    floor = (FLOOR * STEP) ** 2
-    cov = {(i, j): F.col(f"p_{x}_{y}").cast("double") / n - F.col(f"m_{x}") * F.col(f"m_{y}") + (floor if i == j else 0.0) for i, x in enumerate(VECTOR) for j, y in enumerate(VECTOR[: i + 1])}
+    floor = [(f * STEP) ** 2 for f in FLOORS]
+    cov = {(i, j): F.col(f"p_{x}_{y}").cast("double") / n - F.col(f"m_{x}") * F.col(f"m_{y}") + (floor[i] if i == j else 0.0) for i, x in enumerate(VECTOR) for j, y in enumerate(VECTOR[: i + 1])}
     for i in range(len(VECTOR)):
         for j in range(i + 1):
             less = cov[i, j]
             for k in range(j):
                 less = less - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            found = found.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(less, F.lit(floor / 4))) if i == j else less / F.col(f"l_{j}_{j}"))
+            found = found.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(less, F.lit(floor[i] / 4))) if i == j else less / F.col(f"l_{j}_{j}"))
     return found.drop(*[f"p_{x}_{y}" for i, x in enumerate(VECTOR) for y in VECTOR[: i + 1]])
 
 
@@ -149,7 +150,7 @@ def robust(vectors: DataFrame, keys: list[str], steps: int = STEPS) -> tuple[Dat
     hint = F.broadcast if few else lambda df: df
     cells = cells.join(hint(sizes), keys)
     spreads = cells.groupBy(*keys).agg(*[F.percentile(F.abs(F.col(x) - F.col(f"c_{x}")), F.lit(0.5), F.col("w")).alias(f"a_{x}") for x in VECTOR])
-    middle = sizes.join(spreads, keys).select(*keys, F.lit(0).alias("start"), *[F.col(f"c_{x}").cast("double").alias(f"m_{x}") for x in VECTOR], *[(F.greatest(1.4826 * F.col(f"a_{VECTOR[i]}"), F.lit(FLOOR * STEP)) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i in range(len(VECTOR)) for j in range(i + 1)])
+    middle = sizes.join(spreads, keys).select(*keys, F.lit(0).alias("start"), *[F.col(f"c_{x}").cast("double").alias(f"m_{x}") for x in VECTOR], *[(F.greatest(1.4826 * F.col(f"a_{VECTOR[i]}"), F.lit(FLOORS[i] * STEP)) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i in range(len(VECTOR)) for j in range(i + 1)])
     everyone = estimate(cells.groupBy(*keys).agg(*moments(F.col("w"))), keys).select(*keys, F.lit(1).alias("start"), *ESTIMATE)
     now = durable(middle.union(everyone))
     for _ in range(steps):
@@ -159,7 +160,7 @@ def robust(vectors: DataFrame, keys: list[str], steps: int = STEPS) -> tuple[Dat
     up_to = Window.partitionBy(*keys, "start").orderBy("bin")
     half = bins.withColumn("upto", F.sum("w").over(up_to)).where("2 * upto >= size").groupBy(*keys, "start").agg(F.min("bin").alias("bin"))
     volume = sum((F.log(F.col(f"l_{i}_{i}")) for i in range(1, len(VECTOR))), F.log(F.col("l_0_0")))
-    best = now.join(half, [*keys, "start"]).withColumn("scale", F.lit(CHI_MEDIAN) / F.pow(F.lit(2.0), (F.col("bin") + 1) / 16))
+    best = now.join(half, [*keys, "start"]).withColumn("scale", F.least(F.lit(1.0), F.lit(CHI_MEDIAN) / F.pow(F.lit(2.0), (F.col("bin") + 1) / 16)))
     best = best.withColumn("volume", F.round(volume - len(VECTOR) / 2 * F.log("scale"), 9))
     first = F.row_number().over(Window.partitionBy(*keys).orderBy("volume", "start"))
     best = durable(best.withColumn("_r", first).where("_r = 1").select(*keys, F.struct(*ESTIMATE, "scale").alias("e")))

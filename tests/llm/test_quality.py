@@ -30,11 +30,11 @@ def test_statistics(spark, odd_docs):
 def brute_mcd(x, steps=Q.STEPS):
     """Concentration steps on one group from both starts, with the operator's bins; rows that are rejected."""
     n, p = x.shape
-    floor = (Q.FLOOR * Q.STEP) ** 2
+    floor = (np.array(Q.FLOORS) * Q.STEP) ** 2
 
     def estimate(rows):
         m = rows.mean(axis=0)
-        return m, (rows.T @ rows) / len(rows) - np.outer(m, m) + floor * np.eye(p)
+        return m, (rows.T @ rows) / len(rows) - np.outer(m, m) + np.diag(floor)
 
     def d2(m, s):
         z = np.linalg.solve(np.linalg.cholesky(s), (x - m).T)
@@ -53,7 +53,7 @@ def brute_mcd(x, steps=Q.STEPS):
         d = d2(m, s)
         b = bins(d)
         half = next(v for v in np.unique(b) if 2 * (b <= v).sum() >= n)
-        scale = Q.CHI_MEDIAN / 2 ** ((half + 1) / 16)
+        scale = min(1.0, Q.CHI_MEDIAN / 2 ** ((half + 1) / 16))
         volume = np.log(np.diag(np.linalg.cholesky(s))).sum() - p / 2 * np.log(scale)
         if best is None or volume < best[0] - 1e-9:
             best = volume, d * scale
