@@ -18,6 +18,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -41,9 +42,16 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 CLOSES_P = {"p", "div", "article", "section", "main", "ul", "ol", "dl", "table", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "figure", "nav", "header", "footer", "aside", "form"}
 MAIN = {"article", "main"}
-#: Words of class, id and role that mark what is not content, and what is.
-AWAY = re.compile(r"(?i)(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice|notices|alert|popup|modal|overlay|nav|navbar|navigation|menu|menubar|breadcrumb\w*|crumbs|header|masthead|footer|foot|colophon|sidebar\w*|side|aside|widget\w*|rail|related|recommend\w*|comment\w*|disqus\w*|reply|replies|respond|responses|discussion|share|sharing|social|subscribe|newsletter|signup|login|search|pager|pagination|toolbar|skip|complementary|contentinfo|form)(?:$|[\s_-])")
-STAY = re.compile(r"(?i)(?:^|[\s_-])(?:article|content|main|post|entry|story|body|page|text)(?:$|[\s_-])")
+#: Parts of class, id and role names. A name with a part of OUT is no content; one that ends in a part of EDGE is none
+#: unless it begins with a part of STAY (an article's own header); one with a part of BESIDE only speaks of another element.
+OUT = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promoted", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "nav", "navbar", "navigation", "menu", "menubar", "breadcrumb", "breadcrumbs", "footer", "colophon", "sidebar", "sidebars", "complementary", "contentinfo", "related", "recommended", "recommendations", "comment", "comments", "disqus", "reply", "replies", "respond", "responses", "share", "sharing", "social", "subscribe", "newsletter", "signup", "login", "pager", "pagination", "toolbar", "widget", "widgets", "skip"}
+EDGE = {"header", "masthead", "head", "side", "aside", "rail", "search", "form", "foot"}
+STAY = {"article", "content", "main", "post", "entry", "story", "body", "page", "text"}
+OWN = STAY - {"page", "body", "main", "text"}
+BESIDE = {"with", "has", "no", "without", "open", "closed", "enabled"}
+#: Class names of articles that are readers' comments, adverts or pointers to other articles.
+OTHER_ARTICLES = {"comment", "comments", "comment-body", "comment-content", "reply", "ad", "advert", "advertisement", "sponsored", "promo", "related", "teaser"}
+PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 HIDDEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
 
 
@@ -54,21 +62,38 @@ class Line:
         self.container, self.parts, self.linked, self.text = container, [], 0, ""
 
 
-def is_away(name: str, attributes: str) -> bool:
-    """Whether an element is never content, by its name or attributes; an article's own header is no page header."""
-    if name in NEVER:
+def named(attributes: str) -> Iterator[tuple[str, list[str]]]:
+    """Each name in class, id and role with its parts in lower case."""
+    for key, value in ATTRIBUTE.findall(attributes):
+        if key.lower() in ("class", "id", "role"):
+            for name in value.strip("\"'").split():
+                yield name.lower(), [p.lower() for p in PART.findall(name)]
+
+
+def is_away(element: str, attributes: str) -> bool:
+    """Whether an element is never content, by its name or attributes."""
+    if element in NEVER:
         return True
-    if not attributes or name in ("html", "body"):
+    if not attributes or element in ("html", "body"):
         return False
-    for key, value in ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), value.strip("\"'")
-        if key in ("class", "id", "role") and AWAY.search(value) and not (name in MAIN or STAY.search(value) and not re.search(r"(?i)comment|sidebar|advert|\bad\b", value)):
+    for name, parts in named(attributes):
+        if element in MAIN:
+            if name in OTHER_ARTICLES:
+                return True
+        elif parts and not BESIDE.intersection(parts) and (OUT.intersection([*parts, "".join(parts)]) or parts[-1] in EDGE and parts[0] not in OWN):
             return True
-        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and HIDDEN.search(value):
+    for key, value in ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), value.strip("\"'").lower()
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and HIDDEN.search(value):
             return True
     return False
 
 
+def is_main(element: str, attributes: str) -> bool:
+    """Whether an element may hold the article."""
+    return element in MAIN or element in ("div", "section", "td") and any(STAY.intersection(parts) for _, parts in named(attributes))
+
+
 def lines_of(page: str) -> list[Line]:
     """The page's blocks in order, with empty lines where something was left out or a container begins or ends."""
     lines = [Line(0)]
@@ -136,7 +161,7 @@ def lines_of(page: str) -> list[Line]:
                 if not away:
                     gap()
                 away += 1
-            elif not away and (name in MAIN or name in ("div", "section", "td") and any(k.lower() in ("id", "class", "role") and STAY.search(v.strip("\"'")) for k, v in ATTRIBUTE.findall(m[3])) and not container):
+            elif not away and is_main(name, m[3]) and (name in MAIN or not container):
                 containers += 1
                 container = containers
                 gap()

@@ -43,3 +43,18 @@ def test_tables(spark):
     frame = spark.createDataFrame([(1, "u", None, "clash"), (None, None, "<p>x</p>", "clash"), (2, "u", "<p>" + "long text " * 100_000, "clash")], "page_id long, url string, html string, text string")
     assert sorted((r["n_chars"] for r in H.query(frame).collect())) == [0, 1, 999_999]
     assert H.query(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("tag", "away"), [
+    ('div class="main-nav"', True), ('div class="page-header"', True), ('div class="entry-header"', False), ('div class="content with-sidebar"', False), ('div id="commentList"', True), ('div class="post-comments"', True),
+    ('article class="post comments-open"', False), ('article class="comment"', True), ('div role="navigation"', True), ('div class="text"', False), ('p class="lead"', False), ("div style='display: none'", True),
+    ('div class="article-body"', False), ('div class="sideBar"', True), ('div class="site-footer"', True), ('section class="reader-comments"', True), ('div class="shadow"', False), ('div class="download"', False),
+])
+def test_what_is_no_content(tag, away):
+    name, _, attributes = tag.partition(" ")
+    assert H.is_away(name, attributes) == away
+
+
+def test_containers():
+    page = "<body><div id=wrap><div class=content><h1>T</h1><p>one two</p><div class=share>x</div><p>three</p></div><div class='col side'>" + "<p>link list</p>" * 9 + "</div></div>"
+    assert H.main_text(page) == "T one two three"
