@@ -96,6 +96,27 @@ def sparse_top_k(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc
     for (q, at), w in weights.items():
         matrix[at, row[q]] = w
     lexicon = {t: (place[tid], idf) for t, (tid, idf) in known.items() if tid in place}
+    return _scored(docs, id_col, text_col, lexicon, matrix, names, k, schema, counted=True)
+
+
+def word_top_k(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(query_id, id, score, rank): the k documents with the most distinct words of each query."""
+    asked = {r["query_id"]: r["w"] for r in queries.select("query_id", F.array_distinct(words(F.col("text"))).alias("w")).collect()}
+    names = sorted(q for q, ws in asked.items() if ws)
+    lexicon = {w: (i, 1.0) for i, w in enumerate(sorted({w for q in names for w in asked[q]}))}
+    matrix = np.zeros((len(lexicon), len(names)))
+    for j, q in enumerate(names):
+        matrix[[lexicon[w][0] for w in asked[q]], j] = 1.0
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, id {dict(docs.dtypes)[id_col]}, score double"
+    return _scored(docs, id_col, text_col, lexicon, matrix, names, k, schema, counted=False)
+
+
+def _scored(docs: DataFrame, id_col: str, text_col: str, lexicon: dict, matrix: np.ndarray, names: list, k: int, schema: str, counted: bool) -> DataFrame:
+    """The best k documents of each query by the product of token weights; documents are scored where they are read.
+
+    lexicon: token -> (row of the matrix, weight); a token counts as often as it occurs if ``counted``, and of several
+    tokens of a row the largest weight counts.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((lexicon, matrix, names))
 
     def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,7 +127,7 @@ def sparse_top_k(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc
                 counts: dict[str, int] = {}
                 for t in tokens:
                     if t in own:
-                        counts[t] = counts.get(t, 0) + 1
+                        counts[t] = counts.get(t, 0) + 1 if counted else 1
                 vector: dict[int, float] = {}
                 for t, c in counts.items():
                     at, idf = own[t]
@@ -224,10 +245,6 @@ def hybrid_search(docs: DataFrame, queries: DataFrame, k: int, channel_k: int =
     The lexical channel ranks by how many distinct words of the query a document holds.
     """
     sparse = sparse_top_k(docs, queries, channel_k)
-    asked = [(r["query_id"], r["w"]) for r in queries.select("query_id", F.array_distinct(words(F.col("text"))).alias("w")).limit(BATCH_QUERIES).collect()]
-    held = docs.select("doc_id", F.array_distinct(words(F.col("text"))).alias("_w"))
-    shared = [F.struct(F.lit(q).alias("query_id"), F.size(F.array_intersect("_w", F.array(*map(F.lit, ws)))).alias("n")) for q, ws in asked if ws]
-    lexical = held.select("doc_id", F.explode(F.array(*shared)).alias("m")).select(F.col("m.query_id").alias("query_id"), F.col("doc_id").alias("id"), F.col("m.n").alias("n")).where("n > 0")
-    lexical = top_per(lexical, ["query_id"], channel_k, [F.desc("n"), F.col("id")])
+    lexical = word_top_k(docs, queries, channel_k)
     lists = sparse.select("query_id", F.lit(1).alias("list"), "id", "rank").union(lexical.select("query_id", F.lit(0).alias("list"), "id", "rank"))
     return top_per(rrf(lists), ["query_id"], k, [F.desc(F.round("score", 12)), F.col("first_list"), F.col("first_rank")]).select("query_id", "id", F.round("score", 8).alias("score"), "rank")
