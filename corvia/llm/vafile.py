@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 K = 10
 BLOCK = 8192
-QUERIES = 2048
+QUERIES = 8192
 #: Cells per dimension.
 CELLS = 64
 #: Exact vectors read at a time.
