@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import sys
+import contextlib
+import ctypes
 import tempfile
-import types
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_type
 
+#: Texts that a Python worker turns into objects at once.
+ROWS = 512
+
 #: Words are runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -38,12 +41,11 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
 
-def in_process(kind: str, key: str, make):
-    """make(key), made once in a Python process: workers serve many tasks, and what they learn stays useful."""
-    held = sys.modules.setdefault("_corvia_in_process", types.ModuleType("_corvia_in_process")).__dict__
-    if (kind, key) not in held:
-        held[kind, key] = make(key)
-    return held[kind, key]
+def release() -> None:
+    """Give freed memory back to the system: Python workers stay around between tasks, next to those of other stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def per_text(df: DataFrame, keep: list[str], value: Column, fields: list[tuple[str, pa.DataType]], of) -> DataFrame:
@@ -56,14 +58,18 @@ def per_text(df: DataFrame, keep: list[str], value: Column, fields: list[tuple[s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = of()
-        for batch in batches:
-            places, columns = work(batch.column(len(keep)).to_pylist())
-            kept = [batch.column(i) for i in range(len(keep))]
-            if places is not None:
-                at = pa.array(places, pa.int64())
-                kept = [k.take(at) for k in kept]
-            made = [pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)]
-            yield pa.RecordBatch.from_arrays([*kept, *made], [*keep, *(n for n, _ in fields)])
+        for whole in batches:
+            for start in range(0, len(whole), ROWS):
+                batch = whole.slice(start, ROWS)
+                places, columns = work(batch.column(len(keep)).to_pylist())
+                kept = [batch.column(i) for i in range(len(keep))]
+                if places is not None:
+                    at = pa.array(places, pa.int64())
+                    kept = [k.take(at) for k in kept]
+                made = [pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)]
+                yield pa.RecordBatch.from_arrays([*kept, *made], [*keep, *(n for n, _ in fields)])
+        del work
+        release()
 
     schema = T.StructType([df.schema[c] for c in keep])
     for name, kind in fields:

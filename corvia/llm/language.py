@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvia.llm.common import per_text
+from corvia.llm.common import per_text, release
 
 UNKNOWN = "und"
 SAMPLE = 120
@@ -37,7 +37,7 @@ LANGUAGES = 400
 BUCKETS = 1 << 16
 CHAIN = 128
 #: Words whose probabilities are held at once.
-BATCH_WORDS = 1 << 18
+BATCH_WORDS = 1 << 16
 
 
 def word_features(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -124,8 +124,9 @@ class Crf:
 
     def scores(self, words: list[bytes]) -> np.ndarray:
         found = np.zeros((len(words), len(self.languages)), np.float32)
-        for at, features in word_features(words):
-            found[at] = self.weights[features].sum(axis=1)
+        for lo in range(0, len(words), 1 << 12):
+            for at, features in word_features(words[lo : lo + (1 << 12)]):
+                found[lo + at] = self.weights[features].sum(axis=1)
         return found
 
     def fit(self, chains: list[tuple[list[bytes], np.ndarray]], epochs: int = 6, rate: float = 0.25, batch: int = 128, seed: int = 5) -> Crf:
@@ -298,7 +299,9 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     def score(texts: pd.Series) -> pd.Series:
         own = Crf([])
         own.languages, own.weights, own.transitions = model.value
-        return pd.Series([s for _, s in own.predict([t or None for t in texts])], dtype="float64")
+        found = pd.Series([s for _, s in own.predict([t or None for t in texts])], dtype="float64")
+        release()
+        return found
 
     return docs.where(score(F.col("text")) >= least)
 

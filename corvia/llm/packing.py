@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvia.llm.common import durable, in_process, per_text, ranked, spread
+from corvia.llm.common import durable, per_text, ranked, spread
 
 SIZE = 4096
 END = 1
 #: Distinct words whose token ids a task keeps at once.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 500_000
 #: Marks that a word's stem may be followed by; a run of them is a token run of its own.
 MARKS = ".,;:!?"
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -134,7 +134,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, with_ids: boo
     """(id, piece, start, length, ids_crc32 [, ids]): every document's tokens and the end token, cut at ``size``."""
 
     def of():
-        encoder = in_process("encoder", tokenizer_path, WordEncoder)
+        encoder = WordEncoder(tokenizer_path)
 
         def cut(texts: list[str | None]):
             out = []
