@@ -1,0 +1,170 @@
+"""Document packages: skeletons from markdown, bounded prompts, fills of empty slots, normalization of untrusted output."""
+
+from __future__ import annotations
+
+import json
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from corvia.functions.markdown import section_after
+from corvia.functions.text import strip
+
+# Closed sets of a package and the bounds of a prompt.
+KINDS = ("function", "class", "method", "macro", "struct", "enum", "constant", "operator", "type", "other")
+DIRECTIONS = ("input", "output", "inout")
+PROMPT_CODE = 4000
+PROMPT_ROWS = 50
+SENSITIVE = ("password", "passwd", "secret", "token", "api_key", "apikey", "authorization", "cookie")
+
+
+def blank(value: Column) -> Column:
+    return F.trim(F.coalesce(value, F.lit(""))) == ""
+
+
+def fill_empty(rows: DataFrame, updates: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
+    """Rows whose empty fields are filled from updates of the same key; only the fields given can be filled.
+
+    Of several updates of a key the first that isn't blank is taken, in the order of ``ord`` if there is one.
+    """
+    order = F.col("ord") if "ord" in updates.columns else F.lit(0)
+    first = lambda c: F.min(F.when(~blank(F.col(c)), F.struct(order.alias("o"), F.col(c).alias("v"))))["v"].alias(f"_{c}")
+    given = [c for c in fields if c in updates.columns]
+    best = updates.groupBy(*key).agg(*[first(c) for c in given])
+    joined = rows.join(best, key, "left")
+    return joined.select(*[F.when(blank(F.col(c)), F.coalesce(f"_{c}", c)).otherwise(F.col(c)).alias(c) if c in given else F.col(c) for c in rows.columns])
+
+
+def empty_slots(row_fields: list[str]) -> Column:
+    """The names of fields that are empty."""
+    return F.array_compact(F.array(*[F.when(blank(F.col(c)), F.lit(c)) for c in row_fields]))
+
+
+def skeleton(title: Column, body: Column, path: Column) -> Column:
+    """What of an API's page can be told without a model, each value with is_ai false."""
+    value = lambda c: F.when(~blank(c), F.struct(strip(c).alias("value"), F.lit(False).alias("is_ai")))
+    section = lambda h: section_after(body, h)
+    return F.struct(
+        value(title).alias("name"), value(section("(?:功能说明|Description)")).alias("description"), value(section("(?:函数原型|Function Prototype)")).alias("signature"),
+        value(section("(?:参数说明|Parameters)")).alias("parameters"), value(section("(?:返回值说明|Returns)")).alias("returns"), value(section("约束说明")).alias("constraints"), value(path).alias("source_path"),
+    )
+
+
+def prompt(title: Column, slots: Column, code: Column, table: Column) -> Column:
+    """A bounded request to fill slots: so many characters of code, so many rows of a table."""
+    rows = F.array_join(F.slice(F.split(F.coalesce(table, F.lit("")), "\n"), 1, PROMPT_ROWS + 2), "\n")
+    return F.concat_ws("\n\n", F.concat(F.lit("Fill these fields of "), title, F.lit(": "), F.array_join(slots, ", ")), F.substring(F.coalesce(code, F.lit("")), 1, PROMPT_CODE), rows)
+
+
+def cut_at_sentence(text: Column, limit: int) -> Column:
+    """At most limit characters, up to the last sentence end if that is in the second half."""
+    cut = F.substring(text, 1, limit)
+    sentence = F.regexp_extract(cut, r"(?s)^(.*[.!?。！？])", 1)
+    return F.when(F.length(text) <= limit, text).when(F.length(sentence) * 2 >= limit, sentence).otherwise(cut)
+
+
+def distinct_texts(values: Column, most: int | None = None) -> Column:
+    """Trimmed texts without blanks and repeats, in order, at most so many."""
+    found = F.array_distinct(F.filter(F.transform(values, strip), lambda v: v != ""))
+    return found if most is None else F.slice(found, 1, most)
+
+
+def request_json(**fields: Column) -> Column:
+    """A request as JSON without its empty fields."""
+    return F.to_json(F.struct(*[F.nullif(c, F.lit("")).alias(n) if n not in ("scope", "options") else c.alias(n) for n, c in fields.items()]))
+
+
+def image_kind(content: Column) -> Column:
+    """png, jpeg, gif, webp, bmp or svg by the first bytes, else null."""
+    head = F.hex(F.substring(content, 1, 16))
+    text = F.lower(F.substring(content, 1, 256).cast("string"))
+    return (
+        F.when(head.startswith("89504E470D0A1A0A"), "png").when(head.startswith("FFD8FF"), "jpeg").when(head.startswith("474946383761") | head.startswith("474946383961"), "gif")
+        .when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "webp").when(head.startswith("424D"), "bmp").when(text.contains("<svg"), "svg")
+    )
+
+
+def data_image_ok(uri: Column) -> Column:
+    """Whether a data: URI holds an image that can be decoded."""
+    body = F.regexp_extract(uri, r"(?is)^data:image/[a-z0-9.+-]+;base64,(.+)$", 1)
+    return F.coalesce((body != "") & image_kind(F.try_to_binary(F.regexp_replace(body, r"\s", ""), F.lit("base64"))).isNotNull(), F.lit(False))
+
+
+def _redacted(value):
+    if isinstance(value, dict):
+        return {k: "***" if any(s in str(k).lower() for s in SENSITIVE) else _redacted(v) for k, v in value.items()}
+    return [_redacted(v) for v in value] if isinstance(value, list) else value
+
+
+@F.pandas_udf(T.StringType())
+def redacted_json(values: pd.Series) -> pd.Series:
+    """JSON with the values of sensitive keys masked, at any depth; what is no JSON is null."""
+
+    def one(text):
+        try:
+            return None if text is None else json.dumps(_redacted(json.loads(text)), ensure_ascii=False, sort_keys=True)
+        except ValueError:
+            return None
+
+    return values.map(one)
+
+
+def normalized(package) -> tuple[dict, list[str]]:
+    """Untrusted output as a package of fixed fields, and what was wrong with it."""
+    problems: list[str] = []
+
+    def text(value) -> str | None:
+        if value is None:
+            return None
+        return value.strip() if isinstance(value, str) else json.dumps(value, ensure_ascii=False, sort_keys=True) if isinstance(value, (dict, list)) else str(value)
+
+    def choice(value, allowed, name):
+        found = text(value)
+        if found is None or found.lower() in allowed:
+            return found and found.lower()
+        problems.append(f"{name}: {found[:40]} is not allowed")
+        return None
+
+    def flag(value):
+        known = {"true": True, "yes": True, "1": True, "false": False, "no": False, "0": False}
+        return value if isinstance(value, bool) else known.get((text(value) or "").lower())
+
+    def listed(value):
+        return value if isinstance(value, list) else [] if value is None else [value]
+
+    def parameter(p):
+        p = p if isinstance(p, dict) else {"name": p}
+        return {"name": text(p.get("name")), "type": text(p.get("type")), "direction": choice(p.get("direction"), DIRECTIONS, "direction"), "optional": flag(p.get("optional")), "description": text(p.get("description"))}
+
+    def document(d):
+        if not isinstance(d, dict):
+            problems.append("a document is no mapping")
+            return None
+        return {
+            "name": text(d.get("name")), "namespace": text(d.get("namespace")), "version": text(d.get("version")), "kind": choice(d.get("kind"), KINDS, "kind"), "description": text(d.get("description")),
+            "signature": text(d.get("signature")), "parameters": [parameter(p) for p in listed(d.get("parameters"))], "returns": text(d.get("returns")), "deprecated": flag(d.get("deprecated")),
+            "examples": [t for t in map(text, listed(d.get("examples"))) if t], "constraints": [t for t in map(text, listed(d.get("constraints"))) if t],
+        }
+
+    if not isinstance(package, dict):
+        return {"schema_version": "2.0", "documents": []}, ["the output is no mapping"]
+    found = [d for d in (document(x) for x in listed(package.get("documents", package if "name" in package else None))) if d]
+    if not found:
+        problems.append("there is no document")
+    problems += [f"document {i}: no {f}" for i, d in enumerate(found) for f in ("name", "namespace") if not d[f]]
+    return {"schema_version": "2.0", "documents": found}, problems
+
+
+@F.pandas_udf(T.StructType([T.StructField("package", T.StringType()), T.StructField("problems", T.ArrayType(T.StringType()))]))
+def normalized_json(values: pd.Series) -> pd.DataFrame:
+    """struct(package, problems) of JSON output."""
+    out = []
+    for text in values:
+        try:
+            package, problems = normalized(json.loads(text or "null"))
+        except ValueError:
+            package, problems = normalized(None)
+        out.append((json.dumps(package, ensure_ascii=False, sort_keys=True), problems))
+    return pd.DataFrame(out, columns=["package", "problems"])
