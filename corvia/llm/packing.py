@@ -13,12 +13,14 @@ along; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,50 @@ def is_latin(text: str) -> bool:
         return False
 
 
+class LetterWords:
+    """The same byte-pair merges run by a faster library, for words of lower-case Latin-1 letters.
+
+    Such a word is one run for the pre-tokenizer and is not changed by the normalizer, so its ids are those of the
+    merges over its bytes. The end of a word is a byte of its own here, FF, that the last byte takes in before all
+    other merges.
+    """
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        end = model["end_of_word_suffix"]
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = (b for b in range(256) if b not in set(printable))
+        byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+
+        def raw(token: str) -> bytes:
+            whole = token.endswith(end)
+            return bytes(byte_of[c] for c in (token[: -len(end)] if whole else token)) + b"\xff" * whole
+
+        ranks = {bytes([b]): b for b in range(256)}
+        ranks |= {bytes([b, 255]): 256 + b for b in range(255)}
+        for merge in model["merges"]:
+            left, right = merge if isinstance(merge, list) else merge.split(" ")
+            ranks.setdefault(raw(left) + raw(right), len(ranks))
+        ids = {raw(t): i for t, i in model["vocab"].items() if all(c in byte_of for c in t.removesuffix(end))}
+        self.id_of = np.array([ids.get(token, 0) for token in ranks], np.uint32)
+        self.piece = tiktoken.Encoding("words", pat_str=r".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+    @staticmethod
+    def of_file(path: str) -> LetterWords | None:
+        """None for a tokenizer of another make."""
+        try:
+            return LetterWords(path)
+        except (KeyError, TypeError, AttributeError, ValueError):
+            return None
+
+    @staticmethod
+    def takes(word: str) -> bool:
+        return word.isalpha() and word.islower() and is_latin(word)
+
+
 class WordEncoder:
     """Token ids of texts by way of their distinct words.
 
@@ -60,75 +106,102 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encoder = Tokenizer.from_file(path)
+        self.encoder, self.letters = Tokenizer.from_file(path), LetterWords.of_file(path)
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.marks: dict[str, list[int]] = {}
-        self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.ids, self.n_ids = np.zeros(1 << 18, np.uint32), 0
-
-    def keep(self, word: str, own) -> None:
-        at = len(self.known)
-        while self.n_ids + len(own) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        if at >= len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-        self.ids[self.n_ids : self.n_ids + len(own)] = own
-        self.starts[at], self.lengths[at] = self.n_ids, len(own)
-        self.n_ids += len(own)
-        self.known[word] = at
+        self.starts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def keep(self, words: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
+        """Take in new words and their ids, one after another."""
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def encode_new(self, words: list[str]) -> None:
+        plain = [w for w in words if LetterWords.takes(w)] if self.letters else []
+        if plain:
+            piece = self.letters.piece
+            found = [piece(w.encode() + b"\xff") for w in plain]
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            self.keep(plain, lengths, self.letters.id_of[np.fromiter(chain.from_iterable(found), np.int64, int(lengths.sum()))])
+        others = [w for w in words if w not in self.known] if plain else words
+        found = [e.ids for e in self.encoder.encode_batch(others, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        self.keep(others, lengths, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())))
 
     def learn(self, words: list[str]) -> None:
-        known, marked, new = self.known, [], {}
+        """Learn distinct new words: those with marks at their end from their stem and the marks."""
+        known, marked, ends, new = self.known, [], [], {}
         for word in words:
             stem = word.rstrip(MARKS)
             if stem == word or not stem or stem[-1] >= "\u0100" or not stem[-1].isalnum():  # others may end in a mark once normalized
                 new[word] = None
             else:
-                marked.append((word, stem))
-                if stem not in known:
-                    new[stem] = None
-        for word, found in zip(new, self.encoder.encode_batch(list(new), add_special_tokens=False), strict=True):
-            self.keep(word, found.ids)
-        for word, stem in marked:
-            end = word[len(stem) :]
-            if end not in self.marks:
-                self.marks[end] = self.encoder.encode(end, add_special_tokens=False).ids
-            start, n = self.starts[known[stem]], self.lengths[known[stem]]
-            self.keep(word, [*self.ids[start : start + n].tolist(), *self.marks[end]])
-
-    def encode(self, text: str) -> np.ndarray:
-        """Unsigned 32-bit ids of the whole text."""
+                marked.append(word)
+                ends += [stem, word[len(stem) :]]
+        new |= dict.fromkeys(e for e in ends if e not in known)
+        self.encode_new(list(new))
+        if marked:  # none of them is a stem or an end itself
+            at = np.fromiter(map(known.__getitem__, ends), np.int64, len(ends))
+            self.keep(marked, self.lengths[at].reshape(-1, 2).sum(axis=1), self.gather(at))
+
+    def gather(self, places: np.ndarray) -> np.ndarray:
+        """The ids of words by their places, one after another."""
+        lengths = self.lengths[places]
+        ends = np.cumsum(lengths)
+        return self.ids[np.arange(ends[-1]) + np.repeat(self.starts[places] - ends + lengths, lengths)]
+
+    def split(self, text: str) -> list[str] | None:
+        """The words of a text in the form in which they are looked up; None for a text to be encoded as it is."""
         if SEPARATORS.search(text):
-            return np.array(self.encoder.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = (text.lower() if "<|" not in text and is_latin(text) else text).split()
+            return None
+        return (text.lower() if "<|" not in text and is_latin(text) else text).split()
+
+    def encode_words(self, words: list[str]) -> np.ndarray:
+        """Unsigned 32-bit ids of known words."""
         if not words:
             return np.zeros(0, np.uint32)
+        return self.gather(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))
+
+    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each whole text; their new words are learned together."""
+        split = [self.split(t) for t in texts]
         if len(self.known) > KEPT_WORDS:
             self.clear()
-        try:
-            places = list(map(self.known.__getitem__, words))
-        except KeyError:
-            self.learn(list(dict.fromkeys(w for w in words if w not in self.known)))
-            places = list(map(self.known.__getitem__, words))
-        places = np.array(places, np.int64)
-        lengths = self.lengths[places]
-        ends = np.cumsum(lengths)
-        return self.ids[np.arange(ends[-1]) + np.repeat(self.starts[places] - ends + lengths, lengths)]
+        distinct: set[str] = set()
+        for words in split:
+            distinct.update(words or ())
+        if new := [w for w in distinct if w not in self.known]:
+            self.learn(new)
+        for text, words in zip(texts, split, strict=True):
+            yield np.array(self.encoder.encode(text, add_special_tokens=False).ids, np.uint32) if words is None else self.encode_words(words)
 
     def encode_long(self, text: str) -> np.ndarray:
-        """As encode, a stretch of the text at a time; stretches end at white space."""
+        """The ids of one text, a stretch of it at a time; stretches end at white space."""
         parts, at = [], 0
         while at < len(text):
             stop = min(len(text), at + CHUNK)
             while stop < len(text) and not text[stop].isspace():
                 stop += 1
-            parts.append(self.encode(text[at:stop]))
+            parts += self.encode_all([text[at:stop]])
             at = stop
         return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
+    def encode_texts(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, many short ones or one long one at a time."""
+        lo, held = 0, 0
+        for i, text in enumerate([*texts, None]):
+            if text is None or held + len(text) > CHUNK:
+                if held > CHUNK:
+                    yield self.encode_long(texts[lo])
+                else:
+                    yield from self.encode_all(texts[lo:i])
+                lo, held = i, 0
+            held += len(text or "")
+
 
 def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32 [, ids]): every document's tokens and the end token, cut at ``size``."""
@@ -138,8 +211,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, with_ids: boo
 
         def cut(texts: list[str | None]):
             out = []
-            for i, text in enumerate(texts):
-                ids = np.append(encoder.encode_long(text or ""), np.uint32(END)).astype("<u4")
+            for i, found in enumerate(encoder.encode_texts([t or "" for t in texts])):
+                ids = np.append(found, np.uint32(END)).astype("<u4")
                 for k, start in enumerate(range(0, len(ids), size)):
                     own = ids[start : start + size]
                     out.append((i, k, start, len(own), zlib.crc32(own.tobytes()), own if with_ids else None))

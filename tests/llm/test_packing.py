@@ -73,3 +73,12 @@ def test_pack(odd_docs, no_docs):
         at[r["sequence_id"]] = r["offset"] + r["length"]
     assert max(at.values()) <= P.SIZE
     assert P.pack(no_docs, P.tokenizer_file()).count() == 0
+
+
+def test_letter_words_give_the_same_ids():
+    encoder, rng = P.WordEncoder(P.tokenizer_file()), random.Random(2)
+    assert encoder.letters is not None
+    words = {"".join(rng.choices("etaoinshrdluéèêçàßñüöäµªºÿbcfgkmpvwxyzjq", k=rng.randint(1, 24))) for _ in range(20_000)} | {"a" * 3000}
+    words = sorted(w for w in words if P.LetterWords.takes(w))
+    ids = [[int(encoder.letters.id_of[x]) for x in encoder.letters.piece(w.encode() + b"\xff")] for w in words]
+    assert ids == [e.ids for e in encoder.encoder.encode_batch(words, add_special_tokens=False)]
