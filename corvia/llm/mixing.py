@@ -95,9 +95,11 @@ def mix(docs: DataFrame, seed: int = 7, weights: tuple = WEIGHTS, share: float =
 
 
 def emit(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """Each document as often as the mix takes it; the columns of docs."""
-    mixed = mix(docs, seed)
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """Each document as often as the mix takes it; the columns of docs, those named like the results as they were."""
+    own = [c for c in docs.columns if c in RESULTS]
+    mixed = mix(docs.withColumnsRenamed({c: f"_own_{c}" for c in own}), seed)
+    taken = mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return taken.select(*[F.col(f"_own_{c}").alias(c) if c in own else c for c in docs.columns])
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -42,7 +42,8 @@ def test_odd_rows(odd_docs, no_docs):
     assert all(r["taken"] == r["copies"] * r["size"] and 0 <= r["copies"] <= 2 for r in rows)
     assert sorted(map(str, rows)) == sorted(map(str, M.mix(odd_docs).collect()))
     assert M.mix(no_docs).count() == M.emit(no_docs).count() == 0
-    assert M.emit(odd_docs).columns == odd_docs.columns
+    emitted = M.emit(odd_docs)
+    assert emitted.columns == odd_docs.columns and {r["size"] for r in emitted.collect()} == {"clash"}
 
 
 def test_taken_near_target(spark):
