@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 
 # What marks pages that are no unit of their own, and sections of an API's description.
 JUNK_DIRECTORIES = [".git", ".venv", "venv", "env", "node_modules", "__pycache__", ".idea", ".ruff_cache", ".pytest_cache", ".mypy_cache", "dist", "build", ".next", ".cache"]
-NAME_ENDS = r"(?i)(预留接口|readme|summary|overview|toc)$"
+NAMES_OUT = ["index", "readme", "summary", "overview", "toc", "allapi", "all_api", "all-api", "all apis", "all_apis"]
+NAME_ENDS = r"(列表|一览|概览|概述|总览|导航|目录|简介|前言|预留接口|(?i:readme|summary|overview|toc))$"
 TITLES_OUT = ["简介", "概览", "概述", "总览", "前言", "目录", "索引", "汇总", "导航", "预留接口", "废弃接口", "Introduction", "Overview", "Preface", "Foreword", "About", "Reserved", "Reserved Interfaces", "Deprecated", "Index", "Readme", "Summary", "TOC", "Contents"]
 LISTING = r"本章节列出|本章列出|本章\s*罗列|以下为(?:本)?(?:模块|章节)?(?:全部|所有)?(?:接口|API|算子|函数)|本节(?:仅)?列出"
 API_SECTIONS = ["功能说明", "函数原型", "参数说明", "原型定义", "函数说明", "返回值说明", "约束说明", "调用示例", "注意事项", "需要包含的头文件", "Public成员函数", "模板参数", "参数类型", "成员函数", "字段说明", "属性说明", "Function Prototype", "Parameters", "Returns", "Description"]
@@ -44,7 +45,7 @@ def minimal_unit(stem: Column, text: Column, names_out: list[str] | None = None)
     described = F.exists(headings, lambda h: h.rlike("|".join(API_SECTIONS)))
     verdict = lambda included, reason: F.struct(F.lit(included).alias("included"), F.lit(reason).alias("reason"))
     return (
-        F.when(F.lower(stem).isin(names_out or ["readme", "index", "toc", "summary"]), verdict(False, "file name"))
+        F.when(F.lower(stem).isin([*NAMES_OUT, *(names_out or [])]), verdict(False, "file name"))
         .when(stem.rlike(NAME_ENDS), verdict(False, "file name ending"))
         .when(title.isin(TITLES_OUT), verdict(False, "title"))
         .when(text.rlike(LISTING), verdict(False, "listing"))

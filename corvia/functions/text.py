@@ -98,7 +98,7 @@ def display_api_name(api_id: Column) -> Column:
 
     def last(separator: str) -> Column:
         parts = F.reverse(F.split(api_id, re.escape(separator)))
-        telling = F.filter(parts, lambda p: (p != "") & ~p.rlike(r"^[0-9][0-9.\-]*$") & ~((F.length(p) <= 4) & p.rlike("[0-9]")))
+        telling = F.filter(parts, lambda p: (p != "") & ~p.rlike(r"^[0-9._-]+$") & ~((F.length(p) <= 4) & p.rlike("[0-9]")))
         return F.coalesce(F.get(telling, F.lit(0)), api_id)
 
     found = F.when(F.coalesce(api_id, F.lit("")) == "", F.lit(""))

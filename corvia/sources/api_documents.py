@@ -14,13 +14,37 @@ from pyspark.sql import functions as F
 from corvia.functions.text import display_api_name, normalized_api_name, sha256, version_of_namespace
 from corvia.operators.state import reject_duplicates
 
-# The fields of each schema version and the enums of the nested one.
+# The shape of each schema version. A shape is a kind of value, a list of one shape, or a mapping of exactly
+# these fields; "text!" must not be blank, "ai" is {value, is_ai}, "any" is not looked at. Version 1.0 may have more fields.
 VERSIONS = ("1.0", "2.0", "2.1")
-REQUIRED_V1 = ("namespace", "name", "kind", "description")
-FIELDS_V2 = {"schema_version", "source", "documents"}
-DOCUMENT_V2 = {"chunk_id", "namespace", "version", "name", "kind", "language", "description", "signature", "parameters", "returns", "examples", "constraints"}
-SOURCE_KEYS = ("source_path", "source_url")
-KINDS = ("function", "class", "method", "macro", "struct", "enum", "constant", "operator", "type", "other")
+FLAT = {"chunk_id": "text!", "name": "text!", "namespace": "text!", "language": "text!", "category": "text!", "title": "text!", "layman_explanation": "text!", "raw": "any", "body_md": "text"}
+FLAT_LISTS = ("product_support", "signatures", "related")
+FLAT_TEXTS = ("description", "params_md", "returns", "headers", "constraints_md", "constraints_summary", "examples", "notes_md")
+CONTRACT = {"type": "any", "description": "any", "possible_values": ["text"], "error_conditions": ["text"]}
+RAW = {"source_path": "any", "source_url": "any", "source_heading": "any", "source_node": "any", "schema_version": "any", "extracted_by": "any", "extraction_status": "any", "pending_fields": ["text"], "extraction_notes": ["text"]}
+DOCUMENT = {
+    "chunk_id": "any", "name": "any", "qualified_name": "any", "namespace": "any", "version": "any", "module": "any", "language": "any", "category": "any", "title": "any", "description": "any",
+    "summary": "any", "layman_explanation": "any", "signature": "any", "signatures": ["any"], "template_parameters": ["any"], "parameters": ["any"], "params_md": "any", "returns": "any",
+    "return_contract": CONTRACT, "returns_md": "any", "constraints": ["any"], "constraints_md": "any", "product_support": ["any"], "examples": ["text"], "negative_examples": ["text"],
+    "related": ["any"], "deprecated": "any", "deprecation_note": "any", "body_md": "any", "raw": RAW,
+}
+PACKAGE = {
+    "schema_version": "any", "source": {"source_path": "any", "source_url": "any", "source_revision": "any", "content_hash": "any"}, "source_markdown": "text", "documents": [DOCUMENT],
+    "unresolved_sections": [{"heading": "any", "content_md": "any", "reason": "any"}], "validation": {"status": "any", "errors": ["text"], "warnings": ["text"]},
+}
+ITEM = {"name": "text", "type": "text", "description": "text", "is_ai": "flag"}
+USE = {
+    "summary": "ai", "category": "ai", "description": "ai", "product_support": [{"product": "text", "supported": "flag", "is_ai": "flag"}], "prerequisites": ["ai"],
+    "function_details": {"input_parameters": [ITEM], "output_parameters": [ITEM], "signature": "ai"}, "data_structure": {"fields": [ITEM]}, "examples": ["ai"],
+}
+NESTED_PACKAGE = {
+    "schema_version": "any", "uuid": "none", "source": {"source_path": "any", "source_url": "any", "content_hash": "text!", "source_markdown": "text", "preprocess_markdown": "text", "resources": ["any"]},
+    "documents": [{"name": "text!", "namespace": "text!", "version": "text!", "language": "text!", "use": USE}],
+}
+RESOURCE = {"image": {"resolved_uri": "any", "alt": "ai", "title": "ai"}, "link": {"resolved_uri": "any", "anchor_text": "ai", "title": "ai", "criticality": "any"}}
+LEVELS = ("low", "medium", "high")
+STATUSES = ("complete", "incomplete")
+CATEGORIES = ("function", "data_structure")
 MOST_DESCRIPTION = 300
 #: Bytes that one stored document may have.
 MOST_STORED = 16 * 1024 * 1024
@@ -49,34 +73,69 @@ def unwrap(value):
 
 
 def detect_version(package: dict) -> str:
-    found = package.get("schema_version") or (package.get("raw") or {}).get("schema_version") or "1.0"
+    raw = package.get("raw")
+    found = package.get("schema_version") or (raw.get("schema_version") if isinstance(raw, dict) else None) or "1.0"
     if str(found) not in VERSIONS:
         raise ValueError(f"unknown schema version {found}")
     return str(found)
 
 
+def misshapen(value, shape, path: str = "root") -> list[str]:
+    """Where a value differs from a shape."""
+    if isinstance(shape, dict):
+        if not isinstance(value, dict):
+            return [f"{path}: no mapping"]
+        found = [f"{path}.{k}: missing" for k in sorted(shape.keys() - value.keys())] + [f"{path}.{k}: unexpected" for k in sorted(map(str, value.keys() - shape.keys()))]
+        return found + [x for k in sorted(shape.keys() & value.keys()) for x in misshapen(value[k], shape[k], f"{path}.{k}")]
+    if isinstance(shape, list):
+        return [x for i, v in enumerate(value) for x in misshapen(v, shape[0], f"{path}[{i}]")] if isinstance(value, list) else [f"{path}: no list"]
+    if shape == "ai":
+        if not isinstance(value, dict) or set(value) != {"value", "is_ai"}:
+            return [f"{path}: no value with is_ai"]
+        return [f"{path}.value: no text"] * (value["value"] is not None and not isinstance(value["value"], str)) + [f"{path}.is_ai: no flag"] * (not isinstance(value["is_ai"], bool))
+    ok = {"any": True, "text": isinstance(value, str), "text!": isinstance(value, str) and value.strip() != "", "flag": isinstance(value, bool), "none": value is None}[shape]
+    return [] if ok else [f"{path}: not {shape}"]
+
+
 def issues_of(package: dict) -> list[str]:
-    """What is wrong with a package of its version."""
+    """What is wrong with a package of its version: its shape, and then what values must be like."""
     try:
         version = detect_version(package)
-    except ValueError:
-        return ["UNKNOWN_SCHEMA_VERSION"]
+    except ValueError as e:
+        return [str(e)]
     if version == "1.0":
-        return [f"MISSING_{f.upper()}" for f in REQUIRED_V1 if not isinstance(package.get(f), str) or not package[f].strip()]
-    found = [f"UNEXPECTED_{k.upper()}" for k in sorted(set(package) - FIELDS_V2 - {"resources"})] + [f"MISSING_{k.upper()}" for k in sorted(FIELDS_V2 - set(package))]
-    source = package.get("source") or {}
-    if sum(bool(unwrap(source.get(k))) for k in SOURCE_KEYS) != 1:
-        found.append("SOURCE_NOT_UNIQUE")
-    ids = [r.get("resource_id") for r in package.get("resources") or []]
-    if len(set(ids)) < len(ids):
-        found.append("DUPLICATE_RESOURCE_ID")
-    for d in package.get("documents") or []:
-        found += [f"DOCUMENT_UNEXPECTED_{k.upper()}" for k in sorted(set(d) - DOCUMENT_V2)]
-        found += [f"DOCUMENT_MISSING_{k.upper()}" for k in ("namespace", "name") if not unwrap(d.get(k))]
-        if version == "2.1" and len(str(unwrap(d.get("description")) or "")) > MOST_DESCRIPTION:
-            found.append("DESCRIPTION_TOO_LONG")
-        if unwrap(d.get("kind")) and unwrap(d["kind"]) not in KINDS:
-            found.append("UNKNOWN_KIND")
+        own = {k: v for k, v in package.items() if k in FLAT}
+        found = misshapen(own, FLAT)
+        found += [f"root.{k}: no list" for k in FLAT_LISTS if k in package and not isinstance(package[k], list)]
+        return found + [f"root.{k}: not text" for k in FLAT_TEXTS if k in package and not isinstance(package[k], str)]
+    found = misshapen(package, PACKAGE if version == "2.0" else NESTED_PACKAGE)
+    if not package.get("documents"):
+        found.append("root.documents: empty")
+    if found:
+        return found
+    if version == "2.0":
+        found = [f"root.validation.status: {package['validation']['status']}"] * (package["validation"]["status"] not in STATUSES)
+        for i, d in enumerate(package["documents"]):
+            found += [f"root.documents[{i}].raw.{k}: {d['raw'][k]}" for k, ok in (("schema_version", str(d["raw"]["schema_version"]) == "2.0"), ("extraction_status", d["raw"]["extraction_status"] in STATUSES)) if not ok]
+        return found
+    source = package["source"]
+    if bool(source["source_path"]) == bool(source["source_url"]):
+        found.append("root.source: one of source_path and source_url")
+    if not source["content_hash"].startswith("sha256:"):
+        found.append("root.source.content_hash: no sha256")
+    ids = []
+    for i, r in enumerate(source["resources"]):
+        path = f"root.source.resources[{i}]"
+        found += misshapen(r, {"resource_id": "text!", "kind": "text", "raw": "any"}, path) or misshapen(r["raw"], RESOURCE.get(r["kind"], {}), f"{path}.raw")
+        if isinstance(r, dict):
+            ids.append(r.get("resource_id"))
+            found += [f"{path}.kind: {r.get('kind')}"] * (r.get("kind") not in RESOURCE)
+            if r.get("kind") == "link" and isinstance(r.get("raw"), dict) and r["raw"].get("criticality") not in LEVELS:
+                found.append(f"{path}.raw.criticality: {r['raw'].get('criticality')}")
+    found += ["root.source.resources: repeated ids"] * (len(set(map(str, ids))) < len(ids))
+    for i, d in enumerate(package["documents"]):
+        found += [f"root.documents[{i}].use.category: {d['use']['category']['value']}"] * (d["use"]["category"]["value"] not in CATEGORIES)
+        found += [f"root.documents[{i}].use.description: too long"] * (len(d["use"]["description"]["value"] or "") > MOST_DESCRIPTION)
     return found
 
 
@@ -100,10 +159,33 @@ def records_of(text: str) -> list[dict]:
             nested = package.get("documents")
             source = {k: unwrap(v) for k, v in (package.get("source") or {}).items()} if isinstance(package.get("source"), dict) else {}
             for d in nested if isinstance(nested, list) else [package]:
-                out.append(flat(d, source, detect_version(package)))
+                version = detect_version(package)
+                out.append(nested_record(d, source) if version == "2.1" and isinstance(d.get("use"), dict) else flat(d, source, version))
     return out
 
 
+def nested_record(document: dict, source: dict) -> dict:
+    """The record of a nested document: the version becomes a segment of the namespace, sections become the body."""
+    name, namespace, version, use = (str(document.get(k) or "").strip() if k != "use" else document[k] for k in ("name", "namespace", "version", "use"))
+    if not (name and namespace and version):
+        raise ValueError("a document without name, namespace or version")
+    identity = namespace if version in namespace.split(".") else f"{namespace}.{version}"
+    short = re.sub(r"[^0-9A-Za-z_.-]+", "_", name).strip("_") or name
+    text = lambda v: str(unwrap(v) or "").strip()
+    texts = lambda vs: [t for t in map(text, vs or []) if t]
+    details = use.get("function_details") or {}
+    inputs, outputs = details.get("input_parameters") or [], details.get("output_parameters") or []
+    tables = [(title, parameters_markdown(ps)) for title, ps in (("Input parameters", inputs), ("Output parameters", outputs), ("Fields", (use.get("data_structure") or {}).get("fields") or [])) if ps]
+    sections = [("Description", text(use.get("description"))), ("Signature", text(details.get("signature"))), *tables, ("Prerequisites", "\n".join(texts(use.get("prerequisites")))), ("Examples", "\n\n".join(texts(use.get("examples"))))]
+    return {
+        "id": f"{identity}.{short}", "namespace": identity, "api_id": f"{identity}.{name}", "name": name, "version": version, "kind": text(use.get("category")) or "function", "language": str(document.get("language") or "cpp").strip(),
+        "description": text(use.get("description")), "signature": text(details.get("signature")), "parameters_md": "\n\n".join(t for title, t in tables if title != "Fields"), "returns_json": json.dumps(outputs, ensure_ascii=False, sort_keys=True) if outputs else "",
+        "examples": texts(use.get("examples")), "source": source.get("source_url") or source.get("source_path") or "", "content_hash": hashlib.sha256(json.dumps(document, ensure_ascii=False, sort_keys=True, default=str).encode()).hexdigest(),
+        "title": f"{name} {identity} {text(use.get('summary'))}".strip(), "body": "\n\n".join([f"# {name}", *(f"#### {title}\n{body}" for title, body in sections if body)]),
+        "version_support": [str(p["product"]) for p in use.get("product_support") or [] if isinstance(p, dict) and p.get("product") and p.get("supported")],
+    }
+
+
 def flat(document: dict, source: dict, schema_version: str) -> dict:
     text = lambda k: str(unwrap(document.get(k)) or "").strip()
     namespace, version, name = text("namespace"), text("version"), text("name")
@@ -117,6 +199,7 @@ def flat(document: dict, source: dict, schema_version: str) -> dict:
         "kind": text("kind"), "language": text("language"), "description": text("description"), "signature": signature_text(document.get("signature") or document.get("signatures")),
         "parameters_md": parameters_markdown(unwrap(document.get("parameters")) or []), "returns_json": json.dumps(returns, ensure_ascii=False, sort_keys=True) if returns else "",
         "examples": examples, "source": source.get("source_url") or source.get("source_path") or "", "content_hash": hashlib.sha256(json.dumps(document, ensure_ascii=False, sort_keys=True, default=str).encode()).hexdigest(),
+        "title": text("title") or name, "body": text("body_md"), "version_support": [str(p["product"]) for p in unwrap(document.get("product_support")) or [] if isinstance(p, dict) and p.get("product") and p.get("supported")],
     }
 
 
@@ -126,7 +209,7 @@ def parameters_markdown(parameters: list) -> str:
     return "\n".join(["| name | type | description |", "| --- | --- | --- |", *rows]) if rows else ""
 
 
-RECORD = "id string, namespace string, api_id string, name string, version string, kind string, language string, description string, signature string, parameters_md string, returns_json string, examples array<string>, source string, content_hash string"
+RECORD = "id string, namespace string, api_id string, name string, version string, kind string, language string, description string, signature string, parameters_md string, returns_json string, examples array<string>, source string, content_hash string, title string, body string, version_support array<string>"
 
 
 def parse(files: DataFrame) -> DataFrame:

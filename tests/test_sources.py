@@ -10,11 +10,24 @@ from corvia.sources import api_documents as api
 from corvia.sources import connectors, files
 from corvia.streaming import hits
 
-V1 = "namespace: com.x\nname: Add(int a)\nkind: function\nlanguage: python\ndescription: adds\nversion: v1\nsignature: {code: int Add()}\n"
+V1 = "chunk_id: com.x.v1.add\nnamespace: com.x.v1\nname: Add(int a)\nlanguage: python\ncategory: op\ntitle: Add\nlayman_explanation: adds\nraw: {schema_version: '1.0'}\nbody_md: ''\nkind: function\nversion: v1\nsignature: {code: int Add()}\n"
 V21 = """schema_version: '2.1'
-source: {source_url: {value: 'https://h/a', is_ai: false}}
+uuid: null
+source: {source_path: null, source_url: 'https://h/a', content_hash: 'sha256:1', source_markdown: '', preprocess_markdown: '', resources: []}
 documents:
-- {namespace: {value: com.x, is_ai: false}, version: {value: v2, is_ai: false}, name: {value: Sub-It, is_ai: false}, kind: {value: function, is_ai: true}, parameters: [{name: a, type: int, description: 'x|y'}], examples: ['Sub()', ' ']}
+- name: Sub-It
+  namespace: com.x
+  version: v2
+  language: cpp
+  use:
+    summary: {value: subtracts, is_ai: false}
+    category: {value: function, is_ai: true}
+    description: {value: takes away, is_ai: false}
+    product_support: [{product: A1, supported: true, is_ai: false}, {product: B2, supported: false, is_ai: false}]
+    prerequisites: []
+    function_details: {input_parameters: [{name: a, type: int, description: 'x|y', is_ai: false}], output_parameters: [], signature: {value: int Sub(), is_ai: false}}
+    data_structure: {fields: []}
+    examples: [{value: 'Sub()', is_ai: false}, {value: ' ', is_ai: false}]
 """
 
 
@@ -32,7 +45,7 @@ def test_yaml(spark, folder):
     assert len(rows) == 4 and [r["error"] is None for r in rows].count(False) == 1
     by = {r["name"]: r for r in rows if r["error"] is None}
     assert by["Add(int a)"]["id"] == "com.x.v1.add" and by["Add(int a)"]["signature"] == "int Add()"
-    assert by["Sub-It"]["id"] == "com.x.v2.Sub-It" and by["Sub-It"]["source"] == "https://h/a" and "x\\|y" in by["Sub-It"]["parameters_md"] and by["Sub-It"]["examples"] == ["Sub()"]
+    assert by["Sub-It"]["id"] == "com.x.v2.Sub-It" and by["Sub-It"]["source"] == "https://h/a" and "x\\|y" in by["Sub-It"]["parameters_md"] and by["Sub-It"]["examples"] == ["Sub()"] and by["Sub-It"]["version_support"] == ["A1"]
     assert [r["id"] for r in api.unique(found.where("error is null")).collect()] == ["com.x.v2.Sub-It"]
     issues = {r["path"].rsplit("/", 1)[-1]: r["issues"] for r in api.validate(files.yaml_files(spark, str(folder / "a"))).collect()}
     assert issues["one.yaml"] == [] and issues["two.yml"] == [] and issues["dup.yaml"] == ["NOT_YAML"]
@@ -40,6 +53,20 @@ def test_yaml(spark, folder):
     assert ready == {"Add(int a)": True, "Sub-It": False}
 
 
+@pytest.mark.parametrize(("change", "issue"), [
+    (lambda d: d.pop("uuid"), "root.uuid: missing"), (lambda d: d.update(extra=1), "root.extra: unexpected"), (lambda d: d["source"].update(source_path="x"), "root.source: one of source_path and source_url"),
+    (lambda d: d["source"].update(content_hash="md5:1"), "root.source.content_hash: no sha256"), (lambda d: d["documents"][0]["use"]["category"].update(value="other"), "root.documents[0].use.category: other"),
+    (lambda d: d["documents"][0]["use"]["description"].update(value="x" * 301), "root.documents[0].use.description: too long"), (lambda d: d["documents"][0]["use"].update(summary="plain"), "root.documents[0].use.summary: no value with is_ai"),
+    (lambda d: d["source"]["resources"].extend([{"resource_id": "r", "kind": "link", "raw": {"resolved_uri": "u", "anchor_text": {"value": "a", "is_ai": False}, "title": {"value": None, "is_ai": False}, "criticality": "huge"}}]), "root.source.resources[0].raw.criticality: huge"),
+    (lambda d: d.update(documents=[]), "root.documents: empty"), (lambda d: d.update(schema_version="3"), "unknown schema version 3"),
+])
+def test_nested_schema(change, issue):
+    package = api.load_unique(V21)[0]
+    assert api.issues_of(package) == []
+    change(package)
+    assert api.issues_of(package) == [issue]
+
+
 def test_build_index(spark, folder):
     columns = [f.name for f in API_DOCUMENT if f.name not in ("dense_embedding", "sparse_embedding")]
     table = spark.createDataFrame([], T.StructType([API_DOCUMENT[c] for c in columns]))
