@@ -75,7 +75,7 @@ def filter_result(hits: DataFrame, scope: Scope, include_stale: bool = False) ->
     ))
     collections = F.array_sort(F.array_distinct(F.transform("_p", lambda e: e["rag_collection_id"])))
     scoped = item.withField("provenance", F.col("_p")).withField("relationships", F.col("_r")).withField("rag_collection_ids", collections)
-    return found.withColumn("item", scoped).withColumn("warnings", warnings).withColumn("kept", F.col("_in") & (F.size("_p") > 0)).drop("_in", "_p", "_r")
+    return found.withColumn("warnings", warnings).withColumn("item", scoped).withColumn("kept", F.col("_in") & (F.size("_p") > 0)).drop("_in", "_p", "_r")
 
 
 def evidence_range_ok(evidence: Column) -> Column:
