@@ -21,8 +21,8 @@ CHANNEL_BOOST = {"exact": 0.30, "alias": 0.12, "metadata": 0.04}
 CONFIDENCE_BOOST = {"high": 0.02, "medium": 0.01}
 ACTIVE_BOOST = 0.01
 GRAPH_WEIGHT = 0.02
-#: Queries of one request at most, which bounds what is broadcast.
-BATCH_QUERIES = 100
+#: Queries of one request at most, which bounds what is collected and broadcast; larger sets go in several requests.
+BATCH_QUERIES = 1000
 #: Vectors in a block of candidates.
 BLOCK = 8192
 
@@ -73,6 +73,7 @@ def sparse_top_k(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc
     driver takes only those whose id occurs in the queries. Documents are scored where they are read, against all
     queries at once, and only the best k of each task's batch are shuffled: documents aren't joined with queries.
     """
+    _check_batch(queries)
     df = document_frequency(docs, F.col(text_col))
     n = docs.count()
     asked = queries.select("query_id", F.explode(words(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("tf"))
@@ -101,6 +102,7 @@ def sparse_top_k(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc
 
 def word_top_k(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(query_id, id, score, rank): the k documents with the most distinct words of each query."""
+    _check_batch(queries)
     asked = {r["query_id"]: r["w"] for r in queries.select("query_id", F.array_distinct(words(F.col("text"))).alias("w")).collect()}
     names = sorted(q for q, ws in asked.items() if ws)
     lexicon = {w: (i, 1.0) for i, w in enumerate(sorted({w for q in names for w in asked[q]}))}
@@ -111,6 +113,11 @@ def word_top_k(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_i
     return _scored(docs, id_col, text_col, lexicon, matrix, names, k, schema, counted=False)
 
 
+def _check_batch(queries: DataFrame) -> None:
+    if (n := queries.count()) > BATCH_QUERIES:
+        raise ValueError(f"a request has {BATCH_QUERIES} queries at most, this one {n}")
+
+
 def _scored(docs: DataFrame, id_col: str, text_col: str, lexicon: dict, matrix: np.ndarray, names: list, k: int, schema: str, counted: bool) -> DataFrame:
     """The best k documents of each query by the product of token weights; documents are scored where they are read.
 
