@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import sys
 import tempfile
+import types
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,12 +50,21 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def in_process(kind: str, key: str, make):
+    """make(key), made once in a Python process: workers serve many tasks, and loading a model costs them time."""
+    held = sys.modules.setdefault("_corvia_in_process", types.ModuleType("_corvia_in_process")).__dict__
+    if (kind, key) not in held:
+        held[kind, key] = make(key)
+    return held[kind, key]
+
+
 def per_text(df: DataFrame, keep: list[str], value: Column, fields: list[tuple[str, pa.DataType]], of) -> DataFrame:
     """keep and further columns from one text column, a batch at a time.
 
     of() is called in each task and gives a function from a list of texts to (places, columns): which text each row of
     the result comes from (None: one row each, in order) and the columns in the order of fields (name, Arrow type).
-    Kept columns go through as they are, so keys with nulls stay exact.
+    Kept columns go through as they are, so keys with nulls stay exact. The function's attribute ``done``, if there is
+    one, is called at the end of a task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,6 +79,8 @@ def per_text(df: DataFrame, keep: list[str], value: Column, fields: list[tuple[s
                     kept = [k.take(at) for k in kept]
                 made = [pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)]
                 yield pa.RecordBatch.from_arrays([*kept, *made], [*keep, *(n for n, _ in fields)])
+        if done := getattr(work, "done", None):
+            done()
         del work
         release()
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvia.llm.common import durable, per_text, ranked, spread
+from corvia.llm.common import durable, in_process, per_text, ranked, spread
 
 SIZE = 4096
 END = 1
@@ -207,7 +207,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, with_ids: boo
     """(id, piece, start, length, ids_crc32 [, ids]): every document's tokens and the end token, cut at ``size``."""
 
     def of():
-        encoder = WordEncoder(tokenizer_path)
+        encoder = in_process("encoder", tokenizer_path, WordEncoder)
 
         def cut(texts: list[str | None]):
             out = []
@@ -219,6 +219,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, with_ids: boo
             columns = [list(c) for c in zip(*out, strict=True)] or [[] for _ in range(6)]
             return columns[0], columns[1 : 5 + with_ids]
 
+        cut.done = encoder.clear  # the vocabulary stays loaded, learned words don't
         return cut
 
     fields = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
