@@ -63,13 +63,13 @@ def simhash(text: bytes, size: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(bits).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """(id, fp): the fingerprint of every row as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, id_col: str | list[str] = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
+    """(id, fp): the fingerprint of every row as a signed 64-bit integer; several columns may be kept as the id."""
 
     def of():
         return lambda texts: (None, [np.array([simhash(t, size) if t else 0 for t in texts], dtype=np.uint64).view(np.int64)])
 
-    return per_text(docs, [id_col], F.col(text_col).cast("binary"), [("fp", pa.int64())], of)
+    return per_text(docs, [id_col] if isinstance(id_col, str) else id_col, F.col(text_col).cast("binary"), [("fp", pa.int64())], of)
 
 
 def blocks_for(n: int, radius: int = RADIUS, shard: int = SHARD) -> int:
@@ -236,7 +236,18 @@ def hex_of(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
+def fp_classes(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, label): the label of the class of each distinct fingerprint of rows (fp)."""
+    fps = durable(rows.select("fp").distinct())
+    found = components(shard_links(fps, masks_for(blocks_for(fps.count(), radius), radius), radius))
+    return fps.join(found, fps["fp"] == found["node"], "left").select("fp", F.coalesce("label", "fp").alias("label"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class, the one with the smallest id; the columns of docs."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of each class, the one with the smallest id (null last), text hash and row hash; the columns of docs."""
+    marked = docs.withColumns({"_text": F.xxhash64(F.col("text")), "_hash": F.xxhash64(*docs.columns)})
+    rows = durable(fingerprints(marked, ["doc_id", "_text", "_hash"]))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text", "_hash")).alias("first")
+    labelled = rows.groupBy("fp").agg(first).join(fp_classes(rows), "fp")
+    kept = labelled.groupBy("label").agg(F.min("first").alias("first")).select("first._text", "first._hash")
+    return marked.join(kept, ["_text", "_hash"], "left_semi").dropDuplicates(["_text", "_hash"]).select(*docs.columns)
