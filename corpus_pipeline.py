@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvia.llm import language, mixing, packing, secrets, simhash
+from corvia.llm import language, mixing, packing, secrets, shingles
 from corvia.llm.common import checkpoint_folder, read
 
 
@@ -23,8 +23,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, the one with the smallest id."""
-    return simhash.keep_one(docs)
+    """One document of each class of texts whose 5-word shingles have a Jaccard similarity of 0.8 or more, the one with the smallest id."""
+    return shingles.keep_one(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
