@@ -3,8 +3,10 @@
 Two first-order Markov models over character classes that matter for keys are trained from labelled samples: random
 strings (drawn with a fixed seed in the alphabets that keys use: hexadecimal, base 32, base 62, base 64) against
 ordinary identifiers (words of the corpus, alone and joined in camel, snake and kebab case). A run of at least
-``MIN_RUN`` key characters is a secret if its mean log-likelihood ratio per character is over ``THRESHOLD`` and it
-holds a digit; runs that overlap a pattern's match are already found. The patterns stand beside it as a base.
+``MIN_RUN`` key characters is a secret if its mean log-likelihood ratio per character is over a threshold: ``THRESHOLD``,
+or ``LETTERS`` for a run without a digit, and ``SHORT`` more for each character under ``SURE``, as the mean of few
+characters varies more. Of a run that a pattern's match covers in part, each part outside the matches is judged like a
+run of its own. The patterns stand beside it as a base.
 
 The identifier sample is bounded: at most ``SAMPLE_DOCS`` documents of at most ``SAMPLE_CHARS`` characters, taken by
 hash; only the model is fitted on it, every whole text is scanned.
@@ -33,8 +35,9 @@ ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 
-MIN_RUN = 20
-THRESHOLD = 0.35
+MIN_RUN = 16
+SURE = 20
+THRESHOLD, LETTERS, SHORT = 0.35, 1.0, 0.1
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 20_000
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
@@ -116,14 +119,31 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOC
     return MarkovPair.fit(random_strings(), identifiers(texts))
 
 
+def is_random(run: str, pair: MarkovPair, threshold: float = THRESHOLD) -> bool:
+    """Whether the models' verdict on a run is a secret."""
+    least = threshold if any(c.isdigit() for c in run) else max(threshold, LETTERS)
+    return pair.score(run) > least + SHORT * max(0, SURE - len(run))
+
+
+def _outside(a: int, b: int, base: list[Span]) -> list[tuple[int, int]]:
+    """The parts of [a, b) outside the spans, which are in the order of their starts."""
+    parts = []
+    for _, s, e in base:
+        if s < b and a < e:
+            if a < s:
+                parts.append((a, s))
+            a = max(a, e)
+    return [*parts, (a, b)] if a < b else parts
+
+
 def all_spans(text: str, pair: MarkovPair, threshold: float = THRESHOLD) -> tuple[list[Span], list[Span]]:
     """The base's spans, and those with the models' spans among them."""
     base = base_spans(text)
     added = []
     for m in RUN.finditer(text):
-        a, b = m.span()
-        if any(c.isdigit() for c in m[0]) and not any(s < b and a < e for _, s, e in base) and pair.score(m[0]) > threshold:
-            added.append(("markov", a, b))
+        for a, b in _outside(*m.span(), base):
+            if b - a >= MIN_RUN and is_random(text[a:b], pair, threshold):
+                added.append(("markov", a, b))
     return base, sorted(base + added, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
