@@ -7,8 +7,7 @@ emitted once for each integer boundary that its interval crosses. The order alon
 copies of every size class follow the rate and the words taken miss the target by less than the longest document.
 
 The prefix sum is a rank times the rate; ranks come from counts per block (2 % classes of size times a salt), so the
-hot source is numbered by many tasks. Offsets are hashed from the seed and the source, so reruns agree; a few are drawn
-and the one that comes nearest to the source's target is added, which matters for sources of a few documents.
+hot source is numbered by many tasks. A source's one offset is hashed from the seed and the source, so reruns agree.
 
 Defined results: null texts have size 0; a null source is a source of its own, the last one; repeated rows are sampled
 one by one; columns of other names are carried along, columns named like the results are replaced.
@@ -25,8 +24,6 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
 SALTS = 64
-#: Offsets drawn for a source; the one whose mix comes nearest to the target is used.
-OFFSETS = 16
 #: Up to so many sources their one row each is broadcast; beyond it they are joined by shuffle.
 FEW_SOURCES = 10_000
 RESULTS = ["size", "source_size", "target", "copies", "taken"]
@@ -82,15 +79,8 @@ def mix(docs: DataFrame, seed: int = 7, weights: tuple = WEIGHTS, share: float =
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     numbered = numbered.withColumn("_rate", rate).withColumn("_rank", F.col("_before") + F.col("_in"))
 
-    def crossed(offset: Column) -> Column:
-        return (F.floor(F.col("_rank") * F.col("_rate") + offset) - F.floor((F.col("_rank") - 1) * F.col("_rate") + offset)).cast("long")
-
-    drawn = [unit_hash(F.lit(f"offset{seed}"), F.lit(str(k)), F.col("_key")) for k in range(OFFSETS)]
-    tried = numbered.select("_key", "size", "target", "_rank", "_rate", F.array(*drawn).alias("_drawn"))
-    tried = tried.groupBy("_key").agg(F.first("target").alias("_goal"), F.first("_drawn").alias("_drawn"), *[F.sum(F.col("size") * crossed(F.col("_drawn")[k])).alias(f"_{k}") for k in range(OFFSETS)])
-    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_{k}") - F.col("_goal")), F.lit(k), F.col("_drawn")[k].alias("o")) for k in range(OFFSETS)]))["o"]
-    offsets = tried.select("_key", nearest.alias("_offset"))
-    found = numbered.join(F.broadcast(offsets) if few else offsets, "_key").withColumn("copies", crossed(F.col("_offset")))
+    passed = lambda rank: F.floor(rank * F.col("_rate") + unit_hash(F.lit(f"offset{seed}"), F.col("_key")))
+    found = numbered.withColumn("copies", (passed(F.col("_rank")) - passed(F.col("_rank") - 1)).cast("long"))
     return found.withColumn("taken", F.col("copies") * F.col("size")).select(*kept, *RESULTS)
 
 
@@ -130,14 +120,8 @@ WITH sized AS (
   SELECT k, source_size, least(ceiling, coalesce((SELECT arg_min(lvl, (ceiling / w, k)) FROM leveled WHERE lvl * w <= ceiling) * w, ceiling)) AS target FROM leveled
 ), rated AS (
   SELECT k, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM aimed
-), drawn AS (
-  SELECT k, n, ('0x' || substr(md5('offset7:' || n::VARCHAR || ':' || k), 1, 12))::BIGINT::DOUBLE / 281474976710656.0 AS o
-  FROM rated, range(16) AS t(n)
-), tried AS (
-  SELECT k, n, o, abs(sum((floor(r * rate + o) - floor((r - 1) * rate + o))::BIGINT * size) - any_value(target)) AS miss
-  FROM numbered JOIN rated USING (k) JOIN drawn USING (k) GROUP BY k, n, o
 ), chosen AS (
-  SELECT k, arg_min(o, (miss, n)) AS o FROM tried GROUP BY k
+  SELECT k, ('0x' || substr(md5('offset7:' || k), 1, 12))::BIGINT::DOUBLE / 281474976710656.0 AS o FROM rated
 )
 SELECT doc_id, size, source_size, target, ((floor(r * rate + o) - floor((r - 1) * rate + o))::BIGINT * size)::BIGINT AS taken
 FROM numbered JOIN rated USING (k) JOIN chosen USING (k)
