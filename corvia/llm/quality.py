@@ -4,8 +4,8 @@ Each document's statistics are transformed to near-normal scales and rounded to
 language and source the minimum covariance determinant gives a location and a scatter that outliers can't pull:
 concentration steps, each of which takes the mean and the covariance of the half of the documents nearest to the last
 estimate, from two starts (median and median deviation, and all documents), the smaller determinant wins. A document
-is rejected if its squared Mahalanobis distance, scaled so that the group's median is that of chi-squared, is over
-``CUTOFF``.
+is rejected if its squared Mahalanobis distance, scaled so that the group's median is that of chi-squared, is one that
+chi-squared exceeds with probability ``TAIL``: of the 2e10 documents of 100 TB less than one clean one would go.
 
 One step is one aggregation: distances are put in bins of 1/16 of a power of two, and counts, sums and products are
 added up per bin; the bins of a group (a bounded number) are summed up in order to the one that holds the half. Sums
@@ -19,11 +19,14 @@ statistic that hardly varies in a group (copies may be most of it) counts as if
 ``FLOORS``, and distances are never scaled up.
 
 Defined results: null texts have no words and fail the limits; null languages and sources are values of their own;
-repeated rows are judged alike; ties at the limit of the half are all taken; columns of other names are carried along.
+repeated rows are judged alike; ties at the limit of the half are all taken; other columns are carried along under any
+name, those named like the results are replaced.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +37,10 @@ VECTOR = ["x0", "x1", "x2", "x3"]
 STEP = 64
 STEPS = 4
 LEAST = 100
+RESULTS = [*STATS, "base_failed", "distance", "kept"]
 FLOORS = (0.30, 0.12, 0.08, 0.10)
-CUTOFF = 60.0
+#: Probability of a distance over the cutoff in a clean group; the larger, the more documents go.
+TAIL = 1e-11
 #: Median of chi-squared with as many degrees of freedom as the vector has entries.
 CHI_MEDIAN = 3.357
 FEW_GROUPS = 20_000
@@ -43,27 +48,51 @@ FEW_GROUPS = 20_000
 ALL = "*"
 
 
+def cutoff_of(tail: float) -> float:
+    """The value that chi-squared with 4 degrees of freedom exceeds with probability ``tail``: exp(-x/2) (1 + x/2) = tail."""
+    x = 0.0
+    for _ in range(200):  # a fixed point of x/2 = log(1 + x/2) - log(tail)
+        x = 2 * (math.log1p(x / 2) - math.log(tail))
+    return x
+
+
 def repeat_words(words: Column) -> Column:
     """Words inside 3-word windows that are found twice or more in the list.
 
     A window's hash and its position share a long (as many low bits as positions need), so one sort of longs brings
-    equal windows together; hashes keep 64 bits less those, 49 or more up to 32,000 words.
+    equal hashes together. Windows of equal hashes that stand next to each other are compared word by word: if all are
+    equal, the hashes are right for this text; else its windows are sorted as strings, in the same way.
     """
+    one = lambda n: F.lit(n).cast("long")
 
     def of(w: Column) -> Column:
-        return F.when(F.size(w) < 4, F.lit(0)).otherwise(let(F.struct(w.alias("w"), (F.length(F.bin(F.size(w)))).alias("b")), marked))
+        return F.when(F.size(w) < 4, one(0)).otherwise(let(F.struct(w.alias("w"), (F.length(F.bin(F.size(w)))).alias("b")), hashed))
 
-    def marked(s: Column) -> Column:
+    def hashed(s: Column) -> Column:
         w, bits = s["w"], s["b"]
-        hashed = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.call_function("shiftleft", F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), bits).bitwiseOR(i.cast("long")))
-        return let(F.struct(F.array_sort(hashed).alias("k"), bits.alias("b")), covered)
+        keys = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.call_function("shiftleft", F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), bits).bitwiseOR(i.cast("long")))
+        return let(F.struct(F.array_sort(keys).alias("k"), bits.alias("b"), w.alias("w")), grouped)
 
-    def covered(s: Column) -> Column:
+    def grouped(s: Column) -> Column:
         k, bits = s["k"], s["b"]
         top = lambda x: F.call_function("shiftrightunsigned", x, bits)
+        place = lambda x: x.bitwiseAND(F.call_function("shiftleft", one(1), bits) - 1)
         same = F.filter(k, lambda x, i: (top(x) == top(F.get(k, i - 1))) | (top(x) == top(F.get(k, i + 1))) | F.lit(False))
-        places = F.array_sort(F.transform(same, lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1)))
-        return let(places, lambda p: F.aggregate(p, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).cast("long").alias("last")), lambda a, x: F.struct((a["n"] + F.least(F.lit(3).cast("long"), x - a["last"])).alias("n"), x.alias("last")), lambda a: a["n"]))
+        return let(F.struct(F.transform(same, lambda x: F.struct(top(x).alias("h"), place(x).cast("int").alias("p"))).alias("s"), s["w"].alias("w")), checked)
+
+    def checked(s: Column) -> Column:
+        found, w = s["s"], s["w"]
+        differ = lambda a, b: (F.get(w, a) != F.get(w, b)) | (F.get(w, a + 1) != F.get(w, b + 1)) | (F.get(w, a + 2) != F.get(w, b + 2))
+        wrong = F.exists(F.sequence(F.lit(1), F.greatest(F.size(found) - 1, F.lit(1))), lambda i: F.coalesce((F.get(found, i)["h"] == F.get(found, i - 1)["h"]) & differ(F.get(found, i)["p"], F.get(found, i - 1)["p"]), F.lit(False)))
+        return F.when(wrong, let(w, exact)).otherwise(covered(F.transform(found, lambda x: x["p"].cast("long"))))
+
+    def exact(w: Column) -> Column:
+        keys = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.concat_ws(" ", F.slice(w, i + 1, F.lit(3))).alias("t"), i.cast("long").alias("p")))
+        return let(F.array_sort(keys), lambda k: covered(F.transform(F.filter(k, lambda x, i: (x["t"] == F.get(k, i - 1)["t"]) | (x["t"] == F.get(k, i + 1)["t"]) | F.lit(False)), lambda x: x["p"])))
+
+    def covered(places: Column) -> Column:
+        start = F.struct(one(0).alias("n"), one(-3).alias("last"))
+        return F.aggregate(F.array_sort(places), start, lambda a, x: F.struct((a["n"] + F.least(one(3), x - a["last"])).alias("n"), x.alias("last")), lambda a: a["n"])
 
     return let(words, of).cast("long")
 
@@ -187,17 +216,18 @@ def concentrate(cells: DataFrame, now: DataFrame, keys: list[str], hint) -> Data
     return estimate(near, [*keys, "start"]).select(*keys, "start", *ESTIMATE)
 
 
-def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+def judge(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     """Every row of docs with the statistics, base_failed, distance (null where no group speaks) and kept."""
     found = docs if set(STATS) <= set(docs.columns) else with_statistics(docs)
-    found = found.withColumn("base_failed", base_failed()).withColumn("_lang", source_key(F.col("lang"))).withColumn("_source", source_key(F.col("source")))
-    found = found.withColumns(dict(zip(VECTOR, vector(), strict=True)))
+    carried = [c for c in found.columns if c not in RESULTS]  # in a struct, where no name clashes with those of an estimate
+    found = found.select(F.struct(*carried).alias("_row"), *STATS, source_key(F.col("lang")).alias("_lang"), source_key(F.col("source")).alias("_source"))
+    found = found.withColumn("base_failed", base_failed()).withColumns(dict(zip(VECTOR, vector(), strict=True)))
     keys = ["_lang", "_source"]
     groups, few = robust(found.where(~F.col("base_failed")).select(*keys, *VECTOR), keys)
     judged = distance2(found.join(F.broadcast(groups) if few else groups, keys, "left"))
     judged = judged.withColumn("distance", F.col("d2") * F.col("scale"))
-    kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff)
-    return judged.withColumn("kept", kept).drop(*keys, *VECTOR, *ESTIMATE, "scale", "d2")
+    kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff_of(tail))
+    return judged.select("_row.*", *STATS, "base_failed", "distance", kept.alias("kept"))
 
 
 def query(docs: DataFrame) -> DataFrame:
