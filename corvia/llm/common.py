@@ -129,5 +129,33 @@ def ranked(df: DataFrame, within: list[str], block: list[str], order: list[Colum
     return inside.join(offsets, keys).withColumn(name, F.col("_before") + F.col("_inside") - 1).drop("_before", "_inside")
 
 
+def sample_texts(rows: DataFrame, sample: int, chars: int) -> dict[str, list[str]]:
+    """For each value of ``by``, at most ``sample`` distinct texts of rows (by, text; without nulls), the first by hash.
+
+    Of a longer text its hash picks the stretch of ``chars`` characters. Copies count once: distinct hashes are counted
+    first, rows under a limit by hash are met once per task, and the driver takes what is left of at most twice the
+    sample (and a margin) for each value.
+    """
+    hashed = rows.select("by", F.shiftrightunsigned(F.xxhash64("text"), 1).alias("h"), "text")
+    counts = hashed.select("by", "h").distinct().groupBy("by").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not counts:
+        return {}
+    most, wide = (1 << 63) - 1, 2 * sample + 64
+    limits = rows.sparkSession.createDataFrame([(r["by"], most if r["n"] <= wide else wide * most // r["n"]) for r in counts], "by string, most long")
+    stretch = F.substring("text", F.pmod(F.col("h"), F.greatest(F.length("text") - chars, F.lit(0)) + 1).cast("int") + 1, F.lit(chars))
+    near = hashed.join(F.broadcast(limits), "by").where("h <= most").select("by", "h", stretch.alias("text"))
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            fresh = [i for i, key in enumerate(zip(batch["by"].to_pylist(), batch["h"].to_pylist(), strict=True)) if key not in seen and not seen.add(key)]
+            yield batch.take(pa.array(fresh, pa.int64()))
+
+    found: dict[str, dict[int, str]] = {r["by"]: {} for r in counts}
+    for r in near.mapInArrow(once, near.schema).groupBy("by", "h").agg(F.min("text").alias("text")).collect():
+        found[r["by"]][r["h"]] = r["text"]
+    return {by: [texts[h] for h in sorted(texts)[:sample]] for by, texts in found.items()}
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

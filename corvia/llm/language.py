@@ -2,16 +2,20 @@
 
 A document is a sequence of words, cut into chains of at most ``CHAIN`` words (the chains cover the whole text). Each
 word has a score per language, the sum of learned weights of its features: character 1-, 2- and 3-grams with the
-word's edges marked (those at the edges are its affixes) and the word itself (the lexicon). Learned transitions score
-one language after another. Forward-backward gives each word's probabilities; a document's language is the one with
+word's edges marked (those at the edges are its affixes) and the word itself (the lexicon, with buckets of its own).
+Learned transitions score one language after another. Forward-backward gives each word's probabilities; a document's language is the one with
 the largest sum over its words with letters, and its score is that sum's share.
 
 Features are computed with numpy over the distinct words of a batch, and forward-backward runs over all chains of a
 batch side by side, so that a word costs a few hundred nanoseconds.
 
-Training: at most ``SAMPLE`` documents per language, of at most ``SAMPLE_CHARS`` characters, the first by hash among
-the labelled training rows. Words take their document's label; half of the chains splice runs of two documents, so
-that transitions see switches. The weights are fitted by AdaGrad on the driver; the model's size is fixed.
+Training: at most ``SAMPLE`` distinct texts per language, the first by hash among the labelled training rows, and of
+each at most ``SAMPLE_CHARS`` characters (a stretch that the hash picks). Words take their document's label; half of the
+chains splice runs of two documents, so that transitions see switches. The weights are fitted by AdaGrad on the driver.
+All languages are learned: each takes half a megabyte of weights, on the driver and in every worker, and at most
+``SAMPLE * SAMPLE_CHARS`` characters of sample.
+
+A word's features are computed in pieces of bounded size, so words of any length are taken whole.
 
 Defined results: null texts and texts without a letter get ``und`` and score 0; ties go to the first language in
 order; with no labelled row every document gets ``und``; repeated rows are predicted alike; other columns are ignored.
@@ -19,6 +23,7 @@ order; with no labelled row every document gets ``und``; repeated rows are predi
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,26 +32,33 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvia.llm.common import per_text, release
+from corvia.llm.common import per_text, release, sample_texts
 
 UNKNOWN = "und"
 SAMPLE = 120
 SAMPLE_CHARS = 8_000
-#: Languages at most; the model holds a weight for each language and bucket.
-LANGUAGES = 400
+#: Buckets of n-grams, and as many of words.
 BUCKETS = 1 << 16
+#: A row of weights for each bucket, and a last one that stays 0, for no feature.
+ROWS = 2 * BUCKETS + 1
+#: Characters of padded words whose features are held at once; a word of over a quarter of them is taken in pieces.
+CELLS = 1 << 18
 CHAIN = 128
 #: Words whose probabilities are held at once.
 BATCH_WORDS = 1 << 16
 
 
 def word_features(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(indices of words, buckets): for words of like length at a time, their features; -1 where a word has none."""
+    """(indices of words, buckets): for words of like length at a time, their features; -1 where a word has none.
+
+    A very long word comes in several pieces, each of which holds some of its features.
+    """
     lengths = np.fromiter(map(len, words), np.int64, len(words))
-    width, done = 16, 0
-    while done < len(words):
-        at = np.flatnonzero((lengths <= width) & (lengths > (width // 2 if width > 16 else -1)))
-        if len(at):
+    width, under = 16, -1
+    while under < min(int(lengths.max(initial=0)), CELLS // 4):
+        group = np.flatnonzero((lengths > under) & (lengths <= min(width, CELLS // 4)))
+        for lo in range(0, len(group), max(1, CELLS // width)):
+            at = group[lo : lo + max(1, CELLS // width)]
             padded = np.zeros((len(at), width + 4), np.uint64)
             joined = np.frombuffer(b"".join([words[i] for i in at]), np.uint8)
             own = lengths[at]
@@ -54,19 +66,30 @@ def word_features(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]
             padded[rows, np.arange(len(joined)) - np.repeat(np.cumsum(own) - own, own) + 1] = joined
             padded[:, 0] = 256
             padded[np.arange(len(at)), own + 1] = 257
-            found, place = [], np.arange(width + 2)
-            for n in (1, 2, 3):
-                gram = np.full((len(at), width + 2), n, np.uint64)
-                for k in range(n):
-                    gram = gram * np.uint64(1_000_003) + padded[:, k : k + width + 2]
-                found.append(np.where(place[None, :] + n <= own[:, None] + 2, bucket(gram).astype(np.int64), -1))
             whole = np.full(len(at), 7, np.uint64)
             for k in range(width + 1):
                 whole = np.where(k <= own, whole * np.uint64(0x100000001B3) + padded[:, k], whole)
-            found.append(bucket(whole).astype(np.int64)[:, None])
-            yield at, np.concatenate(found, axis=1)
-            done += len(at)
-        width *= 2
+            yield at, np.concatenate([*grams(padded, own + 2, width + 2), BUCKETS + bucket(whole).astype(np.int64)[:, None]], axis=1)
+        width, under = width * 2, width
+    for i in np.flatnonzero(lengths > CELLS // 4):
+        edged = np.zeros(lengths[i] + 4, np.uint64)
+        edged[1:-3] = np.frombuffer(words[i], np.uint8)
+        edged[0], edged[-3] = 256, 257
+        for lo in range(0, len(edged) - 2, CELLS // 4):
+            piece = edged[None, lo : lo + CELLS // 4 + 2]
+            yield np.array([i]), np.concatenate(grams(piece, np.array([lengths[i] + 2 - lo]), piece.shape[1] - 2), axis=1)
+        yield np.array([i]), np.array([[BUCKETS + zlib.crc32(words[i]) % BUCKETS]])
+
+
+def grams(padded: np.ndarray, own: np.ndarray, width: int) -> list[np.ndarray]:
+    """The buckets of the n-grams that begin at each of ``width`` places and end within the row's ``own`` characters."""
+    found, place = [], np.arange(width)
+    for n in (1, 2, 3):
+        gram = np.full((len(padded), width), n, np.uint64)
+        for k in range(n):
+            gram = gram * np.uint64(1_000_003) + padded[:, k : k + width]
+        found.append(np.where(place[None, :] + n <= own[:, None], bucket(gram).astype(np.int64), -1))
+    return found
 
 
 def bucket(x: np.ndarray) -> np.ndarray:
@@ -119,14 +142,14 @@ class Crf:
 
     def __init__(self, languages: list[str]):
         self.languages = languages
-        self.weights = np.zeros((BUCKETS + 1, len(languages)), np.float32)  # the last row stays 0, for no feature
+        self.weights = np.zeros((ROWS, len(languages)), np.float32)
         self.transitions = np.zeros((len(languages), len(languages)), np.float32)
 
     def scores(self, words: list[bytes]) -> np.ndarray:
         found = np.zeros((len(words), len(self.languages)), np.float32)
         for lo in range(0, len(words), 1 << 12):
             for at, features in word_features(words[lo : lo + (1 << 12)]):
-                found[lo + at] = self.weights[features].sum(axis=1)
+                found[lo + at] += self.weights[features].sum(axis=1)
         return found
 
     def fit(self, chains: list[tuple[list[bytes], np.ndarray]], epochs: int = 6, rate: float = 0.25, batch: int = 128, seed: int = 5) -> Crf:
@@ -147,7 +170,7 @@ class Crf:
                 for at, f in features:
                     rows = np.flatnonzero(np.isin(at, used))
                     parts.append((at[rows], f[rows]))
-                    table[at[rows]] = self.weights[f[rows]].sum(axis=1)
+                    table[at[rows]] += self.weights[f[rows]].sum(axis=1)
                 mask = np.arange(lengths.max())[None, :] < lengths[:, None]
                 scores = np.zeros((*mask.shape, k), np.float32)
                 scores[mask] = table[used][inverse]
@@ -160,7 +183,7 @@ class Crf:
                 slope = np.zeros_like(self.weights)
                 for at, f in parts:
                     for x in range(k):
-                        slope[:, x] += np.bincount(f.ravel() % (BUCKETS + 1), np.repeat(per_word[at, x], f.shape[1]), BUCKETS + 1).astype(np.float32)
+                        slope[:, x] += np.bincount(f.ravel() % ROWS, np.repeat(per_word[at, x], f.shape[1]), ROWS).astype(np.float32)
                 slope[-1] = 0
                 seen = np.zeros((k, k))
                 for c in own:
@@ -252,21 +275,11 @@ def chains_of(texts: list[tuple[str, int]], seed: int = 3) -> list[tuple[list[by
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Crf:
-    """Fit on at most ``sample`` rows per language of at most ``sample_chars`` characters, the first by hash."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= sample_chars))
-    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.shiftrightunsigned(F.xxhash64(text_col), 1).alias("h"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    languages = sorted(counts)
-    if not languages:
-        return Crf([])
-    under: Column = F.lit(False)
-    for lang, n in counts.items():  # twice the sample by hash, so that few rows are sorted
-        under = under | ((F.col("lang") == lang) & (F.col("h") <= (2 * sample * (2**63 - 1) // n if n > 2 * sample else 2**63 - 1)))
-    held: dict[str, list[str]] = {lang: [] for lang in languages}
-    for r in rows.where(under).orderBy("h", "lang", "text").limit(3 * sample * len(languages)).collect():
-        if len(held[r["lang"]]) < sample:
-            held[r["lang"]].append(r["text"])
-    return Crf(languages).fit(chains_of([(t, languages.index(lang)) for lang, ts in held.items() for t in ts]))
+    """Fit on at most ``sample`` distinct texts per language and ``sample_chars`` characters of each."""
+    rows = labelled.select(F.col(lang_col).cast("string").alias("by"), F.col(text_col).alias("text")).where("by IS NOT NULL AND text IS NOT NULL")
+    held = sample_texts(rows, sample, sample_chars)
+    languages = sorted(held)
+    return Crf(languages).fit(chains_of([(t, i) for i, lang in enumerate(languages) for t in held[lang]])) if languages else Crf([])
 
 
 def identify(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

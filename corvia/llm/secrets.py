@@ -8,8 +8,8 @@ or ``LETTERS`` for a run without a digit, and ``SHORT`` more for each character
 characters varies more. Of a run that a pattern's match covers in part, each part outside the matches is judged like a
 run of its own. The patterns stand beside it as a base.
 
-The identifier sample is bounded: at most ``SAMPLE_DOCS`` documents of at most ``SAMPLE_CHARS`` characters, taken by
-hash; only the model is fitted on it, every whole text is scanned.
+The identifier sample is bounded: at most ``SAMPLE_DOCS`` distinct texts, the first by hash, and of each a stretch of at
+most ``SAMPLE_CHARS`` characters; only the model is fitted on it, every whole text is scanned.
 
 Defined results: null and empty texts have no spans; ties of start go by the order of ``KINDS``; repeated rows stay;
 other columns are ignored (scan) or carried along (redact).
@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvia.llm.common import per_text
+from corvia.llm.common import per_text, sample_texts
 
 # The kinds and patterns of the base.
 KINDS = ("assign", "access", "hex", "markov")
@@ -109,14 +110,9 @@ def identifiers(texts: list[str], seed: int = 12) -> list[str]:
 
 
 def train(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> MarkovPair:
-    """Fit the pair; at most sample_docs documents, the first by hash among those of at most sample_chars characters."""
-    text = F.col(text_col)
-    some = docs.where(text.isNotNull() & (F.length(text) <= sample_chars)).select(F.xxhash64(text).alias("h"), text.alias("t"))
-    n = some.count()
-    if n > 4 * sample_docs:  # the hash's lowest values only: a sort of few rows
-        some = some.where(F.shiftrightunsigned("h", 1) < int(2 * sample_docs / n * 2**63))
-    texts = [r["t"] for r in some.orderBy("h", "t").limit(sample_docs).collect()]
-    return MarkovPair.fit(random_strings(), identifiers(texts))
+    """Fit the pair on random strings and on the words of at most sample_docs distinct texts."""
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.lit("").alias("by"), F.col(text_col).alias("text"))
+    return MarkovPair.fit(random_strings(), identifiers(sample_texts(rows, sample_docs, sample_chars).get("", [])))
 
 
 def is_random(run: str, pair: MarkovPair, threshold: float = THRESHOLD) -> bool:
@@ -125,25 +121,34 @@ def is_random(run: str, pair: MarkovPair, threshold: float = THRESHOLD) -> bool:
     return pair.score(run) > least + SHORT * max(0, SURE - len(run))
 
 
-def _outside(a: int, b: int, base: list[Span]) -> list[tuple[int, int]]:
-    """The parts of [a, b) outside the spans, which are in the order of their starts."""
-    parts = []
+def _outside(runs: Iterator[tuple[int, int]], base: list[Span]) -> Iterator[tuple[int, int]]:
+    """The parts of the runs outside the spans, in order; both are given by start, so one pass over each will do."""
+    covered: list[list[int]] = []
     for _, s, e in base:
-        if s < b and a < e:
-            if a < s:
-                parts.append((a, s))
-            a = max(a, e)
-    return [*parts, (a, b)] if a < b else parts
+        if covered and s <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], e)
+        else:
+            covered.append([s, e])
+    at = 0
+    for a, b in runs:
+        while at < len(covered) and covered[at][1] <= a:
+            at += 1
+        while at < len(covered) and covered[at][0] < b:
+            if a < covered[at][0]:
+                yield a, covered[at][0]
+            a = covered[at][1]
+            if a >= b:
+                break
+            at += 1
+        if a < b:
+            yield a, b
 
 
 def all_spans(text: str, pair: MarkovPair, threshold: float = THRESHOLD) -> tuple[list[Span], list[Span]]:
     """The base's spans, and those with the models' spans among them."""
     base = base_spans(text)
-    added = []
-    for m in RUN.finditer(text):
-        for a, b in _outside(*m.span(), base):
-            if b - a >= MIN_RUN and is_random(text[a:b], pair, threshold):
-                added.append(("markov", a, b))
+    parts = _outside((m.span() for m in RUN.finditer(text)), base)
+    added = [("markov", a, b) for a, b in parts if b - a >= MIN_RUN and is_random(text[a:b], pair, threshold)]
     return base, sorted(base + added, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
