@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import sys
 import tempfile
 import types
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,26 +25,39 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage through a reliable checkpoint: a lost executor costs no recomputation beyond it.
+    """Cut the lineage through a table in the shared folder: a lost executor costs no recomputation beyond it.
 
-    The folder is the session's ``spark.checkpoint.dir``; where that is unset (tests), a temporary folder is used on
-    a local master, and a folder beside the warehouse elsewhere.
+    A written table, unlike a checkpoint, is read with its true size (sizes that are estimated from one join to the
+    next grow without end in a loop) and only in the columns that are asked for. Folders go when the driver ends.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(checkpoint_folder(spark))
-    return df.checkpoint(eager=True)
+    folder = new_folder(df.sparkSession, "table")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; where that is unset (tests), a temporary folder on a local master, and a
+    folder beside the warehouse elsewhere."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
     if spark.sparkContext.master.startswith("local["):
-        return tempfile.mkdtemp(prefix="corvia-checkpoint-")
+        return in_process("folder", spark.sparkContext.applicationId, lambda _: tempfile.mkdtemp(prefix="corvia-checkpoint-"))
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A folder of its own in the shared one; it is removed when the driver ends."""
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, folder)
+    return folder
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release() -> None:
     """Give freed memory back to the system: Python workers stay around between tasks, next to those of other stages."""
     pa.default_memory_pool().release_unused()

@@ -21,7 +21,7 @@ def op3_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    found = simhash.fingerprint_classes(read(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_of(found["fp"]).alias("fingerprint"), "component_id")
 
 

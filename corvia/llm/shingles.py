@@ -1,16 +1,22 @@
-"""Near-duplicate classes by the Jaccard similarity of word shingles, checked on whole texts; the pipeline's definition.
+"""Near-duplicate classes by SimHash candidates and the Jaccard similarity of word shingles, checked on whole texts.
 
 Two texts link if the sets of their ``SIZE``-word shingles have a Jaccard similarity of ``LEAST`` or more. Texts with
-equal sets are one from the start. Candidates share one of ``BANDS`` bands of ``ROWS`` minimum hashes each: a pair at
-0.8 shares none with probability (1 - 0.8^5)^40 = 1.3e-7, a pair of higher similarity with less. Every candidate is then
-decided by its whole sets, so no class holds a link under ``LEAST``. SimHash can't serve as the filter here: pairs at
-0.8 lie 10 to 16 bits apart, and a ball of 16 bits holds unrelated fingerprints as well.
+equal sets are one from the start. Fingerprints of the same shingles and their vantage-point trees (``simhash``) give
+the first candidates, and so do equal fingerprints; they merge most near copies at little cost.
 
-Buckets are never enumerated while they are large: rounds of stars (one member against those of other classes) merge
-their classes first, and only pairs of members that are still in different classes are then compared, all of them.
+SimHash alone can't give right results here: two texts at 0.8 differ in 10 of 64 bits on average and in 16 or more at
+times, and a ball of 16 bits holds unrelated fingerprints as well. So candidates of a second kind complete the first:
+texts that share one of ``BANDS`` bands of ``ROWS`` minimum hashes each. A pair at 0.8 shares none with probability
+(1 - 0.8^5)^40 = 1.3e-7, a pair of higher similarity with less. Every candidate of either kind is decided by its whole
+sets, so no class holds a link under ``LEAST``.
+
+Buckets are never enumerated while they are large: trees and rounds of stars (each member against one of its buckets'
+centres, of another class) merge their classes first, and only pairs of members that are still in different classes are
+then compared, all of them.
 
 Defined results: null and empty texts have the empty set and are one class; a text of fewer words than a shingle is its
-own shingle; rows with a null id take part like any other and are kept if their class has no id.
+own shingle; rows with a null id take part like any other and are kept if their class has no id. Sets and texts are told
+apart by hashes of 64 bits.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvia.llm.common import durable, per_text
-from corvia.llm.simhash import components
+from corvia.llm.simhash import components, fingerprint_of, shingle_hashes, tree_candidates
 
 SIZE = 5
 #: Least similarity, as a fraction, so that it is compared in whole numbers.
@@ -42,19 +48,9 @@ _TIMES, _PLUS, _MIX = _DRAWN[0] * np.uint64(2) + np.uint64(1), _DRAWN[1], np.uin
 
 
 def shingle_set(text: bytes | None, size: int = SIZE) -> np.ndarray:
-    """The sorted distinct XXH64 (seed 42) of the text's shingles."""
-    import xxhash
-
-    words = text.lower().split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    line, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= size:
-        return np.array([digest(line, 42)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate(([0], ends[:-1]))[: len(words) - size + 1].tolist()
-    stops = (ends[size - 1 :] - 1).tolist()
-    return np.unique(np.fromiter((digest(line[a:b], 42) for a, b in zip(starts, stops, strict=True)), np.uint64, len(starts)))
+    """The sorted distinct hashes of the text's shingles."""
+    parts = list(shingle_hashes(text, size)) if text else []
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
 
 
 def bands_of(own: np.ndarray) -> np.ndarray:
@@ -84,16 +80,18 @@ def key_of(own: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """keep, and key (one for each set), n (its size) and bands (none for sets too small to be like another)."""
+    """keep, and key (one for each set), n (its size), fp (the fingerprint) and bands (none for sets too small to be like another)."""
 
-    def of():
-        def sketch(texts: list[bytes | None]):
-            sets = [shingle_set(t) for t in texts]
-            return None, [[key_of(s) for s in sets], [len(s) for s in sets], [bands_of(s) if len(s) >= LEAST[0] else [] for s in sets]]
+    def sketch(text: bytes | None) -> tuple[int, int, int, np.ndarray | list]:
+        parts = list(shingle_hashes(text, SIZE)) if text else []
+        own = np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+        fp = np.array([fingerprint_of(parts)], np.uint64).view(np.int64)[0] if parts else 0
+        return key_of(own), len(own), int(fp), bands_of(own) if len(own) >= LEAST[0] else []
 
-        return sketch
+    def of():
+        return lambda texts: (None, [list(c) for c in zip(*map(sketch, texts), strict=True)] if texts else [[]] * 4)
 
-    return per_text(docs, keep, F.col(text_col).cast("binary"), [("key", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))], of)
+    return per_text(docs, keep, F.col(text_col).cast("binary"), [("key", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))], of)
 
 
 def brief_of(own: np.ndarray) -> np.ndarray:
@@ -134,63 +132,92 @@ def _may(n: str, m: str) -> Column:
     return (F.col(n) * LEAST[1] >= F.col(m) * LEAST[0]) & (F.col(m) * LEAST[1] >= F.col(n) * LEAST[0])
 
 
+def _tree_pairs(distinct: DataFrame) -> DataFrame:
+    """(a, b): pairs of keys whose fingerprints are equal or linked by the trees, as stars."""
+    fps = durable(distinct.groupBy("fp").agg(F.min("key").alias("rep")))
+    linked = tree_candidates(fps.select("fp"))
+    left, right = (fps.select(F.col("fp").alias(c), F.col("rep").alias(k)) for c, k in (("a", "x"), ("b", "y")))
+    between = linked.join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    same = distinct.join(fps, "fp").where("key <> rep").select(F.col("rep").alias("a"), F.col("key").alias("b"))
+    return between.union(same).distinct()
+
+
 def classes(rows: DataFrame, sets_of) -> DataFrame:
-    """(node, label) of the distinct keys of rows (key, n, bands) that are linked to another; a class's label is its smallest key.
+    """(node, label) of the distinct keys of rows (key, n, fp, bands) that are linked to another; a class's label is its smallest key.
 
     sets_of(keys) gives (key, own, brief, size): the sets, whole and brief as bytes, of the keys of a frame.
     """
-    buckets = rows.where(F.size("bands") > 0).groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands")).select("key", "n", F.explode("bands").alias("at"))
+    firsts = [F.first(c).alias(c) for c in ("n", "fp", "bands")]
+    distinct = durable(rows.where(F.size("bands") > 0).groupBy("key").agg(*firsts))
+    near = durable(_tree_pairs(distinct))
+    buckets = distinct.select("key", "n", F.explode("bands").alias("at"))
     crowded = buckets.groupBy("at").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("at")
     shared = durable(buckets.join(crowded, "at", "left_semi"))
-    sets = durable(sets_of(shared.select("key").distinct()))
-    links, found, last = None, None, False
+    sets = durable(sets_of(shared.select("key").union(near.select("a")).union(near.select("b")).distinct()))
+    links = durable(_checked(near, sets))
+    found, last = components(links), False
     for k in range(ROUNDS + 1):
-        now = shared.withColumn("label", F.col("key")) if found is None else shared.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+        now = shared.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
         each = now.groupBy("at").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("key", "n", "label"), F.xxhash64("key", F.lit(k))).alias("p")).where("lo <> hi")
         now, each = durable(now), durable(each)
         size = each.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("m").cast("double") * (F.col("m") - 1) / 2), F.lit(0.0)).alias("pairs")).first()
         if not size["rows"]:
             break
-        last = last or k == ROUNDS or size["pairs"] <= PAIRS * size["rows"]
+        last = last or k == ROUNDS or (k and size["pairs"] <= PAIRS * size["rows"])
         if last:  # all pairs of different classes
             one = now.join(each.select("at"), "at", "left_semi")
             other = one.select("at", F.col("key").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
             pairs = one.join(other, "at").where((F.col("key") < F.col("b")) & (F.col("label") != F.col("other")) & _may("n", "m")).select(F.col("key").alias("a"), "b")
         else:
             star = now.join(each.select("at", "p"), "at").select(F.col("key").alias("b"), "n", "label", F.col("p.key").alias("a"), F.col("p.n").alias("m"), F.col("p.label").alias("other"))
-            pairs = star.where((F.col("label") != F.col("other")) & _may("n", "m")).select("a", "b")
-        pairs = durable(pairs.distinct())
+            pairs = star.where((F.col("label") != F.col("other")) & _may("n", "m")).groupBy("b").agg(F.min_by("a", F.xxhash64("a", F.lit(k))).alias("a"))
+        pairs = durable(pairs.select("a", "b").distinct())
         new = durable(_checked(pairs, sets))
-        links = new if links is None else links.union(new)
+        links = links.union(new)
         found = components(links)
         if last:
             break
         last = 10 * new.count() < pairs.count()  # stars that merge little have done their part
-    return found if found is not None else rows.sparkSession.createDataFrame([], "node long, label long")
+    return found
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each class, the one with the smallest id (null last), text hash and row hash; the columns of docs."""
-    marked = docs.withColumns({"_text": F.xxhash64(F.col("text")), "_hash": F.xxhash64(*docs.columns)})
-    rows = durable(sketches(marked, ["doc_id", "_text", "_hash"]))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text", "_hash")).alias("first")
-    firsts = durable(rows.groupBy("key").agg(first))
+def sets_by(firsts: DataFrame, texts: DataFrame, at: list[str]):
+    """The sets of a frame of keys: firsts says (key, at) where each key's text is among texts (at, text)."""
 
     def sets_of(keys: DataFrame) -> DataFrame:
-        chosen = firsts.join(keys, "key", "left_semi").select("first._text", "first._hash", "key")
-        few = chosen.count() <= FEW
-        held = marked.select("text", "_text", "_hash").join(F.broadcast(chosen) if few else chosen, ["_text", "_hash"]).dropDuplicates(["key"])
+        chosen = durable(firsts.join(keys, "key", "left_semi").select(*at, "key"))
+        held = texts.join(F.broadcast(chosen) if chosen.count() <= FEW else chosen, at).dropDuplicates(["key"])
 
         def of():
-            def both(texts: list[bytes | None]):
-                sets = [shingle_set(t) for t in texts]
+            def both(found: list[bytes | None]):
+                sets = [shingle_set(t) for t in found]
                 return None, [[s.tobytes() for s in sets], [brief_of(s).tobytes() for s in sets], [len(s) for s in sets]]
 
             return both
 
         return per_text(held, ["key"], F.col("text").cast("binary"), [("own", pa.binary()), ("brief", pa.binary()), ("size", pa.int64())], of)
 
-    found = classes(rows, sets_of)
+    return sets_of
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp, component_id): every row with its fingerprint and the smallest id of its class (null if no row of it has one)."""
+    texts = docs.select(id_col, F.col(text_col).alias("text"), F.xxhash64(text_col).alias("_text"))
+    rows = durable(sketches(texts, [id_col, "_text"]))
+    firsts = durable(rows.groupBy("key").agg(F.min("_text").alias("_text"), F.min(id_col).alias("rep")))
+    found = classes(rows, sets_by(firsts.select("key", "_text"), texts.select("_text", "text"), ["_text"]))
+    labelled = firsts.join(found.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("label", "key").alias("label"))
+    smallest = durable(labelled.groupBy("label").agg(F.min("rep").alias("component_id")))
+    return rows.join(labelled.join(smallest, "label").select("key", "component_id"), "key").select(id_col, "fp", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each class, the one with the smallest id (null last), text hash and row hash; the columns of docs."""
+    marked = docs.withColumns({"_text": F.xxhash64(F.col("text")), "_hash": F.xxhash64(*docs.columns)})
+    rows = durable(sketches(marked, ["doc_id", "_text", "_hash"]))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text", "_hash")).alias("first")
+    firsts = durable(rows.groupBy("key").agg(first))
+    found = classes(rows, sets_by(firsts.select("key", "first._text", "first._hash"), marked.select("text", "_text", "_hash"), ["_text", "_hash"]))
     labelled = firsts.join(found.withColumnRenamed("node", "key"), "key", "left").select("first", F.coalesce("label", "key").alias("label"))
     kept = labelled.groupBy("label").agg(F.min("first").alias("first")).select("first._text", "first._hash")
     return marked.join(kept, ["_text", "_hash"], "left_semi").dropDuplicates(["_text", "_hash"]).select(*docs.columns)
