@@ -8,13 +8,12 @@ docstrings say.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvia.llm import language, mixing, packing, secrets, shingles
-from corvia.llm.common import checkpoint_folder, read
+from corvia.llm import language, mixing, packing, secrets, simhash
+from corvia.llm.common import new_folder, read, remove
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of texts whose 5-word shingles have a Jaccard similarity of 0.8 or more, the one with the smallest id."""
-    return shingles.keep_one(docs)
+    return simhash.keep_one(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +54,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over documents; each stage's table is written to the shared checkpoint folder."""
-    docs, folder = read(spark, sf_dir, "documents"), f"{checkpoint_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    """The rows of the last stage over documents; each stage's table is written to the shared folder, and goes once the
+    next one is there."""
+    docs, last = read(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        folder = new_folder(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+        if last:
+            remove(spark, last)
+        last = folder
     return docs
