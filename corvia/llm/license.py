@@ -1,102 +1,117 @@
 """Licence scans: TF-IDF cosine of notices to templates, then inheritance by directory; DataFrame operations only.
 
-A passage is a line of a file with a licence cue (its header, wherever it stands) or, in a licence file, the whole
-text. Passages and templates are sparse vectors of term frequency times inverse document frequency; the frequencies of
-the templates' words are counted over all files, other words weigh ``OTHER``. A file's own licence is the template with
-the highest cosine of all passages, if that is at least ``COSINE``. Passages are few and are scored within their row;
-the driver sees only one count for each word of the templates.
+A passage is a line of a file with a licence cue, a block of several lines with a cue (up to an empty line; a comment's
+empty lines don't end it) or, in a licence file, the whole text. Passages and templates (``license_texts``: notices of
+each licence's names, headers and whole texts) are sparse vectors of term frequency times inverse document frequency.
+The collection whose documents count is that of all distinct passages and the templates, and every word's frequency is
+counted, so a name that no template has weighs as much as one that a template has. Each distinct passage is scored
+once, by joining its words with the templates' words. A template speaks only of passages that have all the words that
+tell its licence (its name and version). A file's own licence is that of the passage with the highest cosine, which has
+to be ``COSINE`` at least; a whole text that reaches it comes before blocks, and a block before lines, as a part of one
+licence may be the whole of another.
 
 A licence file speaks for its directory. Every directory takes the licence of its nearest ancestor, itself included,
 that has one: the distinct directories are joined to their ancestors' paths, files are joined to their directory. The
-joins' right sides have one row per directory; they are broadcast up to ``FEW`` rows and shuffled beyond.
+joins' right sides have one row per passage, word or directory; they are broadcast up to ``FEW`` rows and shuffled
+beyond.
 
 Defined results: null texts have no passage; a null path has no directory and inherits nothing; ties of cosine go to
-the first template by name, ties within a directory to the smallest path; repeated rows stay; other columns are
-carried along, columns named like the results are replaced.
+the first template in order, ties within a directory to the smallest path; repeated rows stay; other columns are
+carried along under any name, columns named like the results are replaced, and the text goes.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvia.llm.common import durable, let
+from corvia.llm.common import durable
+from corvia.llm.license_texts import FORMS, NAMES, TAGS, TEXTS
 
 COSINE = 0.5
-OTHER = 1.5
 FEW = 10_000
 RESULTS = ["own_license", "cosine", "license", "inherited_from"]
 WORD = r"[a-z0-9]+(?:[.-][0-9]+)*"
-CUE = r"(?i)licen[sc]e|copyright|spdx"
+CUE = r"(?i)licen[sc]e|copyright|spdx|unencumbered|redistribut"
+#: What begins a comment line, and an empty line.
+COMMENT, EMPTY = r"^[ \t]*(?://|#|\*|/\*|--|;|%)", r"\n[ \t\r]*\n"
 LICENSE_FILE = r"(?i)(?:^|/)(?:licen[sc]e|copying|notice)(?:\.[a-z]+)?$"
-
-# Customary notices of public licences.
-TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0"],
-    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"],
-    "CC-BY-4.0": ["Licensed under the Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."],
-    "CC-BY-NC-4.0": ["Licensed under the Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0"],
-    "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0"],
-    "MIT": ["Released under the MIT License.", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
-}
-
-
-def template_words() -> list[tuple[str, dict[str, int]]]:
-    return [(name, dict(Counter(re.findall(WORD, line.lower())))) for name, lines in sorted(TEMPLATES.items()) for line in lines]
-
-
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-
-
-def idf_of(files: DataFrame, text_col: str = "text") -> dict[str, float]:
-    """ln(1 + files / files with the word) for the words of the templates, over all files."""
-    vocabulary = sorted({w for _, ws in template_words() for w in ws})
-    held = F.array_intersect(words(F.coalesce(F.col(text_col), F.lit(""))), F.array(*map(F.lit, vocabulary)))
-    counted = files.select(F.explode(F.concat(F.array(F.lit("")), held)).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    counts = {r["w"]: r["n"] for r in counted.collect()}
-    return {w: math.log(1 + counts.get("", 0) / max(1, counts.get(w, 0))) for w in vocabulary}
-
-
-def best_template(passage: Column, idf: dict[str, float]) -> Column:
-    """struct(cosine, rank): the nearest template of one passage; rank is minus its place, so that the first wins ties."""
-    idf_map = F.create_map(*[F.lit(x) for kv in idf.items() for x in kv])
-    weights = []
-    for name, counts in template_words():
-        norm = math.sqrt(sum((n * idf[w]) ** 2 for w, n in counts.items())) or 1.0
-        weights.append((name, {w: n * idf[w] / norm for w, n in counts.items()}))
-    weight = lambda w: F.coalesce(F.try_element_at(idf_map, w), F.lit(OTHER))
-
-    def scored(ws: Column) -> Column:
-        start = F.struct(F.lit("").alias("w"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
-        runs = F.aggregate(F.array_sort(ws), start, lambda a, w: F.when(a["w"] == w, F.struct(w.alias("w"), (a["run"] + weight(w)).alias("run"), a["sum"].alias("sum"))).otherwise(F.struct(w.alias("w"), weight(w).alias("run"), (a["sum"] + a["run"] * a["run"]).alias("sum"))), lambda a: F.sqrt(a["sum"] + a["run"] * a["run"]))
-        def cosine(rank: int, own: dict[str, float], norm: Column) -> Column:
-            of = F.create_map(*[F.lit(x) for kv in own.items() for x in kv])
-            dot = F.aggregate(ws, F.lit(0.0), lambda a, w: a + F.coalesce(F.try_element_at(of, w) * F.try_element_at(idf_map, w), F.lit(0.0)))
-            return F.struct(F.round(dot / norm, 9).alias("cosine"), F.lit(-rank).alias("rank"))
-
-        return let(F.greatest(runs, F.lit(1e-9)), lambda norm: F.array_max(F.array(*[cosine(i, own, norm) for i, (_, own) in enumerate(weights)])))
-
-    return let(words(passage), scored)
+#: Words of a licence's name that many have.
+COMMON = {"the", "license", "licence", "version", "v", "international", "universal", "software"}
+
+
+def words_in(text: str) -> list[str]:
+    return re.findall(WORD, text.lower())
+
+
+def templates() -> list[tuple[str, dict[str, int], set[str]]]:
+    """(licence, words, words that a passage must have), in the order that breaks ties."""
+    found = []
+    for name, names in NAMES.items():
+        for n in names:
+            found += [(name, form.format(n), set(words_in(n)) - COMMON) for form in FORMS]
+        for tag in [name, *TAGS.get(name, [])]:
+            found.append((name, f"SPDX-License-Identifier: {tag}", set(words_in(tag)) - {"or", "later", "only"}))
+    found += [(name, text, set(words_in(must))) for name, text, must in TEXTS]
+    return [(name, dict(Counter(words_in(text))), must) for name, text, must in found]
+
+
+def template_rows() -> list[tuple[int, str, str, int, bool]]:
+    """(i, licence, word, count, must) of all templates."""
+    return [(i, name, w, n, w in must) for i, (name, ws, must) in enumerate(templates()) for w, n in ws.items()]
+
+
+def passages(text: Column, path: Column) -> Column:
+    """The distinct passages of a file as (text, kind): 0 for a line, 1 for a block, 2 for the whole."""
+    text = F.coalesce(text, F.lit(""))
+    lines = F.split(text, "\n", -1)
+    marked = F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, COMMENT, ".")), "\n")
+    blocks = F.filter(F.split(marked, EMPTY, -1), lambda x: F.contains(x, F.lit("\n")) & x.rlike(CUE))
+    kind = lambda found, k: F.transform(found, lambda x: F.struct(x.alias("text"), F.lit(k).alias("kind")))
+    none = F.array().cast("array<struct<text:string,kind:int>>")
+    whole = F.when(F.coalesce(path.rlike(LICENSE_FILE), F.lit(False)) & (F.length(text) > 0), kind(F.array(text), 2)).otherwise(none)
+    cued = F.when(text.rlike(CUE), F.concat(kind(F.filter(lines, lambda x: x.rlike(CUE)), 0), kind(blocks, 1))).otherwise(none)
+    return F.array_distinct(F.concat(cued, whole))
+
+
+def verdicts(texts: DataFrame) -> DataFrame:
+    """(key, license, cosine) of distinct passages (key, text): the nearest template; none for a passage without a word of it."""
+    spark = texts.sparkSession
+    rows = F.broadcast(spark.createDataFrame(template_rows(), "i int, name string, word string, tf long, must boolean"))  # a fixed table
+    n_templates = len(templates())
+    words = texts.select("key", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word"))
+    words = durable(words.groupBy("key", "word").agg(F.count(F.lit(1)).alias("n")))
+    n = texts.count() + n_templates
+    used = words.select("word", F.lit(1).alias("one")).unionAll(rows.select("word", F.lit(1)))
+    idf = durable(used.groupBy("word").agg(F.count(F.lit(1)).alias("df")).select("word", F.log1p(F.lit(float(n)) / F.col("df")).alias("idf")))
+    hint = F.broadcast if idf.count() <= FEW else lambda df: df
+    weighed = durable(words.join(hint(idf), "word").select("key", "word", (F.col("n") * F.col("idf")).alias("x")))
+    norms = weighed.groupBy("key").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    own = rows.join(idf, "word").withColumn("y", F.col("tf") * F.col("idf"))
+    lengths = own.groupBy("i").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("length"), F.count_if("must").alias("musts"))
+    own = durable(own.join(F.broadcast(lengths), "i").select("i", "name", "word", "must", "musts", (F.col("y") / F.col("length")).alias("y")))
+    dots = weighed.join(F.broadcast(own), "word").groupBy("key", "i", "name", "musts").agg(F.sum(F.col("x") * F.col("y")).alias("dot"), F.count_if("must").alias("found"))
+    dots = dots.where("found = musts").join(norms, "key").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9))
+    best = F.max(F.struct("cosine", (-F.col("i")).alias("i"), "name")).alias("b")
+    return dots.groupBy("key").agg(best).select("key", F.col("b.name").alias("license"), F.col("b.cosine").alias("cosine"))
 
 
 def own_licenses(files: DataFrame, path_col: str = "path", text_col: str = "text", least: float = COSINE) -> DataFrame:
-    """Add own_license (null if none) and cosine."""
-    idf = idf_of(files, text_col)
-    names = F.array(*[F.lit(name) for name, _ in template_words()])
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    whole = F.when(F.coalesce(F.col(path_col).rlike(LICENSE_FILE), F.lit(False)) & (F.length(text) > 0), F.array(text)).otherwise(F.array().cast("array<string>"))
-    passages = F.concat(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(CUE)), whole)
-    best = let(passages, lambda ps: F.array_max(F.transform(ps, lambda p: best_template(p, idf))))
-    found = files.drop("own_license", "cosine").withColumn("_best", best)
-    own = F.when(F.col("_best.cosine") >= least, F.element_at(names, 1 - F.col("_best.rank")))
-    return found.withColumn("own_license", own).withColumn("cosine", F.col("_best.cosine")).drop("_best")
+    """Every file without its text, with own_license (null if none) and cosine (null without a passage)."""
+    carried = [c for c in files.columns if c not in (text_col, "own_license", "cosine")]
+    marked = files.select(F.struct(*carried).alias("_row"), passages(F.col(text_col), F.col(path_col)).alias("_p"))
+    marked = durable(marked.withColumn("_id", F.monotonically_increasing_id()))
+    each = marked.where(F.size("_p") > 0).select("_id", F.explode("_p").alias("p")).select("_id", "p.*").withColumn("key", F.md5(F.col("text").cast("binary")))
+    found = durable(verdicts(durable(each.select("key", "text").distinct())))
+    few = found.count() <= FEW
+    judged = each.select("_id", "key", "kind").join(F.broadcast(found) if few else found, "key", "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
+    reached = F.col("cosine") >= least
+    best = judged.groupBy("_id").agg(F.max(F.struct(reached.alias("ok"), F.when(reached, F.col("kind")).alias("kind"), "cosine", "license")).alias("_b"))
+    joined = marked.join(best, "_id", "left")
+    return joined.select("_row.*", F.when(F.col("_b.ok"), F.col("_b.license")).alias("own_license"), F.col("_b.cosine").alias("cosine"))
 
 
 def directory(path: Column) -> Column:
@@ -105,24 +120,24 @@ def directory(path: Column) -> Column:
 
 def inherit(files: DataFrame, path_col: str = "path") -> DataFrame:
     """Add license (own, or of the nearest ancestor directory) and inherited_from (that directory, null if own)."""
-    found = files.drop("license", "inherited_from").withColumn("_dir", directory(F.col(path_col)))
-    speaks = F.col(path_col).rlike(LICENSE_FILE) & F.col("own_license").isNotNull()
-    narrow = found.select("_dir", F.col(path_col).alias("path"), "own_license").where(F.col("path").isNotNull())
-    declared = durable(found.where(speaks).groupBy("_dir").agg(F.min(F.struct(F.col(path_col), F.col("own_license").alias("l")))["l"].alias("_license")))
+    carried = [c for c in files.columns if c not in ("license", "inherited_from")]
+    found = files.select(F.struct(*carried).alias("_row"), directory(F.col(path_col)).alias("_dir"), F.col(path_col).alias("_path"), F.col("own_license").alias("_own"))
+    speaks = F.col("_path").rlike(LICENSE_FILE) & F.col("_own").isNotNull()
+    declared = durable(found.where(speaks).groupBy("_dir").agg(F.min(F.struct("_path", "_own"))["_own"].alias("_license")))
     few = declared.count() <= FEW
-    hint = F.broadcast if few else lambda df: df
     parts = F.split("_dir", "/")
-    ancestors = narrow.select("_dir").distinct().select("_dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.array_join(F.slice(parts, 1, n), "/").alias("up"), n.alias("depth")))).alias("a")).select("_dir", "a.*")
-    above = ancestors.join(hint(declared.withColumnRenamed("_dir", "up")), "up")
-    nearest = durable(above.groupBy("_dir").agg(F.max_by(F.struct("up", "_license"), "depth").alias("n")))
+    up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.array_join(F.slice(parts, 1, n), "/").alias("up"), n.alias("depth")))
+    ancestors = found.where(F.col("_path").isNotNull()).select("_dir").distinct().select("_dir", F.explode(up).alias("a")).select("_dir", "a.*")
+    says = declared.withColumnRenamed("_dir", "up")
+    above = ancestors.join(F.broadcast(says) if few else says, "up")
+    nearest = durable(above.groupBy("_dir").agg(F.max_by(F.struct("up", "_license"), "depth").alias("_near")))
     joined = found.join(F.broadcast(nearest) if nearest.count() <= FEW else nearest, "_dir", "left")
-    joined = joined.withColumn("license", F.coalesce("own_license", "n._license"))
-    return joined.withColumn("inherited_from", F.when(F.col("own_license").isNull(), F.col("n.up"))).drop("_dir", "n")
+    return joined.select("_row.*", F.coalesce("_own", "_near._license").alias("license"), F.when(F.col("_own").isNull(), F.col("_near.up")).alias("inherited_from"))
 
 
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text") -> DataFrame:
     """Every file with own_license, cosine, license and inherited_from; the text goes."""
-    return inherit(durable(own_licenses(files, path_col, text_col).drop(text_col)), path_col)
+    return inherit(durable(own_licenses(files.drop(*[c for c in RESULTS if c != path_col]), path_col, text_col)), path_col)
 
 
 def document_path(doc_id: Column, source: Column) -> Column:
@@ -138,40 +153,41 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    rows = ", ".join(f"({i}, '{name}', '{w}', {n})" for i, (name, ws) in enumerate(template_words()) for w, n in ws.items())
+    rows = ", ".join(f"({i}, '{name}', '{w}', {n}, {must})" for i, name, w, n, must in template_rows())
     return rf"""
-WITH t(i, name, w, tf) AS (VALUES {rows}),
+WITH t(i, name, w, tf, must) AS (VALUES {rows}),
 d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
          coalesce(source, 'unknown') || '/' || (doc_id // 2000)::VARCHAR || CASE WHEN doc_id // 20 % 10 = 3 THEN '/LICENSE' ELSE '/n' || (doc_id // 200)::VARCHAR || '/' || doc_id::VARCHAR || '.txt' END AS path
   FROM documents
-), seen AS (
-  SELECT DISTINCT r, unnest(regexp_extract_all(lower(text), '{WORD}')) AS w FROM d
-), vocabulary AS (SELECT DISTINCT w FROM t
-), idf AS (
-  SELECT v.w, ln(1 + (SELECT count(*) FROM d)::DOUBLE / greatest(1, count(s.r))) AS idf FROM vocabulary v LEFT JOIN seen s ON v.w = s.w GROUP BY v.w
-), tw AS (
-  SELECT i, name, w, tf * idf / sqrt(sum((tf * idf) * (tf * idf)) OVER (PARTITION BY i)) AS x FROM t JOIN idf USING (w)
+), cued AS (
+  SELECT r, string_split(text, chr(10)) AS lines FROM d WHERE regexp_matches(text, '{CUE}')
+), blocks AS (
+  SELECT r, unnest(string_split_regex(array_to_string(list_transform(lines, lambda x: regexp_replace(x, '{COMMENT}', '.')), chr(10)), '{EMPTY}')) AS p FROM cued
 ), p AS (
-  SELECT r, line, row_number() OVER () AS p FROM (
-    SELECT r, unnest(string_split(text, chr(10))) AS line FROM d
-  ) WHERE regexp_matches(line, '{CUE}')
-  UNION ALL SELECT r, text, -r FROM d WHERE path LIKE '%/LICENSE' AND text <> ''
+  SELECT r, p, 0 AS kind FROM (SELECT r, unnest(lines) AS p FROM cued) WHERE regexp_matches(p, '{CUE}')
+  UNION SELECT r, p, 1 FROM blocks WHERE contains(p, chr(10)) AND regexp_matches(p, '{CUE}')
+  UNION SELECT r, text, 2 FROM d WHERE path LIKE '%/LICENSE' AND text <> ''
+), distinct_p AS (SELECT DISTINCT p FROM p
 ), pw AS (
-  SELECT p, w, count(*) AS tf FROM (SELECT p, unnest(regexp_extract_all(lower(line), '{WORD}')) AS w FROM p) GROUP BY p, w
-), px AS (
-  SELECT p, w, tf, tf * coalesce(idf, {OTHER}) AS x, idf FROM pw LEFT JOIN idf USING (w)
-), norm AS (SELECT p, greatest(sqrt(sum(x * x)), 1e-9) AS norm FROM px GROUP BY p
+  SELECT p, w, count(*) AS n FROM (SELECT p, unnest(regexp_extract_all(lower(p), '{WORD}')) AS w FROM distinct_p) GROUP BY p, w
+), idf AS (
+  SELECT w, ln(1 + ((SELECT count(*) FROM distinct_p) + {len(templates())})::DOUBLE / count(*)) AS idf
+  FROM (SELECT w FROM pw UNION ALL SELECT w FROM t) GROUP BY w
+), tw AS (
+  SELECT i, name, w, must, sum(must::INT) OVER (PARTITION BY i) AS musts, tf * idf / sqrt(sum((tf * idf) * (tf * idf)) OVER (PARTITION BY i)) AS y FROM t JOIN idf USING (w)
+), px AS (SELECT p, w, n * idf AS x FROM pw JOIN idf USING (w)
+), norm AS (SELECT p, sqrt(sum(x * x)) AS norm FROM px GROUP BY p
 ), dots AS (
-  SELECT p, i, any_value(name) AS name, sum(px.x * tw.x) AS dot FROM px JOIN tw USING (w) GROUP BY p, i
+  SELECT p, i, any_value(name) AS name, sum(x * y) AS dot FROM px JOIN tw USING (w) GROUP BY p, i HAVING sum(must::INT) = any_value(musts)
+), verdict AS (
+  SELECT p, arg_max(name, (cosine, -i)) AS name, max(cosine) AS cosine FROM (SELECT p, i, name, round(dot / norm, 9) AS cosine FROM dots JOIN norm USING (p)) GROUP BY p
 ), best AS (
-  SELECT r, arg_max(name, (cosine, -i)) AS name, max(cosine) AS cosine
-  FROM (SELECT p.r, i, name, round(dot / norm, 9) AS cosine FROM dots JOIN norm USING (p) JOIN p USING (p)) GROUP BY r
-), passages AS (SELECT DISTINCT r FROM p
+  SELECT r, max(struct_pack(ok := cosine >= {COSINE}, kind := CASE WHEN cosine >= {COSINE} THEN kind ELSE -1 END, cosine := cosine, name := coalesce(name, ''))) AS b
+  FROM (SELECT r, kind, coalesce(cosine, 0.0) AS cosine, name FROM p LEFT JOIN verdict USING (p)) GROUP BY r
 ), own AS (
-  SELECT d.r, doc_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, CASE WHEN cosine >= {COSINE} THEN name END AS own_license,
-         CASE WHEN passages.r IS NOT NULL THEN coalesce(cosine, 0.0) END AS cosine
-  FROM d LEFT JOIN best USING (r) LEFT JOIN passages ON passages.r = d.r
+  SELECT d.r, doc_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, CASE WHEN b.ok THEN b.name END AS own_license, b.cosine AS cosine
+  FROM d LEFT JOIN best USING (r)
 ), declared AS (
   SELECT dir AS up, arg_min(own_license, (path, own_license)) AS l FROM own WHERE path LIKE '%/LICENSE' AND own_license IS NOT NULL GROUP BY dir
 ), nearest AS (
