@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvia.operators.ranking import blocked_rank
+
 GROUP = 5
+#: Consecutive records that are numbered in one block.
+BLOCK = 100_000
 # How an output limit is raised from run to run.
 LIMITS = (200, 500, 1500)
 
@@ -44,13 +48,21 @@ def similar_groups(documents: DataFrame, size: int = GROUP) -> DataFrame:
     Chunks follow the file names; groups are numbered from 1 by module and chunk. Blank modules are left out.
     """
     named = documents.withColumn("module", F.trim("module")).where("module <> ''")
-    rank = F.row_number().over(Window.partitionBy("module").orderBy("filename"))
-    chunks = named.withColumn("chunk", F.floor((rank - 1) / size)).groupBy("module", "chunk").agg(F.array_sort(F.collect_list(F.struct("filename", "apis"))).alias("d"))
+    numbered = blocked_rank(named, F.substring("filename", 1, 3), [F.col("filename")], ["module"])
+    chunks = numbered.withColumn("chunk", F.floor(F.col("rank0") / size)).groupBy("module", "chunk").agg(F.array_sort(F.collect_list(F.struct("filename", "apis"))).alias("d"))
     found = chunks.where(F.size("d") >= 2).select("module", "chunk", F.transform("d", lambda x: x["filename"]).alias("files"), F.array_distinct(F.flatten(F.transform("d", lambda x: x["apis"]))).alias("apis"))
+    # chunks of a module are consecutive: all but perhaps the last have two files
     per = found.groupBy("module").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("module").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = F.row_number().over(Window.partitionBy("module").orderBy("chunk"))
-    return found.join(per.select("module", before.alias("_b")), "module").withColumn("group_id", F.col("_b") + own).drop("_b")
+    start = blocked_sum(per, "module", "n", "_b")
+    return found.join(start, "module").withColumn("group_id", F.col("_b") + F.col("chunk") + 1).drop("_b")
+
+
+def blocked_sum(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """(key, name): the sum of the values of all smaller keys; keys are summed within blocks of their first letters."""
+    blocks = rows.groupBy(F.substring(key, 1, 2).alias("_k")).agg(F.sum(value).alias("_v"))
+    before = blocks.select("_k", F.coalesce(F.sum("_v").over(Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # of bounded rows
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy("_k").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("_k", F.substring(key, 1, 2)).withColumn("_in", inside).join(before, "_k").select(key, (F.col("_before") + F.col("_in")).alias(name))
 
 
 def pending(records: DataFrame, done: DataFrame, order: str = "ord") -> DataFrame:
@@ -60,11 +72,14 @@ def pending(records: DataFrame, done: DataFrame, order: str = "ord") -> DataFram
     answer settles one of them. An answer as long as its limit is tried again with the next one; under the last it counts.
     """
     nxt = F.when((F.col("output_length") == F.col("output_limit")) & (F.col("output_limit") < LIMITS[-1]), F.when(F.col("output_limit") < LIMITS[1], LIMITS[1]).otherwise(LIMITS[2]))
-    counts = done.withColumn("_next", nxt).groupBy("question").agg(F.count_if(F.col("_next").isNull()).alias("_finished"), F.array_sort(F.array_compact(F.collect_list("_next"))).alias("_again"))
-    rank = F.row_number().over(Window.partitionBy("question").orderBy(order))
-    left = records.withColumn("_n", rank).join(counts, "question", "left").where(F.col("_n") > F.coalesce("_finished", F.lit(0)))
-    limit = F.get(F.coalesce("_again", F.array().cast("array<int>")), (F.col("_n") - F.coalesce("_finished", F.lit(0)) - 1).cast("int"))
-    return left.withColumn("next_limit", F.coalesce(limit, F.lit(LIMITS[0]))).drop("_n", "_finished", "_again")
+    again = [F.count_if(F.col("_next") == n).alias(f"_a{n}") for n in LIMITS[1:]]  # counts, not lists: a question may be asked any number of times
+    counts = done.withColumn("_next", nxt).groupBy("question").agg(F.count_if(F.col("_next").isNull()).alias("_finished"), *again)
+    numbered = blocked_rank(records, F.floor(F.col(order).cast("long") / BLOCK), [F.col(order)], ["question"])
+    left = numbered.withColumn("_n", F.col("rank0") + 1).join(counts, "question", "left").where(F.col("_n") > F.coalesce("_finished", F.lit(0)))
+    place = F.col("_n") - F.coalesce("_finished", F.lit(0))
+    first, second = (F.coalesce(f"_a{n}", F.lit(0)) for n in LIMITS[1:])
+    limit = F.when(place <= first, LIMITS[1]).when(place <= first + second, LIMITS[2]).otherwise(LIMITS[0])
+    return left.withColumn("next_limit", limit).drop("_n", "rank0", "_finished", *[f"_a{n}" for n in LIMITS[1:]])
 
 
 def unexpected(records: DataFrame, done: DataFrame) -> DataFrame:
@@ -74,8 +89,10 @@ def unexpected(records: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def allocate(documents: DataFrame, rounds: int, seed: int) -> DataFrame:
-    """Documents in a seeded order, dealt to rounds in turn; by hash, so that no sort is needed."""
-    return documents.withColumn("round", F.pmod(F.xxhash64(F.lit(seed), "filename"), F.lit(rounds)).cast("int"))
+    """Documents in a seeded order, dealt to rounds in turn: the i-th goes to round i mod rounds, so rounds differ by one
+    document at most. The order is numbered by blocks of its hash, never in one task."""
+    h = F.xxhash64(F.lit(seed), "filename")
+    return blocked_rank(documents, F.pmod(h, F.lit(1024)), [h, F.col("filename")]).withColumn("round", (F.col("rank0") % rounds).cast("int")).drop("rank0")
 
 
 def pick_comparison(groups: DataFrame, used: DataFrame, seed: int) -> DataFrame:
@@ -87,6 +104,12 @@ def pick_comparison(groups: DataFrame, used: DataFrame, seed: int) -> DataFrame:
     return own.where(F.col("_r") <= size).select("group_id", "filename")
 
 
+def draw_mode(question: Column, seed: int, comparison: float = 0.1) -> Column:
+    """comparison for a share of the questions, else single; drawn by hash."""
+    share = F.pmod(F.xxhash64(F.lit(seed), question), F.lit(10_000)) / 10_000
+    return F.when(share < comparison, "comparison").otherwise("single")
+
+
 def pick_single(documents: DataFrame, used: DataFrame, seed: int) -> DataFrame:
     """One file, an unused one if there is any."""
     judged = documents.join(used.select("filename").distinct().withColumn("_u", F.lit(1)), "filename", "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvia.functions.text import artifact_id, strip
+from corvia.functions.text import UNIT, artifact_id, sha256, strip
 from corvia.operators.state import NotFound
 
 LEVELS = ["low", "medium", "high"]
@@ -102,26 +102,64 @@ def ordered_union(a: Column, b: Column) -> Column:
     return F.array_distinct(F.concat(F.coalesce(a, empty), F.coalesce(b, empty)))
 
 
+#: What tells one relation from another; further evidence for a known one adds none.
+RELATION_KEY = ("relation_type", "target_wiki_id", "target_namespace", "target_version", "target_canonical_name")
+
+
 def merge_drafts(stored: Column, incoming: Column) -> Column:
-    """The incoming draft's scalars; aliases, questions, claims and relations of both, the stored ones first."""
-    both = lambda f: F.array_distinct(F.concat(stored[f], incoming[f]))
-    return incoming.withField("aliases", ordered_union(stored["aliases"], incoming["aliases"])).withField("open_questions", ordered_union(stored["open_questions"], incoming["open_questions"])).withField("claims", both("claims")).withField("related_artifacts", both("related_artifacts"))
+    """The incoming draft's scalars; aliases, questions, claims and relations of both, the stored ones first.
+
+    Relations are told apart by type and target, claims as a whole. What is stored is kept as it is.
+    """
+    empty = lambda f: F.coalesce(incoming[f], F.filter(stored[f], lambda _: F.lit(False)))
+    both = F.array_distinct(F.concat(F.coalesce(stored["claims"], empty("claims")), empty("claims")))
+    key = lambda r: F.struct(*[r[k] for k in RELATION_KEY])
+    old, new = F.coalesce(stored["related_artifacts"], empty("related_artifacts")), unique_by(empty("related_artifacts"), *RELATION_KEY)
+    known = F.transform(old, key)
+    relations = F.concat(old, F.filter(new, lambda r: F.array_position(known, key(r)) == 0))
+    merged = incoming.withField("aliases", ordered_union(stored["aliases"], incoming["aliases"])).withField("open_questions", ordered_union(stored["open_questions"], incoming["open_questions"]))
+    return merged.withField("claims", both).withField("related_artifacts", relations)
 
 
 def plan_merges(incoming: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Incoming drafts (draft) with action created, updated or needs_review, artifact_id and revision_number.
+    """Incoming drafts (draft, source_id) with action created, updated or needs_review, status, artifact_id,
+    revision_number, the draft to be stored and the sources.
 
     The first that holds: review is recommended; several artifacts have the identity; none has; the draft is to be
-    kept apart or names another target. Else the artifact of the same identity is updated.
+    kept apart or names another target, which takes the next revision and waits for review. Else the artifact of the
+    same identity is updated, its draft merged and its sources joined. catalog: artifact_id, revision_number, and draft
+    and source_ids if there are any.
     """
     d = F.col("draft")
     own = artifact_id(d["wiki_id"], d["namespace"], d["version"], d["artifact_type"], d["canonical_name"])
-    matches = catalog.groupBy("artifact_id").agg(F.count(F.lit(1)).alias("_n"), F.max("revision_number").alias("_rev"))
+    more = [c for c in ("draft", "source_ids") if c in catalog.columns]
+    last = [F.max_by(c, "revision_number").alias(f"_{c}") for c in more]
+    matches = catalog.groupBy("artifact_id").agg(F.count(F.lit(1)).alias("_n"), F.max("revision_number").alias("_rev"), *last)
     joined = incoming.withColumn("artifact_id", own).join(matches, "artifact_id", "left")
     wish = d["merge_recommendation"]
     other = wish["target_artifact_id"].isNotNull() & (wish["target_artifact_id"] != F.col("artifact_id"))
-    action = F.when(wish["action"] == "needs_review", "needs_review").when(F.col("_n") > 1, "needs_review").when(F.col("_n").isNull(), "created").when((wish["action"] == "keep_separate") | F.coalesce(other, F.lit(False)), "needs_review").otherwise("updated")
-    return joined.withColumn("action", action).withColumn("revision_number", F.when(action == "updated", F.col("_rev") + 1).otherwise(F.lit(1))).drop("_n", "_rev")
+    apart = (wish["action"] == "keep_separate") | F.coalesce(other, F.lit(False))
+    review = (wish["action"] == "needs_review") | (F.col("_n") > 1)
+    action = F.when(review, "needs_review").when(F.col("_n").isNull(), "created").when(apart, "needs_review").otherwise("updated")
+    number = F.when(F.coalesce(review, F.lit(False)) | F.col("_n").isNull(), 1).otherwise(F.col("_rev") + 1)
+    found = joined.withColumn("action", action).withColumn("status", F.when(action == "needs_review", "pending_review").otherwise("active")).withColumn("revision_number", number)
+    if "source_id" in incoming.columns:
+        known = F.when(F.col("action") == "updated", F.col("_source_ids")) if "source_ids" in more else F.lit(None).cast("array<string>")
+        found = found.withColumn("source_ids", ordered_union(known, F.array("source_id")))
+    if "draft" in more:
+        found = found.withColumn("draft", F.when(F.col("action") == "updated", merge_drafts(F.col("_draft"), F.col("draft"))).otherwise(F.col("draft")))
+    return found.drop("_n", "_rev", *[f"_{c}" for c in more])
+
+
+def compiler_fingerprint(extractor: Column, prompt: Column, model: Column, schema: Column) -> Column:
+    """Whether knowledge was derived by the same protocol."""
+    return sha256(F.concat_ws(UNIT, extractor, prompt, model, schema))
+
+
+def extraction_metadata_issues(extractions: DataFrame, extractor: str, prompt: str, model: str) -> DataFrame:
+    """(document_id, issue) of extractions (extractor_version, prompt_version, model) that aren't what was asked for."""
+    checks = [("extractor_version", extractor, "EXTRACTOR_VERSION_MISMATCH"), ("prompt_version", prompt, "PROMPT_VERSION_MISMATCH"), ("model", model, "MODEL_MISMATCH")]
+    return extractions.select("document_id", F.explode(F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.lit(v)), issue) for c, v, issue in checks]))).alias("issue"))
 
 
 # Validation and review

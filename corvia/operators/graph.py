@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvia.functions import scoring
 from corvia.functions.text import edge_id
 from corvia.operators.ranking import batches, top_per
+from corvia.tables import durable
 
 PAIR = ["_low", "_high"]
 
@@ -104,11 +105,12 @@ def stats(edges: DataFrame) -> DataFrame:
     """(measure, key, value): edges, nodes, edges by type and tier, and orphans (none: nodes are endpoints)."""
     long = lambda measure, key, n: (F.lit(measure).alias("measure"), key.alias("key"), n.cast("long").alias("value"))
     n = F.count(F.lit(1))
-    cube = edges.groupBy("relation_type", "strength_tier").agg(n.alias("n"))  # small: summed up again below
+    edges = durable(edges.select("source_id", "target_id", "relation_type", "strength_tier"))  # read twice
+    cube = durable(edges.groupBy("relation_type", "strength_tier").agg(n.alias("n")))  # small: summed up again below
     found = cube.select(*long("edges", F.lit("all"), F.col("n"))).groupBy("measure", "key").agg(F.sum("value").alias("value"))
     for column, measure in (("relation_type", "by_type"), ("strength_tier", "by_tier")):
         found = found.union(cube.groupBy(column).agg(F.sum("n").alias("n")).select(*long(measure, F.col(column), F.col("n"))))
-    counted = nodes(edges).agg(n.alias("n"), F.count_if((F.col("in_degree") == 0) & (F.col("out_degree") == 0)).alias("o"))
+    counted = durable(nodes(edges).agg(n.alias("n"), F.count_if((F.col("in_degree") == 0) & (F.col("out_degree") == 0)).alias("o")))
     return found.union(counted.select(*long("nodes", F.lit("all"), F.col("n")))).union(counted.select(*long("orphans", F.lit("all"), F.col("o"))))
 
 
@@ -136,16 +138,20 @@ def expand(edges: DataFrame, seeds: DataFrame, active: DataFrame, limit: int, n_
 def export_batches(edges: DataFrame, size: int) -> DataFrame:
     """(batch, edges, nodes, is_last, payload): edges by id in batches with their own statistics; payload is JSON.
 
-    An empty graph has one empty batch.
+    An empty graph has one empty batch. The edges are written once and read from there for the numbers, the rows and
+    the count; which batch is the last follows from the count.
     """
+    edges = durable(edges.select("edge_id", "source_id", "target_id", "relation_type", "strength_tier", "strength_score", "reverse_edge_id"))
+    n = edges.count()
+    if not n:
+        return edges.sparkSession.createDataFrame([(0, 0, 0, "[]", {}, {}, True)], "batch long, edges long, nodes long, payload string, by_type map<string,long>, by_tier map<string,long>, is_last boolean")
     numbered = batches(edges, size, F.substring("edge_id", 1, 8), [F.col("edge_id")])
     payload = F.struct("edge_id", "source_id", "target_id", "relation_type", F.round("strength_score", 4).alias("strength_score"), scoring.ten_point(F.col("strength_score")).alias("ten_point"), F.col("reverse_edge_id").isNotNull().alias("has_reverse"))
     ends = F.array_distinct(F.flatten(F.collect_list(F.array(F.col("source_id").cast("string"), F.col("target_id").cast("string")))))
-    found = numbered.groupBy("batch").agg(F.count(F.lit(1)).alias("edges"), F.size(ends).cast("long").alias("nodes"), F.to_json(F.array_sort(F.collect_list(payload))).alias("payload"))
-    last = found.agg(F.max("batch").alias("_last"))
-    found = found.join(F.broadcast(last)).withColumn("is_last", F.col("batch") == F.col("_last")).drop("_last")
-    empty = edges.sparkSession.range(1).select(F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("edges"), F.lit(0).cast("long").alias("nodes"), F.lit("[]").alias("payload"), F.lit(True).alias("is_last"))
-    return found.unionByName(empty.join(edges.select(F.lit(1).alias("_x")).limit(1), F.lit(True), "left_anti"))
+    counts = lambda column, values: F.map_filter(F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*[F.count_if(F.col(column) == v) for v in values])), lambda _, v: v > 0)
+    found = numbered.groupBy("batch").agg(F.count(F.lit(1)).alias("edges"), F.size(ends).cast("long").alias("nodes"), F.to_json(F.array_sort(F.collect_list(payload))).alias("payload"), F.collect_list("relation_type").alias("_types"), counts("strength_tier", [t for _, t in scoring.TIERS]).alias("by_tier"))
+    tally = F.map_from_entries(F.transform(F.array_distinct("_types"), lambda t: F.struct(t, F.size(F.filter("_types", lambda x: x == t)).cast("long"))))
+    return found.select("batch", "edges", "nodes", "payload", tally.alias("by_type"), "by_tier", (F.col("batch") == (n - 1) // size).alias("is_last"))
 
 
 def export_graph(edges: DataFrame) -> DataFrame:

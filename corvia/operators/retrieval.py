@@ -5,6 +5,7 @@ Every channel returns ranked rows (query_id, id, score, rank); ``rrf`` and ``fus
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,8 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvia.functions.text import token_id, words
+from corvia.functions.text import token_id, tokens
 from corvia.operators.ranking import top_per
+from corvia.tables import durable
 
 # The constant of reciprocal-rank fusion and the boosts of channels, confidence and status.
 RRF_K = 60
@@ -21,10 +23,12 @@ CHANNEL_BOOST = {"exact": 0.30, "alias": 0.12, "metadata": 0.04}
 CONFIDENCE_BOOST = {"high": 0.02, "medium": 0.01}
 ACTIVE_BOOST = 0.01
 GRAPH_WEIGHT = 0.02
-#: Queries of one request at most, which bounds what is collected and broadcast; larger sets go in several requests.
+#: Queries that are answered in one pass at most, which bounds what is collected and broadcast; larger sets take several.
 BATCH_QUERIES = 1000
-#: Vectors in a block of candidates.
-BLOCK = 8192
+#: Distinct tokens up to which their frequencies are broadcast.
+FEW_TOKENS = 200_000
+#: Vectors in a block of candidates; parts that a token of very many documents is dealt into.
+BLOCK, SALTS = 8192, 64
 
 
 # Names and words
@@ -56,95 +60,128 @@ def lexical_score(query: str, title: Column, aliases: Column, summary: Column) -
 
 def document_frequency(docs: DataFrame, text: Column) -> DataFrame:
     """(token, df): in how many documents each token is."""
-    return docs.select(F.explode(F.array_distinct(words(text))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    return docs.select(F.explode(F.array_distinct(tokens(text))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
 def sparse_vectors(docs: DataFrame, id_col: str, text: Column, df: DataFrame, n_docs: int) -> DataFrame:
-    """(id, token_id, weight): count * ln(1 + N / df) per token; unseen tokens go, the larger weight of an id stays."""
-    counted = docs.select(F.col(id_col), F.explode(words(text)).alias("token")).groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf"))
-    weighed = counted.join(df, "token").withColumn("weight", F.col("tf") * F.log1p(F.lit(float(max(n_docs, 1))) / F.col("df")))
+    """(id, token_id, weight): count * ln(1 + N / df) per token; unseen tokens go, the larger weight of an id stays.
+
+    Counts are summed up where a document is read; frequencies are broadcast behind a count, else the tokens that most
+    documents have are dealt out by document as well, so that none of them is one task's.
+    """
+    counted = docs.select(F.col(id_col), F.explode(tokens(text)).alias("token")).groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf"))
+    df = durable(df)
+    if df.count() <= FEW_TOKENS:
+        weighed = counted.join(F.broadcast(df), "token")
+    else:
+        salt = F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")
+        wide = df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        weighed = counted.withColumn("_salt", salt).join(wide, ["token", "_salt"])
+    weighed = weighed.withColumn("weight", F.col("tf") * F.log1p(F.lit(float(max(n_docs, 1))) / F.col("df")))
     return weighed.groupBy(id_col, token_id(F.col("token")).alias("token_id")).agg(F.max("weight").alias("weight"))
 
 
-def sparse_top_k(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(query_id, id, score, rank): the k documents with the largest inner product of sparse vectors for each query.
+class Channel:
+    """How a text channel scores: lexicon: token -> (row of the matrix, weight), matrix: (rows, queries), and whether a
+    token counts as often as it occurs; of several tokens of a row the largest weight counts."""
 
-    queries: (query_id, text), a batch of a request. The frequencies of all tokens are counted on the executors; the
-    driver takes only those whose id occurs in the queries. Documents are scored where they are read, against all
-    queries at once, and only the best k of each task's batch are shuffled: documents aren't joined with queries.
-    """
-    _check_batch(queries)
-    df = document_frequency(docs, F.col(text_col))
+    def __init__(self, name: int, lexicon: dict, matrix: np.ndarray, names: list, counted: bool):
+        self.name, self.lexicon, self.matrix, self.names, self.counted = name, lexicon, matrix, names, counted
+
+
+def sparse_channel(docs: DataFrame, queries: DataFrame, text_col: str, name: int = 0) -> Channel:
+    """The inner product of sparse vectors. The frequencies of all tokens are counted on the executors; the driver takes
+    only those whose id occurs in the queries."""
     n = docs.count()
-    asked = queries.select("query_id", F.explode(words(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("tf"))
-    asked_ids = asked.select(token_id(F.col("token")).alias("token_id")).distinct()
-    near = df.withColumn("token_id", token_id(F.col("token"))).join(F.broadcast(asked_ids), "token_id", "left_semi")
+    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("tf")).collect()
+    ids = docs.sparkSession.createDataFrame(sorted({(r["token"],) for r in asked}), "token string").select(token_id(F.col("token")).alias("token_id")).distinct()
+    near = document_frequency(docs, F.col(text_col)).withColumn("token_id", token_id(F.col("token"))).join(F.broadcast(ids), "token_id", "left_semi")
     known = {r["token"]: (r["token_id"], float(np.log1p(max(n, 1) / r["df"]))) for r in near.collect()}
     place: dict[int, int] = {}
     weights: dict[tuple, float] = {}
-    for r in asked.collect():
+    for r in asked:
         if r["token"] in known:
             tid, idf = known[r["token"]]
             key = (r["query_id"], place.setdefault(tid, len(place)))
             weights[key] = max(weights.get(key, 0.0), r["tf"] * idf)
     names = sorted({q for q, _ in weights})
-    kind = dict(queries.dtypes)["query_id"], dict(docs.dtypes)[id_col]
-    schema = f"query_id {kind[0]}, id {kind[1]}, score double"
-    if not names:
-        return docs.sparkSession.createDataFrame([], schema + ", rank int")
-    matrix = np.zeros((len(place), len(names)))
-    row = {q: i for i, q in enumerate(names)}
+    matrix, column = np.zeros((len(place), len(names))), {q: i for i, q in enumerate(names)}
     for (q, at), w in weights.items():
-        matrix[at, row[q]] = w
-    lexicon = {t: (place[tid], idf) for t, (tid, idf) in known.items() if tid in place}
-    return _scored(docs, id_col, text_col, lexicon, matrix, names, k, schema, counted=True)
+        matrix[at, column[q]] = w
+    return Channel(name, {t: (place[tid], idf) for t, (tid, idf) in known.items() if tid in place}, matrix, names, True)
 
 
-def word_top_k(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(query_id, id, score, rank): the k documents with the most distinct words of each query."""
-    _check_batch(queries)
-    asked = {r["query_id"]: r["w"] for r in queries.select("query_id", F.array_distinct(words(F.col("text"))).alias("w")).collect()}
+def word_channel(queries: DataFrame, name: int = 0) -> Channel:
+    """The number of a query's distinct tokens that a document holds."""
+    asked = {r["query_id"]: r["w"] for r in queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("w")).collect()}
     names = sorted(q for q, ws in asked.items() if ws)
     lexicon = {w: (i, 1.0) for i, w in enumerate(sorted({w for q in names for w in asked[q]}))}
     matrix = np.zeros((len(lexicon), len(names)))
     for j, q in enumerate(names):
         matrix[[lexicon[w][0] for w in asked[q]], j] = 1.0
-    schema = f"query_id {dict(queries.dtypes)['query_id']}, id {dict(docs.dtypes)[id_col]}, score double"
-    return _scored(docs, id_col, text_col, lexicon, matrix, names, k, schema, counted=False)
+    return Channel(name, lexicon, matrix, names, False)
+
+
+def in_passes(queries: DataFrame, answer) -> DataFrame:
+    """answer(queries) for at most BATCH_QUERIES queries at a time, dealt by hash; the passes' rows together."""
+    n = queries.count()
+    if n <= BATCH_QUERIES:
+        return answer(queries)
+    parts = -(-2 * n // BATCH_QUERIES)  # half full on average
+    found = None
+    for i in range(parts):
+        some = answer(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i))
+        found = some if found is None else found.union(some)
+    return found
+
+
+def sparse_top_k(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(query_id, id, score, rank): the k documents with the largest inner product of sparse vectors for each query
+    (query_id, text).
+
+    Documents are scored where they are read, against all queries of a pass at once, and only the best k of each task's
+    batch are shuffled: documents aren't joined with queries.
+    """
+    return in_passes(queries, lambda some: _scored(docs, id_col, text_col, [sparse_channel(docs, some, text_col)], some, k).drop("channel"))
 
 
-def _check_batch(queries: DataFrame) -> None:
-    if (n := queries.count()) > BATCH_QUERIES:
-        raise ValueError(f"a request has {BATCH_QUERIES} queries at most, this one {n}")
+def word_top_k(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(query_id, id, score, rank): the k documents with the most distinct words of each query."""
+    return in_passes(queries, lambda some: _scored(docs, id_col, text_col, [word_channel(some)], some, k).drop("channel"))
 
 
-def _scored(docs: DataFrame, id_col: str, text_col: str, lexicon: dict, matrix: np.ndarray, names: list, k: int, schema: str, counted: bool) -> DataFrame:
-    """The best k documents of each query by the product of token weights; documents are scored where they are read.
+def _scored(docs: DataFrame, id_col: str, text_col: str, channels: list[Channel], queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, channel, id, score, rank): the best k documents of each query in each channel, in one reading.
 
-    lexicon: token -> (row of the matrix, weight); a token counts as often as it occurs if ``counted``, and of several
-    tokens of a row the largest weight counts.
+    Tokens that no query has are dropped before anything leaves the JVM; a task's scores of a query are at most k.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((lexicon, matrix, names))
+    kinds = dict(queries.dtypes)["query_id"], dict(docs.dtypes)[id_col]
+    schema = f"query_id {kinds[0]}, channel int, id {kinds[1]}, score double"
+    vocabulary = sorted({t for c in channels for t in c.lexicon})
+    if not vocabulary:
+        return docs.sparkSession.createDataFrame([], schema + ", rank int")
+    shared = docs.sparkSession.sparkContext.broadcast(channels)
 
     def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, w, asked_names = shared.value
         for part in parts:
-            scores = np.zeros((len(part), len(asked_names)))
-            for i, tokens in enumerate(part["tokens"]):
-                counts: dict[str, int] = {}
-                for t in tokens:
-                    if t in own:
-                        counts[t] = counts.get(t, 0) + 1 if counted else 1
-                vector: dict[int, float] = {}
-                for t, c in counts.items():
-                    at, idf = own[t]
-                    vector[at] = max(vector.get(at, 0.0), c * idf)
-                if vector:
-                    scores[i] = np.array(list(vector.values())) @ w[list(vector)]
-            yield from _best(part["id"].to_numpy(), scores, asked_names, k)
-
-    found = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("tokens")).mapInPandas(score, schema)
-    return top_per(found, ["query_id"], k, [F.desc(F.round("score", 9)), F.col("id")])
+            held = [Counter(x.tolist()) for x in part["tokens"]]
+            ids = part["id"].to_numpy()
+            for c in shared.value:
+                scores = np.zeros((len(part), len(c.names)))
+                for i, counts in enumerate(held):
+                    vector: dict[int, float] = {}
+                    for t, n in counts.items():
+                        if t in c.lexicon:
+                            at, weight = c.lexicon[t]
+                            vector[at] = max(vector.get(at, 0.0), (n if c.counted else 1) * weight)
+                    if vector:
+                        scores[i] = np.array(list(vector.values())) @ c.matrix[list(vector)]
+                for found in _best(ids, scores, c.names, k):
+                    yield found.assign(channel=c.name)[["query_id", "channel", "id", "score"]]
+
+    asked = F.filter(tokens(F.col(text_col)), lambda t: t.isin(vocabulary))
+    found = docs.select(F.col(id_col).alias("id"), asked.alias("tokens")).where(F.size("tokens") > 0).mapInPandas(score, schema)
+    return top_per(found, ["query_id", "channel"], k, [F.desc(F.round("score", 9)), F.col("id")])
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, names: list, k: int) -> Iterator[pd.DataFrame]:
@@ -249,9 +286,34 @@ def top_ranked(fused: DataFrame, k: int) -> DataFrame:
 def hybrid_search(docs: DataFrame, queries: DataFrame, k: int, channel_k: int = 50) -> DataFrame:
     """(query_id, id, score, rank): sparse and lexical channels of documents (doc_id, text) fused by reciprocal rank.
 
-    The lexical channel ranks by how many distinct words of the query a document holds.
+    The lexical channel ranks by how many distinct words of the query a document holds. Both read the documents once.
     """
-    sparse = sparse_top_k(docs, queries, channel_k)
-    lexical = word_top_k(docs, queries, channel_k)
-    lists = sparse.select("query_id", F.lit(1).alias("list"), "id", "rank").union(lexical.select("query_id", F.lit(0).alias("list"), "id", "rank"))
+
+    def answer(some: DataFrame) -> DataFrame:
+        return _scored(docs, "doc_id", "text", [word_channel(some, 0), sparse_channel(docs, some, "text", 1)], some, channel_k)
+
+    lists = in_passes(queries, answer).select("query_id", F.col("channel").alias("list"), "id", "rank")
     return top_per(rrf(lists), ["query_id"], k, [F.desc(F.round("score", 12)), F.col("first_list"), F.col("first_rank")]).select("query_id", "id", F.round("score", 8).alias("score"), "rank")
+
+
+#: The channels of a source search, in the order in which a hit is named after them.
+SOURCE_CHANNELS = ("exact", "sparse", "dense")
+
+
+def source_search(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "id", name_col: str = "name", key_col: str = "api_id", text_col: str = "text", vector_col: str = "dense_embedding") -> DataFrame:
+    """(query_id, id, score, channel, rank): exact names, dense and sparse vectors of documents, fused by reciprocal rank.
+
+    queries: (query_id, text, vector). Each channel gives k documents. A hit is named after the strongest of its
+    channels: exact, sparse, dense. Ties go to the list that a document was seen in first (exact, dense, sparse) and
+    its place there. Documents and queries without a vector are found by the other channels.
+    """
+    named = docs.select(F.col(id_col).alias("id"), F.col(name_col).alias("name"), F.col(key_col).alias("api_id"))
+    exact = exact_names(queries, named, limit=k)
+    dense = dense_top_k(docs, queries, k, id_col, vector_col)
+    sparse = sparse_top_k(docs, queries, k, id_col, text_col)
+    lists = exact.select("query_id", F.lit(0).alias("list"), "id", "rank").union(dense.select("query_id", F.lit(1), "id", "rank")).union(sparse.select("query_id", F.lit(2), "id", "rank"))
+    lists = durable(lists)
+    seen = lists.groupBy("query_id", "id").agg(F.collect_set("list").alias("_in"))
+    channel = F.when(F.array_contains("_in", 0), "exact").when(F.array_contains("_in", 2), "sparse").otherwise("dense")
+    found = rrf(lists).join(seen.select("query_id", "id", channel.alias("channel")), ["query_id", "id"])
+    return top_per(found, ["query_id"], k, [F.desc(F.round("score", 12)), F.col("first_list"), F.col("first_rank")]).select("query_id", "id", F.round("score", 8).alias("score"), "channel", "rank")

@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from time import perf_counter
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvia.operators import capsule, catalog, graph, retrieval, scope, state
+from corvia.operators import capsule, catalog, fallback, graph, retrieval, scope, state
 from corvia.operators.ranking import top_per
 from corvia.schemas import HIT
 from corvia.sources import api_documents
+from corvia.tables import durable
 
 #: A recall channel: (query, scope, limit) -> hits; and a relation channel: (seeds, scope, limit) -> hits.
 Reader = Callable[[str, scope.Scope, int], DataFrame]
 SEEDS = 3
+#: Artifacts of one name or alias that are taken up; more than any answer holds.
+EXACT = 1000
 
 
 def empty_reader(spark: SparkSession) -> Reader:
@@ -27,19 +31,18 @@ def empty_reader(spark: SparkSession) -> Reader:
 def artifact_hits(artifacts: DataFrame, query: str, limit: int) -> DataFrame:
     """Hits of the catalog's active artifacts (canonical_name, aliases, title, summary, ...) by name, alias and words.
 
-    An exact name rules out the alias channel; words come on top. Exact and alias hits aren't cut.
+    An exact name rules out the alias channel; words come on top. Exact and alias hits are ordered by id and cut only
+    by the ranking that follows, beyond the ``EXACT`` first.
     """
     wanted = query.lower().strip()
     name = F.lower("canonical_name") == wanted
     alias = F.exists(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.lower(a) == wanted)
     score = retrieval.lexical_score(query, F.col("canonical_name"), F.col("aliases"), F.col("summary"))
     row = lambda channel, raw, order: (F.lit("q").alias("query_id"), F.col("artifact_type").alias("kind"), F.col("artifact_id").alias("id"), F.lit(channel).alias("channel"), F.lit(f"artifact:catalog-{channel}").alias("ranking"), raw.alias("raw_score"), order.alias("ord"), F.col("confidence"), F.col("status"))
-    from pyspark.sql import Window
-
-    by_id = F.row_number().over(Window.orderBy("artifact_id"))
-    named = artifacts.where(name | alias).withColumn("_exact", name)
-    exact = named.where("_exact").select(*row("exact", F.lit(None).cast("double"), by_id.cast("long")))
-    aliased = named.where("not _exact").select(*row("alias", F.lit(None).cast("double"), (F.lit(1_000_000) + by_id).cast("long")))
+    first = lambda df: df.orderBy("artifact_id").limit(EXACT)
+    by_id = F.row_number().over(Window.orderBy("artifact_id"))  # of a bounded number of rows
+    exact = first(artifacts.where(name)).select(*row("exact", F.lit(None).cast("double"), by_id.cast("long")))
+    aliased = first(artifacts.where(alias & ~F.coalesce(name, F.lit(False)))).select(*row("alias", F.lit(None).cast("double"), (F.lit(1_000_000) + by_id).cast("long")))
     lexical = artifacts.withColumn("_s", score).where("_s > 0").orderBy(F.desc("_s"), "artifact_id").limit(limit)
     order = F.lit(2_000_000) + F.row_number().over(Window.orderBy(F.desc("_s"), "artifact_id"))
     return exact.union(aliased).union(lexical.select(*row("lexical", F.col("_s").cast("double"), order.cast("long"))))
@@ -47,21 +50,57 @@ def artifact_hits(artifacts: DataFrame, query: str, limit: int) -> DataFrame:
 
 @dataclass
 class Answer:
-    """Ranked items, their capsule, and what there is to say about them."""
+    """Ranked items, their capsule, and what there is to say about them.
+
+    trace: (name, status, duration_ms, details) of the five stages. budget: (area, selected, available, limit,
+    truncated). sources, misses and requests are there once the sources were asked.
+    """
 
     ranked: DataFrame
     capsule: DataFrame
     warnings: list[str] = field(default_factory=list)
     abstained: bool = False
+    reason: str = ""
+    route: str = fallback.WIKI_HIT
+    trace: list[dict] = field(default_factory=list)
+    budget: list[dict] = field(default_factory=list)
+    sources: DataFrame | None = None
+    misses: DataFrame | None = None
+    requests: DataFrame | None = None
+
+    def trace_table(self) -> DataFrame:
+        rows = [(t["name"], t["status"], t["duration_ms"], {k: str(v) for k, v in t["details"].items()}) for t in self.trace]
+        return self.ranked.sparkSession.createDataFrame(rows, "name string, status string, duration_ms long, details map<string,string>")
+
+
+def _stage(trace: list[dict], name: str, began: float, status: str = "completed", **details) -> None:
+    trace.append({"name": name, "status": status, "duration_ms": int((perf_counter() - began) * 1000), "details": details})
+
+
+def _usage(area: str, selected: int, available: int, limit: int) -> dict:
+    return {"area": area, "selected": selected, "available": available, "limit": limit, "truncated": available > limit}
+
+
+def _packed(ranked: DataFrame, budget: str) -> tuple[DataFrame, dict]:
+    packed = durable(capsule.build_capsules(ranked.drop("ord"), budget))
+    row = packed.first()
+    limit = capsule.BUDGETS[budget][0]
+    usage = _usage("context_packet", row["selected"] if row else 0, row["available"] if row else 0, limit)
+    return packed, usage | {"truncated": bool(row and row["truncated"]), "estimated_chars": row["estimated_chars"] if row else 0}
 
 
 def query_knowledge(artifacts: DataFrame, edges: DataFrame | None, query: str, where: scope.Scope, top_k: int = 10, budget: str = "medium", vector_hits: DataFrame | None = None) -> Answer:
     """Recall, fuse, one hop of the graph from the best three, fuse again, pack, and abstain if the best match is weak.
 
     artifacts: artifact_id, artifact_type, wiki_id, namespace, version, canonical_name, aliases, title, summary,
-    confidence, status. vector_hits: further hits with the columns of artifact_hits; those of artifacts that aren't
-    published are dropped.
+    confidence, status, and provenance if there is any. vector_hits: further hits with the columns of artifact_hits;
+    those of artifacts that aren't published are dropped.
     """
+    if not query.strip():
+        raise ValueError("a query needs words")
+    trace: list[dict] = []
+    _stage(trace, "trigger", perf_counter(), namespace=where.namespace, version=where.version)
+    began = perf_counter()
     live = artifacts.where(scope.knowledge_filter(where, F.col("status") == "active"))
     hits, warnings = artifact_hits(live, query, top_k), []
     if vector_hits is not None:
@@ -69,33 +108,85 @@ def query_knowledge(artifacts: DataFrame, edges: DataFrame | None, query: str, w
         if not vector_hits.join(known, "id", "left_anti").isEmpty():
             warnings.append("UNPUBLISHED_KNOWLEDGE_INDEX_HIT_DROPPED")
         hits = hits.unionByName(vector_hits.join(known, "id", "left_semi"))
-    titles = live.select(F.col("artifact_id").alias("id"), "namespace", "version", F.col("canonical_name").alias("title"), "summary")
-    ranked = retrieval.top_ranked(retrieval.fuse_hits(hits).join(titles, "id"), top_k)
+    hits = durable(hits)
+    _stage(trace, "recall", began, knowledge_candidates=hits.count())
+    began = perf_counter()
+    more = [F.col("provenance")] if "provenance" in live.columns else [F.array().cast("array<struct<rag_collection_id:string,document_id:string>>").alias("provenance")]
+    titles = live.select(F.col("artifact_id").alias("id"), "wiki_id", "namespace", "version", F.col("canonical_name").alias("title"), "summary", "confidence", "status", *more)
+    ranked = durable(retrieval.top_ranked(retrieval.fuse_hits(hits).join(titles, "id"), top_k))
+    n_graph, n_seeds = 0, 0
     if edges is None:
         warnings.append("RELATION_READER_UNAVAILABLE")
     else:
         seeds = ranked.where(F.col("rank") <= SEEDS).select(F.col("id").alias("seed_id"))
         grown = graph.expand(edges, seeds, live.select("artifact_id"), top_k)
         near = grown.join(live, grown["target_id"] == live["artifact_id"])
-        more = near.select(F.lit("q").alias("query_id"), F.col("artifact_type").alias("kind"), F.col("artifact_id").alias("id"), F.lit("graph").alias("channel"), F.concat(F.lit("graph:outgoing-1hop:"), "n_edges").alias("ranking"), "raw_score", (F.lit(3_000_000) + F.monotonically_increasing_id()).alias("ord"), "confidence", "status")
-        ranked = retrieval.top_ranked(retrieval.fuse_hits(hits.unionByName(more)).join(titles, "id"), top_k)
-    packed = capsule.build_capsules(ranked.drop("ord"), budget)
+        found = durable(near.select(F.lit("q").alias("query_id"), F.col("artifact_type").alias("kind"), F.col("artifact_id").alias("id"), F.lit("graph").alias("channel"), F.concat(F.lit("graph:outgoing-1hop:"), "n_edges").alias("ranking"), "raw_score", (F.lit(3_000_000) + F.monotonically_increasing_id()).alias("ord"), "confidence", "status"))
+        n_graph, n_seeds = found.count(), seeds.count()
+        ranked = durable(retrieval.top_ranked(retrieval.fuse_hits(hits.unionByName(found)).join(titles, "id"), top_k))
+    n = ranked.count()
+    _stage(trace, "rerank", began, ranked_candidates=n, graph_seeds=n_seeds)
+    began = perf_counter()
+    packed, packet = _packed(ranked, budget)
     best = ranked.where("rank = 1").select("match_confidence").first()
     if not best:
         warnings.append("NO_RESULTS")
     elif best[0] == "weak":
         warnings.append("WEAK_MATCHES_ONLY")
-    if (cut := packed.select("truncated").first()) and cut[0]:
+    if packet["truncated"]:
         warnings.append("CONTEXT_BUDGET_TRUNCATED")
-    return Answer(ranked, packed, list(dict.fromkeys(warnings)), not best or best[0] == "weak")
+    _stage(trace, "inject", began, capsule_items=packet["selected"], estimated_tokens=packet["estimated_chars"] // 4)
+    _stage(trace, "generate", perf_counter(), "delegated", owner="calling agent")
+    usage = [_usage("source_parts", 0, 0, top_k), _usage("knowledge_artifacts", min(n, top_k), n, top_k), _usage("graph_context", n_graph, n_graph, top_k), packet]
+    return Answer(ranked, packed, list(dict.fromkeys(warnings)), not best or best[0] == "weak", trace=trace, budget=usage)
+
 
+def query_with_fallback(wiki: Answer, read_sources: Callable[[int], DataFrame], where: scope.Scope, top_k: int = 10, budget: str = "medium", schedule: Callable[[DataFrame], None] | None = None, update_wiki: bool = True, warned: tuple[str, ...] = ()) -> Answer:
+    """The wiki's answer if it is reliable; else the sources, fused with the wiki's weak items, and what the wiki lacks.
 
-def query_with_fallback(wiki: Answer, sources: Callable[[], DataFrame], top_k: int = 10) -> tuple[DataFrame, list[str]]:
-    """The wiki's items if it answers, else the source hits (columns of artifact_hits) fused with them."""
+    read_sources(limit) gives source hits (``fallback.source_hits``); warned are its warnings. schedule gets the
+    documents by which the wiki is to be updated; if it fails, the answer says so and stands.
+    """
     if not wiki.abstained:
-        return wiki.ranked, wiki.warnings
-    found = retrieval.top_ranked(retrieval.fuse_hits(sources()), top_k)
-    return found, ["LLM_WIKI_MISS_RAG_FALLBACK", *(["RAG_NO_RESULTS"] if found.isEmpty() else [])]
+        return replace(wiki, route=fallback.WIKI_HIT, trace=_routed(wiki.trace, fallback.WIKI_HIT, wiki.ranked.count(), 0, 0))
+    began = perf_counter()
+    hits = durable(read_sources(fallback.source_limit(top_k)))
+    n_hits, n_wiki = hits.count(), wiki.ranked.count()
+    spent = int((perf_counter() - began) * 1000)
+    items = durable(fallback.source_items(hits, where.wiki_id))
+    sources = durable(fallback.ranked_sources(items, top_k))
+    limit = max(top_k, capsule.BUDGETS[budget][0])
+    ranked = durable(fallback.merged(wiki.ranked, sources, limit))
+    misses = fallback.missing_documents(hits, wiki.ranked, where.wiki_id)
+    best = ranked.orderBy("rank").select("match_confidence").first()
+    warnings = [*wiki.warnings, *warned, "LLM_WIKI_MISS_RAG_FALLBACK" if n_hits else "RAG_NO_RESULTS"]
+    packed, packet = _packed(ranked, budget)
+    if n_hits and update_wiki:
+        if schedule is None:
+            warnings.append("LLM_WIKI_UPDATE_NOT_CONFIGURED")
+        else:
+            try:
+                schedule(fallback.update_documents(hits, where.wiki_id))
+            except Exception:  # the answer doesn't depend on it
+                warnings.append("LLM_WIKI_UPDATE_SCHEDULE_FAILED")
+    route = fallback.WIKI_PLUS_RAG if n_wiki and n_hits else fallback.RAG_FALLBACK
+    said = wiki.ranked.sparkSession.range(1).select(fallback.abstention(F.lit(best[0] if best else None).cast("string"), F.lit(bool(best))).alias("a")).first()["a"]
+    n_sources = sources.count()
+    graph_context = [u for u in wiki.budget if u["area"] == "graph_context"] or [_usage("graph_context", 0, 0, 0)]
+    usage = [_usage("source_parts", n_sources, n_sources, top_k), _usage("knowledge_artifacts", min(n_wiki, top_k), n_wiki, top_k), *graph_context, packet]
+    return Answer(ranked, packed, list(dict.fromkeys(warnings)), said["recommended"], said["reason"], route, _routed(wiki.trace, route, n_wiki, n_hits, spent), usage, sources, misses, fallback.enrichment_requests(hits, misses))
+
+
+def _routed(trace: list[dict], route: str, n_wiki: int, n_sources: int, spent: int) -> list[dict]:
+    """The trace with the route in its trigger, and in its recall what both sides gave and how long the sources took."""
+    out = []
+    for t in trace:
+        if t["name"] == "trigger":
+            t = t | {"details": t["details"] | {"route": route}}
+        elif t["name"] == "recall":
+            t = t | {"duration_ms": t["duration_ms"] + spent, "details": t["details"] | {"wiki_candidates": n_wiki, "rag_candidates": n_sources, "route": route}}
+        out.append(t)
+    return out
 
 
 def query_documents(docs: DataFrame, queries: DataFrame, namespace: str, version: str, language: str | None = None, top_k: int = 10) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvia.operators import capsule as capsules
+from corvia.operators import fallback
 from corvia.operators import retrieval as r
 from corvia.operators import scope as scopes
 from corvia.operators.catalog import cache_misses
@@ -234,3 +235,109 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical and sparse channels over all documents, fused by reciprocal rank, for every text of benchmark."""
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return r.hybrid_search(table(spark, sf_dir, "documents"), queries, 10)
+
+
+# Documents as API documents with vectors of the table embeddings; benchmark items ask with the vector of their id.
+SOURCE_SEARCH = rf"""
+{SPARSE},
+asked AS (SELECT item_id AS query_id, embedding FROM benchmark JOIN embeddings ON vec_id = item_id),
+exact AS (
+  SELECT item_id AS query_id, doc_id AS id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank FROM benchmark JOIN documents ON 'd' || doc_id = split_part(benchmark.text, ' ', 1) AND regexp_matches(benchmark.text, '^[A-Za-z_][A-Za-z0-9_.:#]*$') QUALIFY rank <= 20
+),
+dense_scores AS (
+  SELECT query_id, vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score FROM asked q, embeddings c WHERE vec_id IN (SELECT doc_id FROM documents)
+),
+dense AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM dense_scores QUALIFY rank <= 20),
+sparse_list AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM sparse QUALIFY rank <= 20),
+lists AS (SELECT query_id, 0 AS list, id, rank FROM exact UNION ALL SELECT query_id, 1, id, rank FROM dense UNION ALL SELECT query_id, 2, id, rank FROM sparse_list),
+fused AS (
+  SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS score, min((list, rank)) AS first_seen,
+         CASE WHEN bool_or(list = 0) THEN 'exact' WHEN bool_or(list = 2) THEN 'sparse' ELSE 'dense' END AS channel FROM lists GROUP BY query_id, id
+),
+found AS (
+  SELECT query_id, id, round(score, 8) AS score, channel, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first_seen)::INT AS rank FROM fused QUALIFY rank <= 20
+)"""
+
+
+def api_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as rows of a vector table."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("dense_embedding")), "doc_id", "left")
+    none = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
+    return docs.select(F.col("doc_id").alias("id"), F.concat(F.lit("d"), "doc_id").alias("name"), F.concat(F.lit("api:"), "doc_id").alias("api_id"), *none("api_name", "parameters_md", "returns_json"), F.col("lang").alias("language"), F.concat(F.lit("about "), "source").alias("description"), F.concat(F.lit("d"), "doc_id", F.lit("()")).alias("signature"), F.array("source", "lang").alias("examples"), F.when(F.col("lang") == "en", F.concat(F.lit("# d"), "doc_id")).otherwise("").alias("source_markdown"), "text", "dense_embedding")
+
+
+def _source_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    queries = table(spark, sf_dir, "benchmark").join(vectors, "item_id", "left").select(F.col("item_id").alias("query_id"), "text", "vector")
+    return r.source_search(api_documents(spark, sf_dir), queries, 20)
+
+
+@query(f"WITH {SOURCE_SEARCH} SELECT * FROM found")
+def source_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact, dense and sparse channels of all documents, fused by reciprocal rank, for every item of benchmark."""
+    return _source_found(spark, sf_dir)
+
+
+FALLBACK = rf"""
+{SOURCE_SEARCH},
+hits AS (
+  SELECT query_id, 'api:' || id AS document_id, 'd' || id AS title, channel, score, rank, 'source:docs:api:' || id AS item,
+         CASE WHEN lang = 'en' THEN '# d' || id ELSE 'd' || id || '()' || chr(10) || 'about ' || source || chr(10) || source || chr(10) || lang END AS content
+  FROM found JOIN documents ON doc_id = id
+),
+cited AS (SELECT DISTINCT 'api:' || doc_id AS document_id FROM labels WHERE quality = 1),
+ranked_in AS (
+  SELECT *, 1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY query_id, channel ORDER BY rank)) + CASE channel WHEN 'exact' THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END + 0.03::DOUBLE AS s FROM hits
+),
+first_pass AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 8) DESC, lower(title), item) AS n FROM ranked_in
+),
+wiki AS (
+  SELECT item_id AS query_id, 'concept:' || (item_id % 7) AS item, 'weak ' || (item_id % 7) AS title FROM benchmark WHERE item_id % 2 = 0
+),
+entered AS (
+  SELECT query_id, 'concept' AS kind, item, title, 'lexical' AS channel, 1 AS ord, 0.0::DOUBLE AS once FROM wiki
+  UNION ALL SELECT query_id, 'source', item, title, channel, 1000000 + n, 0.03::DOUBLE FROM first_pass
+),
+scored AS (
+  SELECT *, 1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY query_id, channel ORDER BY ord)) + CASE channel WHEN 'exact' THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END + once AS s FROM entered
+)"""
+
+
+def _fallback(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Source hits, and a weak item of the wiki for every other query."""
+    hits = fallback.source_hits(_source_found(spark, sf_dir), api_documents(spark, sf_dir), "n", "v1", "docs")
+    number = F.col("item_id") % 7
+    evidence = F.array().cast("array<struct<rag_collection_id:string,document_id:string>>")
+    wiki = table(spark, sf_dir, "benchmark").where("item_id % 2 = 0").select(
+        F.col("item_id").alias("query_id"), F.lit("concept").alias("kind"), F.concat(F.lit("concept:"), number).alias("id"), F.lit("w").alias("wiki_id"), F.lit("n").alias("namespace"), F.lit("v1").alias("version"), F.concat(F.lit("weak "), number).alias("title"), F.lit("").alias("summary"),
+        F.lit("low").alias("confidence"), F.lit("stale").alias("status"), F.lit(0.016).alias("score"), F.array(F.lit("lexical")).alias("rank_signals"), F.lit("weak").alias("match_confidence"), F.lit(1).alias("rank"), evidence.alias("provenance"),
+    )
+    return hits, wiki
+
+
+@query(f"""
+WITH {FALLBACK}
+SELECT query_id, kind, item AS id, round(s, 8) AS score, CASE channel WHEN 'exact' THEN 'strong' ELSE 'weak' END AS match_confidence,
+       row_number() OVER (PARTITION BY query_id ORDER BY round(s, 8) DESC, kind, 'n', 'v1', lower(title), item)::INT AS rank FROM scored QUALIFY rank <= 10
+""")
+def retrieval_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources fused with the wiki's weak items, for every item of benchmark."""
+    hits, wiki = _fallback(spark, sf_dir)
+    sources = fallback.ranked_sources(fallback.source_items(hits, "w"), 10)
+    return fallback.merged(wiki, sources, 10).select("query_id", "kind", "id", "score", "match_confidence", "rank")
+
+
+@query(f"""
+WITH {FALLBACK}
+SELECT query_id, 'docs' AS rag_collection_id, document_id, 'w' AS wiki_id, md5(content) AS content_md5, 'RAG fallback returned a source without a valid Wiki artifact' AS reason
+FROM hits WHERE document_id NOT IN (SELECT document_id FROM cited)
+""")
+def enrichment_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents of the source hits no item of the wiki cites; labels of quality 1 stand for cited documents."""
+    hits, _ = _fallback(spark, sf_dir)
+    cited = table(spark, sf_dir, "labels").where("quality = 1").select(F.concat(F.lit("api:"), "doc_id").alias("document_id")).distinct()
+    wiki = hits.join(cited, "document_id").select("query_id", F.lit("w").alias("wiki_id"), F.array(F.struct("rag_collection_id", "document_id")).alias("provenance"))
+    requests = fallback.enrichment_requests(hits, fallback.missing_documents(hits, wiki, "w"))
+    texts = hits.select("query_id", "document_id", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+    return requests.join(texts, ["query_id", "document_id"]).select("query_id", "rag_collection_id", "document_id", "wiki_id", "content_md5", "reason")
