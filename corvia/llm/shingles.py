@@ -8,7 +8,9 @@ SimHash alone can't give right results here: two texts at 0.8 differ in 10 of 64
 times, and a ball of 16 bits holds unrelated fingerprints as well. So candidates of a second kind complete the first:
 texts that share one of ``BANDS`` bands of ``ROWS`` minimum hashes each. A pair at 0.8 shares none with probability
 (1 - 0.8^5)^40 = 1.3e-7, a pair of higher similarity with less. Every candidate of either kind is decided by its whole
-sets, so no class holds a link under ``LEAST``.
+sets, so no class holds a link under ``LEAST``. Before that, pairs are told apart where they meet by odd sketches: bit i
+is the parity of the set's hashes in cell i, so two sets differ in at least as many hashes as their sketches in bits,
+and a pair whose sketches differ in more than sets of the least similarity may is dropped, which loses none.
 
 Buckets are never enumerated while they are large: trees and rounds of stars (each member against one of its buckets'
 centres, of another class) merge their classes first, and only pairs of members that are still in different classes are
@@ -36,10 +38,13 @@ SIZE = 5
 #: Least similarity, as a fraction, so that it is compared in whole numbers.
 LEAST = (4, 5)
 BANDS, ROWS = 40, 5
+#: Longs of an odd sketch.
+ODD = 16
 #: Shingles that are hashed at a time.
 CHUNK = 1024
-#: Pairs for each member of a bucket beyond which stars come first, and the most rounds of them.
-PAIRS, ROUNDS = 8, 8
+#: Pairs for each member of a bucket beyond which stars come first, the most rounds of them, and the share of members
+#: (one in so many) that a round has to link for another to follow.
+PAIRS, ROUNDS, STEADY = 8, 8, 20
 #: Rows up to which the representatives of shared buckets are broadcast.
 FEW = 100_000
 
@@ -80,18 +85,25 @@ def key_of(own: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """keep, and key (one for each set), n (its size), fp (the fingerprint) and bands (none for sets too small to be like another)."""
+    """keep, and key (one for each set), n (its size), fp (the fingerprint), odd (its odd sketch) and bands (none for sets
+    too small to be like another)."""
 
-    def sketch(text: bytes | None) -> tuple[int, int, int, np.ndarray | list]:
+    def sketch(text: bytes | None) -> tuple[int, int, int, np.ndarray, np.ndarray | list]:
         parts = list(shingle_hashes(text, SIZE)) if text else []
         own = np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
         fp = np.array([fingerprint_of(parts)], np.uint64).view(np.int64)[0] if parts else 0
-        return key_of(own), len(own), int(fp), bands_of(own) if len(own) >= LEAST[0] else []
+        return key_of(own), len(own), int(fp), odd_of(own), bands_of(own) if len(own) >= LEAST[0] else []
 
     def of():
-        return lambda texts: (None, [list(c) for c in zip(*map(sketch, texts), strict=True)] if texts else [[]] * 4)
+        return lambda texts: (None, [list(c) for c in zip(*map(sketch, texts), strict=True)] if texts else [[]] * 5)
 
-    return per_text(docs, keep, F.col(text_col).cast("binary"), [("key", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))], of)
+    return per_text(docs, keep, F.col(text_col).cast("binary"), [("key", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("odd", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))], of)
+
+
+def odd_of(own: np.ndarray) -> np.ndarray:
+    """The odd sketch of a set: the parities of its hashes in 64 * ODD cells."""
+    cells = np.bincount((own >> np.uint64(20)).astype(np.int64) % (64 * ODD), minlength=64 * ODD) & 1
+    return np.packbits(cells.astype(np.uint8)).view(np.int64)
 
 
 def brief_of(own: np.ndarray) -> np.ndarray:
@@ -132,6 +144,18 @@ def _may(n: str, m: str) -> Column:
     return (F.col(n) * LEAST[1] >= F.col(m) * LEAST[0]) & (F.col(m) * LEAST[1] >= F.col(n) * LEAST[0])
 
 
+def _may_by_sketch(n: str, m: str, x: str, y: str) -> Column:
+    """Whether sets of these sizes and odd sketches can be alike: by how many hashes they differ at least."""
+    differ = sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(1, ODD)), F.bit_count(F.get(x, F.lit(0)).bitwiseXOR(F.get(y, F.lit(0)))))
+    return _may(n, m) & (differ * (LEAST[1] + LEAST[0]) <= (F.col(n) + F.col(m)) * (LEAST[1] - LEAST[0]))
+
+
+def _near(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches don't tell apart."""
+    side = lambda k, n, o: distinct.select(F.col("key").alias(k), F.col("n").alias(n), F.col("odd").alias(o))
+    return pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").where(_may_by_sketch("n", "m", "x", "y")).select("a", "b")
+
+
 def _tree_pairs(distinct: DataFrame) -> DataFrame:
     """(a, b): pairs of keys whose fingerprints are equal or linked by the trees, as stars."""
     fps = durable(distinct.groupBy("fp").agg(F.min("key").alias("rep")))
@@ -147,9 +171,9 @@ def classes(rows: DataFrame, sets_of) -> DataFrame:
 
     sets_of(keys) gives (key, own, brief, size): the sets, whole and brief as bytes, of the keys of a frame.
     """
-    firsts = [F.first(c).alias(c) for c in ("n", "fp", "bands")]
+    firsts = [F.first(c).alias(c) for c in ("n", "fp", "odd", "bands")]
     distinct = durable(rows.where(F.size("bands") > 0).groupBy("key").agg(*firsts))
-    near = durable(_tree_pairs(distinct))
+    near = durable(_near(_tree_pairs(distinct), distinct))
     buckets = distinct.select("key", "n", F.explode("bands").alias("at"))
     crowded = buckets.groupBy("at").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("at")
     shared = durable(buckets.join(crowded, "at", "left_semi"))
@@ -164,20 +188,21 @@ def classes(rows: DataFrame, sets_of) -> DataFrame:
         if not size["rows"]:
             break
         last = last or k == ROUNDS or (k and size["pairs"] <= PAIRS * size["rows"])
-        if last:  # all pairs of different classes
-            one = now.join(each.select("at"), "at", "left_semi")
-            other = one.select("at", F.col("key").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-            pairs = one.join(other, "at").where((F.col("key") < F.col("b")) & (F.col("label") != F.col("other")) & _may("n", "m")).select(F.col("key").alias("a"), "b")
+        if last:  # all pairs of different classes that may be alike
+            one = now.join(each.select("at"), "at", "left_semi").join(distinct.select("key", "odd"), "key")
+            other = one.select("at", F.col("key").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("odd").alias("y"))
+            pairs = one.join(other, "at").where((F.col("key") < F.col("b")) & (F.col("label") != F.col("other")) & _may_by_sketch("n", "m", "odd", "y")).select(F.col("key").alias("a"), "b")
         else:
             star = now.join(each.select("at", "p"), "at").select(F.col("key").alias("b"), "n", "label", F.col("p.key").alias("a"), F.col("p.n").alias("m"), F.col("p.label").alias("other"))
-            pairs = star.where((F.col("label") != F.col("other")) & _may("n", "m")).groupBy("b").agg(F.min_by("a", F.xxhash64("a", F.lit(k))).alias("a"))
+            star = star.where((F.col("label") != F.col("other")) & _may("n", "m")).select("a", "b").distinct()
+            pairs = _near(star, distinct).groupBy("b").agg(F.min_by("a", F.xxhash64("a", F.lit(k))).alias("a"))
         pairs = durable(pairs.select("a", "b").distinct())
         new = durable(_checked(pairs, sets))
         links = links.union(new)
         found = components(links)
         if last:
             break
-        last = 10 * new.count() < pairs.count()  # stars that merge little have done their part
+        last = STEADY * BANDS * new.count() < size["rows"]  # stars that merge few of what is left have done their part
     return found
 
 
