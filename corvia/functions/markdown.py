@@ -218,6 +218,12 @@ def example_blocks(found: DataFrame) -> DataFrame:
     return found.where((F.col("kind") == "code") & F.col("heading").rlike(EXAMPLE_HEADING))
 
 
+def signatures_column(text: Column) -> Column:
+    """The names that are declared in code fences, in order, once each."""
+    fences = F.regexp_extract_all(F.concat(F.lit("\n"), text), F.lit(r"(?s)\n```[^\n]*\n(.*?)\n```"), F.lit(1))
+    return F.array_distinct(F.flatten(F.transform(fences, lambda f: F.regexp_extract_all(f, F.lit(r"(?m)^[^\n;#/=(]*?\b([A-Za-z_]\w*)\s*\([^;{}]*\)\s*[;{]"), F.lit(1)))))
+
+
 def unparsed_images(text: str) -> list[tuple]:
     """(line,) of image openings outside code that are no image."""
     scan = masked(text)

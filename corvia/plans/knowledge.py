@@ -189,40 +189,129 @@ def _routed(trace: list[dict], route: str, n_wiki: int, n_sources: int, spent: i
     return out
 
 
-def query_documents(docs: DataFrame, queries: DataFrame, namespace: str, version: str, language: str | None = None, top_k: int = 10) -> DataFrame:
-    """(query_id, id, score, rank, route): by name where a query names a document, else sparse search in the scope.
+def query_documents(docs: DataFrame, queries: DataFrame, namespace: str, version: str, language: str | None = None, top_k: int = 10, embed: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(query_id, id, score, rank, route): by name where a query names a document, else semantic search in the scope.
 
-    docs: id, name, api_id, text and the scope's columns; queries: (query_id, text), a request's 100 at most.
+    docs: id, name, api_id, text and the scope's columns; queries: (query_id, text). Semantic search is that of dense
+    vectors (dense_embedding, against ``embed`` of the query's text) if an embedder is given, else of sparse ones.
     """
     held = docs.where(scope.document_filter(namespace, version, language))
     named = retrieval.exact_names(queries, held, limit=top_k)
     rest = queries.join(named.select("query_id").distinct(), "query_id", "left_anti")
-    found = retrieval.sparse_top_k(held.withColumnRenamed("id", "doc_id"), rest, top_k)
+    if embed is not None:
+        found = retrieval.dense_top_k(held, rest.withColumn("vector", embed(F.col("text"))), top_k, "id", "dense_embedding")
+    else:
+        found = retrieval.sparse_top_k(held, rest, top_k, "id")
     return named.select("query_id", "id", F.lit(None).cast("double").alias("score"), "rank", F.lit("name").alias("route")).union(found.select("query_id", "id", "score", "rank", F.lit("semantic").alias("route")))
 
 
-def build_index(files: DataFrame, table: DataFrame, ingested_at: Column, dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The vector table's scalar rows after YAML files, and a record of the run (parsed, failed, duplicate, indexed)."""
-    parsed = api_documents.parse(files)
-    good = parsed.where("error is null")
+def query_batch(docs: DataFrame, queries: DataFrame, top_k: int = 10, embed: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Answers of queries (query_id, text, namespace, version, language) that each have a scope of their own, and an audit
+    row for each query: its strategy, how many documents it got, and its error. One bad query spoils no other.
+
+    Scopes are answered one after another; a request has few.
+    """
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    error = F.when(blank("text"), "EMPTY_QUERY").when(blank("namespace") | blank("version"), "SCOPE_REQUIRED")
+    judged = durable(queries.withColumn("error", error))
+    good = judged.where("error IS NULL")
+    found = None
+    for row in good.select("namespace", "version", "language").distinct().orderBy("namespace", "version", "language").collect():
+        own = good.where((F.col("namespace") == row[0]) & (F.col("version") == row[1]) & F.col("language").eqNullSafe(F.lit(row[2])))
+        some = query_documents(docs, own.select("query_id", "text"), row[0], row[1], row[2], top_k, embed)
+        found = some if found is None else found.unionByName(some)
+    if found is None:
+        kinds = dict(queries.dtypes)["query_id"], dict(docs.dtypes)["id"]
+        found = docs.sparkSession.createDataFrame([], f"query_id {kinds[0]}, id {kinds[1]}, score double, rank int, route string")
+    found = durable(found)
+    counts = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("documents"), F.min("route").alias("strategy"))
+    audit = judged.join(counts, "query_id", "left").select("query_id", "text", "namespace", "version", "language", F.coalesce("strategy", F.when(F.col("error").isNull(), "semantic")).alias("strategy"), F.coalesce("documents", F.lit(0)).alias("documents"), "error")
+    return found, audit
+
+
+def with_vectors(rows: DataFrame, id_col: str, dense: Column, sparse: Column, embed: Callable[[Column], Column]) -> DataFrame:
+    """Rows with dense_embedding and sparse_embedding; document frequencies are those of the rows themselves."""
+    texts = durable(rows.withColumn("_sparse", sparse))
+    n = texts.count()
+    vectors = retrieval.sparse_vectors(texts, id_col, F.col("_sparse"), retrieval.document_frequency(texts, F.col("_sparse")), n)
+    maps = vectors.groupBy(id_col).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("token_id", "weight")))).alias("sparse_embedding"))
+    found = texts.withColumn("dense_embedding", embed(dense)).drop("_sparse").join(maps, id_col, "left")
+    return found.withColumn("sparse_embedding", F.coalesce("sparse_embedding", F.create_map().cast("map<int,double>")))
+
+
+def build_index(files: DataFrame, table: DataFrame, ingested_at: Column, dry_run: bool = False, embed: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The vector table after YAML files, and a record of the run: counts, status and the errors by file or id.
+
+    All rows of an id that occurs twice in the batch are left out. With an embedder rows have their dense and sparse
+    vectors. A dry run changes nothing.
+    """
+    parsed = durable(api_documents.parse(files))
+    good = parsed.where("error IS NULL")
     kept = api_documents.unique(good)
+    repeated = state.duplicate_keys(good, F.col("id")).select(F.col("key").alias("source"), F.lit("duplicate").alias("stage"), F.concat(F.lit("occurs "), "n", F.lit(" times; all rows are left out")).alias("message"))
+    errors = parsed.where("error IS NOT NULL").select(F.col("path").alias("source"), F.lit("parse").alias("stage"), F.col("error").alias("message")).union(repeated)
     rows = api_documents.project(kept, ingested_at)
-    record = parsed.agg(F.count_if(F.col("error").isNull()).alias("parsed"), F.count_if(F.col("error").isNotNull()).alias("failed")).join(F.broadcast(kept.agg(F.count(F.lit(1)).alias("indexed"))))
-    record = record.withColumn("duplicate", F.col("parsed") - F.col("indexed")).withColumn("dry_run", F.lit(dry_run))
-    return (table if dry_run else state.upsert(table, rows.select(*[c for c in table.columns if c in rows.columns]), ["id"])), record
+    if embed is not None:
+        rows = with_vectors(rows, "id", api_documents.dense_text(), api_documents.sparse_text(), embed)
+    rows = durable(rows)
+    n_parsed, n_indexed = good.count(), rows.count()
+    listed = durable(errors.orderBy("stage", "source"))
+    failed = listed.count()
+    status = "failed" if not n_parsed or not dry_run and not n_indexed else "partial" if failed else "dry_run" if dry_run else "succeeded"
+    n_bad = parsed.count() - n_parsed
+    record = files.sparkSession.createDataFrame([(n_parsed, n_bad, n_parsed - n_indexed, 0 if dry_run else n_indexed, failed, status, dry_run)], "parsed long, failed long, duplicate long, indexed long, errors long, status string, dry_run boolean")
+    wanted = [c for c in table.columns if c in rows.columns]
+    return (table if dry_run else state.upsert(table, rows.select(*wanted), ["id"])), record
+
+
+def index_preview(files: DataFrame, ingested_at: Column) -> DataFrame:
+    """(path, id, fields, error): what each document of YAML files would become, as JSON; vectors are not made."""
+    parsed = api_documents.parse(files)
+    rows = api_documents.project(parsed.where("error IS NULL"), ingested_at)
+    shown = rows.select("id", F.to_json(F.struct(*[c for c in rows.columns if c != "id"])).alias("fields"))
+    return parsed.select("path", "id", "error").join(shown, "id", "left")
 
 
-def reindex(artifacts: DataFrame, index: DataFrame, where: scope.Scope) -> tuple[DataFrame, DataFrame]:
-    """The sparse index rows (id, scope, token_id, weight) with a scope rebuilt, and what differed before (id, problem)."""
+def artifact_rows(artifacts: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:
+    """Active artifacts (ARTIFACT columns, source_revision_id and versions if there are any) as rows of the knowledge index:
+    scalar fields, claims, relations and provenance as JSON, dense and sparse vectors. No text to index is an error."""
+    d = F.col("draft")
+    text = catalog.index_text(d)
+    text = F.when(F.coalesce(F.trim(text), F.lit("")) == "", F.raise_error(F.concat(F.lit("no text to index: "), "artifact_revision_id"))).otherwise(text)
+    said = [c for c in ("source_revision_id", "extractor_version", "prompt_version", "model", "schema_version") if c in artifacts.columns]
+    rows = artifacts.select(
+        "artifact_id", "artifact_revision_id", d["artifact_type"].alias("artifact_type"), "wiki_id", d["namespace"].alias("namespace"), d["version"].alias("version"), d["canonical_name"].alias("canonical_name"), d["aliases"].alias("aliases"), "status", "source_ids",
+        d["title"].alias("title"), d["summary"].alias("summary"), F.to_json(d["claims"]).alias("claims_json"), F.to_json(d["related_artifacts"]).alias("relations_json"), F.to_json(F.struct("wiki_id", "source_ids", *said)).alias("provenance_json"), text.alias("_text"),
+    )
+    return with_vectors(rows, "artifact_id", F.col("_text"), F.col("_text"), embed).drop("_text")
+
+
+def reindex(artifacts: DataFrame, index: DataFrame, where: scope.Scope, dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The sparse index rows (id, scope, token_id, weight) with a scope rebuilt, and what differed before (id, problem).
+
+    Artifact ids that the catalog returns twice are an error, and nothing is rebuilt; a dry run leaves the index.
+    """
     live = artifacts.where(scope.knowledge_filter(where, F.col("status") == "active"))
+    if repeated := [r["key"] for r in state.duplicate_keys(live, F.col("artifact_id")).orderBy("key").limit(5).collect()]:
+        raise ValueError(f"the catalog has these artifacts twice: {repeated}")
     own = index.where(scope.knowledge_filter(where))
     problems = state.index_consistency(live.select(F.col("artifact_id").alias("id")), own.select("id").distinct())
+    if dry_run:
+        return index, problems
     text = F.concat_ws("\n", "canonical_name", F.array_join(F.coalesce("aliases", F.array().cast("array<string>")), "\n"), "title", "summary")
     vectors = retrieval.sparse_vectors(live, "artifact_id", text, retrieval.document_frequency(live, text), live.count())
     fresh = vectors.select(F.col("artifact_id").alias("id"), F.lit(where.wiki_id).alias("wiki_id"), F.lit(where.namespace).alias("namespace"), F.lit(where.version).alias("version"), "token_id", "weight")
     return index.where(~scope.knowledge_filter(where)).unionByName(fresh), problems
 
 
+def reindex_report(artifacts: DataFrame, problems: DataFrame, where: scope.Scope, batch_size: int = 100, dry_run: bool = False) -> dict:
+    """Status, counts and warnings of a rebuild."""
+    if batch_size < 1:
+        raise ValueError("a batch has a row at least")
+    n = artifacts.where(scope.knowledge_filter(where, F.col("status") == "active")).count()
+    return {"status": "dry_run" if dry_run else "succeeded", "discovered": n, "indexed": 0 if dry_run else n, "batches": 0 if dry_run else -(-n // batch_size), "problems": problems.count(), "warnings": ["DRY_RUN_NO_INDEX_WRITE"] if dry_run else []}
+
+
 def extract_artifacts(sections: DataFrame) -> DataFrame:
     """A rule-based stand-in for model extraction: each section (document_id, namespace, version, title, body) is a concept."""
     claim = F.struct(F.substring_index("body", "\n", 1).alias("text"), F.lit("medium").alias("confidence"))
@@ -247,6 +336,32 @@ def profile_schema(fields: list[dict]) -> T.StructType:
     return T.StructType([T.StructField(f["name"], T._parse_datatype_string(f["type"]), f.get("nullable", True), {k: f[k] for k in ("indexed", "metric", "dimension", "source") if k in f}) for f in fields])
 
 
+@dataclass(frozen=True)
+class Profile:
+    """What belongs to a kind of collection: its schema, its embedder and how many documents a search gives."""
+
+    name: str
+    schema: T.StructType
+    embedder: str = "hash"
+    top_k: int = 10
+
+    def embed(self, text: Column) -> Column:
+        return EMBEDDERS[self.embedder](text)
+
+
+class Profiles:
+    """Profiles by name; a collection takes its own, else the default."""
+
+    def __init__(self, default: Profile, *others: Profile, collections: dict[str, str] | None = None):
+        self.default, self.by_name, self.collections = default, {p.name: p for p in (default, *others)}, dict(collections or {})
+
+    def resolve(self, name: str | None = None, collection: str | None = None) -> Profile:
+        wanted = name or self.collections.get(collection or "", self.default.name)
+        if wanted not in self.by_name:
+            raise KeyError(f"no profile {wanted}; there are {sorted(self.by_name)}")
+        return self.by_name[wanted]
+
+
 def update_knowledge(sources: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sources with their outcome, and the counts of a run: only created and updated ones go on to extraction."""
     judged = catalog.updates_due(sources, known)
@@ -256,3 +371,73 @@ def update_knowledge(sources: DataFrame, known: DataFrame) -> tuple[DataFrame, D
 def batch_top(hits: DataFrame, k: int) -> DataFrame:
     """The k best hits of every query of a batch."""
     return top_per(hits, ["query_id"], k, [F.desc("score"), F.col("id")])
+
+
+#: An answer flow: (questions, contexts) -> (question_id, answer). Model calls are left to others; these stand in for them.
+AnswerFlow = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def answered(questions: DataFrame, contexts: DataFrame, most: int = 600) -> DataFrame:
+    """(question_id, answer, sources): the first sentence of each of a question's contexts, in order; a deterministic
+    stand-in for a model that answers from what it is given.
+
+    contexts: question_id, source, text, rank. A question without any context says so.
+    """
+    lead = F.regexp_extract("text", r"(?s)^\s*(.*?[.!?。！？](?=\s|$)|.*)", 1)
+    some = contexts.withColumn("_lead", F.trim(lead)).where("_lead <> ''")
+    held = top_per(some, ["question_id"], 5, [F.col("rank"), F.col("source")], "_r").groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("_r", "_lead", "source"))).alias("_c"))
+    joined = questions.join(held, "question_id", "left")
+    text = F.array_join(F.transform("_c", lambda c: c["_lead"]), " ")
+    return joined.select("question_id", F.coalesce(F.substring(text, 1, most), F.lit("There is no context for this question.")).alias("answer"), F.coalesce(F.transform("_c", lambda c: c["source"]), F.array().cast("array<string>")).alias("sources"))
+
+
+def direct_flow(questions: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Answers without any context."""
+    return answered(questions, contexts.limit(0))
+
+
+def retrieved_flow(docs: DataFrame, k: int = 5) -> AnswerFlow:
+    """Answers from the k documents (id, text) that sparse search finds for a question."""
+
+    def flow(questions: DataFrame, contexts: DataFrame) -> DataFrame:
+        found = retrieval.sparse_top_k(docs, questions.select(F.col("question_id").alias("query_id"), F.col("question").alias("text")), k, "id")
+        rows = found.join(docs.select("id", "text"), "id").select(F.col("query_id").alias("question_id"), F.col("id").cast("string").alias("source"), "text", "rank")
+        return answered(questions, rows)
+
+    return flow
+
+
+def given_flow(documents: DataFrame) -> AnswerFlow:
+    """Answers from the documents (document_id, content) that a question names (document_ids), in its order."""
+
+    def flow(questions: DataFrame, contexts: DataFrame) -> DataFrame:
+        wanted = questions.select("question_id", F.posexplode("document_ids").alias("rank", "document_id"))
+        rows = wanted.join(documents, "document_id").select("question_id", F.col("document_id").alias("source"), F.col("content").alias("text"), "rank")
+        return answered(questions, rows)
+
+    return flow
+
+
+FLOWS: dict[str, Callable[..., AnswerFlow]] = {"direct": lambda: direct_flow, "retrieved": retrieved_flow, "given": given_flow}
+
+
+def test_set_rounds(documents: DataFrame, groups: DataFrame, used: DataFrame, rounds: int, seed: int) -> DataFrame:
+    """(round, filename, mode, selected): one question's documents for each unused document, dealt to rounds in turn.
+
+    One in ten is a comparison, with one or two others of its group; the others stand alone or, one in ten, with up to
+    two related ones of their group. All draws are by hash, so a run that is resumed draws the same.
+    """
+    from corvia.operators import cases
+
+    fresh = documents.join(used.select("filename").distinct(), "filename", "left_anti")
+    dealt = cases.allocate(fresh, rounds, seed)
+    beside = groups.select("group_id", F.explode("files").alias("filename")).join(groups.select("group_id", F.explode("files").alias("other")), "group_id").where("filename <> other")
+    order = F.xxhash64(F.lit(seed), "filename", "other")
+    others = top_per(beside.select("filename", "other").distinct(), ["filename"], 2, [order, F.col("other")], "_r").groupBy("filename").agg(F.array_sort(F.collect_list(F.struct("_r", "other"))).alias("_o"))
+    mode = cases.draw_mode(F.col("filename"), seed)
+    widened = cases.draw_mode(F.col("filename"), seed + 1) == "comparison"
+    n = F.when(mode == "comparison", 1 + F.pmod(F.xxhash64(F.lit(seed + 2), "filename"), F.lit(2))).when(widened, 2).otherwise(0)
+    some = F.slice(F.transform(F.coalesce("_o", F.array().cast("array<struct<_r:int,other:string>>")), lambda o: o["other"]), 1, n.cast("int"))
+    found = dealt.join(others, "filename", "left").withColumn("selected", F.concat(F.array("filename"), some))
+    kind = F.when(F.size("selected") == 1, "single").when(mode == "comparison", "comparison").otherwise("mixed")
+    return found.select("round", "filename", kind.alias("mode"), "selected")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -110,3 +113,122 @@ def append(df: DataFrame, path: str, by: list[str] | None = None) -> None:
 
 def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+# YAML packages as files, manifests of runs, roots and names
+
+
+def as_yaml(package: Column) -> Column:
+    """JSON packages as YAML, keys in their order, other scripts as they are."""
+
+    @F.pandas_udf("string")
+    def dumped(values: pd.Series) -> pd.Series:
+        import yaml
+
+        return values.map(lambda v: None if v is None else yaml.safe_dump(json.loads(v), allow_unicode=True, sort_keys=False, width=1 << 20))
+
+    return dumped(package)
+
+
+def round_trips(package: Column, text: Column) -> Column:
+    """Whether YAML text holds just what the JSON package does; a key that occurs twice, or another type, is none."""
+
+    @F.pandas_udf("boolean")
+    def same(packages: pd.Series, texts: pd.Series) -> pd.Series:
+        from corvia.sources.api_documents import load_unique
+
+        def one(p, t):
+            try:
+                return load_unique(t) == [json.loads(p)]
+            except Exception:  # what can't be read doesn't hold it
+                return False
+
+        return pd.Series([p is not None and t is not None and one(p, t) for p, t in zip(packages, texts, strict=True)])
+
+    return same(package, text)
+
+
+def write_files(df: DataFrame, root: str, path_col: str = "path", text_col: str = "text") -> DataFrame:
+    """(path, bytes, error): each row's text as a file of its own below root, complete or not there at all.
+
+    A file is written under a name of its own beside its place and then renamed, by the task that has the row, through
+    the file system of the root. Unsafe paths are errors. For packages of a run, not for tables.
+    """
+    if "://" in root and not root.startswith("file:"):
+        raise ValueError("files of their own go to a shared folder; other stores take tables (write_snapshot)")
+    folder = root.removeprefix("file://")
+
+    def of(parts):
+        import os
+        import uuid
+
+        for part in parts:
+            out = []
+            for path, text in zip(part["path"], part["text"], strict=True):
+                try:
+                    if path is None or text is None or path.startswith("/") or ".." in path.split("/") or not path:
+                        raise ValueError("unsafe path" if text is not None else "no text")
+                    target = os.path.join(folder, path)
+                    os.makedirs(os.path.dirname(target), exist_ok=True)
+                    beside = f"{target}.{uuid.uuid4().hex}.tmp"
+                    with open(beside, "w", encoding="utf-8") as f:
+                        f.write(text)
+                    os.replace(beside, target)
+                    out.append((path, len(text.encode()), None))
+                except (OSError, ValueError) as e:
+                    out.append((path, None, str(e)))
+            yield pd.DataFrame(out, columns=["path", "bytes", "error"])
+
+    found = df.select(F.col(path_col).alias("path"), F.col(text_col).alias("text")).mapInPandas(of, "path string, bytes long, error string")
+    return found
+
+
+def pending_manifest(candidates: DataFrame, done: DataFrame) -> DataFrame:
+    """(path): candidates (path, content_hash) that no finished output (path, content_hash) is of."""
+    return candidates.select("path", "content_hash").distinct().join(done.select("path", "content_hash").distinct(), ["path", "content_hash"], "left_anti").select("path").orderBy("path")
+
+
+def completed(outputs: DataFrame, sources: DataFrame) -> DataFrame:
+    """Outputs (path, schema_version, content_hash, issues) with done: of this schema, without issues, of the source as
+    it is now (path, text)."""
+    now = sources.select("path", F.concat(F.lit("sha256:"), F.sha2(F.col("text").cast("binary"), 256)).alias("_now"))
+    fine = (F.col("schema_version") == "2.1") & (F.size(F.coalesce("issues", F.array().cast("array<string>"))) == 0) & (F.col("content_hash") == F.col("_now"))
+    return outputs.join(now, "path", "left").withColumn("done", F.coalesce(fine, F.lit(False))).drop("_now")
+
+
+def under_roots(path: Column, roots: list[str]) -> Column:
+    """Whether a path lies below one of the roots that are allowed; dots that lead out are not followed."""
+    inside = F.lit(False)
+    for root in roots:
+        inside = inside | path.startswith(root.rstrip("/") + "/")
+    return F.coalesce(inside & ~path.rlike(r"(^|/)\.\.(/|$)"), F.lit(False))
+
+
+class Aliases:
+    """Names of collections: a logical name stands for a table's path; a name of its own is looked up as such."""
+
+    def __init__(self, aliases: dict[str, str], default: str | None = None):
+        self.aliases, self.default = dict(aliases), default
+
+    def resolve(self, name: str | None) -> str:
+        wanted = name or self.default
+        if wanted in self.aliases:
+            return self.aliases[wanted]
+        if wanted in self.aliases.values():
+            return wanted
+        raise KeyError(f"no collection {wanted}; there are {sorted(self.aliases)}")
+
+
+def keys_with_prefix(values: DataFrame, prefix: str) -> DataFrame:
+    """Rows (key, ...) whose key begins with a prefix, by key; a prefix is text, not a pattern."""
+    return values.where(F.col("key").startswith(F.lit(prefix))).orderBy("key")
+
+
+def summaries(documents: DataFrame, model: Column | None = None) -> DataFrame:
+    """(filename, module, summary, apis) of markdown documents (path, text): the model's summary if there is one, else
+    the first heading and paragraph."""
+    from corvia.functions.markdown import signatures_column
+
+    first = F.trim(F.regexp_replace(shallow(F.col("text"), 12), r"(?m)^#+\s*|\s+", " "))
+    short = F.substring(first, 1, 200)
+    return documents.select(F.substring_index("path", "/", -1).alias("filename"), F.get(F.reverse(F.split("path", "/")), F.lit(1)).alias("module"), F.coalesce(F.nullif(F.trim(model), F.lit("")), short).alias("summary") if model is not None else short.alias("summary"), signatures_column(F.col("text")).alias("apis"))
