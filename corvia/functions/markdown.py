@@ -10,6 +10,8 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from corvia.functions.text import strip
 from pyspark.sql import types as T
 
 # What marks pages that are no unit of their own, and sections of an API's description.
@@ -78,7 +80,7 @@ def sections(text: Column) -> Column:
 
 def section_after(text: Column, heading: str) -> Column:
     """What stands under a fourth-level heading."""
-    return F.trim(F.regexp_extract(text, rf"(?ms)^####[ \t]+{heading}[ \t]*\n(.*?)(?=^#{{1,4}} |\z)", 1))
+    return strip(F.regexp_extract(text, rf"(?ms)^####[ \t]+{heading}[ \t]*\n(.*?)(?=^#{{1,4}} |\z)", 1))
 
 
 def signature_of(signature: Column, body: Column, heading: str = "(?:函数原型|Function Prototype)") -> Column:

@@ -317,6 +317,7 @@ def parse_pages(pages: DataFrame, keep: list[str], options: Options | None = Non
     options, labels = options or Options(), labels or {}
     more = {"title_hint": F.lit(""), "hierarchy": F.array().cast("array<string>"), "has_path": F.lit(False), "node_id": F.lit(""), "status_code": F.lit(200), "content_type": F.lit("text/html")}
     given = [F.coalesce(F.col(c), d).alias(f"_{c}") if c in pages.columns else d.alias(f"_{c}") for c, d in more.items()]
+    columns = [f"_{c}" for c in more]
     names = [c.split()[0] for c in re.split(r",\s*(?![^<]*>)", SCHEMA)]
 
     def one(uri, html, hint, known, has_path, node, status, kind) -> tuple:
@@ -332,7 +333,7 @@ def parse_pages(pages: DataFrame, keep: list[str], options: Options | None = Non
 
     def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            found = [one(*row) for row in zip(part["_uri"], part["_html"], *(part[f"_{c}"] for c in more), strict=True)]
+            found = [one(*row) for row in zip(part["_uri"], part["_html"], *(part[c] for c in columns), strict=True)]
             yield pd.concat([part[keep].reset_index(drop=True), pd.DataFrame(found, columns=names)], axis=1)
 
     kinds = dict(pages.dtypes)

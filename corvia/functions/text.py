@@ -166,6 +166,34 @@ def default_namespace_segment(segment: Column, known: dict[str, str]) -> Column:
     return F.coalesce(named, F.when(F.regexp_replace(plain, "_", "") == "", "unknown").otherwise(F.regexp_replace(plain, "^_+|_+$", "")))
 
 
+def namespace_of_path(path: Column, version: Column, below: str, prefix: str, known: dict[str, str] | None = None) -> Column:
+    """prefix.segment, and the version if there is one, from the folder right under ``below``; null if there is none."""
+    parts = F.split(path, "/")
+    at = F.array_position(parts, below)
+    product = F.when((at > 0) & (at < F.size(parts)), F.get(parts, at.cast("int")))
+    base = F.concat(F.lit(f"{prefix}."), default_namespace_segment(product, known or {}))
+    return F.when(F.coalesce(version, F.lit("")) != "", F.concat(base, F.lit("."), version)).otherwise(base)
+
+
+def authoritative_hints(given: dict[str, Column], path: Column, markdown: Column, source_url: Column, version_pattern: str, below: str, prefix: str, languages: dict[str, str] | None = None, categories: dict[str, str] | None = None, namespaces: dict[str, str] | None = None, known: dict[str, str] | None = None) -> Column:
+    """struct(name, version, language, namespace, category, chunk_id) that rules give before a model is asked.
+
+    What is given stands. Else the name is the first heading, the version what the pattern's group finds in the URL;
+    folders of the path give language, namespace prefix and category; any other namespace follows from the path.
+    """
+    parts = F.split(path, "/")
+    blank = F.lit(None).cast("string")
+    of = lambda name: given.get(name, blank)
+    by_folder = lambda table: F.coalesce(*[F.when(F.array_contains(parts, k), F.lit(v)) for k, v in (table or {}).items()], blank)
+    name = F.coalesce(of("name"), F.nullif(F.trim(F.regexp_extract(markdown, r"(?m)^#[ \t]+(.+?)[ \t]*$", 1)), F.lit("")))
+    version = F.coalesce(of("version"), F.nullif(F.regexp_extract(source_url, version_pattern, 1), F.lit("")))
+    special = F.when(version.isNotNull(), F.concat(by_folder(namespaces), F.lit("."), version))
+    namespace = F.coalesce(of("namespace"), special)
+    whole = F.coalesce(namespace, namespace_of_path(path, version, below, prefix, known))
+    chunk = F.coalesce(of("chunk_id"), F.when(normalized_api_name(name) != "", chunk_id(namespace, name)))
+    return F.struct(name.alias("name"), version.alias("version"), F.coalesce(of("language"), by_folder(languages)).alias("language"), whole.alias("namespace"), F.coalesce(of("category"), by_folder(categories)).alias("category"), chunk.alias("chunk_id"))
+
+
 # URLs
 
 

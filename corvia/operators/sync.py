@@ -265,5 +265,5 @@ def retry_delay(attempt: Column, first: float = 1.0, most: float = 60.0, retry_a
         return F.least(F.lit(most), doubled)
     date = F.try_to_timestamp(F.regexp_replace(retry_after, r"^[A-Za-z]{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
     until = F.unix_timestamp(date) - F.unix_timestamp(now if now is not None else F.current_timestamp())
-    said = F.coalesce(retry_after.try_cast("double"), F.greatest(until, F.lit(0)).cast("double"))
+    said = F.coalesce(retry_after.try_cast("double"), F.when(until < 0, 0).otherwise(until).cast("double"))
     return F.greatest(F.lit(0.0), F.least(F.lit(most), F.coalesce(said, doubled)))

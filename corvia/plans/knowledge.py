@@ -240,30 +240,37 @@ def with_vectors(rows: DataFrame, id_col: str, dense: Column, sparse: Column, em
 
 
 def build_index(files: DataFrame, table: DataFrame, ingested_at: Column, dry_run: bool = False, embed: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
-    """The vector table after YAML files, and a record of the run: counts, status and the errors by file or id.
+    """The vector table after YAML files, and a record of the run (parsed, failed, duplicate, indexed, dry_run).
 
     All rows of an id that occurs twice in the batch are left out. With an embedder rows have their dense and sparse
-    vectors. A dry run changes nothing.
+    vectors. A dry run changes nothing; its record counts what would be indexed.
     """
     parsed = durable(api_documents.parse(files))
     good = parsed.where("error IS NULL")
-    kept = api_documents.unique(good)
-    repeated = state.duplicate_keys(good, F.col("id")).select(F.col("key").alias("source"), F.lit("duplicate").alias("stage"), F.concat(F.lit("occurs "), "n", F.lit(" times; all rows are left out")).alias("message"))
-    errors = parsed.where("error IS NOT NULL").select(F.col("path").alias("source"), F.lit("parse").alias("stage"), F.col("error").alias("message")).union(repeated)
-    rows = api_documents.project(kept, ingested_at)
+    rows = api_documents.project(api_documents.unique(good), ingested_at)
     if embed is not None:
         rows = with_vectors(rows, "id", api_documents.dense_text(), api_documents.sparse_text(), embed)
     rows = durable(rows)
     n_parsed, n_indexed = good.count(), rows.count()
-    listed = durable(errors.orderBy("stage", "source"))
-    failed = listed.count()
-    status = "failed" if not n_parsed or not dry_run and not n_indexed else "partial" if failed else "dry_run" if dry_run else "succeeded"
-    n_bad = parsed.count() - n_parsed
-    record = files.sparkSession.createDataFrame([(n_parsed, n_bad, n_parsed - n_indexed, 0 if dry_run else n_indexed, failed, status, dry_run)], "parsed long, failed long, duplicate long, indexed long, errors long, status string, dry_run boolean")
+    record = files.sparkSession.createDataFrame([(n_parsed, parsed.count() - n_parsed, n_indexed, n_parsed - n_indexed, dry_run)], "parsed long, failed long, indexed long, duplicate long, dry_run boolean")
     wanted = [c for c in table.columns if c in rows.columns]
     return (table if dry_run else state.upsert(table, rows.select(*wanted), ["id"])), record
 
 
+def index_errors(files: DataFrame) -> DataFrame:
+    """(source, stage, message): files that can't be parsed, and ids that occur twice in the batch."""
+    parsed = durable(api_documents.parse(files))
+    repeated = state.duplicate_keys(parsed.where("error IS NULL"), F.col("id")).select(F.col("key").alias("source"), F.lit("duplicate").alias("stage"), F.concat(F.lit("occurs "), "n", F.lit(" times; all rows are left out")).alias("message"))
+    return parsed.where("error IS NOT NULL").select(F.col("path").alias("source"), F.lit("parse").alias("stage"), F.col("error").alias("message")).union(repeated)
+
+
+def run_record(record: DataFrame, errors: DataFrame) -> DataFrame:
+    """A record of a run with the number of its errors and its status."""
+    n = errors.count()
+    status = F.when((F.col("parsed") == 0) | (~F.col("dry_run") & (F.col("indexed") == 0)), "failed").when(F.lit(n > 0), "partial").when(F.col("dry_run"), "dry_run").otherwise("succeeded")
+    return record.withColumn("errors", F.lit(n)).withColumn("status", status)
+
+
 def index_preview(files: DataFrame, ingested_at: Column) -> DataFrame:
     """(path, id, fields, error): what each document of YAML files would become, as JSON; vectors are not made."""
     parsed = api_documents.parse(files)

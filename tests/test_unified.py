@@ -138,9 +138,9 @@ def test_index_with_vectors(spark):
     rows, record = knowledge.build_index(files, table, F.lit(1), embed=knowledge.hash_embedding)
     row = rows.collect()
     assert [r["name"] for r in row] == ["Add"] and len(row[0]["dense_embedding"]) == 64 and row[0]["sparse_embedding"]
-    assert record.first().asDict() == {"parsed": 3, "failed": 1, "duplicate": 2, "indexed": 1, "errors": 2, "status": "partial", "dry_run": False}
+    assert knowledge.run_record(record, knowledge.index_errors(files)).first().asDict() == {"parsed": 3, "failed": 1, "duplicate": 2, "indexed": 1, "errors": 2, "status": "partial", "dry_run": False}
     same, dry = knowledge.build_index(files.where("path < 'b'"), table, F.lit(1), dry_run=True)
-    assert same.count() == 0 and dry.first()["status"] == "dry_run"
+    assert same.count() == 0 and knowledge.run_record(dry, knowledge.index_errors(files.where("path < 'b'"))).first()["status"] == "dry_run"
     shown = knowledge.index_preview(files, F.lit(1))
     assert shown.where("error IS NULL AND fields LIKE '%does%'").count() >= 2 and shown.where("error IS NOT NULL").count() == 1
     assert api_documents.ready(api_documents.parse(files).where("path = 'a.yaml'")).first()["ok"]
