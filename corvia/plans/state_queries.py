@@ -204,3 +204,50 @@ def resume_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), "question")
     done = turns.where("role = 'assistant'").select("question", F.when(F.length("text") > 200, 200).otherwise(F.length("text") - 1).alias("output_length"), F.when(F.length("text") > 200, 200).otherwise(F.length("text")).alias("output_limit"))
     return cases.pending(records, done).select("ord", "question", "next_limit")
+
+
+@query("""
+WITH state AS (
+  SELECT doc_id::VARCHAR AS document_id, md5(substr(text, 1, 40)) AS canonical_uri, source || CASE WHEN lang = 'en' THEN '/en/' ELSE '/' END || doc_id || '.md' AS relative_path, n_chars % 3 > 0 AS present, n_chars::BIGINT AS mtime FROM documents
+), refs AS (
+  SELECT canonical_uri, 'new:' || canonical_uri AS document_id, CASE WHEN count(*) > 2 THEN min(relative_path) END AS preferred_path FROM state GROUP BY canonical_uri HAVING min(document_id) LIKE '%1%'
+), keyed AS (
+  SELECT coalesce(r.document_id, s.document_id) AS document_id, canonical_uri, relative_path,
+         row_number() OVER (PARTITION BY coalesce(r.document_id, s.document_id) ORDER BY (relative_path = preferred_path) IS TRUE DESC, present DESC, len(string_split(relative_path, '/')) DESC, mtime, relative_path DESC) AS n
+  FROM state s LEFT JOIN refs r USING (canonical_uri)
+)
+SELECT document_id, canonical_uri, relative_path FROM keyed WHERE n = 1
+""")
+def sync_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States under the ids that their addresses have now, the preferred, existing, deepest, oldest file of each."""
+    path = F.concat("source", F.when(F.col("lang") == "en", "/en/").otherwise("/"), "doc_id", F.lit(".md"))
+    old = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.md5(F.substring("text", 1, 40).cast("binary")).alias("canonical_uri"), path.alias("relative_path"), (F.col("n_chars") % 3 > 0).alias("present"), F.col("n_chars").cast("long").alias("mtime"))
+    refs = old.groupBy("canonical_uri").agg(F.when(F.count(F.lit(1)) > 2, F.min("relative_path")).alias("preferred_path"), F.min("document_id").alias("_m")).where("_m LIKE '%1%'")
+    return sync.reconcile(old, refs.withColumn("document_id", F.concat(F.lit("new:"), "canonical_uri"))).select("document_id", "canonical_uri", "relative_path")
+
+
+@query(f"""
+WITH {DECIDED}
+SELECT document_id, CASE WHEN files.current_hash IS DISTINCT FROM parsed.file AND documents.source = 'src9' THEN 'failed' ELSE operation END AS operation
+FROM decided JOIN parsed USING (document_id) JOIN files USING (document_id) JOIN documents ON documents.doc_id::VARCHAR = document_id WHERE operation IN ('added', 'updated', 'restored', 'moved')
+""")
+def sync_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The open actions of a run's journal, tried again; the staged files of one source are lost."""
+    found = decided(spark, sf_dir)
+    actions = sync.journal(found, "run1", F.concat("document_id", F.lit(".md")), "/staging", "/backups")
+    sources = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "source")
+    staged = actions.join(sources, "document_id").where("source <> 'src9'").select(F.col("staging_path").alias("path"), F.col("file_hash").alias("hash"))
+    there = staged.union(found.where("current_hash IS NOT NULL").select(F.concat("document_id", F.lit(".md")), "current_hash"))
+    judged = sync.journal_problems(actions, "run1", "/staging", "/backups", there)
+    state_ = found.select("document_id", F.col("old_uri").alias("canonical_uri"), F.col("old_hash").alias("content_hash"), F.col("old_file").alias("file_hash"), "missing_count")
+    return sync.resume(actions, state_, judged)[2].select("document_id", "operation")
+
+
+@query()
+def test_set_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents dealt to ten rounds, with what goes into each question; draws are by a hash that SQL lacks."""
+    from corvia.plans import knowledge
+
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("module"), F.col("doc_id").cast("string").alias("filename"), F.array("lang").alias("apis"))
+    used = docs.where("filename LIKE '%7'").select("filename")
+    return knowledge.test_set_rounds(docs.select("filename", "module"), cases.similar_groups(docs), used, 10, 7).select("round", "filename", "mode", F.array_join("selected", ",").alias("selected"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvia.functions import markdown as md
+from corvia.functions import packages
+from corvia.functions import pages as site_pages
 from corvia.functions import text as t
 from corvia.plans.registry import query, table
 from corvia.sources.api_documents import project
@@ -93,3 +95,25 @@ FROM (SELECT *, string_split(text, chr(10))[1] AS l FROM documents)
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.get(F.split("text", "\n"), F.lit(0))
     return table(spark, sf_dir, "documents").select("doc_id", t.slug(line).alias("slug"), t.limit_output(line, 60).alias("cut"), md.image_marks(F.col("text")).cast("long").alias("images"))
+
+
+@query(r"""
+WITH p AS (
+  SELECT page_id, regexp_replace(trim(replace(replace(replace(replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')), '\s+', ' ', 'g') AS title,
+         length(trim(regexp_replace(regexp_extract(html, '(?s)</h1>(.*)</article>', 1), '<[^>]*>', '', 'g'))) >= 16 AS ok FROM pages
+)
+SELECT page_id, CASE WHEN ok THEN title END AS title, ok FROM p
+""")
+def page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The articles of all pages as markdown; the twin knows their titles."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("uri"), "html")
+    found = site_pages.parse_pages(pages, ["page_id"])
+    return found.select("page_id", "title", F.col("error").isNull().alias("ok"))
+
+
+@query()
+def package_builds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A package of schema 2.1 for each document's markdown, without fills."""
+    docs = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("path"), F.concat(F.lit("# Doc "), "doc_id", F.lit("\n"), "text").alias("text"))
+    found = packages.build_packages(docs)
+    return found.select("path", F.md5(F.col("package").cast("binary")).alias("package_md5"), "documents", F.size("open_slots").alias("open_slots"), "error")
