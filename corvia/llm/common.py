@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import sys
-import tempfile
 import types
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_type
 
+from corvia.tables import durable, new_folder, remove  # noqa: F401 (operators and the pipeline take them from here)
+
 #: Texts that a Python worker turns into objects at once.
 ROWS = 512
 
@@ -24,40 +23,6 @@ ROWS = 512
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage through a table in the shared folder: a lost executor costs no recomputation beyond it.
-
-    A written table, unlike a checkpoint, is read with its true size (sizes that are estimated from one join to the
-    next grow without end in a loop) and only in the columns that are asked for. Folders go when the driver ends.
-    """
-    folder = new_folder(df.sparkSession, "table")
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where that is unset (tests), a temporary folder on a local master, and a
-    folder beside the warehouse elsewhere."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found
-    if spark.sparkContext.master.startswith("local["):
-        return in_process("folder", spark.sparkContext.applicationId, lambda _: tempfile.mkdtemp(prefix="corvia-checkpoint-"))
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-
-
-def new_folder(spark: SparkSession, kind: str) -> str:
-    """A folder of its own in the shared one; it is removed when the driver ends."""
-    folder = f"{checkpoint_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-    atexit.register(remove, spark, folder)
-    return folder
-
-
-def remove(spark: SparkSession, folder: str) -> None:
-    with contextlib.suppress(Exception):  # the session may have ended before
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def release() -> None:
     """Give freed memory back to the system: Python workers stay around between tasks, next to those of other stages."""
     pa.default_memory_pool().release_unused()
@@ -144,6 +109,29 @@ def ranked(df: DataFrame, within: list[str], block: list[str], order: list[Colum
     return inside.join(offsets, keys).withColumn(name, F.col("_before") + F.col("_inside") - 1).drop("_before", "_inside")
 
 
+def in_ranges(df: DataFrame, order: list[Column]) -> DataFrame:
+    """The rows with ``_part``, the number of the range of the order that they are in; a written table.
+
+    Ranges are cut by a sample, but what is summed up over them in order doesn't depend on where.
+    """
+    return durable(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+
+
+def sums_before(df: DataFrame, order: list[Column], values: dict[str, Column]) -> DataFrame:
+    """df with, for each name, the sum of the values of all rows before in the order (which has no ties).
+
+    Rows are summed up within ranges, and the ranges' sums, one row each, in one place.
+    """
+    rows = in_ranges(df, order)
+    per = rows.groupBy("_part").agg(*[F.sum(v).alias(f"_s_{n}") for n, v in values.items()])
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("_part", *[F.coalesce(F.sum(f"_s_{n}").over(ahead), F.lit(0)).alias(f"_b_{n}") for n in values])
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.withColumns({f"_i_{n}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for n, v in values.items()}).join(per, "_part")
+    found = found.withColumns({n: F.col(f"_b_{n}") + F.col(f"_i_{n}") for n in values})
+    return found.drop("_part", *[f"_{x}_{n}" for n in values for x in "bi"])
+
+
 def sample_texts(rows: DataFrame, sample: int, chars: int) -> dict[str, list[str]]:
     """For each value of ``by``, at most ``sample`` distinct texts of rows (by, text; without nulls), the first by hash.
 

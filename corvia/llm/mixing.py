@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvia.llm.common import durable, n_words_of, source_key
+from corvia.llm.common import durable, n_words_of, source_key, sums_before
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -45,19 +45,21 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
     """(_key, source_size, target) for each source.
 
     With ceilings c and weights w, target = min(c, level * w). Sources reach their ceiling in the order of c / w, so
-    the level is that of the first source, in this order, that stays below its own. One row per source is windowed.
+    the level is that of the first source, in this order, that stays below its own. Sums along the sources are taken
+    within ranges of them, so any number of sources will do; sums are of whole numbers, so no order changes them.
     """
     per = sizes.groupBy("_key").agg(F.sum("size").alias("source_size"))
-    everything = Window.partitionBy(F.lit(1))
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(everything.orderBy("_key")) - 1) % len(weights) + 1)
-    per = per.withColumn("w", weight.cast("double")).withColumn("ceiling", F.col("source_size") * F.lit(float(most)))
-    order = everything.orderBy(F.col("ceiling") / F.col("w"), "_key")
-    per = per.withColumn("goal", F.sum("source_size").over(everything) * F.lit(float(share)))
-    per = per.withColumn("full", F.coalesce(F.sum("ceiling").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    per = per.withColumn("open_w", F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing)))
-    per = per.withColumn("at", (F.col("goal") - F.col("full")) / F.col("open_w"))
-    level = F.min(F.when(F.col("at") * F.col("w") <= F.col("ceiling"), F.struct(F.col("ceiling") / F.col("w"), F.col("_key"), F.col("at").alias("at")))).over(everything)["at"]
-    return per.withColumn("target", F.least(F.col("ceiling"), F.coalesce(level * F.col("w"), F.col("ceiling")))).select("_key", "source_size", "target")
+    goal, one = share, F.lit(1).cast("long")
+    placed = sums_before(per, [F.col("_key")], {"_before": one})
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("_before") % len(weights)).cast("int") + 1)
+    placed = placed.withColumn("w", weight.cast("double")).withColumn("ceiling", F.col("source_size") * F.lit(float(most)))
+    whole = placed.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("n"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("w")).first()
+    order = [F.col("ceiling") / F.col("w"), F.col("_key")]
+    found = durable(sums_before(placed, order, {"full": F.col("ceiling"), "_w_before": F.col("w")}))
+    found = found.withColumn("at", (F.lit(float(whole["n"]) * goal) - F.col("full")) / (F.lit(float(whole["w"])) - F.col("_w_before")))
+    first = found.where(F.col("at") * F.col("w") <= F.col("ceiling")).agg(F.min(F.struct(F.col("ceiling") / F.col("w"), "_key", "at"))["at"].alias("level")).first()["level"]
+    target = F.col("ceiling") if first is None else F.least(F.col("ceiling"), F.lit(first) * F.col("w"))
+    return found.select("_key", "source_size", target.alias("target"))
 
 
 def mix(docs: DataFrame, seed: int = 7, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST, size: Column | None = None) -> DataFrame:
