@@ -26,18 +26,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvia.llm.common import durable, per_text
+from corvia.llm.common import durable, per_text, release
 from corvia.llm.simhash import components, fingerprint_of, shingle_hashes, tree_candidates
 
 SIZE = 5
 #: Least similarity, as a fraction, so that it is compared in whole numbers.
 LEAST = (4, 5)
 BANDS, ROWS = 40, 5
+#: Pairs whose sets are looked at at once.
+ROWS_AT_ONCE = 512
 #: Longs of an odd sketch.
 ODD = 16
 #: Shingles that are hashed at a time.
@@ -118,25 +119,38 @@ def may_be_alike(a: np.ndarray, b: np.ndarray, n: int, m: int) -> bool:
     return LEAST[1] * both >= LEAST[0] * (n + m - both)
 
 
+def arrays_of(column: pa.Array, kind) -> list[np.ndarray]:
+    """The values of a binary column as arrays, where they lie."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    held = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    return [held[a:b].view(kind) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are alike; most others are told by their brief sets, so that few whole sets move."""
 
-    def screen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for t in batches:
-            own = [may_be_alike(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), n, m) for x, y, n, m in zip(t["x"], t["y"], t["n"], t["m"], strict=True)]
-            yield t.loc[np.array(own, bool), ["a", "b"]]
+    def told(batches: Iterator[pa.RecordBatch], kind, ok) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), ROWS_AT_ONCE):
+                t = whole.slice(at, ROWS_AT_ONCE)
+                x, y = (arrays_of(t[c], kind) for c in ("x", "y"))
+                own = [ok(p, q, n, m) for p, q, n, m in zip(x, y, t["n"].to_pylist(), t["m"].to_pylist(), strict=True)]
+                yield t.select(["a", "b"]).filter(pa.array(own, pa.bool_()))
+        release()
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from told(batches, np.uint16, may_be_alike)
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for t in batches:
-            own = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(t["x"], t["y"], strict=True)]
-            yield t.loc[np.array(own, bool), ["a", "b"]]
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from told(batches, np.uint64, lambda p, q, *_: alike(p, q))
 
     def with_sets(of: DataFrame, column: str) -> DataFrame:
         left, right = (sets.select(F.col("key").alias(k), F.col(column).alias(v), F.col("size").alias(c)) for k, v, c in (("a", "x", "n"), ("b", "y", "m")))
         return of.join(left, "a").join(right, "b").select("a", "b", "x", "y", "n", "m")
 
-    some = durable(with_sets(pairs, "brief").mapInPandas(screen, "a long, b long"))
-    return with_sets(some, "own").mapInPandas(check, "a long, b long")
+    some = durable(with_sets(pairs, "brief").mapInArrow(screen, "a long, b long"))
+    return with_sets(some, "own").mapInArrow(check, "a long, b long")
 
 
 def _may(n: str, m: str) -> Column:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvia.llm.common import ROWS, durable, per_text
+from corvia.llm.common import ROWS, durable, per_text, release
 
 RADIUS = 4
 #: Words of a shingle where a contract says so; ``shingles.SIZE`` holds elsewhere.
@@ -217,6 +217,8 @@ def shard_links(fps: DataFrame, masks: list[int], radius: int = RADIUS, hot: int
                 a, b = [], []
         if a:
             yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+        del a, b
+        release()
 
     return dealt.mapInPandas(search, "a long, b long")
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvia.llm.common import durable
+from corvia.llm.common import durable, release
 
 K = 10
 #: Queries of a set; vectors of a stripe, and stripes at most (they grow beyond that number).
@@ -150,6 +150,8 @@ def scanned(rows: DataFrame, k: int) -> DataFrame:
                     state.ask(part)
         if state:
             yield from state.finish()
+        del state
+        release()
 
     return dealt.mapInArrow(scan, "q long, c long, p double")
 
