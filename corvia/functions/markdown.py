@@ -33,7 +33,8 @@ def lines(text: Column) -> Column:
 
 def link_density(text: Column) -> Column:
     """Share of lines with a link, 0 for an empty text."""
-    return F.when(F.coalesce(text, F.lit("")) == "", 0.0).otherwise(F.size(F.filter(lines(text), lambda x: x.rlike(LINK_LINE))) / F.size(lines(text)))
+    share = F.transform(F.array(lines(text)), lambda own: F.size(F.filter(own, lambda x: x.rlike(LINK_LINE))) / F.size(own))  # the lines, cut once
+    return F.when(F.coalesce(text, F.lit("")) == "", 0.0).otherwise(F.get(share, F.lit(0)))
 
 
 def minimal_unit(stem: Column, text: Column, names_out: list[str] | None = None) -> Column:

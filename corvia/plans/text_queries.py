@@ -88,13 +88,13 @@ def markdown_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-SELECT doc_id, trim(regexp_replace(lower(regexp_replace(l, '[^0-9A-Za-z]+', '-', 'g')), '^-+|-+$', '', 'g')) AS slug,
-       CASE WHEN length(l) <= 60 THEN l ELSE regexp_replace(substr(l, 1, 59), '\s+$', '') || '…' END AS cut, (length(text) - length(replace(text, '![', ''))) // 2 AS images
-FROM (SELECT *, string_split(text, chr(10))[1] AS l FROM documents)
+SELECT doc_id, md5(trim(regexp_replace(lower(regexp_replace(text, '[^0-9A-Za-z]+', '-', 'g')), '^-+|-+$', '', 'g'))) AS slug_md5,
+       CASE WHEN length(text) <= 60 THEN text ELSE regexp_replace(substr(text, 1, 59), '\s+$', '') || '…' END AS cut, (length(text) - length(replace(text, '![', ''))) // 2 AS images
+FROM documents
 """)
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.get(F.split("text", "\n"), F.lit(0))
-    return table(spark, sf_dir, "documents").select("doc_id", t.slug(line).alias("slug"), t.limit_output(line, 60).alias("cut"), md.image_marks(F.col("text")).cast("long").alias("images"))
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(t.slug(text).cast("binary")).alias("slug_md5"), t.limit_output(text, 60).alias("cut"), md.image_marks(text).cast("long").alias("images"))
 
 
 @query(r"""
