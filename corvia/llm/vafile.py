@@ -206,20 +206,21 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_i
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     questions = asked.select("dim", deal("q", n_sets).alias("qs"), each(n_stripes).alias("st"), F.lit(0).alias("kind"), F.col("q").alias("key"), "w", "reach", F.lit(None).cast("array<tinyint>").alias("cells"))
     stripes = cells.select("dim", each(n_sets).alias("qs"), deal("c", n_stripes).alias("st"), F.lit(1).alias("kind"), F.col("c").alias("key"), F.lit(None).cast("array<float>").alias("w"), F.lit(0.0).alias("reach"), "cells")
-    met = scanned(questions.union(stripes), k + 1)
+    met = durable(scanned(questions.union(stripes), k + 1))
     by_bound = Window.partitionBy("q").orderBy(F.desc("p"), "c")
-    kth = F.max(F.when(F.col("r") == k + 1, F.col("p"))).over(Window.partitionBy("q"))
-    left = met.withColumn("r", F.row_number().over(by_bound)).withColumn("kth", kth).join(asked.select("q", "base", "reach"), "q")
-    left = durable(left.where(F.col("kth").isNull() | (F.col("p") >= F.col("kth") - 2 * F.col("reach"))).select("q", "c", "r", (F.col("base") + F.col("p") + F.col("reach")).alias("most")))
+    first = durable(met.withColumn("r", F.row_number().over(by_bound)).where(F.col("r") <= k + 1))
 
     def read(some: DataFrame) -> DataFrame:
         """Exact scores of pairs."""
         with_query = some.join(exact.select(F.col("c").alias("q"), F.col("e").alias("a")), "q")
         return with_query.join(exact, "c").select("q", "c", "ids", inner(F.col("a"), F.col("e")).alias("score"))
 
-    best = durable(read(left.where(F.col("r") <= k + 1).select("q", "c")))
-    certain = best.groupBy("q").agg(F.min("score").alias("least"))
-    open_ = left.where(F.col("r") > k + 1).join(certain, "q").where(F.col("most") >= F.col("least")).select("q", "c")
+    best = durable(read(first.select("q", "c")))
+    # of the others those whose bounds reach the (k + 1)-th best bound, and then its exact score
+    kth = first.where(F.col("r") == k + 1).select("q", F.col("p").alias("kth"))
+    certain = durable(asked.select("q", "base", "reach").join(kth, "q").join(best.groupBy("q").agg(F.min("score").alias("least")), "q"))
+    reaches = (F.col("p") >= F.col("kth") - 2 * F.col("reach")) & (F.col("base") + F.col("p") + F.col("reach") >= F.col("least"))
+    open_ = met.join(certain, "q").where(reaches).select("q", "c").join(first.select("q", "c"), ["q", "c"], "left_anti")
     scored = best.union(read(open_)).select("q", "c", "score", F.explode("ids").alias("id"))
     by_score = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
     tops = scored.withColumn("r", by_score).where(F.col("r") <= k + 1).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("r", "id", "c", "score"))).alias("best"))
