@@ -37,8 +37,8 @@ def link_density(text: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", 0.0).otherwise(F.get(share, F.lit(0)))
 
 
-def minimal_unit(stem: Column, text: Column, names_out: list[str] | None = None) -> Column:
-    """struct(included, reason): whether a page describes one unit.
+def minimal_unit(stem: Column, text: Column, names_out: list[str] | None = None, titles_out: list[str] | None = None, listing: list[str] | None = None) -> Column:
+    """struct(included, reason): whether a page describes one unit; further names, titles and listing phrases may be out.
 
     Names and first headings of overviews are out, and so are texts that say they list things; a fourth-level heading
     of an API's section is in; else the share of link lines decides.
@@ -50,8 +50,8 @@ def minimal_unit(stem: Column, text: Column, names_out: list[str] | None = None)
     return (
         F.when(F.lower(stem).isin([*NAMES_OUT, *(names_out or [])]), verdict(False, "file name"))
         .when(stem.rlike(NAME_ENDS), verdict(False, "file name ending"))
-        .when(title.isin(TITLES_OUT), verdict(False, "title"))
-        .when(text.rlike(LISTING), verdict(False, "listing"))
+        .when(title.isin([*TITLES_OUT, *(titles_out or [])]), verdict(False, "title"))
+        .when(text.rlike("|".join([LISTING, *(listing or [])])), verdict(False, "listing"))
         .when(described, verdict(True, "api sections"))
         .when(F.coalesce(text, F.lit("")) == "", verdict(False, "empty"))
         .when(link_density(text) > LINK_DENSITY, verdict(False, "links"))
@@ -234,14 +234,22 @@ def unparsed_images(text: str) -> list[tuple]:
     return [(scan.count("\n", 0, m.start()) + 1,) for m in re.finditer(r"(?<!\\)!\[", scan) if m.start() not in good and not re.match(r"!\[[^\]]*\]\[", scan[m.start() :])]
 
 
-def preprocess(text: str, drop_code: bool = False, drop_tables: bool = False) -> str:
-    """A page's markdown without images, link targets, empty headings and, if asked, code and tables."""
+#: A formula between dollars, whose marks aren't those of markdown.
+MATH = re.compile(r"(?s)\$\$.+?\$\$|(?<![\\$])\$(?!\s)[^$\n]+?(?<!\s)\$(?!\d)")
+
+
+def preprocess(text: str, drop_code: bool = False, drop_tables: bool = False, footer: str = "") -> str:
+    """A page's markdown without images, link targets, empty headings and, if asked, code and tables; code and formulas
+    stay as they are, and from a line that the footer's pattern matches on nothing is kept."""
+    if footer and (end := re.search(rf"(?m)^(?:{footer}).*$", text)):
+        text = text[: end.start()]
     if drop_code:
         text = re.sub(r"(?ms)^ {0,3}(`{3,}|~{3,}).*?^ {0,3}\1\s*$\n?", "", text)
     if drop_tables:
         text = re.sub(r"(?m)^\s*\|.*\n?", "", text)
     code = []
     text = re.sub(r"(?ms)^ {0,3}(`{3,}|~{3,}).*?^ {0,3}\1\s*$", lambda m: code.append(m[0]) or f"\x00{len(code) - 1}\x00", text)
+    text = MATH.sub(lambda m: code.append(m[0]) or f"\x00{len(code) - 1}\x00", text)
     text = re.sub(r"!\[[^\]]*\]\([^)]*\)", "", text)
     text = re.sub(r"\[([^\]]*)\]\([^)]*\)", r"\1", text)
     text = re.sub(r"\\([\\`*_{}\[\]()#+\-.!|<>~])", r"\1", text)

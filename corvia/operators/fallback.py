@@ -74,10 +74,15 @@ def ranked_sources(items: DataFrame, top_k: int) -> DataFrame:
 
 
 def with_items(ranked: DataFrame, items: DataFrame) -> DataFrame:
-    """Ranked ids with the fields of their items."""
-    fields = [c for c in items.columns if c not in ("channel", "raw_score", "rank", "score", "rank_signals", "match_confidence", "ord")]
-    own = items.select(*fields).dropDuplicates(["query_id", "kind", "id"])
-    return ranked.select("query_id", "kind", "id", "score", "rank_signals", "match_confidence", "rank").join(own, ["query_id", "kind", "id"])
+    """Ranked ids with the fields of their items; the evidence of all items of an id is put together, each once."""
+    out = ("query_id", "kind", "id", "channel", "raw_score", "rank", "score", "rank_signals", "match_confidence", "ord")
+    fields = [c for c in items.columns if c not in out]
+    order = F.col("rank") if "rank" in items.columns else F.lit(0)
+    own = items.groupBy("query_id", "kind", "id").agg(F.min_by(F.struct(*fields), order).alias("_i"), *([F.flatten(F.collect_list("provenance")).alias("_p")] if "provenance" in fields else []))
+    found = ranked.select("query_id", "kind", "id", "score", "rank_signals", "match_confidence", "rank").join(own, ["query_id", "kind", "id"]).select("*", "_i.*").drop("_i")
+    if "provenance" not in fields:
+        return found
+    return found.withColumn("provenance", F.array_distinct("_p")).drop("_p")
 
 
 def merged(wiki: DataFrame, sources: DataFrame, limit: int) -> DataFrame:

@@ -154,11 +154,17 @@ def export_batches(edges: DataFrame, size: int) -> DataFrame:
     return found.select("batch", "edges", "nodes", "payload", tally.alias("by_type"), "by_tier", (F.col("batch") == (n - 1) // size).alias("is_last"))
 
 
-def export_graph(edges: DataFrame) -> DataFrame:
-    """One row with the graph as JSON lines' parts: node rows and edge rows, to be written as files rather than collected."""
+def export_graph(edges: DataFrame, scope: dict[str, str] | None = None) -> DataFrame:
+    """The graph as JSON lines' parts (part, json): node rows and edge rows, to be written as files rather than collected;
+    with a scope, a row of it and one of the statistics come on top."""
     node_rows = nodes(edges).select(F.lit("node").alias("part"), F.to_json(F.struct(F.col("node").cast("string").alias("id"), "in_degree", "out_degree")).alias("json"))
     edge_rows = edges.select(F.lit("edge").alias("part"), F.to_json(F.struct("edge_id", "source_id", "target_id", "relation_type", F.round("strength_score", 4).alias("score"))).alias("json"))
-    return node_rows.union(edge_rows)
+    found = node_rows.union(edge_rows)
+    if scope is None:
+        return found
+    counted = stats(edges).where("measure <> 'orphans'").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat_ws(":", "measure", "key").alias("k"), "value")))).alias("stats"))
+    own = edges.sparkSession.createDataFrame([(scope,)], "scope map<string,string>")
+    return own.select(F.lit("scope").alias("part"), F.to_json("scope").alias("json")).union(counted.select(F.lit("stats"), F.to_json("stats"))).union(found)
 
 
 def has_reverse(edges: DataFrame) -> DataFrame:

@@ -53,9 +53,13 @@ def encode_cursor(time: Column, key: Column) -> Column:
     return F.concat_ws("|", F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"), key.cast("string"))
 
 
-def decode_cursor(cursor: Column) -> Column:
-    """struct(time, key); a time without zone is in UTC, the session's zone."""
+def decode_cursor(cursor: Column, strict: bool = False) -> Column:
+    """struct(time, key); a time without zone is in UTC, the session's zone. A cursor that is none has nulls, or is an
+    error if strict."""
     parts = F.split(cursor, r"\|", 2)
+    if strict:
+        bad = F.try_to_timestamp(F.get(parts, F.lit(0))).isNull() | (F.coalesce(F.get(parts, F.lit(1)), F.lit("")) == "")
+        parts = F.when(bad, F.raise_error(F.concat(F.lit("no cursor: "), F.coalesce(cursor, F.lit("null"))))).otherwise(parts)
     return F.struct(F.try_to_timestamp(F.get(parts, F.lit(0))).alias("time"), F.get(parts, F.lit(1)).alias("key"))
 
 

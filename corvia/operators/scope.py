@@ -82,3 +82,9 @@ def evidence_range_ok(evidence: Column) -> Column:
     """Both ends or neither, and the end after the start."""
     start, end = evidence["char_start"], evidence["char_end"]
     return (start.isNull() & end.isNull()) | (F.coalesce(end > start, F.lit(False)))
+
+
+def clear_scope(rows: DataFrame, scope: Scope) -> tuple[DataFrame, int]:
+    """Rows without those of a scope, and how many went."""
+    own = F.coalesce(knowledge_filter(scope), F.lit(False))
+    return rows.where(~own), rows.where(own).count()

@@ -44,6 +44,25 @@ def insert_absent(stored: DataFrame, rows: DataFrame, key: list[str]) -> DataFra
     return judged.withColumn("status", F.when(F.col("_known").isNull() & (F.col("_n") == 1), "inserted").otherwise("duplicate")).drop("_n", "_known")
 
 
+def insert_unique(stored: DataFrame, rows: DataFrame, keys: list[list[str]], order: str) -> DataFrame:
+    """Every row with status inserted or duplicate and the key (by its number) that it repeats, for several unique keys.
+
+    A row goes in if none of its keys is stored and none is that of an earlier row, in ``order``, that has a stored key
+    of no kind either; a key with a null part repeats none.
+    """
+    judged = rows.withColumn("_hit", F.lit(None).cast("int"))
+    for i, key in enumerate(keys):
+        known = stored.select(*key).distinct().withColumn("_k", F.lit(True))
+        judged = judged.join(known, key, "left").withColumn("_hit", F.coalesce("_hit", F.when(F.col("_k"), F.lit(i)))).drop("_k")
+    for i, key in enumerate(keys):
+        whole = F.col(key[0]).isNotNull()
+        for c in key[1:]:
+            whole = whole & F.col(c).isNotNull()
+        firsts = judged.where(F.col("_hit").isNull() & whole).groupBy(*key).agg(F.min(order).alias("_first"))
+        judged = judged.join(firsts, key, "left").withColumn("_hit", F.coalesce("_hit", F.when(F.col(order) > F.col("_first"), F.lit(i)))).drop("_first")
+    return judged.select(*rows.columns, F.when(F.col("_hit").isNull(), "inserted").otherwise("duplicate").alias("status"), F.col("_hit").alias("repeats"))
+
+
 def patch(stored: DataFrame, patches: DataFrame, key: list[str]) -> DataFrame:
     """Stored rows with the patches' columns that aren't null; columns that no patch has are kept."""
     changed = [c for c in patches.columns if c not in key]

@@ -95,6 +95,19 @@ def quarantine(paths: DataFrame) -> DataFrame:
     return paths.join(keepers(paths).select("canonical_uri", F.col("keeper").alias("path")), ["canonical_uri", "path"], "left_anti")
 
 
+def rebuilt_state(state: DataFrame, paths: DataFrame) -> DataFrame:
+    """The state (canonical_uri, relative_path, ...) with each address at its keeper; addresses without a path go."""
+    best = keepers(paths).select("canonical_uri", "keeper")
+    first = state.groupBy("canonical_uri").agg(F.max_by(F.struct(*[c for c in state.columns if c != "canonical_uri"]), F.col("relative_path")).alias("_r"))
+    return first.join(best, "canonical_uri").select("canonical_uri", "_r.*", "keeper").withColumn("relative_path", F.col("keeper")).drop("keeper").select(*state.columns)
+
+
+def import_report(files: DataFrame) -> DataFrame:
+    """One row on a batch of imports (path, status: inserted, duplicate or failed): counts and its status."""
+    counts = files.agg(F.count(F.lit(1)).alias("files"), *[F.count_if(F.col("status") == s).alias(s) for s in ("inserted", "duplicate", "failed")])
+    return counts.withColumn("status", final_status(F.col("failed"), F.col("inserted") + F.col("duplicate"), F.lit(False)))
+
+
 def reconcile(state: DataFrame, refs: DataFrame) -> DataFrame:
     """State rows under the id that their URI has now; of several the one that is at the preferred path, exists, lies
     deepest, has the oldest file, and is last by path.

@@ -317,3 +317,26 @@ def test_packages_of_schema_21(spark):
     table = spark.createDataFrame([("m/Add.md", MD, json.dumps({"document_updates": [{"document_index": 0, "summary": "Adds numbers"}]})), ("b.md", "", None), ("c.md", "x", "[1")], "path string, text string, updates string")
     found = {r["path"]: r for r in packages.build_packages(table).collect()}
     assert "documents[].use.summary" not in found["m/Add.md"]["open_slots"] and found["b.md"]["documents"] == 1 and found["c.md"]["error"]
+
+
+def test_keys_scopes_and_reports(spark):
+    stored = spark.createDataFrame([("a", "x")], "id string, name string")
+    more = spark.createDataFrame([("a", "n1", 1), ("b", "x", 2), ("c", "n2", 3), ("d", "n2", 4), ("c", "n3", 5), ("e", None, 6), ("f", None, 7)], "id string, name string, ord int")
+    assert rows(state.insert_unique(stored, more, [["id"], ["name"]], "ord").fillna({"repeats": -1}), "ord", "status", "repeats") == [(1, "duplicate", 0), (2, "duplicate", 1), (3, "inserted", -1), (4, "duplicate", 1), (5, "duplicate", 0), (6, "inserted", -1), (7, "inserted", -1)]
+    edges = spark.createDataFrame([("w", "n", "v", 1), ("w", "n", "v2", 2), ("w", None, "v", 3)], "wiki_id string, namespace string, version string, i int")
+    left, gone = scope.clear_scope(edges, scope.Scope("w", "n", "v"))
+    assert gone == 1 and rows(left, "i") == [(2,), (3,)]
+    report = sync.import_report(spark.createDataFrame([("a", "inserted"), ("c", "failed")], "path string, status string")).first()
+    assert (report["files"], report["failed"], report["status"]) == (2, 1, "partial")
+    paths = spark.createDataFrame([("u", "a/b.md", False), ("u", "c.md", True), ("v", "d.md", False)], "canonical_uri string, path string, in_state boolean")
+    old = spark.createDataFrame([("u", "a/b.md", "h"), ("w", "gone.md", "h")], "canonical_uri string, relative_path string, content_hash string")
+    assert rows(sync.rebuilt_state(old, paths), "canonical_uri", "relative_path") == [("u", "c.md")]
+    cursors = spark.createDataFrame([("nonsense",)], "c string")
+    assert cursors.select(ranking.decode_cursor(F.col("c"))["time"]).first()[0] is None
+    with pytest.raises(Exception, match="no cursor"):
+        cursors.select(ranking.decode_cursor(F.col("c"), strict=True)).collect()
+    assert md.preprocess(r"a $x\_1 [b](c)$ \_ [d](e)" + "\n---footer\nmore", footer="---footer") == r"a $x\_1 [b](c)$ _ d"
+    assert one(spark, md.minimal_unit(F.lit("x"), F.col("s"), titles_out=["All"])["reason"], s="# All\ntext") == "title" and one(spark, md.minimal_unit(F.lit("x"), F.col("s"), listing=["see below"])["reason"], s="# A\nsee below") == "listing"
+    relations = spark.createDataFrame([("a", "b", "m.b", "depends_on", "必须")], "source_id string, target_id string, target_name string, relation_type string, quote string")
+    parts = graph.export_graph(graph.build_edges(relations, "w"), {"wiki_id": "w"}).collect()
+    assert [p["part"] for p in parts[:2]] == ["scope", "stats"] and json.loads(parts[1]["json"])["edges:all"] == 1 and len(parts) == 5
