@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvia.llm.common import durable, per_text, release
-from corvia.llm.simhash import components, fingerprint_of, shingle_hashes, tree_candidates
+from corvia.llm.simhash import components, extended, fingerprint_of, shingle_hashes, tree_candidates
 
 SIZE = 5
 #: Least similarity, as a fraction, so that it is compared in whole numbers.
@@ -192,8 +192,7 @@ def classes(rows: DataFrame, sets_of) -> DataFrame:
     crowded = buckets.groupBy("at").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("at")
     shared = durable(buckets.join(crowded, "at", "left_semi"))
     sets = durable(sets_of(shared.select("key").union(near.select("a")).union(near.select("b")).distinct()))
-    links = durable(_checked(near, sets))
-    found, last = components(links), False
+    found, last = components(durable(_checked(near, sets))), False
     for k in range(ROUNDS + 1):
         now = shared.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
         each = now.groupBy("at").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("key", "n", "label"), F.xxhash64("key", F.lit(k))).alias("p")).where("lo <> hi")
@@ -212,8 +211,7 @@ def classes(rows: DataFrame, sets_of) -> DataFrame:
             pairs = _near(star, distinct).groupBy("b").agg(F.min_by("a", F.xxhash64("a", F.lit(k))).alias("a"))
         pairs = durable(pairs.select("a", "b").distinct())
         new = durable(_checked(pairs, sets))
-        links = links.union(new)
-        found = components(links)
+        found = extended(found, new)
         if last:
             break
         last = STEADY * BANDS * new.count() < size["rows"]  # stars that merge few of what is left have done their part

@@ -256,13 +256,12 @@ def _shards(batches: Iterator[pd.DataFrame], names: list[str]) -> Iterator[np.nd
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable from each node of the links (a, b).
 
-    Large-star and small-star steps over the links until they no longer change; each is a minimum per node (summed
-    map-side) and a join, and the links never leave the executors. Minima are written before they are joined, so that
-    a node of very many links is one row on one side and the other can be split.
+    Large-star and small-star steps over the links until they are stars around the smallest nodes; each is a minimum
+    per node (summed map-side) and a join, and the links never leave the executors. Minima are written before they are
+    joined, so that a node of very many links is one row on one side and the other can be split.
     """
     links = durable(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
-    while True:
+    while not _are_stars(links):
         both = links.union(links.select("b", "a"))
         least = durable(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -270,11 +269,27 @@ def components(links: DataFrame) -> DataFrame:
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", F.col("m").alias("b")))
         links = durable(small.where("a <> b").distinct())
-        now = links.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        if tuple(now) == state:
-            break
-        state = tuple(now)
-    return links.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    centres = links.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
+    return links.select(F.col("a").alias("node"), F.col("b").alias("label")).union(centres)
+
+
+def _are_stars(links: DataFrame) -> bool:
+    """Whether each node has one link to a smaller one, which has none itself."""
+    ends = F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")), F.struct(F.col("b").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    per = links.select(F.explode(ends).alias("e")).groupBy("e.x").agg(F.sum("e.down").alias("down"), F.max("e.up").alias("up"))
+    return not per.agg(F.count_if((F.col("down") > 1) | ((F.col("down") > 0) & (F.col("up") > 0)))).first()[0]
+
+
+def extended(found: DataFrame, new: DataFrame) -> DataFrame:
+    """Classes (node, label) after new links (a, b) between nodes, known or not: only classes that these link are joined."""
+    side = lambda c: found.select(F.col("node").alias(c), F.col("label").alias(f"_{c}"))
+    named = new.join(side("a"), "a", "left").join(side("b"), "b", "left").select("a", "b", F.coalesce("_a", "a").alias("x"), F.coalesce("_b", "b").alias("y"))
+    named = durable(named)
+    moved = components(named.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    nodes = named.select(F.col("a").alias("node")).union(named.select("b")).distinct().join(found.select("node"), "node", "left_anti")
+    whole = found.union(nodes.select("node", F.col("node").alias("label")))
+    up = moved.select(F.col("node").alias("label"), F.col("label").alias("_to"))
+    return durable(whole.join(up, "label", "left").select("node", F.coalesce("_to", "label").alias("label")))
 
 
 def tree_candidates(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
