@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvia.operators import cases, ranking, state, sync
 from corvia.plans.registry import query, table
 from corvia.streaming import hits
+from corvia.tables import new_folder
 
 # Two snapshots of documents: the state of an earlier run and what is parsed now, and the local files.
 DECIDED = """
@@ -121,8 +120,7 @@ def heatmap_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type AS collection, user_id::VARCHAR AS api_id, count(*) AS hits FROM events GROUP BY ALL")
 def stream_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counter as a stream over the events that are there, read back from its table."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{root.rstrip('/')}/stream-counter-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "stream-counter")
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").select(F.col("event_type").alias("collection"), F.col("user_id").cast("string").alias("api_id"))
     hits.start_counter(stream, f"{folder}/counts", f"{folder}/checkpoint").awaitTermination()
