@@ -1,12 +1,13 @@
 """Licence scans: TF-IDF cosine of notices to templates, then inheritance by directory; DataFrame operations only.
 
-A passage is a line of a file with a licence cue, a block of several lines with a cue (up to an empty line; a comment's
-empty lines don't end it) or, in a licence file, the whole text. Passages and templates (``license_texts``: notices of
+A passage is a line of a file with a licence cue, a block of several wrapped lines with a cue (lines of at most
+``WRAPPED`` characters, up to an empty or a longer one; a comment's empty lines don't end it) or, in a licence file, the
+whole text. Passages and templates (``license_texts``: notices of
 each licence's names, headers and whole texts) are sparse vectors of term frequency times inverse document frequency.
 The collection whose documents count is that of all distinct passages and the templates, and every word's frequency is
-counted, so a name that no template has weighs as much as one that a template has. Each distinct passage is scored
-once, by joining its words with the templates' words. A template speaks only of passages that have all the words that
-tell its licence (its name and version). A file's own licence is that of the passage with the highest cosine, which has
+counted, so a name that no template has weighs as much as one that a template has. A template speaks only of passages
+that have all the words that tell its licence (its name and version); these passages are found first, and each distinct
+one is scored once, by joining its words with those of the templates that speak of it. A file's own licence is that of the passage with the highest cosine, which has
 to be ``COSINE`` at least; a whole text that reaches it comes before blocks, and a block before lines, as a part of one
 licence may be the whole of another.
 
@@ -33,6 +34,8 @@ from corvia.llm.license_texts import FORMS, NAMES, TAGS, TEXTS
 
 COSINE = 0.5
 FEW = 10_000
+#: Characters of a line up to which it may be one of a wrapped notice.
+WRAPPED = 200
 RESULTS = ["own_license", "cosine", "license", "inherited_from"]
 WORD = r"[a-z0-9]+(?:[.-][0-9]+)*"
 CUE = r"(?i)licen[sc]e|copyright|spdx|unencumbered|redistribut"
@@ -68,7 +71,7 @@ def passages(text: Column, path: Column) -> Column:
     """The distinct passages of a file as (text, kind): 0 for a line, 1 for a block, 2 for the whole."""
     text = F.coalesce(text, F.lit(""))
     lines = F.split(text, "\n", -1)
-    marked = F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, COMMENT, ".")), "\n")
+    marked = F.array_join(F.transform(lines, lambda x: F.when(F.length(x) <= WRAPPED, F.regexp_replace(x, COMMENT, ".")).otherwise("")), "\n")
     blocks = F.filter(F.split(marked, EMPTY, -1), lambda x: F.contains(x, F.lit("\n")) & x.rlike(CUE))
     kind = lambda found, k: F.transform(found, lambda x: F.struct(x.alias("text"), F.lit(k).alias("kind")))
     none = F.array().cast("array<struct<text:string,kind:int>>")
@@ -78,23 +81,29 @@ def passages(text: Column, path: Column) -> Column:
 
 
 def verdicts(texts: DataFrame) -> DataFrame:
-    """(key, license, cosine) of distinct passages (key, text): the nearest template; none for a passage without a word of it."""
+    """(key, license, cosine) of distinct passages (key, text): the nearest template of those that speak of it, if any."""
     spark = texts.sparkSession
     rows = F.broadcast(spark.createDataFrame(template_rows(), "i int, name string, word string, tf long, must boolean"))  # a fixed table
-    n_templates = len(templates())
-    words = texts.select("key", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word"))
-    words = durable(words.groupBy("key", "word").agg(F.count(F.lit(1)).alias("n")))
-    n = texts.count() + n_templates
-    used = words.select("word", F.lit(1).alias("one")).unionAll(rows.select("word", F.lit(1)))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
+    distinct = texts.select("key", F.array_distinct(words).alias("words"))
+    needed = F.array(*[F.lit(w) for w in sorted({w for _, _, must in templates() for w in must})])
+    held = distinct.select("key", F.explode(F.array_intersect("words", needed)).alias("word")).join(rows.where("must").select("i", "name", "word"), "word")
+    musts = rows.where("must").groupBy("i").agg(F.count(F.lit(1)).alias("musts"))
+    spoken = held.groupBy("key", "i", "name").agg(F.count(F.lit(1)).alias("found")).join(F.broadcast(musts), "i").where("found = musts").select("key", "i", "name")
+    spoken = durable(spoken)
+    used = distinct.select(F.explode("words").alias("word")).unionAll(rows.select("word"))
+    n = texts.count() + len(templates())
     idf = durable(used.groupBy("word").agg(F.count(F.lit(1)).alias("df")).select("word", F.log1p(F.lit(float(n)) / F.col("df")).alias("idf")))
     hint = F.broadcast if idf.count() <= FEW else lambda df: df
-    weighed = durable(words.join(hint(idf), "word").select("key", "word", (F.col("n") * F.col("idf")).alias("x")))
+    counted = texts.join(spoken.select("key").distinct(), "key", "left_semi").select("key", F.explode(words).alias("word")).groupBy("key", "word").agg(F.count(F.lit(1)).alias("n"))
+    weighed = durable(counted.join(hint(idf), "word").select("key", "word", (F.col("n") * F.col("idf")).alias("x")))
     norms = weighed.groupBy("key").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     own = rows.join(idf, "word").withColumn("y", F.col("tf") * F.col("idf"))
-    lengths = own.groupBy("i").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("length"), F.count_if("must").alias("musts"))
-    own = durable(own.join(F.broadcast(lengths), "i").select("i", "name", "word", "must", "musts", (F.col("y") / F.col("length")).alias("y")))
-    dots = weighed.join(F.broadcast(own), "word").groupBy("key", "i", "name", "musts").agg(F.sum(F.col("x") * F.col("y")).alias("dot"), F.count_if("must").alias("found"))
-    dots = dots.where("found = musts").join(norms, "key").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9))
+    lengths = own.groupBy("i").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("length"))
+    own = durable(own.join(F.broadcast(lengths), "i").select("i", "word", (F.col("y") / F.col("length")).alias("y")))
+    known = weighed.join(F.broadcast(own.select("word").distinct()), "word", "left_semi")
+    dots = known.join(spoken, "key").join(F.broadcast(own), ["i", "word"]).groupBy("key", "i", "name").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    dots = dots.join(norms, "key").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9))
     best = F.max(F.struct("cosine", (-F.col("i")).alias("i"), "name")).alias("b")
     return dots.groupBy("key").agg(best).select("key", F.col("b.name").alias("license"), F.col("b.cosine").alias("cosine"))
 
@@ -163,7 +172,7 @@ d AS (
 ), cued AS (
   SELECT r, string_split(text, chr(10)) AS lines FROM d WHERE regexp_matches(text, '{CUE}')
 ), blocks AS (
-  SELECT r, unnest(string_split_regex(array_to_string(list_transform(lines, lambda x: regexp_replace(x, '{COMMENT}', '.')), chr(10)), '{EMPTY}')) AS p FROM cued
+  SELECT r, unnest(string_split_regex(array_to_string(list_transform(lines, lambda x: CASE WHEN length(x) <= {WRAPPED} THEN regexp_replace(x, '{COMMENT}', '.') ELSE '' END), chr(10)), '{EMPTY}')) AS p FROM cued
 ), p AS (
   SELECT r, p, 0 AS kind FROM (SELECT r, unnest(lines) AS p FROM cued) WHERE regexp_matches(p, '{CUE}')
   UNION SELECT r, p, 1 FROM blocks WHERE contains(p, chr(10)) AND regexp_matches(p, '{CUE}')
