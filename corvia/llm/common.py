@@ -70,6 +70,29 @@ def per_text(df: DataFrame, keep: list[str], value: Column, fields: list[tuple[s
     return df.select(*keep, value.alias("_value")).mapInArrow(run, schema)
 
 
+def through_texts(df: DataFrame, text_col: str, of) -> DataFrame:
+    """The rows of df after a function of their texts, some at a time; all columns go through as they are.
+
+    of() is called in each task and gives a function from a list of texts to (kept, texts): a flag for each row, or None
+    to keep all, and the new texts, or None to leave them.
+    """
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = of()
+        for whole in batches:
+            for start in range(0, len(whole), ROWS):
+                batch = whole.slice(start, ROWS)
+                kept, texts = work(batch.column(at).to_pylist())
+                if texts is not None:
+                    batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+                yield batch if kept is None else batch.filter(pa.array(kept, pa.bool_()))
+        del work
+        release()
+
+    return df.mapInArrow(run, df.schema)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with value computed once: a lambda variable, never inlined into an inner loop."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvia.llm.common import per_text, release, sample_texts
+from corvia.llm.common import per_text, sample_texts, through_texts
 
 UNKNOWN = "und"
 SAMPLE = 120
@@ -308,15 +308,12 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     crf = train(docs.where(~held_out(F.col("doc_id"))))
     model = docs.sparkSession.sparkContext.broadcast((crf.languages, crf.weights, crf.transitions))
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    def of():
         own = Crf([])
         own.languages, own.weights, own.transitions = model.value
-        found = pd.Series([s for _, s in own.predict([t or None for t in texts])], dtype="float64")
-        release()
-        return found
+        return lambda texts: ([x >= least for _, x in own.predict([t or None for t in texts])], None)
 
-    return docs.where(score(F.col("text")) >= least)
+    return through_texts(docs, "text", of)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -23,12 +23,11 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvia.llm.common import per_text, sample_texts
+from corvia.llm.common import per_text, sample_texts, through_texts
 
 # The kinds and patterns of the base.
 KINDS = ("assign", "access", "hex", "markov")
@@ -183,11 +182,10 @@ def redacted(text: str, spans: list[Span], mark: str = "[SECRET]") -> str:
 def redact(docs: DataFrame, pair: MarkovPair, text_col: str = "text") -> DataFrame:
     """Every row, with a mark in place of each secret and n_chars (if there is such a column) counted anew."""
 
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t if t is None else redacted(t, all_spans(t, pair)[1]))
+    def of():
+        return lambda texts: (None, [t if t is None else redacted(t, all_spans(t, pair)[1]) for t in texts])
 
-    found = docs.withColumn(text_col, clean(F.col(text_col)))
+    found = through_texts(docs, text_col, of)
     return found.withColumn("n_chars", F.length(text_col).cast("long")).select(*docs.columns) if "n_chars" in docs.columns else found
 
 
