@@ -27,8 +27,8 @@ GRAPH_WEIGHT = 0.02
 BATCH_QUERIES = 1000
 #: Distinct tokens up to which their frequencies are broadcast.
 FEW_TOKENS = 200_000
-#: Vectors in a block of candidates; parts that a token of very many documents is dealt into.
-BLOCK, SALTS = 8192, 64
+#: Vectors in a block of candidates.
+BLOCK = 8192
 
 
 # Names and words
@@ -66,17 +66,12 @@ def document_frequency(docs: DataFrame, text: Column) -> DataFrame:
 def sparse_vectors(docs: DataFrame, id_col: str, text: Column, df: DataFrame, n_docs: int) -> DataFrame:
     """(id, token_id, weight): count * ln(1 + N / df) per token; unseen tokens go, the larger weight of an id stays.
 
-    Counts are summed up where a document is read; frequencies are broadcast behind a count, else the tokens that most
-    documents have are dealt out by document as well, so that none of them is one task's.
+    Counts are summed up where a document is read; frequencies are broadcast behind a count. Beyond it they are a written
+    table with one row per token, so that adaptive execution can split the other side of a token that most documents have.
     """
     counted = docs.select(F.col(id_col), F.explode(tokens(text)).alias("token")).groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf"))
     df = durable(df)
-    if df.count() <= FEW_TOKENS:
-        weighed = counted.join(F.broadcast(df), "token")
-    else:
-        salt = F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")
-        wide = df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        weighed = counted.withColumn("_salt", salt).join(wide, ["token", "_salt"])
+    weighed = counted.join(F.broadcast(df) if df.count() <= FEW_TOKENS else df, "token")
     weighed = weighed.withColumn("weight", F.col("tf") * F.log1p(F.lit(float(max(n_docs, 1))) / F.col("df")))
     return weighed.groupBy(id_col, token_id(F.col("token")).alias("token_id")).agg(F.max("weight").alias("weight"))
 
