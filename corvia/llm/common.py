@@ -30,7 +30,7 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def in_process(kind: str, key: str, make):
+def in_process(kind: str, key, make):
     """make(key), made once in a Python process: workers serve many tasks, and loading a model costs them time."""
     held = sys.modules.setdefault("_corvia_in_process", types.ModuleType("_corvia_in_process")).__dict__
     if (kind, key) not in held:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvia.llm import html, language, license, mixing, packing, quality, secrets, sharding, simhash, vafile
+from corvia.llm import bpe, dialogue, html, language, license, middle, mixing, packing, quality, secrets, sharding, simhash, vafile
 from corvia.llm.common import read
 
 
@@ -49,7 +49,19 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.query(read(spark, sf_dir, "pages"))
 
 
-_ALL = (op1_robust_outliers, op2_mix_sources, op3_minimax_shards, op4_simhash_near_duplicates, op5_language_crf, op6_va_file_top_k, op7_license_scan, op8_secret_scan, op9_best_fit_packing, op10_main_text)
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.query(read(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.query(read(spark, sf_dir, "conversations"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.query(read(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_robust_outliers, op2_mix_sources, op3_minimax_shards, op4_simhash_near_duplicates, op5_language_crf, op6_va_file_top_k, op7_license_scan, op8_secret_scan, op9_best_fit_packing, op10_main_text, op11_byte_bpe, op12_conversation_repair, op13_fill_in_middle)
 QUERIES = {f.__name__: f for f in _ALL}
 
-ORACLES = {"op2_mix_sources": mixing.ORACLE, "op6_va_file_top_k": vafile.ORACLE, "op7_license_scan": license.oracle()}
+ORACLES = {"op2_mix_sources": mixing.ORACLE, "op6_va_file_top_k": vafile.ORACLE, "op7_license_scan": license.oracle(), "op13_fill_in_middle": middle.ORACLE}
