@@ -19,28 +19,52 @@ def active(pointers: DataFrame, revisions: DataFrame, strict: bool = False) -> D
     return revisions.join(live, ["artifact_id", "artifact_revision_id"], "left_semi")
 
 
+def _field(df: DataFrame, name: str, default: Column) -> Column:
+    return F.coalesce(F.col(name), default) if name in df.columns else default
+
+
 def stage(operation_id: str, source: DataFrame, artifacts: DataFrame, catalog_revision: int) -> DataFrame:
-    """Staged rows, invisible to readers, with the catalog's revision that they were made against."""
-    rows = source.select(F.lit("source").alias("kind"), F.col("source_id").alias("id"), F.col("source_revision_id").alias("revision_id"), F.to_json(F.struct(*source.columns)).alias("payload"))
-    rows = rows.union(artifacts.select(F.lit("artifact"), "artifact_id", "artifact_revision_id", F.to_json(F.struct(*artifacts.columns))))
-    return rows.withColumn("operation_id", F.lit(operation_id)).withColumn("catalog_revision", F.lit(catalog_revision)).withColumn("state", F.lit("staged"))
+    """Staged rows, invisible to readers, with the catalog's revision that they were made against.
+
+    Rows without a status count as active, without a revision number as the first.
+    """
+
+    def rows(kind: str, df: DataFrame, own: str, revision: str) -> DataFrame:
+        number, status = _field(df, "revision_number", F.lit(1)).cast("int"), _field(df, "status", F.lit("active"))
+        wiki = F.col("wiki_id") if "wiki_id" in df.columns else F.lit(None).cast("string")
+        return df.select(F.lit(kind).alias("kind"), F.col(own).alias("id"), F.col(revision).alias("revision_id"), number.alias("revision_number"), status.alias("status"), wiki.alias("wiki_id"), F.to_json(F.struct(*df.columns)).alias("payload"))
+
+    both = rows("source", source, "source_id", "source_revision_id").union(rows("artifact", artifacts, "artifact_id", "artifact_revision_id"))
+    return both.withColumn("operation_id", F.lit(operation_id)).withColumn("catalog_revision", F.lit(catalog_revision)).withColumn("state", F.lit("staged"))
 
 
 class Conflict(RuntimeError):
     """The catalog has moved on since the rows were staged."""
 
 
+def moves(staged: DataFrame) -> DataFrame:
+    """(kind, id, revision_id, revision_number, status): where staged rows move pointers to.
+
+    Sources move, and artifacts that are active (others wait for review); of several revisions of an id the highest.
+    """
+    live = staged.where("kind = 'source' OR status = 'active'")
+    best = live.groupBy("kind", "id").agg(F.max(F.struct("revision_number", "revision_id", "status")).alias("_r"))
+    return best.select("kind", "id", "_r.revision_id", "_r.revision_number", "_r.status")
+
+
 def publish(staged: DataFrame, pointers: DataFrame, catalog_revision: int) -> tuple[DataFrame, int]:
     """Pointers (kind, id, revision_id) after the staged rows, and the catalog's next revision.
 
-    Publishing what the pointers hold already changes nothing; rows staged against another revision are a conflict.
+    Publishing what the pointers hold already changes nothing; rows staged against another revision, or abandoned ones,
+    are a conflict. ``publication.Catalog`` commits such a step for several writers.
     """
-    fresh = staged.join(pointers.select("kind", "id", "revision_id"), ["kind", "id", "revision_id"], "left_anti")
-    if fresh.isEmpty():
+    if not staged.where("state = 'abandoned'").isEmpty():
+        raise Conflict("abandoned rows can't be published")
+    moved = moves(staged).select("kind", "id", "revision_id")
+    if moved.join(pointers.select("kind", "id", "revision_id"), ["kind", "id", "revision_id"], "left_anti").isEmpty():
         return pointers, catalog_revision
     if not staged.where(F.col("catalog_revision") != catalog_revision).isEmpty():
         raise Conflict(f"the catalog is at revision {catalog_revision}")
-    moved = staged.select("kind", "id", "revision_id").dropDuplicates(["kind", "id"])
     return pointers.join(moved, ["kind", "id"], "left_anti").unionByName(moved), catalog_revision + 1
 
 

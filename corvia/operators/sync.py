@@ -15,6 +15,10 @@ WRITTEN = ["added", "updated", "restored", "moved"]
 OPERATIONS = ["added", "unchanged", "updated", "restored", "moved", "failed", "missing", "archived_candidate"]
 
 
+class StateMoved(RuntimeError):
+    """Another run has written the next state."""
+
+
 def decide(parsed: DataFrame, state: DataFrame, files: DataFrame | None = None, overwrite: bool = True, failed: DataFrame | None = None, missing: DataFrame | None = None) -> DataFrame:
     """One row per document of parsed or state, with its operation.
 

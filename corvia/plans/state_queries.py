@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvia.operators import cases, ranking, state, sync
 from corvia.plans.registry import query, table
 from corvia.streaming import hits
-from corvia.tables import new_folder
+from corvia.tables import durable, new_folder
 
 # Two snapshots of documents: the state of an earlier run and what is parsed now, and the local files.
 DECIDED = """
@@ -241,6 +241,32 @@ def sync_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.resume(actions, state_, judged)[2].select("document_id", "operation")
 
 
+@query(f"""
+WITH {DECIDED}
+SELECT document_id, operation, CASE WHEN operation NOT IN ('added', 'updated', 'restored', 'moved') THEN NULL WHEN document_id LIKE '%3' THEN 'settled' ELSE 'written' END AS outcome,
+       CASE WHEN operation IN ('added', 'updated', 'restored', 'moved') THEN parsed.file END AS lies_there
+FROM decided LEFT JOIN parsed USING (document_id)
+""")
+def sync_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that is killed when a tenth of its files are written, and taken up again: what each document's action came
+    to the second time, and the hash of the file that lies there."""
+    from corvia.operators.apply import Runs, apply_actions
+
+    folder = new_folder(spark, "sync-apply")
+    runs = Runs(spark, f"{folder}/runs", f"{folder}/documents")
+    found = durable(decided(spark, sf_dir))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "source", F.concat(F.lit("f"), "text").alias("text"))
+    texts = docs.select("document_id", F.concat("source", F.lit("/"), "document_id", F.lit(".md")).alias("target_path"), "text")
+    with runs.lock("run1"):
+        actions = runs.begin("run1", found, texts)
+        apply_actions(actions.where("document_id LIKE '%3'"), runs.workspace).write.format("noop").mode("overwrite").save()
+        outcomes = runs.apply("run1")
+        runs.finish("run1", found, outcomes)
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(runs.workspace)
+    there = there.select(F.regexp_extract("path", r"([^/]+)[.]md$", 1).alias("document_id"), F.sha2("content", 256).alias("lies_there"))
+    return found.select("document_id", "operation").join(outcomes.select("document_id", "outcome"), "document_id", "left").join(there, "document_id", "left")
+
+
 @query()
 def test_set_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents dealt to ten rounds, with what goes into each question; draws are by a hash that SQL lacks."""

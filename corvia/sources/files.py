@@ -152,35 +152,27 @@ def write_files(df: DataFrame, root: str, path_col: str = "path", text_col: str
     """(path, bytes, error): each row's text as a file of its own below root, complete or not there at all.
 
     A file is written under a name of its own beside its place and then renamed, by the task that has the row, through
-    the file system of the root. Unsafe paths are errors. For packages of a run, not for tables.
+    the file system of the root (``places``). Unsafe paths are errors. For packages of a run, not for tables.
     """
-    if "://" in root and not root.startswith("file:"):
-        raise ValueError("files of their own go to a shared folder; other stores take tables (write_snapshot)")
-    folder = root.removeprefix("file://")
 
     def of(parts):
-        import os
-        import uuid
+        from corvia.sources import places
 
+        fs, folder = places.at(root)
         for part in parts:
             out = []
             for path, text in zip(part["path"], part["text"], strict=True):
                 try:
                     if path is None or text is None or path.startswith("/") or ".." in path.split("/") or not path:
                         raise ValueError("unsafe path" if text is not None else "no text")
-                    target = os.path.join(folder, path)
-                    os.makedirs(os.path.dirname(target), exist_ok=True)
-                    beside = f"{target}.{uuid.uuid4().hex}.tmp"
-                    with open(beside, "w", encoding="utf-8") as f:
-                        f.write(text)
-                    os.replace(beside, target)
-                    out.append((path, len(text.encode()), None))
+                    content = text.encode()
+                    places.put(fs, f"{folder}/{path}", content)
+                    out.append((path, len(content), None))
                 except (OSError, ValueError) as e:
                     out.append((path, None, str(e)))
             yield pd.DataFrame(out, columns=["path", "bytes", "error"])
 
-    found = df.select(F.col(path_col).alias("path"), F.col(text_col).alias("text")).mapInPandas(of, "path string, bytes long, error string")
-    return found
+    return df.select(F.col(path_col).alias("path"), F.col(text_col).alias("text")).mapInPandas(of, "path string, bytes long, error string")
 
 
 def pending_manifest(candidates: DataFrame, done: DataFrame) -> DataFrame:
