@@ -1,13 +1,16 @@
 """Main text of web pages by the distribution of text over line blocks.
 
 Markup is stripped to lines, one for each block of text. A line weighs as many characters as it has outside links, and
-nothing if most of it is links. Weights are summed over sliding windows of ``WINDOW`` lines. Elements that are never
-content (menus, headers, footers, sidebars, forms, adverts, notices, comments by readers, scripts, styles) leave
-nothing; the edges of sections, which are stretches of mere markup, leave a window of empty lines.
+nothing if most of it is links; inside a content element links are text. Weights are summed over sliding windows of
+``WINDOW`` lines. Elements that are never content (menus, headers, footers, sidebars, forms, adverts, notices, comments
+by readers, scripts, styles) leave nothing; the edges of sections, which are stretches of mere markup, leave a window of
+empty lines. Outside content elements a part of a name tells such an element. Inside one (an article, a main element or
+one named as such) a name must speak of furniture as a whole: ``related-posts`` does, ``related-work`` doesn't; names of
+headings and inline elements say nothing there, nor do ids of sections and paragraphs, and a header is the article's.
 
 The windows choose the text. A run goes from where the sum rises from 0 to the dive point where it is 0 again; it
 surges if its highest window reaches ``SURGE`` characters and ``SHARE`` of the page's highest window (or is that window).
-Text between a surge and its dive is kept, so a menu of links inside an article, over which the windows are 0, goes.
+Text between a surge and its dive is kept, so a menu of links outside content elements, over which windows are 0, goes.
 What doesn't surge is kept beside a run that does, if it belongs to the same article: in the same section, in a content
 element (article, main, or one that is named so) around, inside or next to the run's own, between two kept runs of one
 parent, or a heading right before one. So nothing of an article is lost to a length limit.
@@ -59,6 +62,13 @@ OUT = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsens
 EDGE = {"header", "masthead", "head", "side", "aside", "rail", "search", "form", "foot"}
 STAY = {"article", "content", "main", "post", "entry", "story", "body", "page", "text"}
 OWN = STAY - {"page", "body", "main", "text"}
+#: Further parts that a name of furniture inside a content element may have beside a part of OUT or INSIDE; numbers and
+#: single letters may be there too.
+INSIDE = {"aside", "rail", "search", "side", "foot"}
+FILLER = {"area", "article", "articles", "author", "bar", "block", "blocks", "body", "bottom", "box", "button", "buttons", "by", "card", "cards", "center", "content", "container", "count", "entry", "floating", "form", "google", "group", "header", "hero", "icons", "inline", "inner", "item", "items", "label", "left", "link", "links", "list", "main", "media", "meta", "mobile", "module", "more", "native", "news", "outer", "page", "panel", "placeholder", "post", "posts", "primary", "reader", "readers", "right", "row", "secondary", "section", "site", "slot", "sticky", "stories", "story", "text", "thread", "title", "top", "unit", "user", "video", "wrap", "wrapper"}
+NAMELESS = INLINE | {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Parts of a header's names inside a content element that make it the site's.
+SITE = {"site", "global", "masthead", "nav", "navbar", "navigation", "menu"}
 BESIDE = {"with", "has", "no", "without", "open", "closed", "enabled"}
 #: Class names of articles that are readers' comments, adverts or pointers to other articles.
 OTHER_ARTICLES = {"comment", "comments", "comment-body", "comment-content", "reply", "ad", "advert", "advertisement", "sponsored", "promo", "related", "teaser"}
@@ -74,38 +84,47 @@ class Line:
         self.home, self.heading, self.parts, self.linked, self.text = home, heading, [], 0, ""
 
     def weight(self) -> int:
-        """The characters outside links; none if most are inside."""
+        """The characters outside links; none if most are links."""
         return 0 if self.linked > LINKS * len(self.text) else len(self.text) - self.linked
 
 
 class Section:
-    """An element that may hold an article's text: the section around it, and whether it is a content element."""
+    """An element that may hold an article's text: the section around it, whether it is a content element, and whether it
+    is inside an element (or one itself) that holds just an article."""
 
-    __slots__ = ("content", "up")
+    __slots__ = ("content", "inside", "up")
 
-    def __init__(self, up: int, content: bool):
-        self.up, self.content = up, content
+    def __init__(self, up: int, content: bool, inside: bool = False):
+        self.up, self.content, self.inside = up, content, inside
 
 
-def named(attributes: str) -> Iterator[tuple[str, list[str]]]:
-    """Each name in class, id and role with its parts in lower case."""
+def named(attributes: str) -> Iterator[tuple[str, str, list[str]]]:
+    """Each name in class, id and role, with the attribute and the name's parts in lower case."""
     for key, value in ATTRIBUTE.findall(attributes):
         if key.lower() in ("class", "id", "role"):
             for name in value.strip("\"'").split():
-                yield name.lower(), [p.lower() for p in PART.findall(name)]
+                yield key.lower(), name.lower(), [p.lower() for p in PART.findall(name)]
 
 
-def is_away(element: str, attributes: str) -> bool:
-    """Whether an element is never content, by its name or attributes."""
-    if element in NEVER:
+def is_away(element: str, attributes: str, inside: bool = False) -> bool:
+    """Whether an element, inside or outside a content element, is never content, by its name or attributes."""
+    if element in NEVER and not (inside and element == "header"):
         return True
     if not attributes or element in ("html", "body"):
         return False
-    for name, parts in named(attributes):
+    for key, name, parts in named(attributes):
         if element in MAIN:
             if name in OTHER_ARTICLES:
                 return True
-        elif parts and not BESIDE.intersection(parts) and (OUT.intersection([*parts, "".join(parts)]) or parts[-1] in EDGE and parts[0] not in OWN):
+        elif not parts or BESIDE.intersection(parts):
+            continue
+        elif not inside:
+            if OUT.intersection([*parts, "".join(parts)]) or parts[-1] in EDGE and parts[0] not in OWN:
+                return True
+        elif element == "header":
+            if SITE.intersection(parts):
+                return True
+        elif element not in NAMELESS and not (key == "id" and element in ("section", "p")) and is_furniture(parts):
             return True
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
@@ -114,9 +133,22 @@ def is_away(element: str, attributes: str) -> bool:
     return False
 
 
+def is_furniture(parts: list[str]) -> bool:
+    """Whether a name as a whole speaks of what stands in or beside articles without being theirs."""
+    said = [p for p in parts if p in OUT or p in INSIDE]
+    if "".join(parts) in OUT:
+        return True
+    return bool(said) and all(p in OUT or p in INSIDE or p in FILLER or p.isdigit() or len(p) == 1 for p in parts)
+
+
 def is_main(element: str, attributes: str) -> bool:
     """Whether an element may hold the article."""
-    return element in MAIN or element in ("div", "section", "td") and any(STAY.intersection(parts) for _, parts in named(attributes))
+    return element in MAIN or element in ("div", "section", "td") and any(STAY.intersection(parts) for _, _, parts in named(attributes))
+
+
+def is_own(element: str, attributes: str) -> bool:
+    """Whether an element holds just the article."""
+    return element in MAIN or element in ("div", "section", "td") and any(OWN.intersection(parts) for _, _, parts in named(attributes))
 
 
 class Stack:
@@ -174,12 +206,15 @@ def lines_of(page: str) -> tuple[list[Line], list[Section]]:
             lines[-1].heading = True
 
     def gap() -> None:
-        lines.extend(Line(home) for _ in range(WINDOW + 1))
+        if len(lines) > WINDOW and not any(x.parts for x in lines[-WINDOW - 1 :]):
+            lines[-1] = Line(home)  # one gap will do for edges without text between
+        else:
+            lines.extend(Line(home) for _ in range(WINDOW + 1))
 
     def put(text: str) -> None:
         if text and not stack.out:
             lines[-1].parts.append(text)
-            if links:
+            if links and not sections[home].inside:
                 lines[-1].linked += len(text)
 
     def leave(depth: int) -> None:
@@ -219,11 +254,11 @@ def lines_of(page: str) -> tuple[list[Line], list[Section]]:
                     leave(depth)
             if name == "li" and stack.items and stack.items[-1][0] == "li":
                 leave(len(stack.items) - 1)
-            out = is_away(name, m[3]) and not (name == "header" and any(stack.last(x) >= 0 for x in MAIN))
+            out = is_away(name, m[3], sections[home].inside)
             stack.push(name, out, home)
             links += name == "a"
             if not stack.out and name in SECTIONS:
-                sections.append(Section(home, is_main(name, m[3])))
+                sections.append(Section(home, is_main(name, m[3]), sections[home].inside or is_own(name, m[3])))
                 home = len(sections) - 1
                 gap()
             elif not stack.out and not inline:
