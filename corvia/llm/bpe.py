@@ -33,9 +33,9 @@ from corvia.llm.middle import slices
 from corvia.llm.packing import tokenizer_file
 
 #: Bytes of texts whose words are held at once; of a longer text, so many words at a time.
-CHUNK, WORDS = 1 << 22, 1 << 18
+CHUNK, WORDS = 1 << 21, 1 << 17
 #: Words that a Python worker remembers from task to task (in two halves: the older one goes), and the longest that it does.
-KEPT_WORDS, KEPT_CHARS = 1_000_000, 48
+KEPT_WORDS, KEPT_CHARS = 600_000, 48
 #: Room for an id in a pair's key.
 BITS = 24
 

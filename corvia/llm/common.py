@@ -90,7 +90,13 @@ def through_texts(df: DataFrame, text_col: str, of) -> DataFrame:
         del work
         release()
 
-    return df.mapInArrow(run, df.schema)
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # names may have dots in them
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
+def quoted(name: str) -> Column:
+    """A column by its name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def let(value: Column, body) -> Column:

@@ -10,7 +10,8 @@ The prefix sum is a rank times the rate; ranks come from counts per block (2 % c
 hot source is numbered by many tasks. A source's one offset is hashed from the seed and the source, so reruns agree.
 
 Defined results: null texts have size 0; a null source is a source of its own, the last one; repeated rows are sampled
-one by one; columns of other names are carried along, columns named like the results are replaced.
+one by one; columns of other names are carried along as they are (in a struct, where none can clash with a working column),
+columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvia.llm.common import durable, n_words_of, source_key, sums_before
+from corvia.llm.common import durable, n_words_of, quoted, source_key, sums_before
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -66,8 +67,8 @@ def mix(docs: DataFrame, seed: int = 7, weights: tuple = WEIGHTS, share: float =
     """Every row of docs with size, source_size, target, copies and taken (copies times size)."""
     size = n_words_of(F.col("text")) if size is None else size
     kept = [c for c in docs.columns if c not in RESULTS]
-    sized = docs.withColumn("size", size).select(*kept, "size").withColumn("_key", source_key(F.col("source")))
-    id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
+    sized = docs.select(F.struct(*[quoted(c) for c in kept]).alias("_doc"), F.col("doc_id").alias("_id"), size.alias("size"), source_key(F.col("source")).alias("_key"))
+    id_text = F.coalesce(F.col("_id").cast("string"), F.lit("-"))
     sized = sized.withColumn("_class", size_class(F.col("size"))).withColumn("_at", unit_hash(F.lit(str(seed)), id_text))
     sized = sized.withColumn("_salt", F.floor(F.col("_at") * SALTS).cast("int"))
     narrow = durable(sized.groupBy("_key", "_class", "_salt").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("size")))
@@ -76,22 +77,22 @@ def mix(docs: DataFrame, seed: int = 7, weights: tuple = WEIGHTS, share: float =
     per_source = targets(narrow, weights, share, most)
     few = narrow.select("_key").distinct().count() <= FEW_SOURCES
     blocks = blocks.drop("size", "_n").join(F.broadcast(per_source) if few else per_source, "_key")
-    numbered = sized.withColumn("_in", F.row_number().over(Window.partitionBy("_key", "_class", "_salt").orderBy("size", "_at", "doc_id")))
+    numbered = sized.withColumn("_in", F.row_number().over(Window.partitionBy("_key", "_class", "_salt").orderBy("size", "_at", "_id")))
     numbered = numbered.join(blocks, ["_key", "_class", "_salt"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     numbered = numbered.withColumn("_rate", rate).withColumn("_rank", F.col("_before") + F.col("_in"))
 
     passed = lambda rank: F.floor(rank * F.col("_rate") + unit_hash(F.lit(f"offset{seed}"), F.col("_key")))
     found = numbered.withColumn("copies", (passed(F.col("_rank")) - passed(F.col("_rank") - 1)).cast("long"))
-    return found.withColumn("taken", F.col("copies") * F.col("size")).select(*kept, *RESULTS)
+    return found.withColumn("taken", F.col("copies") * F.col("size")).select("_doc.*", *RESULTS)
 
 
 def emit(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """Each document as often as the mix takes it; the columns of docs, those named like the results as they were."""
-    own = [c for c in docs.columns if c in RESULTS]
-    mixed = mix(docs.withColumnsRenamed({c: f"_own_{c}" for c in own}), seed)
-    taken = mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return taken.select(*[F.col(f"_own_{c}").alias(c) if c in own else c for c in docs.columns])
+    """Each document as often as the mix takes it; all columns of docs as they were."""
+    whole = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("doc"), "doc_id", "source", n_words_of(F.col("text")).alias("words"))
+    mixed = mix(whole, seed, size=F.col("words"))
+    taken = mixed.where("copies > 0").select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    return taken.select("doc.*")
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvia.llm.common import SPACE, durable, let, source_key, words_of
+from corvia.llm.common import SPACE, durable, let, quoted, source_key, words_of
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 VECTOR = ["x0", "x1", "x2", "x3"]
@@ -98,15 +98,16 @@ def repeat_words(words: Column) -> Column:
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add the five statistics of the whole text."""
+    """Add the five statistics of the whole text, in place of columns of their names; other columns as they are."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     both = let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).alias("r")))
-    found = docs.withColumn("_w", both)
-    found = found.withColumn("n_words", F.col("_w.n")).withColumn("n_repeat_words", F.col("_w.r"))
-    found = found.withColumn("word_chars", F.length(F.regexp_replace(text, SPACE, "")).cast("long"))
-    found = found.withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"))
-    return found.withColumn("n_dup_lines", let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")).drop("_w")
+    others = F.struct(*[quoted(c) for c in docs.columns if c not in STATS]).alias("_doc")
+    chars = F.length(F.regexp_replace(text, SPACE, "")).cast("long")
+    symbols = (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long")
+    repeated = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
+    found = docs.select(others, both.alias("_w"), chars.alias("word_chars"), symbols.alias("n_symbols"), repeated.alias("n_dup_lines"))
+    return found.select("_doc.*", F.col("_w.n").alias("n_words"), F.col("_w.r").alias("n_repeat_words"), "word_chars", "n_symbols", "n_dup_lines")
 
 
 def vector() -> list[Column]:
@@ -220,7 +221,7 @@ def judge(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     """Every row of docs with the statistics, base_failed, distance (null where no group speaks) and kept."""
     found = docs if set(STATS) <= set(docs.columns) else with_statistics(docs)
     carried = [c for c in found.columns if c not in RESULTS]  # in a struct, where no name clashes with those of an estimate
-    found = found.select(F.struct(*carried).alias("_row"), *STATS, source_key(F.col("lang")).alias("_lang"), source_key(F.col("source")).alias("_source"))
+    found = found.select(F.struct(*[quoted(c) for c in carried]).alias("_row"), *STATS, source_key(F.col("lang")).alias("_lang"), source_key(F.col("source")).alias("_source"))
     found = found.withColumn("base_failed", base_failed()).withColumns(dict(zip(VECTOR, vector(), strict=True)))
     keys = ["_lang", "_source"]
     groups, few = robust(found.where(~F.col("base_failed")).select(*keys, *VECTOR), keys)

@@ -186,7 +186,7 @@ def redact(docs: DataFrame, pair: MarkovPair, text_col: str = "text") -> DataFra
         return lambda texts: (None, [t if t is None else redacted(t, all_spans(t, pair)[1]) for t in texts])
 
     found = through_texts(docs, text_col, of)
-    return found.withColumn("n_chars", F.length(text_col).cast("long")).select(*docs.columns) if "n_chars" in docs.columns else found
+    return found.withColumn("n_chars", F.length(text_col).cast("long")) if "n_chars" in docs.columns else found
 
 
 def query(docs: DataFrame) -> DataFrame:

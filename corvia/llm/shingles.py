@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvia.llm.common import durable, per_text, release
+from corvia.llm.common import durable, per_text, quoted, release
 from corvia.llm.simhash import components, extended, fingerprint_of, shingle_hashes, tree_candidates
 
 SIZE = 5
@@ -250,11 +250,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each class, the one with the smallest id (null last), text hash and row hash; the columns of docs."""
-    marked = docs.withColumns({"_text": F.xxhash64(F.col("text")), "_hash": F.xxhash64(*docs.columns)})
-    rows = durable(sketches(marked, ["doc_id", "_text", "_hash"]))
+    marked = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("_row"), "doc_id", "text", F.xxhash64(F.col("text")).alias("_text"), F.xxhash64(*[quoted(c) for c in docs.columns]).alias("_hash"))
+    rows = durable(sketches(marked.select("doc_id", "text", "_text", "_hash"), ["doc_id", "_text", "_hash"]))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text", "_hash")).alias("first")
     firsts = durable(rows.groupBy("key").agg(first))
     found = classes(rows, sets_by(firsts.select("key", "first._text", "first._hash"), marked.select("text", "_text", "_hash"), ["_text", "_hash"]))
     labelled = firsts.join(found.withColumnRenamed("node", "key"), "key", "left").select("first", F.coalesce("label", "key").alias("label"))
     kept = labelled.groupBy("label").agg(F.min("first").alias("first")).select("first._text", "first._hash")
-    return marked.join(kept, ["_text", "_hash"], "left_semi").dropDuplicates(["_text", "_hash"]).select(*docs.columns)
+    return marked.select("_row", "_text", "_hash").join(kept, ["_text", "_hash"], "left_semi").dropDuplicates(["_text", "_hash"]).select("_row.*")

@@ -14,7 +14,7 @@ def odd_docs(spark):
         (9007199254740993, "ein kurzer deutscher text mit wenigen worten und noch etwas mehr", "de", "c", 9), (8, " ".join(f"w{i % 977}x" for i in range(120_000)), "en", "c", 7),
     ]
     docs = spark.createDataFrame(rows, SCHEMA)
-    clashing = ["size", "copies", "taken", "target", "source_size", "fp", "component_id", "rank", "shard", "slot", "key", "score", "lang_pred", "spans", "kept", "n_words", "distance", "piece", "start", "length", "sequence_id", "offset", "w", "n"]
+    clashing = ["size", "copies", "taken", "target", "source_size", "fp", "component_id", "rank", "shard", "slot", "key", "score", "lang_pred", "spans", "kept", "n_words", "distance", "piece", "start", "length", "sequence_id", "offset", "w", "n", "_key", "_salt", "_rate", "_copy", "_class", "_at", "_in", "_rank", "_text", "_hash", "_w", "_doc", "_row", "_id", "doc", "copy", "words", "a.b"]
     return docs.withColumns({c: F.lit("clash") for c in clashing})
 
 
