@@ -31,4 +31,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from corvia.plans import catalog_queries, graph_queries, retrieval_queries, state_queries, text_queries  # noqa: E402, F401
+from corvia.plans import catalog_queries, graph_queries, retrieval_queries, state_queries, stream_queries, text_queries  # noqa: E402, F401
