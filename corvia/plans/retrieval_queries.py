@@ -10,8 +10,11 @@ from corvia.operators import fallback
 from corvia.operators import retrieval as r
 from corvia.operators import scope as scopes
 from corvia.operators.catalog import cache_misses
+from corvia.operators.frequencies import Frequencies
+from corvia.operators.postings import Postings
 from corvia.operators.ranking import top_per
 from corvia.plans.registry import query, table
+from corvia.tables import durable, new_folder
 
 WORD = r"[\p{L}\p{N}_]+"
 
@@ -113,6 +116,34 @@ def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.sparse_top_k(table(spark, sf_dir, "documents"), queries, 10).withColumn("score", F.round("score", 6))
 
 
+@query(f"""
+WITH {SPARSE} SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id)::INT AS rank FROM sparse QUALIFY rank <= 10
+""")
+def postings_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search through an inverted index, which is built from the documents."""
+    queries, docs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), table(spark, sf_dir, "documents")
+    index = Postings(spark, new_folder(spark, "postings")).build(docs, durable(r.document_frequency(docs, F.col("text"))), docs.count())
+    return index.search(queries, 10)[0].withColumn("score", F.round("score", 6))
+
+
+@query(rf"""
+WITH now AS (SELECT doc_id, text FROM documents WHERE source <> 'src1' AND source <> 'src2' UNION ALL SELECT doc_id, 'changed ' || text FROM documents WHERE source = 'src2')
+SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '{WORD}'))) AS token FROM now) GROUP BY token
+UNION ALL SELECT '', count(*) FROM now
+""")
+def frequency_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequencies after documents came, went and changed; the row without a token counts documents."""
+    docs = table(spark, sf_dir, "documents").select("lang", "source", "text")
+    kept = Frequencies(spark, new_folder(spark, "frequencies"))
+    kept.update(docs.where("lang = 'en'"))
+    kept.update(docs.where("lang IS NULL OR lang <> 'en'"))
+    kept.update(removed=docs.where("source = 'src1'"))
+    changed = docs.where("source = 'src2'")
+    kept.update(changed.withColumn("text", F.concat(F.lit("changed "), "text")), changed)
+    df, n = kept.current()
+    return df.union(spark.createDataFrame([("", n)], "token string, df long"))
+
+
 COSINE = "list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[])"
 
 
