@@ -5,13 +5,15 @@ Every channel returns ranked rows (query_id, id, score, rank); ``rrf`` and ``fus
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corvia.functions.text import token_id, tokens
 from corvia.operators.ranking import top_per
@@ -27,8 +29,8 @@ GRAPH_WEIGHT = 0.02
 BATCH_QUERIES = 1000
 #: Distinct tokens up to which their frequencies are broadcast.
 FEW_TOKENS = 200_000
-#: Vectors in a block of candidates.
-BLOCK = 8192
+#: Vectors in a block of candidates, and documents of a batch that are multiplied at once.
+BLOCK, STRETCH = 8192, 512
 
 
 # Names and words
@@ -83,27 +85,53 @@ class Channel:
     def __init__(self, name: int, lexicon: dict, matrix: np.ndarray, names: list, counted: bool):
         self.name, self.lexicon, self.matrix, self.names, self.counted = name, lexicon, matrix, names, counted
 
+    def arrays(self, vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Row (-1: none) and weight of each token of a vocabulary."""
+        held = [self.lexicon.get(t, (-1, 0.0)) for t in vocabulary]
+        return np.array([r for r, _ in held], np.int64), np.array([w for _, w in held])
 
-def sparse_channel(docs: DataFrame, queries: DataFrame, text_col: str, name: int = 0) -> Channel:
-    """The inner product of sparse vectors. The frequencies of all tokens are counted on the executors; the driver takes
-    only those whose id occurs in the queries."""
-    n = docs.count()
+    def scores(self, doc: np.ndarray, row: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+        """(n, queries) from the values of a batch's documents, which are in order; a stretch of documents is one product."""
+        found = np.zeros((n, len(self.names)))
+        for start in range(0, n, STRETCH):
+            lo, hi = np.searchsorted(doc, [start, start + STRETCH])
+            if lo < hi:
+                dense = np.zeros((min(STRETCH, n - start), len(self.matrix)))
+                order = lo + np.argsort(value[lo:hi], kind="stable")  # of several tokens of a row the largest stays
+                dense[doc[order] - start, row[order]] = value[order]
+                found[start : start + STRETCH] = dense @ self.matrix
+        return found
+
+
+#: (token, df) of a corpus and the number of its documents, where they are known (``frequencies``).
+Known = tuple[DataFrame, int]
+
+
+def sparse_channel(docs: DataFrame, queries: DataFrame, text_col: str, name: int = 0, known: Known | None = None) -> Channel:
+    """The inner product of sparse vectors. The frequencies of all tokens are counted on the executors, or known; the
+    driver takes only those whose id occurs in the queries."""
+    n = docs.count() if known is None else known[1]
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("tf")).collect()
     ids = docs.sparkSession.createDataFrame(sorted({(r["token"],) for r in asked}), "token string").select(token_id(F.col("token")).alias("token_id")).distinct()
-    near = document_frequency(docs, F.col(text_col)).withColumn("token_id", token_id(F.col("token"))).join(F.broadcast(ids), "token_id", "left_semi")
-    known = {r["token"]: (r["token_id"], float(np.log1p(max(n, 1) / r["df"]))) for r in near.collect()}
+    frequencies = document_frequency(docs, F.col(text_col)) if known is None else known[0]
+    near = frequencies.withColumn("token_id", token_id(F.col("token"))).join(F.broadcast(ids), "token_id", "left_semi")
+    found = {r["token"]: (r["token_id"], float(np.log1p(max(n, 1) / r["df"]))) for r in near.collect()}
     place: dict[int, int] = {}
     weights: dict[tuple, float] = {}
     for r in asked:
-        if r["token"] in known:
-            tid, idf = known[r["token"]]
+        if r["token"] in found:
+            tid, idf = found[r["token"]]
             key = (r["query_id"], place.setdefault(tid, len(place)))
             weights[key] = max(weights.get(key, 0.0), r["tf"] * idf)
     names = sorted({q for q, _ in weights})
     matrix, column = np.zeros((len(place), len(names))), {q: i for i, q in enumerate(names)}
     for (q, at), w in weights.items():
         matrix[at, column[q]] = w
-    return Channel(name, {t: (place[tid], idf) for t, (tid, idf) in known.items() if tid in place}, matrix, names, True)
+    return Channel(name, {t: (place[tid], idf) for t, (tid, idf) in found.items() if tid in place}, matrix, names, True)
+
+
+def counted(docs: DataFrame, text_col: str) -> Known:
+    return durable(document_frequency(docs, F.col(text_col))), docs.count()
 
 
 def word_channel(queries: DataFrame, name: int = 0) -> Channel:
@@ -130,14 +158,15 @@ def in_passes(queries: DataFrame, answer) -> DataFrame:
     return found
 
 
-def sparse_top_k(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sparse_top_k(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", known: Known | None = None) -> DataFrame:
     """(query_id, id, score, rank): the k documents with the largest inner product of sparse vectors for each query
     (query_id, text).
 
     Documents are scored where they are read, against all queries of a pass at once, and only the best k of each task's
-    batch are shuffled: documents aren't joined with queries.
+    batch are shuffled: documents aren't joined with queries. Frequencies are counted once, not for each pass.
     """
-    return in_passes(queries, lambda some: _scored(docs, id_col, text_col, [sparse_channel(docs, some, text_col)], some, k).drop("channel"))
+    known = known or counted(docs, text_col)
+    return in_passes(queries, lambda some: _scored(docs, id_col, text_col, [sparse_channel(docs, some, text_col, known=known)], some, k).drop("channel"))
 
 
 def word_top_k(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,41 +186,47 @@ def _scored(docs: DataFrame, id_col: str, text_col: str, channels: list[Channel]
         return docs.sparkSession.createDataFrame([], schema + ", rank int")
     shared = docs.sparkSession.sparkContext.broadcast(channels)
 
-    def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            held = [Counter(x.tolist()) for x in part["tokens"]]
-            ids = part["id"].to_numpy()
-            for c in shared.value:
-                scores = np.zeros((len(part), len(c.names)))
-                for i, counts in enumerate(held):
-                    vector: dict[int, float] = {}
-                    for t, n in counts.items():
-                        if t in c.lexicon:
-                            at, weight = c.lexicon[t]
-                            vector[at] = max(vector.get(at, 0.0), (n if c.counted else 1) * weight)
-                    if vector:
-                        scores[i] = np.array(list(vector.values())) @ c.matrix[list(vector)]
-                for found in _best(ids, scores, c.names, k):
-                    yield found.assign(channel=c.name)[["query_id", "channel", "id", "score"]]
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
+        known = pa.array(vocabulary, pa.string())
+        tables = [(c, *c.arrays(vocabulary)) for c in shared.value]
+        for batch in batches:
+            lists = batch.column(1)
+            doc = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            code = pc.index_in(pc.list_flatten(lists), known).to_numpy(zero_copy_only=False).astype(np.int64)
+            pairs, counts = np.unique(doc * len(vocabulary) + code, return_counts=True)
+            doc, code = np.divmod(pairs, len(vocabulary))
+            for c, row, weight in tables:
+                mine = row[code] >= 0
+                value = weight[code[mine]] * (counts[mine] if c.counted else 1)
+                scores = c.scores(doc[mine], row[code[mine]], value, len(batch))
+                at, column = best(batch.column(0), scores, k)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array([c.names[j] for j in column.tolist()], query_kind), pa.array(np.full(len(at), c.name, np.int32)), batch.column(0).take(pa.array(at)), pa.array(scores[at, column])], ["query_id", "channel", "id", "score"])
 
     asked = F.filter(tokens(F.col(text_col)), lambda t: t.isin(vocabulary))
-    found = docs.select(F.col(id_col).alias("id"), asked.alias("tokens")).where(F.size("tokens") > 0).mapInPandas(score, schema)
+    narrow = docs.select(F.col(id_col).alias("id"), asked.alias("tokens")).where(F.size("tokens") > 0)
+    query_kind = to_arrow_type(queries.schema["query_id"].dataType)
+    found = narrow.mapInArrow(score, schema)
     return top_per(found, ["query_id", "channel"], k, [F.desc(F.round("score", 9)), F.col("id")])
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, names: list, k: int) -> Iterator[pd.DataFrame]:
-    """The best k positive rows of each column, ties by id."""
-    out = []
-    for j, name in enumerate(names):
+def best(ids: pa.Array, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the best k positive scores of each column, ties by id."""
+    rows, columns = [], []
+    place = np.empty(len(ids), np.int64)
+    place[pa.compute.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+    for j in np.flatnonzero((scores > 0).any(axis=0)).tolist():
         column = scores[:, j]
         at = np.flatnonzero(column > 0)
         if len(at) > k:
             limit = np.partition(column[at], len(at) - k)[len(at) - k]
             at = at[column[at] >= limit - 1e-9 * max(1.0, abs(limit))]
-        order = np.lexsort((ids[at], -np.round(column[at], 9)))[:k]
-        out.append(pd.DataFrame({"query_id": [name] * len(order), "id": ids[at][order], "score": column[at][order]}))
-    if out:
-        yield pd.concat(out, ignore_index=True)
+        at = at[np.lexsort((place[at], -np.round(column[at], 9)))[:k]]
+        rows.append(at)
+        columns.append(np.full(len(at), j))
+    return (np.concatenate(rows), np.concatenate(columns)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 # Dense vectors
@@ -225,7 +260,8 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "v
             for at in range(0, len(q), 256):
                 part = q.iloc[at : at + 256]
                 scores = have @ unit(part["v"]).T + 2  # positive, so that all take part
-                out += [x.assign(score=x["score"] - 2) for x in _best(ids, scores, part["query_id"].tolist(), k)]
+                at, column = best(pa.array(ids), scores, k)
+                out.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[column], "id": ids[at], "score": scores[at, column] - 2}))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
 
     kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)[id_col]
@@ -278,14 +314,16 @@ def top_ranked(fused: DataFrame, k: int) -> DataFrame:
     return top_per(fused, ["query_id"], k, fused_order(fused))
 
 
-def hybrid_search(docs: DataFrame, queries: DataFrame, k: int, channel_k: int = 50) -> DataFrame:
+def hybrid_search(docs: DataFrame, queries: DataFrame, k: int, channel_k: int = 50, known: Known | None = None) -> DataFrame:
     """(query_id, id, score, rank): sparse and lexical channels of documents (doc_id, text) fused by reciprocal rank.
 
     The lexical channel ranks by how many distinct words of the query a document holds. Both read the documents once.
     """
 
+    known = known or counted(docs, "text")
+
     def answer(some: DataFrame) -> DataFrame:
-        return _scored(docs, "doc_id", "text", [word_channel(some, 0), sparse_channel(docs, some, "text", 1)], some, channel_k)
+        return _scored(docs, "doc_id", "text", [word_channel(some, 0), sparse_channel(docs, some, "text", 1, known)], some, channel_k)
 
     lists = in_passes(queries, answer).select("query_id", F.col("channel").alias("list"), "id", "rank")
     return top_per(rrf(lists), ["query_id"], k, [F.desc(F.round("score", 12)), F.col("first_list"), F.col("first_rank")]).select("query_id", "id", F.round("score", 8).alias("score"), "rank")
