@@ -13,6 +13,7 @@ from corvia.operators.catalog import cache_misses
 from corvia.operators.frequencies import Frequencies
 from corvia.operators.postings import Postings
 from corvia.operators.ranking import top_per
+from corvia.operators.vector_index import VectorIndex, recall
 from corvia.plans.registry import query, table
 from corvia.tables import durable, new_folder
 
@@ -171,6 +172,37 @@ def batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.dense_top_k(vectors, queries, 10).withColumn("score", F.round("score", 6))
 
 
+SCOPED = f"""
+SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id)::INT AS rank
+FROM (SELECT q.vec_id AS query_id, c.vec_id AS id, {COSINE} AS score FROM embeddings q JOIN embeddings c USING (label) WHERE q.vec_id % 50 = 0) QUALIFY rank <= 10
+"""
+
+
+def _scoped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, VectorIndex]:
+    vectors = table(spark, sf_dir, "embeddings")
+    index = VectorIndex(spark, new_folder(spark, "vectors")).build(vectors, scope=F.col("label"))
+    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").cast("string").alias("scope"), F.col("embedding").alias("vector"))
+    return vectors, queries, index
+
+
+@query(SCOPED)
+def ann_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best vectors within each query's label, through the index and its bounds."""
+    vectors, queries, index = _scoped(spark, sf_dir)
+    return index.search(vectors, queries, 10, exact=True).withColumn("score", F.round("score", 6))
+
+
+@query(f"SELECT count(DISTINCT query_id) AS queries, count(*) AS wanted, true AS reached FROM ({SCOPED})")
+def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the approximate search, with lists tuned on other queries, finds nine of ten of the rows that an exact one gives."""
+    vectors, queries, index = _scoped(spark, sf_dir)
+    found = index.search(vectors, queries, 10, probes=index.tuned(vectors, 10, scope=F.col("label")))
+    wanted = durable(index.search(vectors, queries, 10, exact=True))
+    share = recall(found, wanted)
+    return wanted.agg(F.count_distinct("query_id").alias("queries"), F.count(F.lit(1)).alias("wanted"), F.lit(share >= 0.9).alias("reached"))
+
+
+
 @query("""
 WITH lists AS (
   SELECT 0 AS list, doc_id AS id, rank FROM (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank <= 100
