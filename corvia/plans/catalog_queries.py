@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvia.operators.catalog import Conflict
 from corvia.operators.publication import Catalog
 from corvia.plans.registry import query, table
+from corvia.sources.ranged import RangedTable
 from corvia.tables import new_folder
 
 
@@ -53,3 +54,20 @@ def catalog_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog.publish(catalog.stage("second", *_revisions(docs.where("source < 'src3'"), 2, F.when(F.col("n_chars") % 3 == 0, review).otherwise(live))))
     found = [catalog.pointers(at).select(F.lit(at).alias("at_version"), "kind", "id", "revision_id", "version") for at in (1, 2, 3)]
     return found[0].union(found[1]).union(found[2])
+
+
+@query("""
+WITH d AS (SELECT coalesce(source, '') || chr(31) || doc_id AS key, source, md5(coalesce(text, '')) AS hash FROM documents)
+SELECT key, CASE WHEN source = 'src3' THEN 'new' ELSE hash END AS hash FROM d WHERE source IS NULL OR source <> 'src5'
+UNION ALL SELECT 'src3' || chr(31) || 'extra', 'new'
+""")
+def ranged_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of key ranges after one scope's rows were replaced, another's deleted, and a row came."""
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(F.concat_ws("\x1f", F.coalesce("source", F.lit("")), F.col("doc_id").cast("string")).alias("key"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("hash"), "source")
+    held = RangedTable(spark, new_folder(spark, "ranged"), "key string, hash string", "key", max(1, docs.count() // 40))
+    held.upsert(rows.select("key", "hash"))
+    held.replace("src3\x1f", "src3\x20", rows.where("source = 'src3'").select("key", F.lit("new").alias("hash")))
+    held.upsert(rows.where("source = 'src5'").select("key", "hash"), F.lit(True))
+    held.upsert(spark.createDataFrame([("src3\x1fextra", "new")], "key string, hash string"))
+    return held.read()

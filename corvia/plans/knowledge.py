@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from corvia.operators import capsule, catalog, fallback, graph, retrieval, scope, state
 from corvia.operators.ranking import top_per
 from corvia.schemas import HIT
-from corvia.sources import api_documents
+from corvia.sources import api_documents, ranged
 from corvia.tables import durable
 
 #: A recall channel: (query, scope, limit) -> hits; and a relation channel: (seeds, scope, limit) -> hits.
@@ -319,6 +319,48 @@ def reindex_report(artifacts: DataFrame, problems: DataFrame, where: scope.Scope
     return {"status": "dry_run" if dry_run else "succeeded", "discovered": n, "indexed": 0 if dry_run else n, "batches": 0 if dry_run else -(-n // batch_size), "problems": problems.count(), "warnings": ["DRY_RUN_NO_INDEX_WRITE"] if dry_run else []}
 
 
+#: Parts of an index key are joined, and a scope's keys end before, these characters.
+KEY_UNIT, KEY_END = "\x1f", "\x20"
+INDEX = (
+    "key string, artifact_id string, artifact_revision_id string, artifact_type string, wiki_id string, namespace string, version string, canonical_name string, aliases array<string>, status string, source_ids array<string>, "
+    "title string, summary string, claims_json string, relations_json string, provenance_json string, dense_embedding array<float>, sparse_embedding map<int,double>"
+)
+
+
+class ArtifactIndex:
+    """The index of artifacts as a table of key ranges: dense and sparse vectors side by side, a scope's rows together."""
+
+    def __init__(self, spark: SparkSession, folder: str, embed: Callable[[Column], Column], rows: int = ranged.ROWS):
+        self.embed, self.table = embed, ranged.RangedTable(spark, folder, INDEX, "key", rows)
+
+    def _rows(self, artifacts: DataFrame) -> DataFrame:
+        made = artifact_rows(artifacts, self.embed)
+        own = made.withColumn("key", F.concat_ws(KEY_UNIT, "wiki_id", "namespace", "version", "artifact_id"))
+        return own.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.table.schema])
+
+    def upsert(self, artifacts: DataFrame) -> tuple[int, list[str]]:
+        """Put active artifacts in place of those of their ids; document frequencies are those of these artifacts."""
+        return self.table.upsert(self._rows(artifacts))
+
+    def remove(self, artifacts: DataFrame) -> tuple[int, list[str]]:
+        """Take artifacts (wiki_id, namespace, version, artifact_id) out."""
+        keys = artifacts.select(F.concat_ws(KEY_UNIT, "wiki_id", "namespace", "version", "artifact_id").alias("key")).distinct()
+        blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.table.schema if f.name != "key"]
+        return self.table.upsert(keys.select("key", *blank), F.lit(True))
+
+    def _bounds(self, where: scope.Scope) -> tuple[str, str]:
+        begins = KEY_UNIT.join([where.wiki_id, where.namespace, where.version])
+        return begins + KEY_UNIT, begins + KEY_END
+
+    def rebuild(self, artifacts: DataFrame, where: scope.Scope) -> tuple[int, list[str]]:
+        """A scope's rows anew from its active artifacts, dense and sparse vectors together; other scopes stay as they are."""
+        live = artifacts.where((F.col("wiki_id") == where.wiki_id) & (F.col("draft.namespace") == where.namespace) & (F.col("draft.version") == where.version) & (F.col("status") == "active"))
+        return self.table.replace(*self._bounds(where), self._rows(live))
+
+    def of(self, where: scope.Scope) -> DataFrame:
+        return self.table.between(*self._bounds(where))
+
+
 def extract_artifacts(sections: DataFrame) -> DataFrame:
     """A rule-based stand-in for model extraction: each section (document_id, namespace, version, title, body) is a concept."""
     claim = F.struct(F.substring_index("body", "\n", 1).alias("text"), F.lit("medium").alias("confidence"))
