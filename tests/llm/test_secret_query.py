@@ -83,9 +83,8 @@ def brute_all(t, pair):
                     e += 1
                 if e - k >= S.MIN_RUN:
                     part = t[k:e]
-                    ratio = sum(pair.ratios[ord(a), ord(b)] for a, b in zip("\x02" + part, part, strict=False)) / len(part)
-                    least = S.THRESHOLD if any(c in string.digits for c in part) else S.LETTERS
-                    if ratio > least + S.SHORT * max(0, S.SURE - len(part)):
+                    sums = [sum(float(own[ord(a), ord(b)]) for a, b in zip("\x02" + part, part, strict=False)) for own in pair.ratios]
+                    if max(sums) > pair.threshold:
                         spans.append(("markov", k, e))
                 k = e + 1
         i = j + 1
