@@ -36,15 +36,19 @@ BLOCK, STRETCH = 8192, 512
 # Names and words
 
 
-def exact_names(names: DataFrame, docs: DataFrame, name_col: str = "name", id_col: str = "api_id", limit: int = 20) -> DataFrame:
+def exact_names(names: DataFrame, docs: DataFrame, name_col: str = "name", id_col: str = "api_id", limit: int = 20, within: str | None = None) -> DataFrame:
     """(query_id, id, rank): documents of exactly that name, or with that id where no name is equal.
 
-    names: (query_id, text). Texts that are no identifiers find nothing.
+    names: (query_id, text). Texts that are no identifiers find nothing. ``within`` is a column of both sides that must
+    agree too.
     """
-    asked = names.where(F.col("text").rlike(r"^[A-Za-z_][A-Za-z0-9_.:#]*$")).select("query_id", F.col("text").alias("_t"))
-    by_name = asked.join(docs, asked["_t"] == docs[name_col]).select("query_id", F.col("id"))
+    scope = [F.col(within).alias("_s")] if within else []
+    asked = names.where(F.col("text").rlike(r"^[A-Za-z_][A-Za-z0-9_.:#]*$")).select("query_id", F.col("text").alias("_t"), *scope)
+    held = lambda by: docs.select(F.col("id"), F.col(by).alias("_t"), *scope)
+    on = ["_t", "_s"] if within else ["_t"]
+    by_name = asked.join(held(name_col), on).select("query_id", "id")
     rest = asked.join(by_name.select("query_id").distinct(), "query_id", "left_anti")
-    by_id = rest.join(docs, rest["_t"] == docs[id_col]).select("query_id", F.col("id"))
+    by_id = rest.join(held(id_col), on).select("query_id", "id")
     return top_per(by_name.union(by_id), ["query_id"], limit, [F.col("id")])
 
 
@@ -80,10 +84,10 @@ def sparse_vectors(docs: DataFrame, id_col: str, text: Column, df: DataFrame, n_
 
 class Channel:
     """How a text channel scores: lexicon: token -> (row of the matrix, weight), matrix: (rows, queries), and whether a
-    token counts as often as it occurs; of several tokens of a row the largest weight counts."""
+    token counts as often as it occurs; of several tokens of a row the largest weight counts. It may be one of a scope."""
 
-    def __init__(self, name: int, lexicon: dict, matrix: np.ndarray, names: list, counted: bool):
-        self.name, self.lexicon, self.matrix, self.names, self.counted = name, lexicon, matrix, names, counted
+    def __init__(self, name: int, lexicon: dict, matrix: np.ndarray, names: list, counted: bool, scope=None):
+        self.name, self.lexicon, self.matrix, self.names, self.counted, self.scope = name, lexicon, matrix, names, counted, scope
 
     def arrays(self, vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Row (-1: none) and weight of each token of a vocabulary."""
@@ -116,6 +120,11 @@ def sparse_channel(docs: DataFrame, queries: DataFrame, text_col: str, name: int
     frequencies = document_frequency(docs, F.col(text_col)) if known is None else known[0]
     near = frequencies.withColumn("token_id", token_id(F.col("token"))).join(F.broadcast(ids), "token_id", "left_semi")
     found = {r["token"]: (r["token_id"], float(np.log1p(max(n, 1) / r["df"]))) for r in near.collect()}
+    return _channel(asked, found, name)
+
+
+def _channel(asked: list, found: dict[str, tuple[int, float]], name: int = 0, scope=None) -> Channel:
+    """The channel of queries' tokens (query_id, token, tf), with the id and the weight of each token of the documents."""
     place: dict[int, int] = {}
     weights: dict[tuple, float] = {}
     for r in asked:
@@ -127,7 +136,32 @@ def sparse_channel(docs: DataFrame, queries: DataFrame, text_col: str, name: int
     matrix, column = np.zeros((len(place), len(names))), {q: i for i, q in enumerate(names)}
     for (q, at), w in weights.items():
         matrix[at, column[q]] = w
-    return Channel(name, {t: (place[tid], idf) for t, (tid, idf) in found.items() if tid in place}, matrix, names, True)
+    return Channel(name, {t: (place[tid], idf) for t, (tid, idf) in found.items() if tid in place}, matrix, names, True, scope)
+
+
+def scoped_sparse_top_k(docs: DataFrame, queries: DataFrame, k: int, scope_col: str, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(query_id, id, score, rank): the k documents of each query's scope with the largest inner product of sparse vectors,
+    whose frequencies are those of the scope. One reading answers the queries of all scopes; documents and queries both
+    say their scope in ``scope_col``, and a document that is in several is there once for each."""
+
+    def answer(some: DataFrame) -> DataFrame:
+        asked = some.select(scope_col, "query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy(scope_col, "query_id", "token").agg(F.count(F.lit(1)).alias("tf")).collect()
+        wanted = some.sparkSession.createDataFrame(sorted({(r[scope_col], r["token"]) for r in asked}), f"{scope_col} {dict(docs.dtypes)[scope_col]}, token string")
+        wanted = wanted.select(scope_col, token_id(F.col("token")).alias("token_id")).distinct()
+        own = docs.join(wanted.select(scope_col).distinct(), scope_col, "left_semi")
+        df = own.select(scope_col, F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("token")).groupBy(scope_col, "token").agg(F.count(F.lit(1)).alias("df"))
+        near = df.withColumn("token_id", token_id(F.col("token"))).join(F.broadcast(wanted), [scope_col, "token_id"], "left_semi").collect()
+        n = {r[scope_col]: r["count"] for r in own.groupBy(scope_col).count().collect()}
+        found: dict = {}
+        for r in near:
+            found.setdefault(r[scope_col], {})[r["token"]] = (r["token_id"], float(np.log1p(max(n[r[scope_col]], 1) / r["df"])))
+        by_scope: dict = {}
+        for r in asked:
+            by_scope.setdefault(r[scope_col], []).append(r)
+        channels = [_channel(rows, found[s], 0, s) for s, rows in by_scope.items() if s in found]
+        return _scored(own, id_col, text_col, channels, some, k, scope_col).drop("channel")
+
+    return in_passes(queries, answer)
 
 
 def counted(docs: DataFrame, text_col: str) -> Known:
@@ -174,8 +208,9 @@ def word_top_k(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_i
     return in_passes(queries, lambda some: _scored(docs, id_col, text_col, [word_channel(some)], some, k).drop("channel"))
 
 
-def _scored(docs: DataFrame, id_col: str, text_col: str, channels: list[Channel], queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, channel, id, score, rank): the best k documents of each query in each channel, in one reading.
+def _scored(docs: DataFrame, id_col: str, text_col: str, channels: list[Channel], queries: DataFrame, k: int, scope_col: str | None = None) -> DataFrame:
+    """(query_id, channel, id, score, rank): the best k documents of each query in each channel, in one reading. With a
+    scope, a document's row is scored by the channels of its own.
 
     Tokens that no query has are dropped before anything leaves the JVM; a task's scores of a query are at most k.
     """
@@ -190,23 +225,34 @@ def _scored(docs: DataFrame, id_col: str, text_col: str, channels: list[Channel]
         import pyarrow.compute as pc
 
         known = pa.array(vocabulary, pa.string())
-        tables = [(c, *c.arrays(vocabulary)) for c in shared.value]
+        tables: dict = {}
+        for c in shared.value:
+            tables.setdefault(c.scope, []).append(c)
+        coded = {}  # rows and weights of channels that have been used
         for batch in batches:
-            lists = batch.column(1)
-            doc = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-            code = pc.index_in(pc.list_flatten(lists), known).to_numpy(zero_copy_only=False).astype(np.int64)
-            pairs, counts = np.unique(doc * len(vocabulary) + code, return_counts=True)
-            doc, code = np.divmod(pairs, len(vocabulary))
-            for c, row, weight in tables:
-                mine = row[code] >= 0
-                value = weight[code[mine]] * (counts[mine] if c.counted else 1)
-                scores = c.scores(doc[mine], row[code[mine]], value, len(batch))
-                at, column = best(batch.column(0), scores, k)
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array([c.names[j] for j in column.tolist()], query_kind), pa.array(np.full(len(at), c.name, np.int32)), batch.column(0).take(pa.array(at)), pa.array(scores[at, column])], ["query_id", "channel", "id", "score"])
+            scopes = batch.column(2).to_pylist() if scope_col else [None] * len(batch)
+            edges = [0, *(i for i in range(1, len(batch)) if scopes[i] != scopes[i - 1]), len(batch)] if len(batch) else [0]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                own, part = tables.get(scopes[lo], ()), batch.slice(lo, hi - lo)
+                if not own:
+                    continue
+                lists = part.column(1)
+                doc = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+                code = pc.index_in(pc.list_flatten(lists), known).to_numpy(zero_copy_only=False).astype(np.int64)
+                pairs, counts = np.unique(doc * len(vocabulary) + code, return_counts=True)
+                doc, code = np.divmod(pairs, len(vocabulary))
+                for c in own:
+                    row, weight = coded.get(id(c)) or coded.setdefault(id(c), c.arrays(vocabulary))
+                    mine = row[code] >= 0
+                    value = weight[code[mine]] * (counts[mine] if c.counted else 1)
+                    scores = c.scores(doc[mine], row[code[mine]], value, len(part))
+                    at, column = best(part.column(0), scores, k)
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array([c.names[j] for j in column.tolist()], query_kind), pa.array(np.full(len(at), c.name, np.int32)), part.column(0).take(pa.array(at)), pa.array(scores[at, column])], ["query_id", "channel", "id", "score"])
 
     asked = F.filter(tokens(F.col(text_col)), lambda t: t.isin(vocabulary))
-    narrow = docs.select(F.col(id_col).alias("id"), asked.alias("tokens")).where(F.size("tokens") > 0)
+    narrow = docs.select(F.col(id_col).alias("id"), asked.alias("tokens"), *([F.col(scope_col)] if scope_col else [])).where(F.size("tokens") > 0)
+    narrow = narrow.sortWithinPartitions(scope_col) if scope_col else narrow
     query_kind = to_arrow_type(queries.schema["query_id"].dataType)
     found = narrow.mapInArrow(score, schema)
     return top_per(found, ["query_id", "channel"], k, [F.desc(F.round("score", 9)), F.col("id")])
@@ -238,14 +284,16 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, id, score, rank): the k vectors of the highest cosine for each query (query_id, vector), exactly.
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", within: str | None = None) -> DataFrame:
+    """(query_id, id, score, rank): the k vectors of the highest cosine for each query (query_id, vector), exactly. With
+    ``within``, a column of both sides, only those that agree in it.
 
     Candidates and queries are dealt into blocks by hash; a task multiplies one block of each as matrices and passes
     on k rows per query. Vectors that are null, empty or zero take no part.
     """
-    held = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("v"))
+    scope = F.col(within) if within else F.lit(0)
+    held = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), scope.alias("scope"))
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("v"), scope.alias("scope"))
     ok = F.exists("v", lambda x: x != 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x))
     held, asked = (d.where(ok).withColumn("dim", F.size("v")) for d in (held, asked))
     n_blocks, n_sets = max(1, -(-held.count() // BLOCK)), max(1, -(-asked.count() // BLOCK))
@@ -265,7 +313,7 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "v
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
 
     kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)[id_col]
-    keys = ["dim", "qb", "cb"]
+    keys = ["scope", "dim", "qb", "cb"]
     found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(search, f"query_id {kinds[0]}, id {kinds[1]}, score double")
     return top_per(found, ["query_id"], k, [F.desc(F.round("score", 9)), F.col("id")])
 

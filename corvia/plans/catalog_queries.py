@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvia.operators.catalog import Conflict
 from corvia.operators.publication import Catalog
 from corvia.plans.registry import query, table
+from corvia.sources.document_trees import register
 from corvia.sources.ranged import RangedTable
 from corvia.tables import new_folder
 
@@ -71,3 +72,17 @@ def ranged_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     held.upsert(rows.where("source = 'src5'").select("key", "hash"), F.lit(True))
     held.upsert(spark.createDataFrame([("src3\x1fextra", "new")], "key string, hash string"))
     return held.read()
+
+
+@query("""
+SELECT coalesce(source, 'none') || '/' || doc_id || '.md' AS path, strlen(text)::BIGINT AS length, md5(text) AS hash FROM documents
+WHERE text IS NOT NULL AND strlen(text) BETWEEN 1000 AND 8000 AND source <> 'src1'
+""")
+def document_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as files of a tree, and those of some lengths and folders read back."""
+    register(spark)
+    folder = new_folder(spark, "tree")
+    path = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    table(spark, sf_dir, "documents").where("text IS NOT NULL").select(path.alias("path"), "text").write.format("documents").option("path", folder).mode("append").save()
+    found = spark.read.format("documents").option("path", folder).load().where("length >= 1000 AND length <= 8000 AND NOT path LIKE 'src1/%'")
+    return found.select("path", "length", F.md5(F.col("text").cast("binary")).alias("hash"))

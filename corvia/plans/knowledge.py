@@ -209,20 +209,26 @@ def query_batch(docs: DataFrame, queries: DataFrame, top_k: int = 10, embed: Cal
     """Answers of queries (query_id, text, namespace, version, language) that each have a scope of their own, and an audit
     row for each query: its strategy, how many documents it got, and its error. One bad query spoils no other.
 
-    Scopes are answered one after another; a request has few.
+    All scopes are answered in one plan: documents are joined to the scopes that they are in (their language's and the one
+    of any language at most), and names, vectors and frequencies are compared within the scope.
     """
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
     error = F.when(blank("text"), "EMPTY_QUERY").when(blank("namespace") | blank("version"), "SCOPE_REQUIRED")
     judged = durable(queries.withColumn("error", error))
-    good = judged.where("error IS NULL")
-    found = None
-    for row in good.select("namespace", "version", "language").distinct().orderBy("namespace", "version", "language").collect():
-        own = good.where((F.col("namespace") == row[0]) & (F.col("version") == row[1]) & F.col("language").eqNullSafe(F.lit(row[2])))
-        some = query_documents(docs, own.select("query_id", "text"), row[0], row[1], row[2], top_k, embed)
-        found = some if found is None else found.unionByName(some)
-    if found is None:
-        kinds = dict(queries.dtypes)["query_id"], dict(docs.dtypes)["id"]
-        found = docs.sparkSession.createDataFrame([], f"query_id {kinds[0]}, id {kinds[1]}, score double, rank int, route string")
+    good = judged.where("error IS NULL").select("query_id", "text", F.col("namespace").alias("s_namespace"), F.col("version").alias("s_version"), F.when(F.col("language") != "", F.col("language")).alias("s_language"))
+    where = ["s_namespace", "s_version", "s_language"]
+    scopes = durable(good.select(*where).distinct().withColumn("scope_id", F.monotonically_increasing_id()))
+    named_scope = (good["s_namespace"] == scopes["s_namespace"]) & (good["s_version"] == scopes["s_version"]) & good["s_language"].eqNullSafe(scopes["s_language"])
+    asked = durable(good.join(scopes, named_scope).select("query_id", "text", "scope_id"))
+    inside = (F.col("namespace") == F.col("s_namespace")) & (F.col("version") == F.col("s_version")) & (F.col("s_language").isNull() | (F.col("language") == F.col("s_language")))
+    held = docs.where(scope.document_filter()).join(scopes, inside).drop(*where)
+    named = durable(retrieval.exact_names(asked, held, limit=top_k, within="scope_id"))
+    rest = asked.join(named.select("query_id").distinct(), "query_id", "left_anti")
+    if embed is not None:
+        found = retrieval.dense_top_k(held, rest.withColumn("vector", embed(F.col("text"))), top_k, "id", "dense_embedding", "scope_id")
+    else:
+        found = retrieval.scoped_sparse_top_k(held, rest, top_k, "scope_id", "id")
+    found = named.select("query_id", "id", F.lit(None).cast("double").alias("score"), "rank", F.lit("name").alias("route")).union(found.select("query_id", "id", "score", "rank", F.lit("semantic").alias("route")))
     found = durable(found)
     counts = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("documents"), F.min("route").alias("strategy"))
     audit = judged.join(counts, "query_id", "left").select("query_id", "text", "namespace", "version", "language", F.coalesce("strategy", F.when(F.col("error").isNull(), "semantic")).alias("strategy"), F.coalesce("documents", F.lit(0)).alias("documents"), "error")

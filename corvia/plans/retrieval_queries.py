@@ -172,6 +172,29 @@ def batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.dense_top_k(vectors, queries, 10).withColumn("score", F.round("score", 6))
 
 
+@query(rf"""
+WITH q AS (SELECT item_id AS query_id, text, 'src' || (item_id % 10) AS namespace, CASE item_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'de' END AS language FROM benchmark),
+s AS (SELECT DISTINCT namespace, language FROM q),
+held AS (SELECT s.namespace, s.language, doc_id, text FROM documents d JOIN s ON d.source = s.namespace AND (s.language IS NULL OR d.lang = s.language)),
+size AS (SELECT namespace, coalesce(language, '') AS language, count(*) AS n FROM held GROUP BY ALL),
+tf AS (SELECT namespace, coalesce(language, '') AS language, doc_id, token, count(*) AS tf FROM (SELECT namespace, language, doc_id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS token FROM held) GROUP BY ALL),
+idf AS (SELECT namespace, language, token, ('0x' || substr(md5(token), 1, 6))::INT AS token_id, ln(1 + any_value(n)::DOUBLE / count(*)) AS idf FROM tf JOIN size USING (namespace, language) GROUP BY namespace, language, token),
+dv AS (SELECT namespace, language, doc_id, token_id, max(tf * idf) AS w FROM tf JOIN idf USING (namespace, language, token) GROUP BY ALL),
+qt AS (SELECT query_id, namespace, coalesce(language, '') AS language, token, count(*) AS tf FROM (SELECT query_id, namespace, language, unnest(regexp_extract_all(lower(text), '{WORD}')) AS token FROM q) GROUP BY ALL),
+qv AS (SELECT query_id, namespace, language, token_id, max(tf * idf) AS w FROM qt JOIN idf USING (namespace, language, token) GROUP BY ALL),
+sc AS (SELECT query_id, doc_id AS id, sum(qv.w * dv.w) AS score FROM qv JOIN dv USING (namespace, language, token_id) GROUP BY query_id, doc_id)
+SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id)::INT AS rank FROM sc QUALIFY rank <= 5
+""")
+def batch_of_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries that each have a scope of their own, answered in one plan."""
+    from corvia.plans import knowledge
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("-").alias("name"), F.lit("-").alias("api_id"), "text", F.col("source").alias("namespace"), F.lit("v1").alias("version"), F.col("lang").alias("language"), F.lit(False).alias("deprecated"))
+    language = F.when(F.col("item_id") % 3 == 0, "en").when(F.col("item_id") % 3 == 1, "de")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.concat(F.lit("src"), F.col("item_id") % 10).alias("namespace"), F.lit("v1").alias("version"), language.alias("language"))
+    return knowledge.query_batch(docs, asked, 5)[0].select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 SCOPED = f"""
 SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id)::INT AS rank
 FROM (SELECT q.vec_id AS query_id, c.vec_id AS id, {COSINE} AS score FROM embeddings q JOIN embeddings c USING (label) WHERE q.vec_id % 50 = 0) QUALIFY rank <= 10
