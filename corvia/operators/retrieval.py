@@ -309,8 +309,10 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "v
                 part = q.iloc[at : at + 256]
                 scores = have @ unit(part["v"]).T + 2  # positive, so that all take part
                 at, column = best(pa.array(ids), scores, k)
-                out.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[column], "id": ids[at], "score": scores[at, column] - 2}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
+                # As objects: strings of several frames would be put together in chunks, which Spark doesn't take.
+                columns = {"query_id": part["query_id"].to_numpy()[column], "id": ids[at], "score": scores[at, column] - 2}
+                out.append(pd.DataFrame({n: pd.Series(v, dtype=object if v.dtype == object else None) for n, v in columns.items()}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": q["query_id"].iloc[:0], "id": c["id"].iloc[:0], "score": np.zeros(0)})
 
     kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)[id_col]
     keys = ["scope", "dim", "qb", "cb"]

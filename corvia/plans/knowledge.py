@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from time import perf_counter
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +15,7 @@ from corvia.operators import capsule, catalog, fallback, graph, retrieval, scope
 from corvia.operators.ranking import top_per
 from corvia.schemas import HIT
 from corvia.sources import api_documents, ranged
+from corvia.sources.log import create_once
 from corvia.tables import durable
 
 #: A recall channel: (query, scope, limit) -> hits; and a relation channel: (seeds, scope, limit) -> hits.
@@ -251,28 +253,55 @@ def build_index(files: DataFrame, table: DataFrame, ingested_at: Column, dry_run
     All rows of an id that occurs twice in the batch are left out. With an embedder rows have their dense and sparse
     vectors. A dry run changes nothing; its record counts what would be indexed.
     """
-    parsed = durable(api_documents.parse(files))
-    good = parsed.where("error IS NULL")
-    rows = api_documents.project(api_documents.unique(good), ingested_at)
+    found, record, _ = _indexed(files, table, ingested_at, dry_run, embed)
+    return found, record
+
+
+def _indexed(files: DataFrame, table: DataFrame, ingested_at: Column, dry_run: bool, embed: Callable[[Column], Column] | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The table, the record and the parsed files; rows are counted in the pass that writes them."""
+    seen, kept = Observation(), Observation()
+    parsed = durable(api_documents.parse(files).observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(F.col("error").isNull()).alias("good")))
+    rows = api_documents.project(api_documents.unique(parsed.where("error IS NULL")), ingested_at)
     if embed is not None:
         rows = with_vectors(rows, "id", api_documents.dense_text(), api_documents.sparse_text(), embed)
-    rows = durable(rows)
-    n_parsed, n_indexed = good.count(), rows.count()
-    record = files.sparkSession.createDataFrame([(n_parsed, parsed.count() - n_parsed, n_indexed, n_parsed - n_indexed, dry_run)], "parsed long, failed long, indexed long, duplicate long, dry_run boolean")
+    rows = durable(rows.observe(kept, F.count(F.lit(1)).alias("n")))
+    n, good, n_indexed = seen.get.get("n", 0), seen.get.get("good", 0), kept.get.get("n", 0)
+    record = files.sparkSession.createDataFrame([(good, n - good, n_indexed, good - n_indexed, dry_run)], "parsed long, failed long, indexed long, duplicate long, dry_run boolean")
     wanted = [c for c in table.columns if c in rows.columns]
-    return (table if dry_run else state.upsert(table, rows.select(*wanted), ["id"])), record
+    return (table if dry_run else state.upsert(table, rows.select(*wanted), ["id"])), record, parsed
+
+
+def ingest(files: DataFrame, table: DataFrame, ingested_at: Column, folder: str, run_id: str, dry_run: bool = False, embed: Callable[[Column], Column] | None = None) -> tuple[DataFrame, dict]:
+    """The table after a run, and the run's record with its status, which is written below a folder with the run's errors.
+
+    The record is complete or not there, and a run has one: a second run of that id is an error.
+    """
+    spark, out = files.sparkSession, folder.rstrip("/")
+    found, record, parsed = _indexed(files, table, ingested_at, dry_run, embed)
+    counted = Observation()
+    _errors(parsed).observe(counted, F.count(F.lit(1)).alias("n")).write.mode("overwrite").json(f"{out}/errors/{run_id}")
+    row = _with_status(record, counted.get.get("n", 0)).first().asDict() | {"run_id": run_id}
+    if not create_once(spark, f"{out}/records/{run_id}.json", json.dumps(row)):
+        raise FileExistsError(f"{out}/records/{run_id}.json")
+    return found, row
 
 
 def index_errors(files: DataFrame) -> DataFrame:
     """(source, stage, message): files that can't be parsed, and ids that occur twice in the batch."""
-    parsed = durable(api_documents.parse(files))
+    return _errors(durable(api_documents.parse(files)))
+
+
+def _errors(parsed: DataFrame) -> DataFrame:
     repeated = state.duplicate_keys(parsed.where("error IS NULL"), F.col("id")).select(F.col("key").alias("source"), F.lit("duplicate").alias("stage"), F.concat(F.lit("occurs "), "n", F.lit(" times; all rows are left out")).alias("message"))
     return parsed.where("error IS NOT NULL").select(F.col("path").alias("source"), F.lit("parse").alias("stage"), F.col("error").alias("message")).union(repeated)
 
 
 def run_record(record: DataFrame, errors: DataFrame) -> DataFrame:
     """A record of a run with the number of its errors and its status."""
-    n = errors.count()
+    return _with_status(record, errors.count())
+
+
+def _with_status(record: DataFrame, n: int) -> DataFrame:
     status = F.when((F.col("parsed") == 0) | (~F.col("dry_run") & (F.col("indexed") == 0)), "failed").when(F.lit(n > 0), "partial").when(F.col("dry_run"), "dry_run").otherwise("succeeded")
     return record.withColumn("errors", F.lit(n)).withColumn("status", status)
 
