@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvia.operators.catalog import Conflict
 from corvia.operators.publication import Catalog
+from corvia.operators.validation import extraction_issues
 from corvia.plans.registry import query, table
 from corvia.sources.document_trees import register
 from corvia.sources.ranged import RangedTable
@@ -86,3 +87,36 @@ def document_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "documents").where("text IS NOT NULL").select(path.alias("path"), "text").write.format("documents").option("path", folder).mode("append").save()
     found = spark.read.format("documents").option("path", folder).load().where("length >= 1000 AND length <= 8000 AND NOT path LIKE 'src1/%'")
     return found.select("path", "length", F.md5(F.col("text").cast("binary")).alias("hash"))
+
+
+PLANTED = [
+    [], ["ARTIFACT_SCOPE_MISMATCH"], ["EVIDENCE_NAMESPACE_MISMATCH"], ["EVIDENCE_VERSION_MISMATCH"], ["EVIDENCE_DOCUMENT_MISMATCH"], ["EVIDENCE_PART_NOT_FOUND"], ["EVIDENCE_CONTENT_HASH_MISMATCH"], ["EVIDENCE_QUOTE_NOT_FOUND", "EVIDENCE_RANGE_QUOTE_MISMATCH"],
+    ["EVIDENCE_RANGE_OUT_OF_BOUNDS"], ["EVIDENCE_RANGE_QUOTE_MISMATCH"], ["RELATION_SCOPE_MISMATCH"], ["RELATION_EVIDENCE_NAMESPACE_MISMATCH"], ["RELATION_EVIDENCE_VERSION_MISMATCH"], ["RELATION_EVIDENCE_NOT_FOUND"], ["RELATION_EVIDENCE_INVALID"],
+    ["RELATION_EVIDENCE_RANGE_QUOTE_MISMATCH"],
+]
+_PLANTED_SQL = " UNION ALL ".join(f"SELECT {k} AS k, '{code}' AS issue" for k, codes in enumerate(PLANTED) for code in codes)
+
+
+@query(f"SELECT doc_id AS draft_id, issue FROM documents JOIN ({_PLANTED_SQL}) ON doc_id % 16 = k WHERE length(text) >= 60")
+def extraction_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with a draft of each document: by its number, one thing or none."""
+    docs = table(spark, sf_dir, "documents").where("length(text) >= 60")
+    k = F.col("doc_id") % 16
+    odd = lambda n, wrong, right: F.when(k == n, wrong).otherwise(right)
+    source = lambda: F.coalesce(F.col("source"), F.lit("none"))
+
+    def evidence(of: int) -> Column:
+        """With the faults that begin at a number: namespace, version, document, then part and hash."""
+        claim = of == 2
+        return F.struct(
+            odd(of + 2, F.lit("elsewhere"), F.col("doc_id").cast("string")).alias("document_id"), F.lit("c").alias("rag_collection_id"), odd(of, F.lit("elsewhere"), F.lit("")).alias("namespace"), odd(of + 1, F.lit("v9"), F.lit(None)).alias("version"),
+            (odd(5, F.lit("p9"), F.lit("p1")) if claim else F.lit("p1")).alias("part_id"), odd(6 if claim else 14, F.lit("0"), F.sha2("text", 256)).alias("content_hash"),
+            (odd(9, F.lit(5), F.lit(0)) if claim else odd(15, F.lit(5), F.lit(0))).alias("char_start"), (F.when(k == 8, F.length("text") + 5).when(k == 9, 6).otherwise(30) if claim else odd(15, F.lit(6), F.lit(30))).cast("int").alias("char_end"),
+            (odd(7, F.lit("\x01none"), F.substring("text", 1, 20)) if claim else F.substring("text", 1, 20)).alias("quote_hint"),
+        )
+
+    relation = F.struct(F.lit("w").alias("target_wiki_id"), odd(10, F.lit("elsewhere"), source()).alias("target_namespace"), F.lit("v1").alias("target_version"), F.array(evidence(11)).alias("evidence"))
+    draft = F.struct(F.lit("w").alias("wiki_id"), odd(1, F.lit("elsewhere"), source()).alias("namespace"), F.lit("v1").alias("version"), F.array(F.struct(F.lit("t").alias("text"), F.array(evidence(2)).alias("evidence"))).alias("claims"), F.array(relation).alias("related_artifacts"))
+    own = F.col("doc_id").cast("string").alias("document_id")
+    documents = docs.select(own, F.lit("w").alias("wiki_id"), F.lit("c").alias("rag_collection_id"), source().alias("namespace"), F.lit("v1").alias("version"), F.array(F.struct(F.lit("p1").alias("part_id"), F.col("text").alias("content"))).alias("parts"))
+    return extraction_issues(docs.select(F.col("doc_id").alias("draft_id"), own, draft.alias("draft")), documents)
