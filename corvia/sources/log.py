@@ -94,11 +94,11 @@ class Log:
         """A summary of all entries up to a number."""
         return create_once(self.spark, self._name(number, ".summary.json"), json.dumps(summary))
 
-    def since_summary(self, number: int) -> tuple[dict | None, list[dict]]:
-        """The last summary at or before a number, and the entries after it up to the number."""
+    def since_summary(self, number: int, entries: bool = True) -> tuple[dict | None, list[dict]]:
+        """The last summary at or before a number, and (if they are asked for) the entries after it up to the number."""
         at = max((n for n in self._numbers(".summary.json") if n <= number), default=0)
         summary = read_text(self.spark, self._name(at, ".summary.json")) if at else None
-        return (json.loads(summary) if summary else None), [self.entry(n) for n in range(at + 1, number + 1)]
+        return (json.loads(summary) if summary else None), [self.entry(n) for n in range(at + 1, number + 1)] if entries else []
 
 
 class LockHeld(RuntimeError):

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corvia.functions.text import display_api_name
+from corvia.sources.log import Log, delete, names
 
 KEY = ["collection", "api_id"]
+COUNTS = "collection string, api_id string, hits long"
 
 
 def countable(hits: DataFrame) -> DataFrame:
@@ -39,6 +43,41 @@ def start_counter(hits: DataFrame, sink: str, checkpoint: str, available_now: bo
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def _batches(spark: SparkSession, sink: str, after: int) -> list[int]:
+    return sorted(n for n in (int(x.split("=")[1]) for x in names(spark, sink) if x.startswith("batch=")) if n > after)
+
+
+def read_counts(spark: SparkSession, sink: str) -> DataFrame:
+    """The counts of a counter's table: its last summary and the batches after it."""
+    log = Log(spark, f"{sink}-summaries")
+    summary, _ = log.since_summary(1 << 60, entries=False)
+    upto = summary["upto"] if summary else -1
+    folders = [f"{sink}/batch={n}" for n in _batches(spark, sink, upto)] + ([f"{sink}-summaries/{summary['rows']}"] if summary else [])
+    rows = spark.read.schema(COUNTS).parquet(*folders) if folders else spark.createDataFrame([], COUNTS)
+    return counted(rows)
+
+
+def summarize_counts(spark: SparkSession, sink: str) -> int:
+    """Put all batches but the last one (which may be run again) together and remove them; the last one that is in.
+
+    Readers that listed the batches before may have to list them anew.
+    """
+    log = Log(spark, f"{sink}-summaries")
+    summary, _ = log.since_summary(1 << 60, entries=False)
+    upto = summary["upto"] if summary else -1
+    some = _batches(spark, sink, upto)[:-1]
+    if not some:
+        return upto
+    rows = f"rows-{uuid.uuid4().hex}"
+    parts = [f"{sink}/batch={n}" for n in some] + ([f"{sink}-summaries/{summary['rows']}"] if summary else [])
+    counted(spark.read.schema(COUNTS).parquet(*parts)).write.parquet(f"{sink}-summaries/{rows}")
+    if not log.summarize(some[-1] + 1, {"upto": some[-1], "rows": rows}):
+        return upto
+    for n in some:
+        delete(spark, f"{sink}/batch={n}")
+    return some[-1]
+
+
 def counted(table: DataFrame) -> DataFrame:
     """The sums over the batches of a counter's table."""
     return table.groupBy(*KEY).agg(F.sum("hits").alias("hits"))
