@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import json
 import re
@@ -291,3 +292,90 @@ def stable_document_id(field: Column, value: Column) -> Column:
 def supported_products(products: Column) -> Column:
     """Names of array<struct(product, supported)> that are supported, in order."""
     return F.transform(F.filter(products, lambda p: F.coalesce(p["supported"], F.lit(False)) & (F.coalesce(p["product"], F.lit("")) != "")), lambda p: p["product"])
+
+
+# The strict reader: one document a file, stable codes, and the payload as a VARIANT
+
+# The codes of what a file can't be stored for.
+READ_CODES = ["FILE_TOO_LARGE", "YAML_PARSE_ERROR", "YAML_DUPLICATE_KEY", "MULTI_DOCUMENT_YAML_NOT_SUPPORTED", "YAML_ROOT_NOT_MAPPING", "UNSUPPORTED_SCHEMA_VERSION", "SCHEMA_VALIDATION_ERROR", "BSON_ENCODING_ERROR", "BSON_DOCUMENT_TOO_LARGE"]
+READ = "struct<json: string, code: string, message: string>"
+
+
+def _read_one(text: str | None) -> tuple[str | None, str | None, str | None]:
+    import yaml
+
+    if text is None:
+        return None, "YAML_PARSE_ERROR", "no UTF-8"
+    try:
+        loaded = list(load_unique(text))
+        n = sum(1 for _ in yaml.compose_all(text, Loader=yaml.SafeLoader))
+    except yaml.constructor.ConstructorError as e:
+        return None, "YAML_DUPLICATE_KEY" if "duplicate keys" in str(e) else "YAML_PARSE_ERROR", str(e)[:200]
+    except (yaml.YAMLError, ValueError, TypeError) as e:
+        return None, "YAML_PARSE_ERROR", f"{type(e).__name__}: {str(e)[:200]}"
+    if n != 1:
+        return None, "MULTI_DOCUMENT_YAML_NOT_SUPPORTED", f"{n} documents"
+    if not loaded or not isinstance(loaded[0], dict):
+        return None, "YAML_ROOT_NOT_MAPPING", "the root is no mapping"
+    package = loaded[0]
+    payload = json.dumps(package, ensure_ascii=False, default=str)
+    if "_id" in package:
+        return payload, "SCHEMA_VALIDATION_ERROR", "root._id: unexpected"
+    try:
+        detect_version(package)
+    except ValueError as e:
+        return payload, "UNSUPPORTED_SCHEMA_VERSION", str(e)
+    if issues := issues_of(package):
+        return payload, "SCHEMA_VALIDATION_ERROR", "; ".join(issues)[:1000]
+    if odd := _not_storable(package):
+        return payload, "BSON_ENCODING_ERROR", odd
+    return payload, None, None
+
+
+def _not_storable(value, path: str = "root") -> str | None:
+    """Where a value is that a document store has no type for: keys that aren't text, numbers of over 64 bits, dates without
+    a time, sets."""
+    if isinstance(value, dict):
+        return next((f"{path}: key {k!r}" for k in value if not isinstance(k, str)), None) or next((odd for k, v in value.items() if (odd := _not_storable(v, f"{path}.{k}"))), None)
+    if isinstance(value, list):
+        return next((odd for i, v in enumerate(value) if (odd := _not_storable(v, f"{path}[{i}]"))), None)
+    if isinstance(value, int) and not -(1 << 63) <= value < 1 << 63:
+        return f"{path}: a number of over 64 bits"
+    return None if value is None or isinstance(value, (str, int, float, bool, bytes, datetime.datetime)) else f"{path}: {type(value).__name__}"
+
+
+def read_strict(files: DataFrame, most_bytes: int = 10 << 20) -> DataFrame:
+    """(path, payload, schema_version, code, message) of YAML files (path, text; null: no UTF-8), one document each.
+
+    ``payload`` is a VARIANT, made once from what Python has read; the version, and whatever is projected from a payload
+    later, comes from it without Python (``at``). Files that are too long aren't read at all. A file with a code has
+    its payload where there is one to look at.
+    """
+
+    @F.pandas_udf(READ)
+    def read(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_read_one(t) for t in texts], columns=["json", "code", "message"], dtype=object)
+
+    long = F.octet_length("text") > most_bytes
+    found = files.select("path", long.alias("long"), read(F.when(~F.coalesce(long, F.lit(False)), F.col("text"))).alias("r"))
+    too_long = F.coalesce(F.col("long"), F.lit(False))
+    stored = F.octet_length("r.json") > MOST_STORED
+    code = F.when(too_long, "FILE_TOO_LARGE").when(F.col("r.code").isNull() & F.coalesce(stored, F.lit(False)), "BSON_DOCUMENT_TOO_LARGE").otherwise(F.col("r.code"))
+    message = F.when(too_long, F.lit(f"over {most_bytes} bytes")).otherwise(F.col("r.message"))
+    held = found.select("path", F.when(~too_long, F.parse_json(F.col("r.json"))).alias("payload"), code.alias("code"), message.alias("message"))
+    version = F.coalesce(at("$.schema_version"), at("$.raw.schema_version"), F.lit("1.0"))
+    return held.select("path", "payload", F.when(F.col("payload").isNotNull(), version).alias("schema_version"), "code", "message")
+
+
+def at(path: str, kind: str = "string", payload: str = "payload") -> Column:
+    """A value of a payload; null where there is none of that kind."""
+    return F.try_variant_get(F.col(payload), path, kind)
+
+
+def identities(strict: DataFrame) -> DataFrame:
+    """(path, ord, name, namespace, version, language) of the documents in the payloads that have no code, by version of schema."""
+    fields = ("name", "namespace", "version", "language")
+    good = strict.where("code IS NULL")
+    single = good.where("schema_version = '1.0'").select("path", F.lit(0).alias("ord"), *[F.trim(at(f"$.{f}")).alias(f) for f in fields])
+    many = good.where("schema_version <> '1.0'").select("path", F.posexplode(at("$.documents", "array<variant>")).alias("ord", "d"))
+    return single.union(many.select("path", "ord", *[F.trim(at(f"$.{f}", payload="d")).alias(f) for f in fields]))
