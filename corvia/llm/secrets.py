@@ -41,7 +41,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 
 MIN_RUN = 12
 #: Ordinary samples kept back of which one may be over the threshold; what is added to it, and the least that it is.
-RATE, MARGIN, LEAST = 10_000, 2.0, 12.0
+RATE, MARGIN, LEAST = 3_000, 1.0, 12.0
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 20_000
 #: Words of the corpus, of vocabularies, and joined names in the sample of identifiers, at most.
@@ -109,11 +109,13 @@ def random_strings(n: int = 1500, seed: int = 11) -> list[list[str]]:
 
 
 def library_names() -> list[str]:
-    """Names that modules of the standard library define, and those of their classes."""
+    """Names that modules of the standard library give to others, and those that their classes define: what else a module
+    holds depends on what a process has loaded."""
     found: set[str] = set()
-    for module in MODULES:
-        for name, value in vars(importlib.import_module(module)).items():
-            found |= {name, *(dir(value) if isinstance(value, type) else ())}
+    for module in map(importlib.import_module, MODULES):
+        for name in getattr(module, "__all__", ()):
+            value = getattr(module, name, None)
+            found |= {name, *(vars(value) if isinstance(value, type) else ())}
     return sorted({n.strip("_") for n in found if n.isidentifier() and n.isascii() and len(n.strip("_")) > 2})
 
 
