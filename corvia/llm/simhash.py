@@ -41,8 +41,8 @@ RADIUS = 4
 SHINGLE = 4
 #: Shingles whose bits are summed up at a time; bounds the memory of a very long text.
 CHUNK = 1 << 16
-#: Members of a leaf of a tree, which are compared directly.
-LEAF = 48
+#: Members of a leaf of a tree, which are compared directly, and pairs of a leaf that are looked at and joined at a time.
+LEAF, PAIRS = 48, 1 << 17
 #: Expected unrelated fingerprints in a shard; beyond it shards take one more block.
 SHARD = 2048
 #: Fingerprints of a shard that one task takes; and how many larger shards may be broadcast.
@@ -115,7 +115,7 @@ class Forest:
 
     def roots(self, x: np.ndarray) -> np.ndarray:
         found = self.up[x]
-        while (further := self.up[found]).tolist() != found.tolist():
+        while not np.array_equal(further := self.up[found], found):
             found = further
         return found
 
@@ -158,8 +158,9 @@ def tree_forest(fps: np.ndarray, radius: int = RADIUS) -> Forest:
         if not len(members) or not len(queries):
             continue
         if len(members) <= LEAF:
-            for at in range(0, len(queries), CHUNK):
-                own = queries[at : at + CHUNK]
+            step = PAIRS // len(members)
+            for at in range(0, len(queries), step):
+                own = queries[at : at + step]
                 close = np.bitwise_count(fps[own][:, None] ^ fps[members][None, :]) <= radius
                 close &= own[:, None] != members[None, :]
                 if close.any():
