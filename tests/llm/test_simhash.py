@@ -88,3 +88,16 @@ def test_keep_one(odd_docs, no_docs):
     ids = sorted(r["doc_id"] for r in kept.collect())
     assert ids == sorted(set(ids)) and 4 in ids and 5 not in ids and 2 not in ids
     assert S.keep_one(no_docs).count() == 0
+
+
+def test_a_tree_of_many_near_copies_holds_few_pairs_at_a_time():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, dtype=np.uint64)
+    fps = np.unique(np.array([base ^ np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, 3, replace=False).astype(np.uint64)) for _ in range(16_000)], np.uint64))
+    tracemalloc.start()
+    assert set(S.tree_links(fps).tolist()) == {0}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20, peak
