@@ -4,7 +4,8 @@ A document's content hash, the fingerprint of what derived knowledge from it, it
 missed lie in a state store, one value per key: a batch of n documents reads and writes n values, whatever the number of
 documents that are known. Rows of one document are taken in their order of time. What can't be processed is an outcome of its
 own, leaves the state as it was and doesn't touch other documents, so it is tried again when the document comes again.
-A timer misses documents that don't come any more.
+A timer misses documents that don't come any more. Rows go through Python as rows: a key has few, and a frame for each key
+costs far more than what is done with it.
 """
 
 from __future__ import annotations
@@ -12,8 +13,7 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from corvia.operators.sync import MISSING_RUNS
@@ -37,23 +37,23 @@ class Updates(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.state = handle, handle.getValueState("document", STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         held = self.state.get()
         before, out = held, []
-        for row in pd.concat(list(rows)).sort_values(["updated_at", "content_hash"], kind="stable").itertuples(index=False):
-            at = row.updated_at.to_pydatetime()
+        for row in sorted(rows, key=lambda r: (r.updated_at, r.content_hash is None, r.content_hash or "")):
+            at = _local(row.updated_at)
             if row.text is None:
                 held, outcome = self._missed(held, at)
             else:
                 held, outcome = self._seen(held, row, at)
-            out.append((key[0], *outcome, at))
+            out.append(_OUTCOME(key[0], *outcome, at.astimezone()))
         if held is not None and held != before:
             self.state.update(held)
         if held is not None and self.patience:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(int((held[4] + self.patience).timestamp() * 1000))
-        yield _frame(out)
+        yield from out
 
     def _seen(self, held: tuple | None, row, at: datetime.datetime) -> tuple[tuple | None, tuple]:
         if held is not None and (held[0], held[1]) == (row.content_hash, row.fingerprint):
@@ -71,7 +71,7 @@ class Updates(StatefulProcessor):
         n = held[3] + 1
         return (*held[:3], n, at), ("archived_candidate" if n >= MISSING_RUNS else "missing", held[2], n, None, None)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         at = datetime.datetime.fromtimestamp(expiredTimerInfo.getExpiryTimeInMs() / 1000)
         held, outcome = self._missed(self.state.get(), at)
         if held is None:
@@ -79,15 +79,18 @@ class Updates(StatefulProcessor):
         self.state.update(held)
         if held[3] < MISSING_RUNS:
             self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + int(self.patience.total_seconds() * 1000))
-        yield _frame([(key[0], *outcome, at)])
+        yield _OUTCOME(key[0], *outcome, at.astimezone())
 
     def close(self) -> None:
         pass
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    made = pd.DataFrame(rows, columns=[f.split()[0] for f in OUTCOME.split(", ")])
-    return made.astype({"revision_number": "int32", "missing_count": "int32", "at": "datetime64[us]"})
+_OUTCOME = Row(*[f.split()[0] for f in OUTCOME.split(", ")])
+
+
+def _local(at: datetime.datetime) -> datetime.datetime:
+    """The same moment as states hold it: the worker's own time, without a zone."""
+    return at.astimezone().replace(tzinfo=None) if at.tzinfo else at
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -106,15 +109,16 @@ def outcomes(stream: DataFrame, extract: Callable[[str], str], patience: datetim
         rows = rows.withWatermark("updated_at", late)
     first = known.groupBy("document_id") if known is not None else None
     processor = Updates(extract, patience) if known is None else Continued(extract, patience)
-    return rows.groupBy("document_id").transformWithStateInPandas(processor, OUTCOME, "Append", "EventTime" if patience else "None", first)
+    return rows.groupBy("document_id").transformWithState(processor, OUTCOME, "Append", "EventTime" if patience else "None", first)
 
 
 class Continued(Updates):
     """Updates that begin with the states of a table."""
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        row = initialState.sort_values("revision_number").iloc[-1]
-        self.state.update((row.content_hash, row.fingerprint, int(row.revision_number), int(row.missing_count), row.seen_at.to_pydatetime()))
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        held, row = self.state.get(), initialState  # of several states the last revision
+        if held is None or row.revision_number >= held[2]:
+            self.state.update((row.content_hash, row.fingerprint, row.revision_number, row.missing_count, _local(row.seen_at)))
 
 
 def start_updates(found: DataFrame, sink: str, checkpoint: str):
