@@ -69,17 +69,75 @@ def document_frequency(docs: DataFrame, text: Column) -> DataFrame:
     return docs.select(F.explode(F.array_distinct(tokens(text))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
-def sparse_vectors(docs: DataFrame, id_col: str, text: Column, df: DataFrame, n_docs: int) -> DataFrame:
-    """(id, token_id, weight): count * ln(1 + N / df) per token; unseen tokens go, the larger weight of an id stays.
+def term_counts(docs: DataFrame, id_col: str, text: Column, keep: list[str] | None = None) -> DataFrame:
+    """(id, keep, token_id, token, tf, others): how often each token is in each row's text, one row per token id; ``others``
+    has (token, tf) of further tokens of the same id, else null.
 
-    Counts are summed up where a document is read; frequencies are broadcast behind a count. Beyond it they are a written
-    table with one row per token, so that adaptive execution can split the other side of a token that most documents have.
+    A text's tokens are sorted and counted where the text is read; nothing is shuffled.
+    """
+    keep = keep or []
+    found = docs.select(id_col, *keep, F.array_sort(tokens(text)).alias("_t")).where(F.size("_t") > 0)
+    at = lambda name, i: F.get(F.col(name), i)  # noqa: E731 (null beyond the ends)
+    found = found.withColumn("_i", F.filter(F.sequence(F.lit(0), F.size("_t") - 1), lambda i: ~at("_t", i).eqNullSafe(at("_t", i - 1))))
+    run = lambda start, k: F.struct(token_id(at("_t", start)).alias("token_id"), at("_t", start).alias("token"), (F.coalesce(at("_i", k + 1), F.size("_t")) - start).cast("long").alias("tf"))
+    found = found.select(id_col, *keep, F.array_sort(F.transform("_i", run)).alias("_e"))
+    same = lambda x: F.transform(F.filter("_e", lambda y: (y["token_id"] == x["token_id"]) & (y["token"] != x["token"])), lambda y: F.struct(y["token"].alias("token"), y["tf"].alias("tf")))
+    others = lambda x, i: F.when(at("_e", i + 1)["token_id"] == x["token_id"], same(x))
+    first = lambda x, i: ~x["token_id"].eqNullSafe(at("_e", i - 1)["token_id"])
+    each = F.transform("_e", lambda x, i: F.struct(x["token_id"].alias("token_id"), x["token"].alias("token"), x["tf"].alias("tf"), others(x, i).alias("others"), first(x, i).alias("first")))
+    rows = found.select(id_col, *keep, F.explode(F.filter(each, lambda x: x["first"])).alias("x"))
+    return rows.select(id_col, *keep, "x.token_id", "x.token", "x.tf", "x.others")
+
+
+def weighed(counts: DataFrame, df: DataFrame, n_docs: int) -> DataFrame:
+    """``term_counts`` with ``weight`` (count * ln(1 + N / df), the largest of an id's tokens) in place of tokens and counts.
+
+    Frequencies are put together by token id, one row each, so that one join gives a row's weight at once. They are
+    broadcast behind a count; beyond it, adaptive execution can split the other side of a token that most documents have.
     """
-    counted = docs.select(F.col(id_col), F.explode(tokens(text)).alias("token")).groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf"))
     df = durable(df)
-    weighed = counted.join(F.broadcast(df) if df.count() <= FEW_TOKENS else df, "token")
-    weighed = weighed.withColumn("weight", F.col("tf") * F.log1p(F.lit(float(max(n_docs, 1))) / F.col("df")))
-    return weighed.groupBy(id_col, token_id(F.col("token")).alias("token_id")).agg(F.max("weight").alias("weight"))
+    known = df.groupBy(token_id(F.col("token")).alias("token_id")).agg(F.collect_list(F.struct("token", "df")).alias("_known"))
+    both = counts.join(F.broadcast(known) if df.count() <= FEW_TOKENS else known, "token_id")
+    n = F.lit(float(max(n_docs, 1)))
+    df_of = lambda token: F.get(F.filter("_known", lambda k: k["token"] == token), 0)["df"]
+    weight = lambda token, tf: tf * F.log1p(n / df_of(token))
+    own = weight(F.col("token"), F.col("tf"))
+    more = F.array_max(F.transform("others", lambda x: weight(x["token"], x["tf"])))
+    found = both.withColumn("weight", F.when(F.col("others").isNull(), own).otherwise(F.greatest(own, more)))
+    return found.where("weight IS NOT NULL").drop("token", "tf", "others", "_known")
+
+
+def repeated(docs: DataFrame, id_col: str) -> DataFrame:
+    """(id): ids of more than one row, null among them; a written table."""
+    return durable(docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(id_col))
+
+
+def sparse_vectors(docs: DataFrame, id_col: str, text: Column, df: DataFrame, n_docs: int, keep: list[str] | None = None) -> DataFrame:
+    """(id, keep, token_id, weight): count * ln(1 + N / df) per token; unseen tokens go, the larger weight of an id stays.
+
+    Counts are summed up where a document is read, and what is shuffled is one row for each of its tokens, once, for the
+    frequencies. Of ids with several rows, counts are first summed up over the rows. ``keep`` are columns that depend on
+    the id alone.
+    """
+    own = [id_col, *(keep or [])]
+    docs = docs.select(*own, text.alias("_text"))
+    twice = repeated(docs, id_col)
+    plain, other = (docs, None) if twice.isEmpty() else apart(docs, twice, id_col)
+    found = weighed(term_counts(plain, id_col, F.col("_text"), keep), df, n_docs).select(*own, "token_id", "weight")
+    return found if other is None else found.unionByName(_summed_vectors(other, own, F.col("_text"), df, n_docs))
+
+
+def apart(docs: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose id isn't among the ids, and those whose id is; null equals null."""
+    marked = docs.join(ids.select(F.col(id_col).alias("_id")).withColumn("_in", F.lit(True)), F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    return marked.where("_in IS NULL").drop("_id", "_in"), marked.where("_in").drop("_id", "_in")
+
+
+def _summed_vectors(docs: DataFrame, own: list[str], text: Column, df: DataFrame, n_docs: int) -> DataFrame:
+    """The vectors of ids with several rows, by sums over (id, token) and (id, token_id)."""
+    counts = docs.select(*own, F.explode(tokens(text)).alias("token")).groupBy(*own, "token").agg(F.count(F.lit(1)).alias("tf"))
+    counts = counts.withColumn("token_id", token_id(F.col("token"))).withColumn("others", F.lit(None).cast("array<struct<token:string,tf:bigint>>"))
+    return weighed(counts, df, n_docs).groupBy(*own, "token_id").agg(F.max("weight").alias("weight"))
 
 
 class Channel:
