@@ -1,6 +1,6 @@
 """An inverted index for sparse search: postings in blocks of documents, with the largest weight of each token in a block.
 
-Documents are dealt into blocks along their length, since inner products grow with it: blocks of long documents have high
+Documents are dealt into blocks along their number of tokens, since inner products grow with it: blocks of long documents have high
 bounds and those of short ones low bounds, so that few blocks can hold a query's best. The postings are clustered by
 token; a search reads bounds only, takes the blocks of the highest bounds first, and then those whose bound reaches the
 k-th score that it has by then. No block that could enter is left out, so the result is that of scoring everything.
@@ -44,11 +44,16 @@ class Postings:
 
     def build(self, docs: DataFrame, df: DataFrame, n_docs: int, id_col: str = "doc_id", text_col: str = "text") -> Postings:
         """Write the index of documents with the frequencies (token, df) of a corpus of n_docs, once."""
-        vectors = durable(retrieval.sparse_vectors(docs, id_col, F.col(text_col), df, n_docs))
-        lengths = vectors.groupBy(id_col).agg(F.sum("weight").alias("length"))
-        placed = vectors.join(durable(blocks_of(lengths, id_col, "length")), id_col)
-        packed = placed.groupBy("token_id", "block").agg(F.collect_list(F.struct(F.col(id_col).alias("id"), F.col("weight").alias("w"))).alias("postings"), F.max("weight").alias("most"))
-        packed.repartitionByRange("token_id", "block").sortWithinPartitions("token_id", "block").write.parquet(f"{self.folder}/postings")
+        lengths = docs.groupBy(id_col).agg(F.sum(F.size(tokens(F.col(text_col)))).alias("length")).where("length > 0")
+        placed = durable(blocks_of(lengths, id_col, "length")).withColumnRenamed(id_col, "_id")
+        # The block goes with the text: texts are far smaller than their tokens, and are shuffled in their place.
+        own = docs.select(id_col, F.col(text_col).alias("_own")).join(placed, F.col(id_col).eqNullSafe(F.col("_id"))).drop("_id")
+        vectors = retrieval.sparse_vectors(own, id_col, F.col("_own"), df, n_docs, ["block"])
+        vectors = durable(vectors.sortWithinPartitions("token_id", "block"))  # neighbours alike take half the room
+        # Ranges come first, so that postings are put together where they are written.
+        dealt = vectors.repartitionByRange("token_id", "block")
+        packed = dealt.groupBy("token_id", "block").agg(F.collect_list(F.struct(F.col(id_col).alias("id"), F.col("weight").alias("w"))).alias("postings"), F.max("weight").alias("most"))
+        packed.sortWithinPartitions("token_id", "block").write.parquet(f"{self.folder}/postings")
         df.write.parquet(f"{self.folder}/frequencies")
         create_once(self.spark, f"{self.folder}/built", str(n_docs))
         return self
