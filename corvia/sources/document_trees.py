@@ -3,7 +3,8 @@
 Reading lists the tree once and deals its files into splits of about equally many bytes, so that neither many small
 files nor a few long ones make the number of tasks; conditions on path and length are applied to the list, before any
 file is opened. Writing puts each row's text into a file of its own, first below a folder of the job: files take their
-places when all tasks have done theirs, and none does if one fails.
+places when all tasks have done theirs, and none does if one fails. What a task has written is in a list of its own, and
+the driver is sent the list's name.
 
 Options: path; extensions (by commas), splitBytes, maxBytes (longer files are left out) in reading.
 """
@@ -11,6 +12,9 @@ Options: path; extensions (by commas), splitBytes, maxBytes (longer files are le
 from __future__ import annotations
 
 import datetime
+import hashlib
+import io
+import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -92,7 +96,9 @@ class TreeReader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    files: list[tuple[str, str]]
+    """The list that a task has written of its files and their places; the message holds its name only."""
+
+    listed: str
 
 
 class TreeWriter(DataSourceWriter):
@@ -103,17 +109,30 @@ class TreeWriter(DataSourceWriter):
         from corvia.sources import places
 
         fs, root = places.at(self.root)
-        done = []
+        folder = f"{root}/{STAGING}/{self.job}"
+        fs.create_dir(folder, recursive=True)
+        listed = f"{folder}/{uuid.uuid4().hex}.list"
+        with fs.open_output_stream(listed) as out:
+            for own, target in self._put(fs, root, iterator):
+                out.write(json.dumps([own, target]).encode() + b"\n")
+        return Written(listed)
+
+    def _put(self, fs, root: str, iterator: Iterator[Row]) -> Iterator[tuple[str, str]]:
         for row in iterator:
             path = row["path"]
             if not path or path.startswith("/") or ".." in path.split("/") or row["text"] is None:
                 raise ValueError(f"unsafe path or no text: {path!r}")
             own = f"{root}/{STAGING}/{self.job}/{uuid.uuid4().hex}"
-            fs.create_dir(own.rpartition("/")[0], recursive=True)
             with fs.open_output_stream(own) as out:
                 out.write(row["text"].encode())
-            done.append((own, f"{root}/{path}"))
-        return Written(done)
+            yield own, f"{root}/{path}"
+
+    @staticmethod
+    def _listed(fs, messages: list[Written | None]) -> Iterator[tuple[str, str]]:
+        for m in messages:
+            if m:
+                with fs.open_input_file(m.listed) as stream, io.TextIOWrapper(stream, encoding="utf-8") as lines:
+                    yield from map(json.loads, lines)
 
     def _clear(self) -> None:
         from pyarrow import fs as pafs
@@ -133,16 +152,22 @@ class TreeWriter(DataSourceWriter):
         from corvia.sources import places
 
         fs, root = places.at(self.root)
-        files = [pair for m in messages if m for pair in m.files]
-        if len({target for _, target in files}) < len(files):
-            self._clear()
-            raise ValueError("a path occurs twice")
+        seen: set[bytes] = set()
+        for _, target in self._listed(fs, messages):
+            mark = hashlib.blake2b(target.encode(), digest_size=16).digest()
+            if mark in seen:
+                self._clear()
+                raise ValueError("a path occurs twice")
+            seen.add(mark)
         if self.overwrite:
             for info in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
                 if info.base_name != STAGING:
                     (fs.delete_dir if info.type == pafs.FileType.Directory else fs.delete_file)(info.path)
-        for own, target in files:
-            fs.create_dir(target.rpartition("/")[0], recursive=True)
+        folders: set[str] = set()
+        for own, target in self._listed(fs, messages):
+            if (folder := target.rpartition("/")[0]) not in folders:
+                fs.create_dir(folder, recursive=True)
+                folders.add(folder)
             places.take_place(fs, own, target)
         self._clear()
 

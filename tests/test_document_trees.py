@@ -72,3 +72,15 @@ def test_append_and_overwrite(spark, tmp_path):
     assert {r["path"]: r["text"] for r in read(spark, tmp_path).collect()} == {"a.md": "1", "b.md": "2", "c.md": "2"}
     put("overwrite", d="3")
     assert listed(tmp_path) == ["d.md"]
+
+
+def test_what_the_driver_is_sent_does_not_grow_with_the_files(tmp_path):
+    import pickle
+
+    from corvia.sources.document_trees import TreeWriter
+
+    writer = TreeWriter({"path": str(tmp_path)}, False)
+    few, many = (writer.write(iter([{"path": f"{n}/é {i}\n.md", "text": "t"} for i in range(n)])) for n in (2, 500))
+    assert len(pickle.dumps(many)) == len(pickle.dumps(few))
+    writer.commit([few, None, many])
+    assert len(listed(tmp_path)) == 502 and "2/é 1\n.md" in listed(tmp_path)
