@@ -294,19 +294,27 @@ def _scored(docs: DataFrame, id_col: str, text_col: str, channels: list[Channel]
                 own, part = tables.get(scopes[lo], ()), batch.slice(lo, hi - lo)
                 if not own:
                     continue
-                lists = part.column(1)
-                doc = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-                code = pc.index_in(pc.list_flatten(lists), known).to_numpy(zero_copy_only=False).astype(np.int64)
-                pairs, counts = np.unique(doc * len(vocabulary) + code, return_counts=True)
-                doc, code = np.divmod(pairs, len(vocabulary))
-                for c in own:
-                    row, weight = coded.get(id(c)) or coded.setdefault(id(c), c.arrays(vocabulary))
-                    mine = row[code] >= 0
-                    value = weight[code[mine]] * (counts[mine] if c.counted else 1)
-                    scores = c.scores(doc[mine], row[code[mine]], value, len(part))
-                    at, column = best(part.column(0), scores, k)
-                    if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array([c.names[j] for j in column.tolist()], query_kind), pa.array(np.full(len(at), c.name, np.int32)), part.column(0).take(pa.array(at)), pa.array(scores[at, column])], ["query_id", "channel", "id", "score"])
+                held: dict[int, list[tuple]] = {}
+                for start in range(0, len(part), STRETCH):  # a stretch at a time: what is dense doesn't grow with the batch
+                    some = part.slice(start, STRETCH)
+                    lists = some.column(1)
+                    doc = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+                    code = pc.index_in(pc.list_flatten(lists), known).to_numpy(zero_copy_only=False).astype(np.int64)
+                    pairs, counts = np.unique(doc * len(vocabulary) + code, return_counts=True)
+                    doc, code = np.divmod(pairs, len(vocabulary))
+                    for n, c in enumerate(own):
+                        row, weight = coded.get(id(c)) or coded.setdefault(id(c), c.arrays(vocabulary))
+                        mine = row[code] >= 0
+                        value = weight[code[mine]] * (counts[mine] if c.counted else 1)
+                        scores = c.scores(doc[mine], row[code[mine]], value, len(some))
+                        at, column = best(some.column(0), scores, k)
+                        if len(at):
+                            held.setdefault(n, []).append((some.column(0).take(pa.array(at)), column, scores[at, column]))
+                for n, parts in held.items():
+                    ids, column, values = pa.concat_arrays([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+                    at = first_of(ids, column, values, k) if len(parts) > 1 else np.arange(len(ids))
+                    c = own[n]
+                    yield pa.RecordBatch.from_arrays([pa.array([c.names[j] for j in column[at].tolist()], query_kind), pa.array(np.full(len(at), c.name, np.int32)), ids.take(pa.array(at)), pa.array(values[at])], ["query_id", "channel", "id", "score"])
 
     asked = F.filter(tokens(F.col(text_col)), lambda t: t.isin(vocabulary))
     narrow = docs.select(F.col(id_col).alias("id"), asked.alias("tokens"), *([F.col(scope_col)] if scope_col else [])).where(F.size("tokens") > 0)
@@ -333,6 +341,17 @@ def best(ids: pa.Array, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     return (np.concatenate(rows), np.concatenate(columns)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def first_of(ids: pa.Array, columns: np.ndarray, values: np.ndarray, k: int) -> np.ndarray:
+    """Which of these scores are the best k of their column, ties by id."""
+    place = np.empty(len(ids), np.int64)
+    place[pa.compute.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+    order = np.lexsort((place, -np.round(values, 9), columns))
+    own = columns[order]
+    starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+    return order[rank < k]
+
+
 # Dense vectors
 
 
