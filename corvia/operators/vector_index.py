@@ -1,11 +1,12 @@
 """A vector index within scopes: coarse centroids, and the rest of each vector as codes of a product quantizer.
 
 Centroids and code words are fitted on a bounded sample, the first SAMPLE vectors by hash; every vector is indexed. Rows
-are clustered by scope and list, and keep how far the vector is from what its codes say: since queries have length 1,
-that distance bounds the error of a score. A search reads codes where they lie, against the queries of a pass, and passes
-on the best of each task; the vectors of these alone are read and scored exactly. Taking the lists nearest to a query is
-approximate; ``exact`` then reads the codes of the whole scope, and the vectors of all rows whose bound reaches the k-th
-score.
+are clustered by scope and list. What the codes leave of a vector is kept in one byte per dimension, with how far the
+vector is from what all of that says: since queries have length 1, that distance bounds the error of a score. A search
+deals the queries of each scope into sets and its rows into stripes, and streams a stripe past a set, so a task holds one
+set, a batch of rows and the best so far. It passes on the best of each stripe; the vectors of the best of these alone
+are read and scored exactly. Taking the lists nearest to a query is approximate, and goes by the codes; ``exact`` takes
+all rows of the scope with their bytes, and reads the vectors of those whose bound reaches the k-th best.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +31,10 @@ PROBES, CANDIDATES = 8, 10
 TUNING = 100
 #: What bounds in single precision may be off by.
 SLACK = 1e-5
+#: Queries of a set; rows of a stripe, and stripes of a scope at most (they grow beyond that number).
+SET, STRIPE, STRIPES = 8192, 16384, 256
+#: Queries and rows that are multiplied at a time; results that a task holds before it hands them on.
+ASKED, MET, HELD = 512, 4096, 1 << 20
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -80,8 +85,18 @@ class Codebook:
         lists = nearest(rows, self.centroids)
         rest = rows - self.centroids[lists]
         codes = np.stack([nearest(rest[:, i * PER_CODE : (i + 1) * PER_CODE], w) for i, w in enumerate(self.words)], axis=1).astype(np.uint8)
-        said = np.concatenate([w[codes[:, i]] for i, w in enumerate(self.words)], axis=1)
-        return lists, codes, np.linalg.norm(rest - said, axis=1)
+        return lists, codes, np.linalg.norm(rows - self.said(lists, codes), axis=1)
+
+    def refine(self, rows: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What list and codes leave of a vector, in bytes, their step, and the distance that is left then."""
+        rest = self.padded(rows) - self.said(lists, codes)
+        step = np.abs(rest).max(axis=1) / np.float32(127)
+        fine = np.rint(rest / np.where(step > 0, step, 1)[:, None]).astype(np.int8)
+        return fine, step, np.linalg.norm(rest - fine * step[:, None], axis=1)
+
+    def said(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The vectors that lists and codes stand for."""
+        return self.centroids[lists] + np.concatenate([w[codes[:, i]] for i, w in enumerate(self.words)], axis=1)
 
     def tables(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Products of queries with centroids, and with every code word."""
@@ -90,6 +105,101 @@ class Codebook:
         return q @ self.centroids.T, np.einsum("qcp,cwp->qcw", parts, self.words)
 
 
+
+class Scan:
+    """A set of queries that rows of their scope stream past: the best of each query, and what may be among them.
+
+    A query reads its nearest lists from place ``first`` up to ``last``. Each row has a bound from both sides: k rows
+    with lower bounds from a value on leave out those whose upper bound is below it.
+    """
+
+    def __init__(self, key: tuple, book: Codebook, k: int, exact: bool):
+        self.key, self.book, self.k, self.exact = key, book, k, exact
+        self.asked, self.found, self.n = [], [], 0
+        self.q: np.ndarray | None = None
+
+    def ask(self, part: pa.RecordBatch) -> None:
+        self.asked.append((part["q"].to_numpy(), self.book.padded(unit(_matrix(part["v"], self.book.dim))), part["first"].to_numpy(), part["last"].to_numpy()))
+
+    def _start(self) -> None:
+        self.names, self.q, first, last = (np.concatenate(x) for x in zip(*self.asked, strict=True))
+        self.best = np.full((len(self.q), self.k), -np.inf, np.float32)  # column 0 is the k-th best
+        if not self.exact:
+            self.reads = np.zeros((len(self.q), len(self.book.centroids)), bool)
+            for at in range(0, len(self.q), ASKED):
+                some = slice(at, at + ASKED)
+                order = np.argsort(-(self.q[some] @ self.book.centroids.T), axis=1, kind="stable")
+                places = np.arange(order.shape[1])
+                np.put_along_axis(self.reads[some], order, (places >= first[some, None]) & (places < last[some, None]), axis=1)
+
+    def meet(self, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if not self.asked:  # all queries of the scope are in other sets
+            return
+        if self.q is None:
+            self._start()
+        ids, lists = part["id"], part["list"].to_numpy()
+        rows = self.book.said(lists, _bytes(part["code"], np.uint8))
+        if self.exact:
+            rows += _bytes(part["fine"], np.int8)[:, : rows.shape[1]] * part["step"].to_numpy()[:, None]
+            error = part["error"].to_numpy() + np.float32(SLACK + rows.shape[1] * 2.0**-23)
+            for lo in range(0, len(rows), MET):
+                some = slice(lo, lo + MET)
+                for at in range(0, len(self.q), ASKED):
+                    self._meet(np.arange(at, min(at + ASKED, len(self.q))), ids[some], self.q[at : at + ASKED] @ rows[some].T, error[some])
+        else:
+            order = np.argsort(lists, kind="stable")
+            edges = [0, *(np.flatnonzero(np.diff(lists[order])) + 1).tolist(), len(order)]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                asking = np.flatnonzero(self.reads[:, lists[order[lo]]])
+                for some in (order[i : min(i + MET, hi)] for i in range(lo, hi, MET)):
+                    for at in range(0, len(asking), ASKED):
+                        which = asking[at : at + ASKED]
+                        self._meet(which, ids.take(pa.array(some)), self.q[which] @ rows[some].T, np.float32(0))
+        if self.n > HELD:
+            self._narrow()
+            if self.n > HELD // 2:
+                yield from self.finish()
+
+    def _meet(self, which: np.ndarray, ids: pa.Array, scores: np.ndarray, error: np.ndarray) -> None:
+        low, best = scores - error, self.best[which]
+        better = np.flatnonzero(low.max(axis=1) > best[:, 0])
+        if len(better):
+            both = np.concatenate([best[better], low[better]], axis=1)
+            best[better] = np.partition(both, both.shape[1] - self.k, axis=1)[:, -self.k :]
+            self.best[which] = best
+        i, j = np.nonzero(scores + error >= best[:, :1])
+        if len(i):
+            wide = error[j] if np.ndim(error) else error
+            self.found.append((which[i], ids.take(pa.array(j)), scores[i, j] - wide, scores[i, j] + wide))
+            self.n += len(i)
+
+    def _narrow(self) -> None:
+        for at, (q, ids, low, high) in enumerate(self.found):
+            left = high >= self.best[q, 0]
+            self.found[at] = (q[left], ids.filter(pa.array(left)), low[left], high[left])
+        self.n = sum(len(x[0]) for x in self.found)
+
+    def finish(self) -> Iterator[pa.RecordBatch]:
+        self._narrow()
+        if self.n:
+            q, ids, low, high = zip(*self.found, strict=True)
+            columns = [pa.array(self.names[np.concatenate(q)]), pa.concat_arrays(ids), *(pa.array(np.concatenate(x).astype(np.float64)) for x in (low, high))]
+            yield pa.RecordBatch.from_arrays(columns, ["q", "id", "low", "high"])
+        self.found, self.n = [], 0
+
+
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
+
+
+def _bytes(column: pa.Array, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def _packed(rows: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(rows.shape[1]), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
+
+
 class VectorIndex:
     """The index of one table, below a shared folder."""
 
@@ -117,11 +227,14 @@ class VectorIndex:
         def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if len(batch):
-                    lists, codes, error = book.encode(unit(np.array(batch.column(2).to_pylist())))
-                    packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(codes.shape[1]), len(batch), [None, pa.py_buffer(np.ascontiguousarray(codes))]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists.astype(np.int32)), batch.column(1), packed, pa.array(error.astype(np.float32))], ["scope", "list", "id", "code", "error"])
-
-        schema = T.StructType().add("scope", "string").add("list", T.IntegerType()).add("id", kind).add("code", "binary").add("error", "float")
+                    rows = unit(_matrix(batch.column(2), book.dim))
+                    lists, codes, _ = book.encode(rows)
+                    fine, step, error = book.refine(rows, lists, codes)
+                    columns = [batch.column(0), pa.array(lists.astype(np.int32)), batch.column(1), _packed(codes), _packed(fine), pa.array(step.astype(np.float32)), pa.array(error.astype(np.float32))]
+                    yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+        schema = T.StructType().add("scope", "string").add("list", T.IntegerType()).add("id", kind)
+        schema = schema.add("code", "binary").add("fine", "binary").add("step", "float").add("error", "float")
         coded = held.mapInArrow(code, schema)
         order = ["scope", "list", F.xxhash64("id")]  # a large list is dealt over many files
         coded.repartitionByRange(*order).sortWithinPartitions("scope", "list").write.parquet(f"{self.folder}/codes")
@@ -131,94 +244,95 @@ class VectorIndex:
         r = self.spark.read.parquet(f"{self.folder}/codebook").first()
         return Codebook(r["dim"], np.array(r["centroids"]).reshape(r["c_shape"]), np.array(r["words"]).reshape(r["w_shape"]))
 
-    def _near(self, asked: list, book: Codebook, kinds: tuple, probes: int | None, k: int, least: dict | None) -> DataFrame:
-        """(query_id, id, said): the k rows with the largest scores by their codes for each query of a pass, or, with the
-        least score of each query, all rows that may reach it."""
-        names, scopes = [r["query_id"] for r in asked], [r["scope"] for r in asked]
-        to_lists, to_words = book.tables(unit(np.array([r["v"] for r in asked])))
-        order = np.argsort(-to_lists, axis=1, kind="stable")[:, : probes or None]
-        by_list: dict[tuple, list[int]] = {}
-        for q, lists in enumerate(order.tolist()):
-            for own in lists if probes else [-1]:
-                by_list.setdefault((scopes[q], own), []).append(q)
-        reach = None if least is None else [least.get(n, -2.0) for n in names]
-        shared = self.spark.sparkContext.broadcast((names, to_lists, to_words, {key: np.array(qs) for key, qs in by_list.items()}, reach))
-        codes = self.spark.read.parquet(f"{self.folder}/codes")
-        some = sorted({s for s in scopes if s is not None})
-        inside = F.col("scope").isin(some) if some else F.lit(False)
-        codes = codes.where(inside | F.col("scope").isNull() if None in scopes else inside)
-        if probes:
-            codes = codes.where(F.col("list").isin(np.unique(order).tolist()))
-        query_kind = kinds[1]
+    def _asked(self, queries: DataFrame) -> DataFrame:
+        """(q, query_id, scope, v), a written table: the queries with a number each."""
+        usable = self._usable(queries.withColumnRenamed("query_id", "id"), "id", "vector", F.col("scope")).withColumnRenamed("id", "query_id")
+        return durable(usable.withColumn("q", F.monotonically_increasing_id()))
+
+    def _met(self, asked: DataFrame, k: int, exact: bool) -> DataFrame:
+        """(q, id, low, high): for each query (q, scope, v, first, last) the rows that may be among its best k of a stripe,
+        by their codes alone or, if exact, with their bytes."""
+        key = F.concat(F.when(F.col("scope").isNull(), "0").otherwise("1"), F.coalesce("scope", F.lit(""))).alias("s")
+        asked, codes = asked.select(key, "*").drop("scope"), self.spark.read.parquet(f"{self.folder}/codes").select(key, "*").drop("scope")
+        n = lambda df, size: df.groupBy("s").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("n"))
+        dealt = n(codes, STRIPE).select("s", F.least("n", F.lit(STRIPES)).alias("stripes")).join(n(asked, SET).select("s", F.col("n").alias("sets")), "s")
+        dealt = durable(dealt)
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+        names = ["s", "part", "stripe"]
+        questions = asked.join(dealt, "s").select("s", deal("q", "sets").alias("part"), each("stripes").alias("stripe"), F.lit(0).alias("kind"), "q", "v", "first", "last")
+        held = ["id", "list", "code", *(["fine", "step", "error"] if exact else [])]
+        rows = codes.join(dealt, "s").select("s", each("sets").alias("part"), deal("id", "stripes").alias("stripe"), F.lit(1).alias("kind"), *held)
+        both = questions.unionByName(rows, allowMissingColumns=True).repartition(*names).sortWithinPartitions(*names, "kind")
+        book = self.book()
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, to_lists, to_words, by_list, reach = shared.value
+            state = None
             for batch in batches:
-                scope, lists = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-                code = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(len(batch), to_words.shape[1]) if len(batch) else None
-                error, at, who, said = batch.column(4).to_numpy(), [], [], []
-                edges = [0, *(i for i in range(1, len(batch)) if scope[i] != scope[i - 1] or lists[i] != lists[i - 1]), len(batch)]
+                marks = list(zip(*(batch[c].to_pylist() for c in (*names, "kind")), strict=True))
+                edges = [0, *(i for i in range(1, len(marks)) if marks[i] != marks[i - 1]), len(marks)]
                 for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                     if lo == hi:
                         continue
-                    asked = by_list.get((scope[lo], -1 if probes is None else int(lists[lo])))
-                    if asked is None:
-                        continue
-                    for q in asked.tolist():
-                        scores = to_lists[q, lists[lo]] + to_words[q][np.arange(code.shape[1]), code[lo:hi]].sum(axis=1)
-                        if reach is None:
-                            best = np.argpartition(-scores, k - 1)[:k] if hi - lo > k else np.arange(hi - lo)
-                        else:
-                            best = np.flatnonzero(scores + error[lo:hi] + SLACK >= reach[q])
-                        at.append(lo + best)
-                        who += [names[q]] * len(best)
-                        said.append(scores[best])
-                if who:
-                    yield pa.RecordBatch.from_arrays([pa.array(who, query_kind), batch.column(2).take(pa.array(np.concatenate(at))), pa.array(np.concatenate(said).astype(np.float64))], ["query_id", "id", "said"])
-
-        found = codes.mapInArrow(scan, f"query_id {kinds[0]}, id {codes.schema['id'].dataType.simpleString()}, said double")
-        return found if least is not None else top_per(found, ["query_id"], k, [F.desc("said"), F.col("id")]).select("query_id", "id", "said")
+                    if state is None or state.key != marks[lo][:3]:
+                        if state:
+                            yield from state.finish()
+                        state = Scan(marks[lo][:3], book, k, exact)
+                    part = batch.slice(lo, hi - lo)
+                    if marks[lo][3]:
+                        yield from state.meet(part)
+                    else:
+                        state.ask(part)
+            if state:
+                yield from state.finish()
+
+        return both.mapInArrow(scan, f"q long, id {codes.schema['id'].dataType.simpleString()}, low double, high double")
 
     def search(self, vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", probes: int = PROBES, exact: bool = False) -> DataFrame:
         """(query_id, id, score, rank): the k best vectors by cosine within the scope of each query (query_id, scope, vector).
 
-        ``vectors`` is the indexed table, of which only candidates' vectors are read. Queries go in passes of a bounded
-        number.
+        ``vectors`` is the indexed table, of which only candidates' vectors are read.
         """
-        book = self.book()
+        asked = self._asked(queries)
+        if exact:
+            met = self._met(asked.select("q", "scope", "v", F.lit(0).alias("first"), F.lit(0).alias("last")), max(1, k), True)
+            all_of = Window.partitionBy("q").orderBy(F.desc("low")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            pairs = met.withColumn("least", F.nth_value("low", max(1, k)).over(all_of)).where("least IS NULL OR high >= least")
+        else:
+            pairs = self._candidates(asked.select("q", "scope", "v", F.lit(0).alias("first"), F.lit(probes).alias("last")), k)
+        pairs = durable(pairs.select("q", "id").distinct())
         held = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-        usable = self._usable(queries.withColumnRenamed("query_id", "id"), "id", "vector", F.col("scope")).withColumnRenamed("id", "query_id")
-        kinds = queries.schema["query_id"].dataType.simpleString(), retrieval.to_arrow_type(queries.schema["query_id"].dataType)
-
-        def scored(pairs: DataFrame, asked: DataFrame) -> DataFrame:
-            vectors_of = asked.select("query_id", F.col("v").alias("q"))
-            both = pairs.select("query_id", "id").join(held, "id").join(vectors_of, "query_id")
-            return top_per(both.select("query_id", "id", retrieval.cosine(F.col("q"), F.col("v")).alias("score")), ["query_id"], k, [F.desc(F.round("score", 9)), F.col("id")])
-
-        def answer(some: DataFrame) -> DataFrame:
-            some = durable(some)
-            asked = some.collect()
-            if not asked:
-                return scored(some.select("query_id", F.lit(None).cast(held.schema["id"].dataType).alias("id")), some)
-            found = durable(scored(self._near(asked, book, kinds, probes, k * CANDIDATES, None), some))
-            if not exact:
-                return found
-            least = {r["query_id"]: r["least"] for r in found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") >= k).collect()}
-            return scored(durable(self._near(asked, book, kinds, None, k, least)), some)
-
-        return retrieval.in_passes(usable, answer)
+        both = pairs.join(held, "id").join(asked.select("q", "query_id", F.col("v").alias("a")), "q")
+        return top_per(both.select("query_id", "id", retrieval.cosine(F.col("a"), F.col("v")).alias("score")), ["query_id"], k, [F.desc(F.round("score", 9)), F.col("id")])
 
+    def _candidates(self, asked: DataFrame, k: int) -> DataFrame:
+        """The rows with the largest scores by their codes for each query, CANDIDATES for each of the k."""
+        most = max(1, k * CANDIDATES)
+        return top_per(self._met(asked, most, False), ["q"], most, [F.desc("low"), F.col("id")])
 
     def tuned(self, vectors: DataFrame, k: int, target: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", scope: Column | None = None) -> int:
         """The fewest lists (doubled from 1 on) at which the first TUNING vectors by hash, taken as queries, find their share
-        of what an exact search finds."""
+        of what an exact search finds.
+
+        All numbers are tried in one scan: a query asks once for each doubling, for the lists that it adds. What is
+        wanted and is a candidate is found, as candidates are scored exactly.
+        """
         own = self._usable(vectors, id_col, vector_col, F.lit(None) if scope is None else scope)
-        asked = durable(own.orderBy(F.xxhash64("id"), "id").limit(TUNING).select(F.col("id").alias("query_id"), "scope", F.col("v").alias("vector")))
-        wanted = durable(self.search(vectors, asked, k, id_col, vector_col, exact=True))
-        probes, lists = 1, len(self.book().centroids)
-        while probes < lists and recall(self.search(vectors, asked, k, id_col, vector_col, probes), wanted) < target:
-            probes *= 2
-        return min(probes, lists)
+        sample = durable(own.orderBy(F.xxhash64("id"), "id").limit(TUNING).select(F.col("id").alias("query_id"), "scope", F.col("v").alias("vector")))
+        wanted = durable(self.search(vectors, sample, k, id_col, vector_col, exact=True).select("query_id", "id"))
+        lists, total = len(self.book().centroids), wanted.count()
+        tries = [1 << i for i in range(lists.bit_length()) if 1 << i < lists]
+        if not tries or not total:
+            return 1
+        most, n = k * CANDIDATES, len(tries)
+        asked = self._asked(sample)
+        steps = self.spark.createDataFrame([(i, tries[i - 1] if i else 0, p) for i, p in enumerate(tries)], "step int, first int, last int")
+        asking = durable(asked.crossJoin(F.broadcast(steps)).select((F.col("q") * n + F.col("step")).alias("q"), F.col("q").alias("of"), "query_id", "scope", "v", "step", "first", "last"))
+        met = self._candidates(asking.select("q", "scope", "v", "first", "last"), k).join(asking.select("q", "of", "query_id", "step"), "q")
+        tried = met.select("of", "query_id", "id", "low", F.explode(F.sequence("step", F.lit(n - 1))).alias("step"))
+        found = top_per(tried, ["of", "step"], most, [F.desc("low"), F.col("id")]).select("step", "query_id", "id").distinct()
+        hits = {r["step"]: r["n"] for r in found.join(wanted, ["query_id", "id"]).groupBy("step").agg(F.count(F.lit(1)).alias("n")).collect()}
+        return next((p for i, p in enumerate(tries) if hits.get(i, 0) / total >= target), lists)
 
 
 def recall(found: DataFrame, wanted: DataFrame) -> float:
